@@ -183,8 +183,12 @@ def suggested_action(bullish: Column, bearish: Column) -> Column:
 
 
 def vote(df: DataFrame) -> DataFrame:
-    """Turn ``signals`` and ``weights`` into probabilities, an action and a breakdown."""
-    breakdown = F.zip_with("signals", "weights", lambda s, w: F.struct(
+    """Turn ``signals`` and ``weights`` into probabilities, an action and a breakdown.
+
+    The whole vote is one struct expression, so a filter on its result that is pushed
+    down the plan repeats it once, not once per use.
+    """
+    lines = F.zip_with("signals", "weights", lambda s, w: F.struct(
         s["strategy_name"].alias("strategy_name"), s["signal"].alias("signal"),
         w.alias("raw_weight"), w.alias("adjusted_weight"),
         s["confidence"].alias("confidence"), s["score"].alias("score"),
@@ -192,32 +196,40 @@ def vote(df: DataFrame) -> DataFrame:
         s["reason"].alias("reason"),
         (w * F.greatest(F.lit(0.05), s["confidence"])).alias("conviction"),
     ))
-    df = df.withColumn("_breakdown", breakdown)
-
-    def mass(label: str, part) -> Column:
-        chosen = F.filter("_breakdown", lambda b: b["signal"] == label)
-        return F.aggregate(chosen, F.lit(0.0), lambda acc, b: acc + b["conviction"] * part(b))
-
-    df = df.withColumns({
-        "_bull": mass("BUY", lambda b: 0.5 + F.greatest(b["score"], F.lit(0.0)) / 2),
-        "_bear": mass("SELL", lambda b: 0.5 + F.abs(F.least(b["score"], F.lit(0.0))) / 2),
-        "_flat": mass("HOLD", lambda b: F.lit(1.0)),
-    })
-    total = c("_bull") + c("_bear") + c("_flat")
-    df = df.withColumns({
-        "_pb": F.when(total > 0, c("_bull") / total).otherwise(0.0),
-        "_ps": F.when(total > 0, c("_bear") / total).otherwise(0.0),
-        "_pn": F.when(total > 0, c("_flat") / total).otherwise(1.0),
-    })
-    return df.withColumns({
-        "bullish_probability": F.round("_pb", 4),
-        "bearish_probability": F.round("_ps", 4),
-        "neutral_probability": F.round("_pn", 4),
-        "confidence": confidence_label(F.greatest("_pb", "_ps", "_pn")),
-        "suggested_action": suggested_action(c("_pb"), c("_ps")),
-        "strategy_breakdown": F.transform("_breakdown", lambda b: b.dropFields("conviction")),
-        "weights_used": F.map_from_arrays(F.transform("signals", lambda s: s["strategy_name"]), "weights"),
-    }).drop("_breakdown", "_bull", "_bear", "_flat", "_pb", "_ps", "_pn")
+
+    def mass(breakdown: Column, side: str, part) -> Column:
+        return F.aggregate(breakdown, F.lit(0.0), lambda acc, b: acc + F.when(
+            b["signal"] == side, b["conviction"] * part(b)).otherwise(0.0))
+
+    def shares(b: Column) -> Column:
+        bull = mass(b, "BUY", lambda x: 0.5 + F.greatest(x["score"], F.lit(0.0)) / 2)
+        bear = mass(b, "SELL", lambda x: 0.5 + F.abs(F.least(x["score"], F.lit(0.0))) / 2)
+        flat = mass(b, "HOLD", lambda x: F.lit(1.0))
+        masses = F.struct(bull.alias("u"), bear.alias("d"), flat.alias("n"), b.alias("b"))
+
+        def normalised(m: Column) -> Column:
+            total = m["u"] + m["d"] + m["n"]
+            return F.struct(
+                F.when(total > 0, m["u"] / total).otherwise(0.0).alias("u"),
+                F.when(total > 0, m["d"] / total).otherwise(0.0).alias("d"),
+                F.when(total > 0, m["n"] / total).otherwise(1.0).alias("n"),
+                m["b"].alias("b"))
+
+        return let(let(masses, normalised), outcome)
+
+    def outcome(p: Column) -> Column:
+        return F.struct(
+            F.round(p["u"], 4).alias("bullish_probability"),
+            F.round(p["d"], 4).alias("bearish_probability"),
+            F.round(p["n"], 4).alias("neutral_probability"),
+            confidence_label(F.greatest(p["u"], p["d"], p["n"])).alias("confidence"),
+            suggested_action(p["u"], p["d"]).alias("suggested_action"),
+            F.transform(p["b"], lambda x: x.dropFields("conviction")).alias("strategy_breakdown"),
+            F.map_from_entries(F.transform(
+                p["b"], lambda x: F.struct(x["strategy_name"], x["raw_weight"]))).alias("weights_used"),
+        )
+
+    return df.withColumn("_vote", let(lines, shares)).select(*df.columns, "_vote.*")
 
 
 def names_with(signals: Column, label: str, limit: int | None = None) -> Column:

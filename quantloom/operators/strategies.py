@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.safe import clip, lit
+from quantloom.functions.safe import clip, let, lit
 
 c = F.col
 
@@ -73,18 +73,22 @@ def label(score: Column) -> Column:
     )
 
 
-def signal(strategy: Strategy, column: str) -> Column:
-    """Signal struct from the verdict stored in ``column``."""
-    score = clip(c(f"{column}.score"), -1.0, 1.0)
-    return F.struct(
-        F.lit(strategy.name).alias("strategy_name"),
-        F.lit(strategy.category).alias("category"),
-        label(score).alias("signal"),
-        clip(c(f"{column}.confidence"), 0.0, 1.0).alias("confidence"),
-        score.alias("score"),
-        c(f"{column}.reason").alias("reason"),
-        metadata(strategy).alias("metadata"),
-    )
+def signal(strategy: Strategy) -> Column:
+    """Signal struct of the current row; the verdict is bound once and then read several times."""
+
+    def shape(v: Column) -> Column:
+        score = clip(v["score"], -1.0, 1.0)
+        return F.struct(
+            F.lit(strategy.name).alias("strategy_name"),
+            F.lit(strategy.category).alias("category"),
+            label(score).alias("signal"),
+            clip(v["confidence"], 0.0, 1.0).alias("confidence"),
+            score.alias("score"),
+            v["reason"].alias("reason"),
+            metadata(strategy).alias("metadata"),
+        )
+
+    return let(bounded_verdict(strategy), shape)
 
 
 def metadata(strategy: Strategy) -> Column:
@@ -405,21 +409,16 @@ def with_signals(
     ``directional_only`` keeps just name, label and confidence of BUY and SELL signals.
     """
     chosen = select_strategies(names, custom)
-    columns = [f"_verdict_{i}" for i in range(len(chosen))]
-    # Verdicts become columns first, so each is computed once and then read several times.
-    df = with_context_defaults(features).withColumns(
-        {name: bounded_verdict(s) for name, s in zip(columns, chosen)})
+
+    def light(s: Strategy) -> Column:
+        return let(bounded_verdict(s), lambda v: F.when(F.abs(v["score"]) > DIRECTION_THRESHOLD, F.struct(
+            F.lit(s.name).alias("strategy_name"), label(v["score"]).alias("signal"),
+            clip(v["confidence"], 0.0, 1.0).alias("confidence"))))
+
+    df = with_context_defaults(features)
     if directional_only:
-        def light(s: Strategy, name: str) -> Column:
-            score = c(f"{name}.score")
-            return F.when(F.abs(score) > DIRECTION_THRESHOLD, F.struct(
-                F.lit(s.name).alias("strategy_name"), label(score).alias("signal"),
-                clip(c(f"{name}.confidence"), 0.0, 1.0).alias("confidence")))
-
-        signals = F.array_compact(F.array(*[light(s, n) for s, n in zip(chosen, columns)]))
-    else:
-        signals = F.array(*[signal(s, n) for s, n in zip(chosen, columns)])
-    return df.withColumn("signals", signals).drop(*columns)
+        return df.withColumn("signals", F.array_compact(F.array(*[light(s) for s in chosen])))
+    return df.withColumn("signals", F.array(*[signal(s) for s in chosen]))
 
 
 def signal_rows(
