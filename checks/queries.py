@@ -26,7 +26,6 @@ BLOCKS = DEFAULT.blocks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ALL_STRATEGIES = [s.name for s in strategies.STRATEGIES]
 PRICE_STRATEGIES = [s.name for s in strategies.STRATEGIES if not s.name.endswith("Sentiment") and s.name != "Options Chain PCR"]
-AS_OF = F.lit
 
 
 def as_of() -> Column:
@@ -89,7 +88,7 @@ def latest_candles(spark, sf_dir):
 
 @query
 def daily_bars(spark, sf_dir):
-    return rounded(t.daily_bars(spark, sf_dir), ["symbol", "ts"], {4: ["open", "high", "low", "close", "volume"]})
+    return t.daily_bars(spark, sf_dir).select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 # ---- features ------------------------------------------------------------------------
@@ -142,8 +141,8 @@ def features_vwap(spark, sf_dir):
 @query
 def features_trading(spark, sf_dir):
     df = frames.trading_frame(t.staged_bars(spark, sf_dir))
-    return rounded(df, KEY, {
-        2: ["sma_10", "atr_14", "bb_upper", "bb_lower", "donchian_high_20", "donchian_low_20", "volume_sma_20"],
+    return rounded(df, [*KEY, "donchian_high_20", "donchian_low_20"], {
+        2: ["sma_10", "atr_14", "bb_upper", "bb_lower", "volume_sma_20"],
         4: ["atr_pct", "stoch_k", "zscore_20", "volume_ratio", "supertrend_direction", "drawdown_60"]})
 
 

@@ -37,10 +37,14 @@ def _match_tiles(
     rows, cols = _tiles(left, tile_rows), _tiles(right, tile_rows)
 
     def place(df: DataFrame, mine: int, other: int, own: str, repeated: str) -> DataFrame:
-        return df.select("id", "embedding").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(mine))).withColumn(
-            repeated, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other - 1).cast("bigint"))))
+        return df.select(
+            c("id").alias(f"{own}_id"), c("embedding").alias(f"{own}_vector"),
+            F.pmod(F.xxhash64("id"), F.lit(mine)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other - 1).cast("bigint"))).alias(repeated))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.rename(columns={"lt_id": "id", "lt_vector": "embedding"})
+        b = b.rename(columns={"rt_id": "id", "rt_vector": "embedding"})
         if a.empty or b.empty:
             return compare(a, b, np.zeros((len(a), len(b))))
         similar = np.round(np.clip(_matrix(a.embedding) @ _matrix(b.embedding).T, 0.0, 1.0), 6)
@@ -57,7 +61,7 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int = 5, tile_rows: int = TI
     """
     def best(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
         if not sims.size:
-            return pd.DataFrame({"id": [], "match": [], "similarity": []}).astype({"id": "int64", "match": "int64"})
+            return pd.DataFrame({"id": [], "match": [], "similarity": []}).astype({"id": "int64", "match": "int64", "similarity": "float64"})
         ids = b.id.to_numpy()
         order = np.argsort(ids, kind="stable")
         sims, ids = sims[:, order], ids[order]
@@ -130,7 +134,8 @@ def duplicate_matches(vectors: DataFrame, kept: DataFrame, tile_rows: int = TILE
     """For each dropped row its most similar earlier kept row: (id, matched_id, similarity)."""
     def best(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
         if not sims.size:
-            return pd.DataFrame({"id": [], "matched_id": [], "similarity": []}).astype({"id": "int64", "matched_id": "int64"})
+            return pd.DataFrame({"id": [], "matched_id": [], "similarity": []}).astype(
+                {"id": "int64", "matched_id": "int64", "similarity": "float64"})
         earlier = np.where(b.id.to_numpy()[None, :] < a.id.to_numpy()[:, None], sims, -1.0)
         at = earlier.argmax(axis=1)
         return pd.DataFrame({"id": a.id, "matched_id": b.id.to_numpy()[at], "similarity": earlier.max(axis=1)})

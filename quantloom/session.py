@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +18,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if not getattr(context, "_quantloom_shipped", False):
+        base = Path(tempfile.mkdtemp(prefix="quantloom-py-")) / "quantloom"
+        root = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+        context._quantloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables, taken from ``spark.checkpoint.dir``.
 
