@@ -325,8 +325,9 @@ AU, AD = 'least(1, ("close" - ph14) / greatest(atr_14, 1e-9))', 'least(1, (pl14
 AR = "coalesce(least(greatest(rm5 / nullif(rs20, 0), -1), 1), 0)"
 KA = 'least(greatest(("close" - smooth_price) / greatest("close", 1e-9) * 30, -1), 1)'
 LS = "(least(greatest(rs10 / greatest(rs20 * 5, 1e-9), -1), 1) * 0.35)"
-XG = ("((CASE WHEN sma_10 > sma_20 THEN 0.35 ELSE -0.35 END + CASE WHEN macd > macd_signal THEN 0.25 ELSE -0.25 END "
-      "+ CASE WHEN rsi_14 < 65 THEN 0.2 ELSE -0.2 END + 0.2 * least(greatest(volume_ratio - 1, -1), 1)) * 0.45)")
+# Literals with an exponent are doubles; plain ones would be exact decimals.
+XG = ("((CASE WHEN sma_10 > sma_20 THEN 0.35e0 ELSE -0.35e0 END + CASE WHEN macd > macd_signal THEN 0.25e0 ELSE -0.25e0 END "
+      "+ CASE WHEN rsi_14 < 65 THEN 0.2e0 ELSE -0.2e0 END + 0.2e0 * least(greatest(volume_ratio - 1e0, -1), 1)) * 0.45e0)")
 STRATS = [
     ("Breakout", "momentum", 20, "Insufficient candles for 20-period breakout.", [
         ('"close" > ph20', LOW, LOWC, "Price closed above the 20-period range high."),
@@ -481,15 +482,15 @@ vt AS (SELECT *, CASE WHEN greatest(pb, ps, pn) >= 0.7 THEN 'HIGH' WHEN greatest
 
 
 VOTE = f"WITH RECURSIVE {TRADING}, {REGIME}, {voted()}"
-ORACLES["ensemble_votes"] = f"""{VOTE} SELECT symbol, ts, regime, confidence, suggested_action, round(round(pb, 4), 3) + 0.0 AS bullish_probability,
-  round(round(ps, 4), 3) + 0.0 AS bearish_probability, round(round(pn, 4), 3) + 0.0 AS neutral_probability FROM vt"""
+ORACLES["ensemble_votes"] = f"""{VOTE} SELECT symbol, ts, regime, confidence, suggested_action, round(pb, 4) + 0.0 AS bullish_probability,
+  round(ps, 4) + 0.0 AS bearish_probability, round(pn, 4) + 0.0 AS neutral_probability FROM vt"""
 ORACLES["ensemble_weights"] = f"""{VOTE}, e AS (SELECT symbol, ts, unnest(range(1, 6)) AS i, nms, w, cv, scs FROM vt)
 SELECT symbol, ts, nms[i] AS strategy_name, round(w[i], 4) + 0.0 AS raw_weight, round(cv[i] * scs[i], 4) + 0.0 AS contribution FROM e"""
 ORACLES["ensemble_texts"] = f"""{VOTE}, e AS (SELECT *, list_filter(nms, lambda n, i: sigs[i] = 'BUY') AS bn, list_filter(nms, lambda n, i: sigs[i] = 'SELL') AS sn FROM vt)
 SELECT symbol, ts, 'Combined market intelligence is based on 5 independent engines: ' || len(bn) || ' bullish, ' || len(sn) || ' bearish, and ' || (5 - len(bn) - len(sn)) || ' neutral.'
  || CASE WHEN len(bn) > 0 THEN ' Bullish support comes from ' || array_to_string(bn[1:4], ', ') || '.' ELSE '' END
  || CASE WHEN len(sn) > 0 THEN ' Bearish pressure comes from ' || array_to_string(sn[1:4], ', ') || '.' ELSE '' END
- || ' Regime-aware weighting adjusted the strategy mix for a ' || regime || ' environment.' AS explanation FROM e"""
+ || ' Regime-aware weighting adjusted the strategy mix for a ' || regime || ' environment. Current regime is ' || regime || ' with ' || CAST(round_even(regime_confidence * 100, 0) AS INT) || '% confidence.' AS explanation FROM e"""
 RISK = """rk0 AS (SELECT *, CASE WHEN suggested_action = 'SELL' THEN round("close" + greatest(atr_14 * 1.5, "close" * 0.02), 2) ELSE round("close" - greatest(atr_14 * 1.5, "close" * 0.02), 2) END AS st FROM vt),
 rk1 AS (SELECT *, CASE WHEN suggested_action = 'SELL' THEN round("close" - 2 * abs("close" - st), 2) ELSE round("close" + 2 * abs("close" - st), 2) END AS tg FROM rk0),
 rk2 AS (SELECT *, coalesce(abs(tg - "close") / nullif(abs("close" - st), 0), 0) AS rr FROM rk1),
@@ -500,8 +501,8 @@ rk AS (SELECT *, CASE WHEN suggested_action = 'HOLD' OR volume <= 0 OR atr_14 <=
    WHEN confidence = 'LOW' OR rr < 1.5 OR greatest(round(pb, 4), round(ps, 4)) < 0.62 OR agree < 2 OR (risk_level = 'HIGH' AND coalesce(r5, 0) <= -0.04) THEN 'HOLD'
    ELSE suggested_action END AS final_action FROM rk3)"""
 ORACLES["risk_decisions"] = f"""{VOTE}, {RISK} SELECT symbol, ts, risk_level, final_action, final_action = suggested_action AND final_action <> 'HOLD' AND risk_level NOT IN ('HIGH', 'EXTREME') AS approved,
-  final_action <> suggested_action AS override_applied, round(CASE WHEN risk_level <> 'EXTREME' THEN st END, 1) + 0.0 AS stop_loss,
-  round(CASE WHEN risk_level <> 'EXTREME' THEN tg END, 1) + 0.0 AS target, round(round(rr, 3), 2) + 0.0 AS risk_reward_ratio FROM rk"""
+  final_action <> suggested_action AS override_applied, round(CASE WHEN risk_level <> 'EXTREME' THEN st END, 2) + 0.0 AS stop_loss,
+  round(CASE WHEN risk_level <> 'EXTREME' THEN tg END, 2) + 0.0 AS target, round(rr, 3) + 0.0 AS risk_reward_ratio FROM rk"""
 ORACLES["risk_gate"] = f"""{VOTE}, {RISK},
 g0 AS (SELECT *, year(ts) < 1996 AS stale, volume_ratio >= 2.5 AS anom, abs(drawdown_60) >= 0.15 AS dd, round(rr, 3) < 1.2 AS poor FROM rk),
 g1 AS (SELECT *, CASE WHEN stale THEN 'AVOID' ELSE suggested_action END AS a1 FROM g0),
@@ -527,8 +528,8 @@ ORACLES["backtest_results"] = f"""WITH RECURSIVE {TRADING}, {TRADES}, {_GRID},
 m AS (SELECT strategy_name, symbol, count(*) AS n, avg(CASE WHEN rz > 0 THEN 1.0 ELSE 0 END) AS wr, coalesce(sum(rz) FILTER (rz > 0), 0) AS gain, abs(coalesce(sum(rz) FILTER (rz < 0), 0)) AS loss,
    avg(rz) AS mean, stddev_pop(rz) AS sd FROM td GROUP BY 1, 2)
 SELECT gr.strategy_name, gr.symbol, start_date, end_date, coalesce(n, 0) AS total_trades, coalesce(loss, 0) = 0 AND coalesce(gain, 0) > 0 AS only_gains,
-  round(coalesce(wr, 0), 4) + 0.0 AS win_rate, round(round(coalesce(mean, 0), 6), 4) + 0.0 AS average_return, round(coalesce(sd, 0), 4) + 0.0 AS return_std,
-  round(round(CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN NULL ELSE 0 END, 4), 3) + 0.0 AS profit_factor
+  round(coalesce(wr, 0), 4) + 0.0 AS win_rate, round(coalesce(mean, 0), 6) + 0.0 AS average_return, round(coalesce(sd, 0), 4) + 0.0 AS return_std,
+  round(CASE WHEN loss > 0 THEN gain / loss WHEN gain > 0 THEN NULL ELSE 0 END, 4) + 0.0 AS profit_factor
 FROM gr LEFT JOIN m USING (strategy_name, symbol)"""
 ORACLES["backtest_drawdown"] = f"""WITH RECURSIVE {TRADING}, {TRADES}, {_GRID},
 e0 AS (SELECT *, product(1 + rz) OVER (PARTITION BY strategy_name, symbol ORDER BY pos) AS eq FROM td),
@@ -536,8 +537,8 @@ e1 AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY strategy_name, symbol OR
 m AS (SELECT strategy_name, symbol, min((eq - pk) / pk) AS dd FROM e1 GROUP BY 1, 2)
 SELECT gr.strategy_name, gr.symbol, round(log10(1 - round(least(coalesce(dd, 0), 0), 4)), 3) + 0.0 AS log_drawdown FROM gr LEFT JOIN m USING (strategy_name, symbol)"""
 ORACLES["accuracy_by_regime"] = f"""WITH RECURSIVE {TRADING}, {REGIME}, {TRADES}
-SELECT td.strategy_name, td.symbol, regime, count(*) AS sample_size, round(round(avg(CASE WHEN rz > 0 THEN 1.0 ELSE 0 END), 4), 3) + 0.0 AS accuracy,
-  round(round(avg(rz), 6), 3) + 0.0 AS avg_return FROM td JOIN rg ON td.symbol = rg.symbol AND td.ts = rg.ts GROUP BY 1, 2, 3"""
+SELECT td.strategy_name, td.symbol, regime, count(*) AS sample_size, round(avg(CASE WHEN rz > 0 THEN 1.0 ELSE 0 END), 4) + 0.0 AS accuracy,
+  round(avg(rz), 6) + 0.0 AS avg_return FROM td JOIN rg ON td.symbol = rg.symbol AND td.ts = rg.ts GROUP BY 1, 2, 3"""
 _IX = f"ix AS (SELECT symbol, ts, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM bars)"
 ORACLES["train_test_cut"] = f"WITH {BARS}, {_IX} SELECT symbol, ts, CASE WHEN pos < greatest(1, least(n - 1, floor(n * 0.7))) THEN 'train' ELSE 'test' END AS part FROM ix"
 ORACLES["walk_forward_folds"] = f"""WITH {BARS}, {_IX}, f AS (SELECT *, unnest([1, 2, 3]) AS fold FROM ix)
@@ -587,3 +588,190 @@ SELECT symbol, ts, 'unusual_volume' AS anomaly_type, 'MODERATE' AS severity, rou
 UNION ALL SELECT symbol, ts, 'volatility_spike', 'HIGH', round(atr_pct, 2) + 0.0 FROM j WHERE atr_pct >= 0.04
 UNION ALL SELECT symbol, ts, 'price_news_divergence', 'MODERATE', round(abs(ns), 2) + 0.0 FROM j WHERE abs(ns) >= 0.65 AND returns * ns < 0
 UNION ALL SELECT symbol, ts, 'unusual_options_activity', 'MODERATE', round(shift, 2) + 0.0 FROM j WHERE shift >= 1000000"""
+
+# ---- latest decisions ------------------------------------------------------------------------------------
+
+_LATE = f"""tl AS (SELECT tf.*, ns, nc, pcr AS opcr, call_oi_change, put_oi_change, iv AS oiv FROM tf LEFT JOIN nw USING (symbol) LEFT JOIN oc ON tf.symbol = oc.symbol
+   QUALIFY row_number() OVER (PARTITION BY tf.symbol ORDER BY tf.ts DESC) = 1)"""
+ORACLES["live_regimes"] = f"""{adaptive(False, False, False)}, a0 AS (SELECT symbol, ts, pos, "close", coalesce(ema_slope_12, 0) AS sl, macd_histogram AS mh, adx_14, coalesce(bb_width, 0) AS bw, atr_14,
+   coalesce(realized_vol_20, 0) AS rv FROM fin),
+la AS (SELECT * FROM a0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+rk AS (SELECT a0.symbol, count(*) FILTER (a0.atr_14 < la.atr_14) AS ls, count(*) FILTER (a0.atr_14 = la.atr_14) AS eq, count(*) AS n FROM a0 JOIN la ON a0.symbol = la.symbol GROUP BY 1),
+wd AS (SELECT symbol, median(bw) AS med FROM (SELECT * FROM a0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 40) q GROUP BY 1),
+j AS (SELECT la.*, med, (ls + (eq + 1) / 2.0) / n AS share, atr_14 / greatest("close", 1e-9) AS ap, bw <= greatest(med * 1.1, 0.04) AS small FROM la JOIN rk ON la.symbol = rk.symbol JOIN wd ON la.symbol = wd.symbol),
+k AS (SELECT *, share >= 0.85 OR rv >= 0.035 OR ap >= 0.03 OR (med > 0 AND bw > med * 1.8) AS hv, adx_14 < 18 AND abs(sl) < 0.001 AND (med = 0 OR small) AS side FROM j)
+SELECT symbol, ts, CASE WHEN hv THEN 'HIGH_VOLATILITY' WHEN NOT side AND ((adx_14 >= 25 AND NOT small) OR (abs(sl) >= 0.001 AND abs(mh) > 0)) THEN 'TRENDING' ELSE 'SIDEWAYS' END AS regime,
+  round(share, 4) + 0.0 AS atr_percentile FROM k"""
+ORACLES["feature_quality_report"] = f"""WITH {BASE}, l AS (SELECT symbol, max(ts) AS ts, count(*) AS rows FROM b1 GROUP BY 1)
+SELECT symbol, ts, rows, epoch(TIMESTAMP '2001-11-05 00:10:00' - ts) > 1800 AS stale_inputs, rows >= 30 AS enough_history, '' AS missing_features,
+  array_to_string(list_filter([CASE WHEN rows < 30 THEN 'Fewer than 30 candles are available.' END, CASE WHEN epoch(TIMESTAMP '2001-11-05 00:10:00' - ts) > 1800 THEN 'Latest candle is stale.' END,
+   'Sentiment input is missing.', 'Options-chain input is missing.'], lambda x: x IS NOT NULL), '|') AS warnings FROM l"""
+ORACLES["training_targets"] = f"""{adaptive(False, False, False)}, z AS (SELECT *, {mp('avg', '"close"', 20, 2)} AS m20, {mp('stddev_pop', '"close"', 20, 2)} AS s20,
+   lead("close", 5) OVER ({W}) / "close" - 1 AS fut, coalesce(volatility_percentile, 0) AS vp, coalesce(liquidity_score, 0) AS liq FROM fin)
+SELECT symbol, ts, CASE WHEN fut IS NULL THEN NULL WHEN fut > 0.005 THEN 'up' WHEN fut < -0.005 THEN 'down' ELSE 'sideways' END AS directional,
+  CASE WHEN coalesce(return_5, 0) <= -0.04 THEN 'PANIC' WHEN vp >= 0.8 THEN 'HIGH_VOLATILITY' WHEN liq <= 0.25 THEN 'LOW_LIQUIDITY' WHEN trend_strength >= 0.3 AND return_20 > 0 THEN 'BULLISH_REGIME'
+   WHEN trend_strength >= 0.3 AND return_20 < 0 THEN 'BEARISH_REGIME' WHEN trend_strength >= 0.25 THEN 'TRENDING' ELSE 'SIDEWAYS' END AS regime_target,
+  CASE WHEN market_stress_score > 0.65 THEN 'risk_off' WHEN vp > 0.75 THEN 'volatility' WHEN trend_strength > 0.3 THEN 'momentum'
+   WHEN abs(coalesce(("close" - m20) / nullif(s20, 0), 0)) > 1.2 OR trend_strength < 0.2 THEN 'mean_reversion' ELSE 'momentum' END AS suitability FROM z"""
+
+_GROUP = {"t": "momentum|breakout|vwap|macd", "r": "rsi|reversion|bollinger", "g": "volatility|atr|sentiment|risk", "e": "normal|trend|breakout"}
+
+
+def tok(g: str, f: str) -> str:
+    return f"CASE WHEN regexp_matches(lower(strategy_name), '{_GROUP.get(g, g)}') THEN {f}e0 ELSE 1e0 END"
+
+
+_NORM = "w / sum(w) OVER (PARTITION BY symbol, ts)"
+_CAPN = "least(greatest(w, 0), 0.35e0) / sum(least(greatest(w, 0), 0.35e0)) OVER (PARTITION BY symbol, ts)"
+ORACLES["adaptive_strategy_weights"] = f"""{FULL}, {RULE_CTE},
+q0 AS (SELECT symbol, ts, regime, greatest(0.35, least(1, conf)) AS rc, rolling_sentiment_mean AS sn, coalesce(volatility_percentile, 0) AS vs, volatility_shock_score >= 3 AS hot,
+   unnest([{{'n': 'MACD Momentum', 'w': 0.4e0}}, {{'n': 'RSI Reversal', 'w': 0.3e0}}, {{'n': 'ATR Volatility System', 'w': 0.2e0}}, {{'n': 'Breakout', 'w': 0.1e0}}, {{'n': 'Risk Parity', 'w': 0.3e0}}]) AS u FROM rl),
+q1 AS (SELECT * EXCLUDE (u), u.n AS strategy_name, u.w AS w FROM q0),
+q2 AS (SELECT * REPLACE ({_CAPN} AS w) FROM q1),
+q3 AS (SELECT * REPLACE (w * CASE WHEN regime IN ('TRENDING','BULLISH_REGIME','RISK_ON') THEN {tok('t', '1.25')} * {tok('r', '0.8')} WHEN regime = 'SIDEWAYS' THEN {tok('r', '1.25')} * {tok('breakout', '0.75')}
+   WHEN regime IN ('PANIC','RISK_OFF','HIGH_VOLATILITY') THEN {tok('g', '1.2')} * {tok('e', '0.75')} ELSE 1 END * CASE WHEN hot THEN CASE WHEN regexp_matches(lower(strategy_name), 'risk|volatility') THEN 1.15e0 ELSE 0.9e0 END ELSE 1 END AS w) FROM q2),
+q4 AS (SELECT * REPLACE ({_CAPN} AS w) FROM q3),
+q5 AS (SELECT *, regime IN ('TRENDING','BULLISH_REGIME') AND sn > 0.1 AND vs < 0.75 AS up, regime = 'SIDEWAYS' AS flat, regime IN ('PANIC','RISK_OFF') OR hot AS stress FROM q4),
+q6 AS (SELECT * REPLACE (w * CASE WHEN up THEN {tok('t', '1.15')} ELSE 1 END * CASE WHEN flat THEN {tok('r', '1.15')} ELSE 1 END * CASE WHEN stress THEN {tok('g', '1.2')} * {tok('breakout|momentum', '0.75')} ELSE 1 END AS w) FROM q5),
+q7 AS (SELECT * REPLACE ({_NORM} AS w) FROM q6),
+q8 AS (SELECT * REPLACE ({_CAPN} AS w) FROM q7)
+SELECT symbol, ts, strategy_name, CASE WHEN NOT up AND NOT flat AND NOT stress THEN 'Weights preserved because no strong adaptive adjustment condition was triggered.' ELSE
+  array_to_string(list_filter([CASE WHEN up THEN 'momentum strategies increased because regime is trending, sentiment is supportive, and volatility is not extreme' END,
+   CASE WHEN flat THEN 'mean-reversion strategies increased because market is classified as sideways' END,
+   CASE WHEN stress THEN 'risk-control and volatility-aware strategies increased because stress or high-severity anomalies are present' END], lambda x: x IS NOT NULL), '. ') END AS reason,
+  round(w, 4) + 0.0 AS weight, round(least(0.9, 0.45 + rc * 0.35 + least(abs(sn), 0.5) * 0.2), 4) + 0.0 AS weight_confidence FROM q8"""
+
+# ---- news ---------------------------------------------------------------------------------------------------
+
+_NT = r"regexp_replace(lower(trim(regexp_replace({x}, '\s+', ' ', 'g'))), 'ß', 'ss', 'g')"
+ARTICLES = f"""ar AS (SELECT doc_id AS id, source, lang, n_chars, 'https://www.example.com/news/' || source || '/' || n_chars AS url,
+   trim(regexp_replace(string_split(text, chr(10))[1], '[ \\t]+', ' ', 'g')) AS title, {_NT.format(x='text')} AS body, text FROM documents),
+ah AS (SELECT *, sha256(url) AS url_hash, sha256(CASE WHEN body = '' THEN {_NT.format(x="title")} ELSE body END) AS content_hash FROM ar)"""
+ORACLES["news_articles"] = f"WITH {ARTICLES} SELECT id, url, url_hash, content_hash, lang || '|' || source AS tags, lang AS language, length(title) AS title_len FROM ah"
+GREEDY = f"""{ARTICLES}, o AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM ah),
+go(i, us, cs, kept) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::BIGINT
+  UNION ALL SELECT o.i, CASE WHEN list_contains(us, url_hash) OR list_contains(cs, source || content_hash) THEN us ELSE list_append(us, url_hash) END,
+   CASE WHEN list_contains(us, url_hash) OR list_contains(cs, source || content_hash) THEN cs ELSE list_append(cs, source || content_hash) END,
+   CASE WHEN list_contains(us, url_hash) OR list_contains(cs, source || content_hash) THEN NULL ELSE o.id END FROM go JOIN o ON o.i = go.i + 1)"""
+ORACLES["news_exact_dedupe"] = f"WITH RECURSIVE {GREEDY} SELECT id, source, url_hash FROM ah WHERE id IN (SELECT kept FROM go)"
+ORACLES["stream_news_table"] = ORACLES["news_exact_dedupe"]
+ORACLES["news_event_types"] = r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(with|der)\b') THEN 'first' WHEN regexp_matches(text, '(?i)\b(les|que)\b') THEN 'second'
+  WHEN regexp_matches(text, '(?i)\b(para)\b') THEN 'third' END AS event_type FROM documents"""
+ORACLES["news_latest"] = f"WITH {DOCS} SELECT doc_id AS id, ts AS scraped_at FROM docs WHERE contains(upper(text), 'TION') ORDER BY ts DESC, doc_id DESC LIMIT 20"
+ORACLES["news_pending"] = f"""WITH {DOCS} SELECT doc_id AS id, ts AS scraped_at, CAST(NULL AS TIMESTAMP) AS published_at, false AS semantic_duplicate FROM docs
+WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY ts, doc_id LIMIT 50"""
+ORACLES["news_enriched"] = f"""WITH {DOCS}, b AS (SELECT text, arg_max(sentiment, doc_id) AS s, arg_max(sentiment_score, doc_id) AS v FROM docs GROUP BY text)
+SELECT doc_id, s AS sentiment, v AS sentiment_score FROM docs JOIN b USING (text)"""
+ORACLES["news_merge"] = f"""WITH {ARTICLES}, both_ AS (SELECT 0 AS l, id, title, CASE WHEN id % 3 = 0 THEN '#' ELSE url END AS url FROM ah UNION ALL SELECT 1, id, title, url FROM ah)
+SELECT id, url FROM both_ QUALIFY row_number() OVER (PARTITION BY CASE WHEN url <> '#' THEN url ELSE lower(title) END ORDER BY l, id) = 1"""
+ORACLES["news_stored_duplicates"] = f"""WITH {ARTICLES}, b AS (SELECT * FROM ah WHERE lang IN ('de', 'es')), s AS (SELECT * FROM ah WHERE lang NOT IN ('de', 'es'))
+SELECT id, CASE WHEN url_hash IN (SELECT url_hash FROM s) THEN 'url_hash' WHEN (source, content_hash) IN (SELECT (source, content_hash) FROM s) THEN 'content_hash' END AS duplicate_reason FROM b"""
+_VIS = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g')"
+
+
+def plain(x: str) -> str:
+    out = rf"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return rf"nullif(trim(regexp_replace({out}, '\s+', ' ', 'g')), '')"
+
+
+_AN = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*>(.*?)</a\s*>"""
+ORACLES["html_links"] = rf"""WITH v AS (SELECT page_id, url, regexp_extract_all({_VIS}, '{_AN}', 1) AS hs, regexp_extract_all({_VIS}, '{_AN}', 2) AS ts FROM pages),
+l AS (SELECT page_id, url, unnest(range(0, len(hs))) AS position, hs, ts FROM v),
+m AS (SELECT page_id, position, hs[position + 1] AS href, {plain('ts[position + 1]')} AS title, lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS root FROM l),
+n AS (SELECT *, root || coalesce(nullif(regexp_replace(regexp_replace(href, '[?#].*$', ''), '/+$', ''), ''), '/') AS link FROM m)
+SELECT page_id, position, href, title, link, lower(link) NOT SIMILAR TO '.*(/video|/photos|/live-tv|/podcast|/author/).*' AND
+  (contains(lower(regexp_replace(link, '^[a-z]+://[^/]*', '')), '/news/') OR ends_with(lower(link), '.html') OR regexp_matches(regexp_replace(link, '^[a-z]+://[^/]*', ''), '[0-9]')) AS is_article
+FROM n WHERE title IS NOT NULL"""
+ORACLES["html_urls"] = r"""WITH n AS (SELECT page_id, lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))
+   || coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') AS u, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+   lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
+SELECT page_id, u AS url, host AS source, NOT regexp_matches(path, '/video|/photos|/live-tv|/podcast|/author/') AND (contains(path, '/news/') OR ends_with(path, '.html') OR regexp_matches(path, '[0-9]')) AS is_article,
+  sha256(u) AS url_hash FROM n"""
+
+# ---- events, memory ---------------------------------------------------------------------------------------------
+
+ENV = """ev AS (SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'market.ohlcv.raw' WHEN 'view' THEN 'news.raw' WHEN 'purchase' THEN 'market.options.raw'
+   WHEN 'signup' THEN 'features.generated' ELSE 'system.health' END AS kind, 'feed' || (user_id % 7) AS source, ts, upper(event_type) AS symbol, CAST(user_id AS VARCHAR) AS correlation_id, value AS v,
+   CAST(props->>'$.k' AS DOUBLE) AS k FROM events),
+p AS (SELECT *, v AS o, v + 20 - k / 2 AS h, CASE WHEN k > 3 THEN v - 1 END AS l, kind IN ('market.ohlcv.raw', 'features.generated') AS bar,
+   CASE WHEN kind = 'news.raw' THEN k / 100 ELSE 0.85e0 END AS rel FROM ev),
+qy AS (SELECT *, list_filter([CASE WHEN bar AND l IS NULL THEN 'missing low' END,
+   CASE WHEN bar AND l IS NOT NULL AND least(o, h, l) <= 0 THEN 'invalid non-positive price' END,
+   CASE WHEN bar AND l IS NOT NULL AND h < greatest(o, l) THEN 'invalid OHLC candle: high below price component' END,
+   CASE WHEN bar AND l IS NOT NULL AND l > least(o, h) THEN 'invalid OHLC candle: low above price component' END,
+   CASE WHEN bar AND l IS NOT NULL AND k - 2 < 0 THEN 'invalid negative volume' END,
+   CASE WHEN kind = 'market.options.raw' AND v - 2 < 0 THEN 'invalid negative PCR' END, CASE WHEN kind = 'market.options.raw' AND k - 4 < 0 THEN 'invalid negative IV' END,
+   CASE WHEN kind = 'news.raw' AND k <= 10 THEN 'missing empty news headline' END,
+   CASE WHEN ts > TIMESTAMP '2024-01-30 12:00:00' THEN 'event timestamp is in the future' END, CASE WHEN rel < 0.4 THEN 'low source reliability' END], lambda x: x IS NOT NULL) AS issues FROM p),
+ck AS (SELECT *, CASE WHEN len(list_filter(issues, lambda x: contains(x, 'invalid') OR contains(x, 'missing'))) > 0 THEN 'FAIL' WHEN len(issues) > 0 THEN 'WARN' ELSE 'PASS' END AS quality_status FROM qy)"""
+ORACLES["quality_events"] = f"WITH {ENV} SELECT event_id, kind AS event_type, array_to_string(issues, '|') AS issues, quality_status, round(least(greatest(rel, 0), 1), 4) + 0.0 AS source_reliability_score FROM ck"
+ORACLES["event_dead_letters"] = f"""WITH {ENV} SELECT 'dead-' || event_id AS event_id, 'system.dead_letter' AS event_type, correlation_id, kind AS original_topic, array_to_string(issues, '; ') AS error, false AS retryable
+FROM ck WHERE quality_status = 'FAIL'"""
+ORACLES["event_round_trip"] = f"WITH {ENV} SELECT event_id, kind AS event_type, source, ts, symbol, correlation_id, CAST(NULL AS VARCHAR) AS error FROM ev"
+ORACLES["stream_event_routing"] = f"WITH {ENV} SELECT kind AS event_type, CASE WHEN quality_status = 'FAIL' THEN 'dead' ELSE 'clean' END AS side, quality_status, count(*) AS n FROM ck GROUP BY 1, 2, 3"
+ORACLES["quality_bar_rules"] = f"""WITH {BASE} SELECT symbol, ts, high >= greatest(open, low, "close") AND low <= least(open, high, "close") AND volume >= 0 AS valid, "close" <= 0 OR "close" > 1e7 AS impossible,
+  CASE WHEN pc <= 0 THEN true ELSE abs("close" / pc - 1) > 0.4 END AS extreme FROM b1"""
+ORACLES["quality_missing_and_fresh"] = f"""WITH {ENV}, a AS (SELECT *, epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts) AS age FROM ev)
+SELECT event_id, CASE WHEN seq % 5 = 0 THEN 'symbol' ELSE '' END AS missing, age > 3600000000 AS stale, CASE WHEN age <= 900000000 THEN 'FRESH' WHEN age <= 3600000000 THEN 'STALE' ELSE 'EXPIRED' END AS freshness FROM a"""
+ORACLES["source_reliability"] = f"""WITH RECURSIVE {ENV}, s AS (SELECT source, seq, quality_status <> 'FAIL' AS passed, row_number() OVER (PARTITION BY source ORDER BY seq) AS i FROM ck),
+ws AS (SELECT source, list(passed ORDER BY i) AS ps, list(seq ORDER BY i) AS qs FROM s GROUP BY 1),
+wk(source, i, b, a) AS (SELECT source, 1, 0.85e0, CASE WHEN ps[1] THEN least(1e0, 0.85e0 + 0.02e0) ELSE greatest(0e0, 0.85e0 - 0.08e0) END FROM ws
+  UNION ALL SELECT wk.source, i + 1, a, CASE WHEN ps[i + 1] THEN least(1e0, a + 0.02e0) ELSE greatest(0e0, a - 0.08e0) END FROM wk JOIN ws ON wk.source = ws.source WHERE i < len(ps))
+SELECT wk.source, qs[i] AS seq, ps[i] AS passed, round(b, 4) + 0.0 AS score_before, round(a, 4) + 0.0 AS score_after FROM wk JOIN ws ON wk.source = ws.source"""
+ORACLES["stream_source_reliability"] = ORACLES["source_reliability"]
+LIFE = """lf AS (SELECT CAST(user_id AS VARCHAR) AS correlation_id, event_id AS seq, CAST(props->>'$.k' AS INT) AS k,
+   ['CREATED','DATA_COLLECTED','FEATURES_READY','REGIME_READY','STRATEGIES_READY','ENSEMBLE_READY','RISK_READY','FINALIZED','FAILED'][CAST(props->>'$.k' AS INT) % 9 + 1] AS state FROM events)"""
+ORACLES["lifecycle_states"] = f"""WITH {LIFE}, g AS (SELECT correlation_id, arg_max(state, seq) AS state, list_sort(list(DISTINCT state) FILTER (state NOT IN ('CREATED', 'FAILED'))) AS done, count(*) AS events,
+   'code ' || arg_max(k, seq) FILTER (state = 'FAILED') AS error FROM lf GROUP BY 1),
+h AS (SELECT *, list_filter(['DATA_COLLECTED','FEATURES_READY','REGIME_READY','STRATEGIES_READY','ENSEMBLE_READY','RISK_READY'], lambda x: NOT list_contains(coalesce(done, []), x)) AS miss FROM g)
+SELECT correlation_id, state, array_to_string(coalesce(done, []), '|') AS completed, array_to_string(miss, '|') AS missing, len(miss) = 0 AS ready, events, error FROM h"""
+ORACLES["stream_lifecycle_states"] = ORACLES["lifecycle_states"]
+ORACLES["lifecycle_counts"] = f"WITH {LIFE} SELECT state, count(*) AS n FROM lf GROUP BY 1"
+FEED = """fb AS (SELECT event_id AS seq, event_type AS strategy_name, CAST(props->>'$.k' AS DOUBLE) AS k, (value - 20) / 100 AS rr, value / 500 AS mae FROM events),
+fr AS (SELECT *, CASE WHEN k < 40 THEN 1 WHEN k < 80 THEN -1 ELSE 0 END * rr AS g FROM fb),
+fw AS (SELECT *, g - abs(mae) * 0.5e0 - CASE WHEN g < 0 AND k / 100 > 0.65e0 THEN 0.02e0 ELSE 0 END + CASE WHEN g > 0 AND k / 100 > 0.65e0 THEN 0.01e0 ELSE 0 END AS reward FROM fr)"""
+ORACLES["rewards"] = f"WITH {FEED} SELECT seq, strategy_name, round(reward, 5) + 0.0 AS reward FROM fw"
+ORACLES["bandit_scores"] = f"""WITH {FEED}, s AS (SELECT strategy_name, count(*) AS n, avg(reward) AS m FROM fw GROUP BY 1)
+SELECT strategy_name, n, round(m, 5) + 0.0 AS mean_reward, round(m + sqrt(2 * ln(sum(n) OVER () + 1) / n), 5) + 0.0 AS score FROM s"""
+ORACLES["stream_bandit_scores"] = ORACLES["bandit_scores"]
+OUT = """oo AS (SELECT event_type AS strategy_name, 'u' || (user_id % 10) AS symbol, ['trending', 'sideways', 'panic', 'unknown'][CAST(props->>'$.k' AS INT) % 4 + 1] AS regime,
+   CASE WHEN CAST(props->>'$.k' AS INT) % 10 = 0 THEN 'PENDING' WHEN value > 15 THEN 'WIN' WHEN value < 5 THEN 'LOSS' ELSE 'NEUTRAL' END AS result, value - 15 AS pnl, event_id AS seq FROM events),
+pf AS (SELECT strategy_name, symbol, regime, round(avg(CASE WHEN result = 'WIN' THEN 1e0 ELSE 0 END), 6) AS accuracy, round(avg(pnl), 6) AS avg_return, count(*) AS sample_size, max(seq) AS seq
+   FROM oo WHERE result <> 'PENDING' GROUP BY 1, 2, 3)"""
+ORACLES["recent_win_ratio"] = f"""WITH {OUT} SELECT strategy_name, round(avg(CASE WHEN result = 'WIN' THEN 1e0 ELSE 0 END), 4) AS win_ratio FROM (SELECT * FROM oo WHERE result <> 'PENDING'
+   QUALIFY row_number() OVER (PARTITION BY strategy_name ORDER BY seq DESC) <= 100) q GROUP BY 1"""
+ORACLES["best_strategy_by_regime"] = f"""WITH {OUT} SELECT regime, strategy_name, sample_size, round(accuracy, 4) AS accuracy FROM pf
+QUALIFY row_number() OVER (PARTITION BY regime ORDER BY accuracy DESC, avg_return DESC, sample_size DESC, seq) = 1"""
+ORACLES["memory_lookup"] = f"WITH {OUT} SELECT strategy_name, symbol, regime, sample_size, round(accuracy, 4) AS accuracy FROM pf WHERE symbol = 'u3' AND regime = 'trending'"
+JUDGE = f"{DOCS}, jd AS (SELECT symbol, CASE WHEN quality = 1 THEN 'bullish' ELSE 'bearish' END AS label, sentiment AS prediction, quality FROM docs JOIN labels USING (doc_id))"
+ORACLES["sentiment_accuracy"] = f"WITH {JUDGE} SELECT symbol, round(avg(CASE WHEN (prediction = 'bullish') = (quality = 1) THEN 1e0 ELSE 0 END), 4) AS accuracy FROM jd GROUP BY 1"
+ORACLES["confusion_matrix"] = f"WITH {JUDGE} SELECT label, prediction, count(*) AS n FROM jd GROUP BY 1, 2"
+ORACLES["classification_report"] = f"""WITH {JUDGE}, cl AS (SELECT DISTINCT symbol, label AS x FROM jd UNION SELECT DISTINCT symbol, prediction FROM jd),
+m AS (SELECT cl.symbol, x, count(*) FILTER (label = x AND prediction = x) AS hit, count(*) FILTER (label = x) AS act, count(*) FILTER (prediction = x) AS said FROM cl JOIN jd USING (symbol) GROUP BY 1, 2),
+n AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(act, 0), 0) AS rc FROM m)
+SELECT symbol, round(sum(hit) / sum(act), 4) AS accuracy, round(avg(p), 4) AS precision_macro, round(avg(rc), 4) AS recall_macro, round(avg(coalesce(2 * p * rc / nullif(p + rc, 0), 0)), 4) AS f1_macro FROM n GROUP BY 1"""
+ORACLES["latency_report"] = 'SELECT event_type AS name, count(*) AS "count", round(sum(value), 3) AS total, round(avg(value), 3) AS avg_seconds FROM events GROUP BY 1'
+MODELS = """mv AS (SELECT 'm' || (user_id % 40) AS model_name, event_id AS model_version, ts, CAST(props->>'$.k' AS DOUBLE) / 100 AS acc, event_type = 'purchase' AS act FROM events)"""
+ORACLES["model_registry"] = f"""WITH {MODELS}, n AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY ts DESC) AS i FROM mv)
+SELECT model_name, coalesce(arg_max(model_version, ts) FILTER (act), arg_min(model_version, ts)) AS active, max(model_version) FILTER (i = 2) AS previous FROM n GROUP BY 1"""
+ORACLES["retraining_due"] = f"WITH {MODELS} SELECT model_name, model_version, acc < 0.52e0 OR ts < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 14 DAY AS retrain FROM mv"
+ORACLES["quotes_as_bars"] = """WITH q AS (SELECT upper(event_type) AS symbol, ts, value AS v, CAST(props->>'$.k' AS INT) AS k FROM events),
+a AS (SELECT *, CASE WHEN k % 7 = 0 OR v = 0 THEN coalesce(nullif(v + 1, 0), 0) ELSE v END AS cl FROM q)
+SELECT symbol, ts, coalesce(nullif(CASE WHEN k % 5 = 0 THEN 0 ELSE v - 0.5e0 END, 0), cl) AS open, coalesce(nullif(CASE WHEN k % 3 <> 0 THEN v + 2 END, 0), cl) AS high,
+  coalesce(nullif(v - 2, 0), cl) AS low, cl AS "close", CAST(CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS DOUBLE) AS volume, 'NSEPython' AS source FROM a"""
+
+# ---- vectors -------------------------------------------------------------------------------------------------------
+
+SIM = """vx AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sm AS (SELECT a.id, b.id AS other, round(least(greatest(list_dot_product(a.e, b.e), 0), 1), 6) AS s FROM vx a, vx b)"""
+ORACLES["vector_top5"] = f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM sm) SELECT id, rank, round(s, 5) + 0.0 AS similarity FROM k WHERE rank <= 5"""
+GREEDYV = f"""{SIM}, cf AS (SELECT vx.id, coalesce(list(other) FILTER (s > 0.4 AND other < vx.id), []) AS cs FROM vx JOIN sm ON sm.id = vx.id GROUP BY 1),
+og AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM cf),
+gv(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT og.i, CASE WHEN list_has_any(kept, cs) THEN kept ELSE list_append(kept, og.id) END FROM gv JOIN og ON og.i = gv.i + 1),
+kp AS (SELECT unnest(kept) AS id FROM gv WHERE i = (SELECT max(i) FROM gv))"""
+ORACLES["vector_dedupe"] = f"WITH RECURSIVE {GREEDYV} SELECT id FROM kp"
+ORACLES["stream_vector_table"] = ORACLES["vector_dedupe"]
+ORACLES["vector_duplicate_matches"] = f"""WITH RECURSIVE {GREEDYV} SELECT sm.id, other AS matched_id, round(s, 5) + 0.0 AS similarity FROM sm WHERE sm.id NOT IN (SELECT id FROM kp) AND other IN (SELECT id FROM kp) AND other < sm.id
+QUALIFY row_number() OVER (PARTITION BY sm.id ORDER BY s DESC, other) = 1"""

@@ -269,7 +269,7 @@ def voted(spark, sf_dir) -> DataFrame:
 def ensemble_votes(spark, sf_dir):
     df = voted(spark, sf_dir)
     return rounded(df, [*KEY, "regime", "confidence", "suggested_action"], {
-        3: ["bullish_probability", "bearish_probability", "neutral_probability"]})
+        4: ["bullish_probability", "bearish_probability", "neutral_probability"]})
 
 
 @query
@@ -281,14 +281,14 @@ def ensemble_weights(spark, sf_dir):
 @query
 def ensemble_texts(spark, sf_dir):
     df = voted(spark, sf_dir)
-    return df.select(*KEY, ensemble.ensemble_text(c("signals"), c("regime"), F.lit(None).cast("double")).alias("explanation"))
+    return df.select(*KEY, ensemble.ensemble_text(c("signals"), c("regime"), c("regime_confidence")).alias("explanation"))
 
 
 @query
 def risk_decisions(spark, sf_dir):
     df = risk.evaluate(voted(spark, sf_dir), DEFAULT.trading)
     return rounded(df, [*KEY, "risk_level", "final_action", "approved", "override_applied"], {
-        1: ["stop_loss", "target"], 2: ["risk_reward_ratio"]})
+        2: ["stop_loss", "target"], 3: ["risk_reward_ratio"]})
 
 
 @query
@@ -315,17 +315,17 @@ def final_signals(spark, sf_dir):
 @query
 def backtest_results(spark, sf_dir):
     bars = t.staged_bars(spark, sf_dir)
-    trades = backtest.trades(frames.trading_frame(bars), PRICE_STRATEGIES)
+    trades = t.stage(backtest.trades(frames.trading_frame(bars), PRICE_STRATEGIES))
     df = backtest.summary(trades, bars, PRICE_STRATEGIES)
     return rounded(df, ["strategy_name", "symbol", "start_date", "end_date", "total_trades", "only_gains"], {
-        4: ["win_rate", "average_return", "return_std"], 3: ["profit_factor"]})
+        4: ["win_rate", "profit_factor", "return_std"], 6: ["average_return"]})
 
 
 @query
 def backtest_drawdown(spark, sf_dir):
     """Worst fall of the equity curve as the order of magnitude (equity spans hundreds of decades here)."""
     bars = t.staged_bars(spark, sf_dir)
-    trades = backtest.trades(frames.trading_frame(bars), PRICE_STRATEGIES)
+    trades = t.stage(backtest.trades(frames.trading_frame(bars), PRICE_STRATEGIES))
     df = backtest.summary(trades, bars, PRICE_STRATEGIES)
     return rounded(df.withColumn("log_drawdown", F.log10(1 - c("max_drawdown"))), ["strategy_name", "symbol"], {3: ["log_drawdown"]})
 
@@ -335,7 +335,7 @@ def accuracy_by_regime(spark, sf_dir):
     bars = t.staged_bars(spark, sf_dir)
     frame = regimes.trading_regime(frames.trading_frame(bars), DEFAULT.trading)
     df = backtest.accuracy_by_regime(backtest.trades(frame, PRICE_STRATEGIES, (), "regime"))
-    return rounded(df, ["strategy_name", "symbol", "regime", "sample_size"], {3: ["accuracy", "avg_return"]})
+    return rounded(df, ["strategy_name", "symbol", "regime", "sample_size"], {4: ["accuracy"], 6: ["avg_return"]})
 
 
 @query

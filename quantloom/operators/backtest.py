@@ -39,71 +39,38 @@ def trades(
 def equity_curve(trade_rows: DataFrame) -> DataFrame:
     """Add ``equity`` (product of 1 + return from the first trade) and its running ``peak``.
 
-    Products are taken inside a block and joined to the product of the blocks before it.
+    Inside a block the products are local; one summary row per block carries the equity
+    and the peak over. ``trade_rows`` is read twice, so give it as a stored table. A loss
+    above 100 % turns equity negative, which swaps the roles of local highs and lows.
     """
     keys = ["strategy_name", "symbol"]
     inside = Window.partitionBy(*keys, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     local = trade_rows.withColumn("_equity", F.product(1 + c("realized")).over(inside))
-    local = local.withColumn("_peak", F.max("_equity").over(inside))
+    local = local.withColumns({"_top": F.max("_equity").over(inside), "_low": F.min("_equity").over(inside)})
+    reach = c("_start") * F.when(c("_start") >= 0, c("_top")).otherwise(c("_low"))
     blocks = local.groupBy(*keys, "block").agg(
-        F.max_by("_equity", "pos").alias("_close"), F.max("_equity").alias("_top"))
+        F.max_by("_equity", "pos").alias("_close"), F.max("_top").alias("_top"), F.min("_low").alias("_low"))
     blocks = blocks.withColumn("_start", F.coalesce(F.product("_close").over(earlier), F.lit(1.0)))
-    blocks = blocks.withColumn(
-        "_high", F.greatest(F.lit(1.0), F.max(c("_start") * c("_top")).over(earlier))
-    ).select(*keys, "block", "_start", "_high")
+    blocks = blocks.withColumn("_high", F.greatest(F.lit(1.0), F.max(reach).over(earlier))).select(
+        *keys, "block", "_start", "_high")
     return local.join(blocks, [*keys, "block"]).withColumns({
-        "equity": c("_start") * c("_equity"),
-        "peak": F.greatest(c("_high"), c("_start") * c("_peak")),
-    }).drop("_equity", "_peak", "_start", "_high")
-
-
-def block_results(trade_rows: DataFrame) -> DataFrame:
-    """Sums, equity product and worst drawdown of each (strategy, symbol, block).
-
-    The blocks are those the features were computed in, so no row moves.
-    """
-    inside = (
-        Window.partitionBy("strategy_name", "symbol", "block").orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = trade_rows.withColumn("_equity", F.product(1 + c("realized")).over(inside))
-    local = local.withColumn("_peak", F.max("_equity").over(inside))
-    return local.groupBy("strategy_name", "symbol", "block").agg(
-        F.count(F.lit(1)).alias("trades"),
-        F.count_if(c("realized") > 0).alias("wins"),
-        zero(F.sum(F.when(c("realized") > 0, c("realized")))).alias("gain"),
-        zero(F.sum(F.when(c("realized") < 0, c("realized")))).alias("loss"),
-        F.sum(c("realized") * c("realized")).alias("squares"),
-        F.max_by("_equity", "pos").alias("close"),
-        F.max("_equity").alias("top"),
-        F.min("_equity").alias("bottom"),
-        F.min((c("_equity") - c("_peak")) / c("_peak")).alias("fall"),
-    )
+        "equity": c("_start") * c("_equity"), "peak": F.greatest(c("_high"), reach),
+    }).drop("_equity", "_top", "_low", "_start", "_high")
 
 
 def summary(trade_rows: DataFrame, bars: DataFrame, names: Sequence[str]) -> DataFrame:
     """One back-test result per (strategy, symbol), also where no trade happened.
 
-    Blocks are chained through one summary row each: the fall inside a block is measured
-    against its own peaks and against the highest equity before it. ``profit_factor`` is
-    NULL with ``only_gains`` set where there are gains but no losses.
+    ``profit_factor`` is NULL with ``only_gains`` set where there are gains but no losses.
     """
     keys = ["strategy_name", "symbol"]
-    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    chained = block_results(trade_rows).withColumn(
-        "_start", F.coalesce(F.product("close").over(earlier), F.lit(1.0)))
-    chained = chained.withColumn("_high", F.greatest(F.lit(1.0), F.max(c("_start") * c("top")).over(earlier)))
-    carried_fall = (c("_start") * c("bottom") - c("_high")) / c("_high")
-    metrics = chained.groupBy(*keys).agg(
-        F.sum("trades").alias("_trades"), F.sum("wins").alias("_wins"),
-        F.sum("gain").alias("_gain"), F.abs(F.sum("loss")).alias("_loss"),
-        F.sum("squares").alias("_squares"), F.min(F.least(c("fall"), carried_fall)).alias("_fall"))
-    mean = (c("_gain") - c("_loss")) / c("_trades")
-    variance = c("_squares") / c("_trades") - mean * mean
-    metrics = metrics.withColumns({
-        "_mean": mean, "_std": F.sqrt(F.greatest(variance, F.lit(0.0))), "_rate": c("_wins") / c("_trades")})
-
+    metrics = equity_curve(trade_rows).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_trades"), F.avg((c("realized") > 0).cast("double")).alias("_rate"),
+        F.sum(F.when(c("realized") > 0, c("realized"))).alias("_gain"),
+        F.abs(F.sum(F.when(c("realized") < 0, c("realized")))).alias("_loss"),
+        F.min((c("equity") - c("peak")) / c("peak")).alias("_fall"),
+        F.avg("realized").alias("_mean"), F.stddev_pop("realized").alias("_std"))
     spans = (
         bars.groupBy("symbol").agg(F.min("ts").alias("start_date"), F.max("ts").alias("end_date"),
                                    F.count(F.lit(1)).alias("bars"))
@@ -115,7 +82,7 @@ def summary(trade_rows: DataFrame, bars: DataFrame, names: Sequence[str]) -> Dat
         *keys, "start_date", "end_date",
         F.coalesce("_trades", F.lit(0)).alias("total_trades"),
         F.round(zero(c("_rate")), 4).alias("win_rate"),
-        F.when(zero(c("_loss")) > 0, F.round(c("_gain") / c("_loss"), 4))
+        F.when(zero(c("_loss")) > 0, F.round(zero(c("_gain")) / c("_loss"), 4))
         .when(zero(c("_gain")) > 0, F.lit(None)).otherwise(0.0).alias("profit_factor"),
         ((zero(c("_loss")) == 0) & (zero(c("_gain")) > 0)).alias("only_gains"),
         F.round(F.least(zero(c("_fall")), F.lit(0.0)), 4).alias("max_drawdown"),

@@ -261,7 +261,7 @@ def ensemble_text(signals: Column, regime: Column, regime_confidence: Column) ->
         sentence(names_with(signals, "SELL", 4), "Bearish pressure comes from %s."),
         F.when(regime.isNotNull(), F.format_string(
             "Regime-aware weighting adjusted the strategy mix for a %s environment.", regime)),
-        F.when(regime.isNotNull(), F.format_string(
+        F.when(regime.isNotNull() & regime_confidence.isNotNull(), F.format_string(
             "Current regime is %s with %s confidence.", regime, percent(regime_confidence))),
     )
 
