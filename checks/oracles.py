@@ -655,8 +655,10 @@ go(i, us, cs, kept) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::BI
    CASE WHEN list_contains(us, url_hash) OR list_contains(cs, source || content_hash) THEN NULL ELSE o.id END FROM go JOIN o ON o.i = go.i + 1)"""
 ORACLES["news_exact_dedupe"] = f"WITH RECURSIVE {GREEDY} SELECT id, source, url_hash FROM ah WHERE id IN (SELECT kept FROM go)"
 ORACLES["stream_news_table"] = ORACLES["news_exact_dedupe"]
-ORACLES["news_event_types"] = r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(with|der)\b') THEN 'first' WHEN regexp_matches(text, '(?i)\b(les|que)\b') THEN 'second'
-  WHEN regexp_matches(text, '(?i)\b(para)\b') THEN 'third' END AS event_type FROM documents"""
+_EDGE = r"[^\p{L}\p{N}_]"
+ORACLES["news_event_types"] = "SELECT doc_id, CASE " + " ".join(
+    f"WHEN regexp_matches(text, '(?i)(^|{_EDGE})({words})($|{_EDGE})') THEN '{name}'"
+    for name, words in (("first", "with|der"), ("second", "les|que"), ("third", "para"))) + " END AS event_type FROM documents"
 ORACLES["news_latest"] = f"WITH {DOCS} SELECT doc_id AS id, ts AS scraped_at FROM docs WHERE contains(upper(text), 'TION') ORDER BY ts DESC, doc_id DESC LIMIT 20"
 ORACLES["news_pending"] = f"""WITH {DOCS} SELECT doc_id AS id, ts AS scraped_at, CAST(NULL AS TIMESTAMP) AS published_at, false AS semantic_duplicate FROM docs
 WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY ts, doc_id LIMIT 50"""
@@ -712,7 +714,7 @@ FROM ck WHERE quality_status = 'FAIL'"""
 ORACLES["event_round_trip"] = f"WITH {ENV} SELECT event_id, kind AS event_type, source, ts, symbol, correlation_id, CAST(NULL AS VARCHAR) AS error FROM ev"
 ORACLES["stream_event_routing"] = f"WITH {ENV} SELECT kind AS event_type, CASE WHEN quality_status = 'FAIL' THEN 'dead' ELSE 'clean' END AS side, quality_status, count(*) AS n FROM ck GROUP BY 1, 2, 3"
 ORACLES["quality_bar_rules"] = f"""WITH {BASE} SELECT symbol, ts, high >= greatest(open, low, "close") AND low <= least(open, high, "close") AND volume >= 0 AS valid, "close" <= 0 OR "close" > 1e7 AS impossible,
-  CASE WHEN pc <= 0 THEN true ELSE abs("close" / pc - 1) > 0.4 END AS extreme FROM b1"""
+  coalesce(CASE WHEN pc <= 0 THEN true ELSE abs("close" / pc - 1) > 0.4 END, false) AS extreme FROM b1"""
 ORACLES["quality_missing_and_fresh"] = f"""WITH {ENV}, a AS (SELECT *, epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts) AS age FROM ev)
 SELECT event_id, CASE WHEN seq % 5 = 0 THEN 'symbol' ELSE '' END AS missing, age > 3600000000 AS stale, CASE WHEN age <= 900000000 THEN 'FRESH' WHEN age <= 3600000000 THEN 'STALE' ELSE 'EXPIRED' END AS freshness FROM a"""
 ORACLES["source_reliability"] = f"""WITH RECURSIVE {ENV}, s AS (SELECT source, seq, quality_status <> 'FAIL' AS passed, row_number() OVER (PARTITION BY source ORDER BY seq) AS i FROM ck),
@@ -766,12 +768,12 @@ SELECT symbol, ts, coalesce(nullif(CASE WHEN k % 5 = 0 THEN 0 ELSE v - 0.5e0 END
 
 SIM = """vx AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sm AS (SELECT a.id, b.id AS other, round(least(greatest(list_dot_product(a.e, b.e), 0), 1), 6) AS s FROM vx a, vx b)"""
-ORACLES["vector_top5"] = f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM sm) SELECT id, rank, round(s, 5) + 0.0 AS similarity FROM k WHERE rank <= 5"""
+ORACLES["vector_top5"] = f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM sm) SELECT id, rank, round(s, 6) + 0.0 AS similarity FROM k WHERE rank <= 5"""
 GREEDYV = f"""{SIM}, cf AS (SELECT vx.id, coalesce(list(other) FILTER (s > 0.4 AND other < vx.id), []) AS cs FROM vx JOIN sm ON sm.id = vx.id GROUP BY 1),
 og AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM cf),
 gv(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT og.i, CASE WHEN list_has_any(kept, cs) THEN kept ELSE list_append(kept, og.id) END FROM gv JOIN og ON og.i = gv.i + 1),
 kp AS (SELECT unnest(kept) AS id FROM gv WHERE i = (SELECT max(i) FROM gv))"""
 ORACLES["vector_dedupe"] = f"WITH RECURSIVE {GREEDYV} SELECT id FROM kp"
 ORACLES["stream_vector_table"] = ORACLES["vector_dedupe"]
-ORACLES["vector_duplicate_matches"] = f"""WITH RECURSIVE {GREEDYV} SELECT sm.id, other AS matched_id, round(s, 5) + 0.0 AS similarity FROM sm WHERE sm.id NOT IN (SELECT id FROM kp) AND other IN (SELECT id FROM kp) AND other < sm.id
+ORACLES["vector_duplicate_matches"] = f"""WITH RECURSIVE {GREEDYV} SELECT sm.id, other AS matched_id, round(s, 6) + 0.0 AS similarity FROM sm WHERE sm.id NOT IN (SELECT id FROM kp) AND other IN (SELECT id FROM kp) AND other < sm.id
 QUALIFY row_number() OVER (PARTITION BY sm.id ORDER BY s DESC, other) = 1"""

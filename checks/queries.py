@@ -543,7 +543,7 @@ def quality_bar_rules(spark, sf_dir):
     """Valid bars, impossible prices and extreme moves of the ticks, in arrival order of each candle."""
     df = blocked(spark, sf_dir)
     df = df.withColumns({"valid": quality.valid_bar(), "impossible": quality.impossible_price(c("close")),
-                         "extreme": quality.extreme_return(c("close"), c("prev_close"))})
+                         "extreme": F.coalesce(quality.extreme_return(c("close"), c("prev_close")), F.lit(False))})
     return owned(df).select(*KEY, "valid", "impossible", "extreme")
 
 
@@ -710,7 +710,7 @@ def vector_top5(spark, sf_dir):
     from quantloom.operators import vectors
 
     v = vectors_of(spark, sf_dir)
-    return rounded(vectors.top_k(v, v, 5), ["id", "rank"], {5: ["similarity"]})
+    return rounded(vectors.top_k(v, v, 5), ["id", "rank"], {6: ["similarity"]})
 
 
 @query
@@ -725,7 +725,7 @@ def vector_duplicate_matches(spark, sf_dir):
     from quantloom.operators import vectors
 
     v = vectors_of(spark, sf_dir)
-    return rounded(vectors.duplicate_matches(v, vectors.greedy_distinct(v, 0.4)), ["id", "matched_id"], {5: ["similarity"]})
+    return rounded(vectors.duplicate_matches(v, vectors.greedy_distinct(v, 0.4)), ["id", "matched_id"], {6: ["similarity"]})
 
 
 MODEL_FEATURES = ["return_1", "return_5", "realized_vol_20", "bb_width", "rsi_14", "adx_14", "liquidity_score", "trend_strength"]
@@ -773,7 +773,10 @@ def as_stream(df: DataFrame, parts: int = 3) -> DataFrame:
     from quantloom.streaming.flows import new_folder
 
     folder = new_folder(df.sparkSession, "input")
-    df.repartitionByRange(parts, "seq").write.parquet(folder)
+    ends = df.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    part = F.floor((c("seq") - ends["lo"]) * parts / (ends["hi"] - ends["lo"] + 1))
+    for i in range(parts):  # written one after the other, so that files arrive in sequence order
+        df.where(part == i).coalesce(1).write.mode("append").parquet(folder)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

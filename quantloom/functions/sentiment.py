@@ -28,7 +28,7 @@ NEUTRAL_BAND = 0.15
 def event_type(text: Column, words: Sequence[tuple[str, str]] = EVENT_WORDS) -> Column:
     chain = F
     for name, pattern in words:
-        chain = chain.when(text.rlike(rf"(?i)\b({pattern})\b"), name)
+        chain = chain.when(text.rlike(rf"(?iU)\b({pattern})\b"), name)
     return chain.otherwise(F.lit(None))
 
 

@@ -73,7 +73,8 @@ def detect(frame: DataFrame, seed: int = 42) -> DataFrame:
         return pd.DataFrame({"symbol": [pdf.symbol.iloc[0]], "forest": [pickle.dumps((trees, size))]})
 
     forests = pool.groupBy("symbol").applyInPandas(fit, "symbol string, forest binary")
-    per_block = rows.select("symbol", "block").distinct().join(forests, "symbol")
+    per_block = rows.select("symbol", "block").distinct().join(forests, "symbol").select(
+        c("symbol").alias("model_symbol"), c("block").alias("model_block"), "forest")
 
     def score(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         trees, size = pickle.loads(model.forest.iloc[0])  # written by fit() above
@@ -82,7 +83,7 @@ def detect(frame: DataFrame, seed: int = 42) -> DataFrame:
         raw = np.power(2.0, -depth / max(float(_path_length(size)), 1e-9))
         return pdf[["symbol", "pos", "ts"]].assign(raw=raw)
 
-    scored = rows.groupBy("symbol", "block").cogroup(per_block.groupBy("symbol", "block")).applyInPandas(
+    scored = rows.groupBy("symbol", "block").cogroup(per_block.groupBy("model_symbol", "model_block")).applyInPandas(
         score, "symbol string, pos bigint, ts timestamp, raw double")
     limits = scored.groupBy("symbol").agg(
         F.percentile_approx("raw", F.lit(1.0 - CONTAMINATION), F.lit(100_000)).alias("_limit"))

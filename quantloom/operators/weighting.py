@@ -29,15 +29,16 @@ def cap_and_normalize(weights: Column, cap: float) -> Column:
 
     Scaling after the cap can lift a weight above it again; that is intended.
     """
-    capped = F.transform_values(weights, lambda k, w: F.least(F.greatest(w, F.lit(0.0)), F.lit(cap)))
-    return _share(capped)
+    return _share(F.transform_values(weights, lambda k, w: F.least(F.greatest(w, F.lit(0.0)), F.lit(cap))))
 
 
 def _share(weights: Column) -> Column:
-    even = F.transform_values(weights, lambda k, w: F.lit(1.0) / F.size(weights))
-    total = array_sum(F.map_values(weights))
-    return let(F.struct(weights.alias("w"), total.alias("t")), lambda s: F.when(
-        s["t"] > 0, F.transform_values(s["w"], lambda k, w: w / s["t"])).otherwise(even))
+    """Scale to 1. ``weights`` is bound once: nested uses would repeat the whole chain before it."""
+    def scale(ws: Column) -> Column:
+        return let(array_sum(F.map_values(ws)), lambda total: F.transform_values(
+            ws, lambda k, w: F.when(total > 0, w / total).otherwise(1.0 / F.size(ws))))
+
+    return let(weights, scale)
 
 
 def _factor(name: Column, tokens: str, value: float) -> Column:
@@ -66,7 +67,7 @@ def performance_rules(weights: Column, performance: Column) -> Column:
         known = F.coalesce(p["sample_size"] >= 10, F.lit(False))
         return F.when(known, w * (0.6 + p["accuracy"]) * care).otherwise(w)
 
-    return F.when(performance.isNull(), weights).otherwise(F.transform_values(weights, adjusted))
+    return F.transform_values(weights, adjusted)
 
 
 def performance_map(records: DataFrame, regimes: DataFrame) -> DataFrame:
@@ -95,9 +96,9 @@ def adaptive_weights(df: DataFrame, s: AdaptiveSettings) -> DataFrame:
     df = df.withColumn("weights", cap_and_normalize(c("base_weights"), cap))
     df = df.withColumn("weights", regime_rules(c("weights"), c("regime")))
     df = df.withColumn("weights", performance_rules(c("weights"), c("performance")))
-    tilted = F.transform_values(
-        "weights", lambda k, w: w * F.when(F.lower(k).rlike("risk|volatility"), 1.15).otherwise(0.9))
-    df = df.withColumn("weights", F.when(F.upper("risk_level") == "HIGH", tilted).otherwise(c("weights")))
+    risky = F.upper("risk_level") == "HIGH"
+    df = df.withColumn("weights", F.transform_values("weights", lambda k, w: w * F.when(
+        risky, F.when(F.lower(k).rlike("risk|volatility"), 1.15).otherwise(0.9)).otherwise(1.0)))
     df = df.withColumn("weights", cap_and_normalize(c("weights"), cap))
 
     supportive = (
