@@ -23,7 +23,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
-        .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["candles_15m"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm the session

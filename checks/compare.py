@@ -55,7 +55,7 @@ def main(names: list[str], sf_dir: str) -> int:
     from checks.queries import QUERIES
 
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     con, failed = database(sf_dir), 0

@@ -18,8 +18,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-    # Call-site capture on every column expression doubles the time to build wide frames.
-    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
     ship_package(spark)
     return spark
 

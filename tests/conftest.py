@@ -17,7 +17,7 @@ BAR_SCHEMA = "symbol string, ts timestamp, open double, high double, low double,
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield prepare(session)
