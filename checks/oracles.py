@@ -459,7 +459,7 @@ _core = [next(s for s in STRATS if s[0] == n) for n in CORE]
 _FIN = ("UNION ALL SELECT symbol, ts, pos, 'FinBERT Sentiment', 'ai_ml', CAST(%s AS DOUBLE), CAST(%s AS DOUBLE), 'Financial-news sentiment is ' || %s || '.' FROM %s")
 
 
-def voted(source: str = "rg", fin: str = _FIN % ("0", "0", "'neutral'", "rg")) -> str:
+def voted(source: str = "rg", fin: str = _FIN % ("0", "0", "'neutral'", "rg"), accuracy: str = "w") -> str:
     union = " UNION ALL ".join(strategy_select(s, source) for s in _core) + " " + fin
     mult = ("CASE WHEN regime IN ('trending','bullish','bearish') THEN [1.35, 1.35, 0.75, 1.0, 1.0] WHEN regime = 'sideways' THEN [0.75, 0.75, 1.4, 1.0, 1.0] "
             "WHEN regime = 'high_volatility' THEN [0.9, 0.9, 1.0, 1.45, 1.0] WHEN regime = 'panic' THEN [0.7, 0.7, 0.65, 1.25, 0.85] ELSE [1.0, 1.0, 1.0, 1.0, 1.0] END")
@@ -469,7 +469,7 @@ sl AS (SELECT symbol, ts, list(signal ORDER BY k) AS sigs, list(score ORDER BY k
 w0 AS (SELECT {source}.*, sigs, scs, cfs, nms, [0.0] AS w FROM {source} JOIN sl USING (symbol, ts)),
 {fill_ctes('wa', 'w0', '[0.25, 0.20, 0.20, 0.15, 0.20]')},
 {fill_ctes('wb', 'wa_out', f'list_transform(list_zip(w, {mult}), lambda z: z[1] * z[2])')},
-{fill_ctes('wc', 'wb_out', 'w')},
+{fill_ctes('wc', 'wb_out', accuracy)},
 {fill_ctes('wd', 'wc_out', 'list_transform(list_zip(w, cfs), lambda z: z[1] * (0.5 + z[2]))')},
 vt0 AS (SELECT *, list_transform(range(1, 6), lambda i: w[i] * greatest(0.05, cfs[i])) AS cv FROM wd_out),
 vt1 AS (SELECT *, list_sum(list_transform(range(1, 6), lambda i: CASE WHEN sigs[i] = 'BUY' THEN cv[i] * (0.5 + greatest(scs[i], 0) / 2) ELSE 0 END)) AS bu,
@@ -777,3 +777,23 @@ ORACLES["vector_dedupe"] = f"WITH RECURSIVE {GREEDYV} SELECT id FROM kp"
 ORACLES["stream_vector_table"] = ORACLES["vector_dedupe"]
 ORACLES["vector_duplicate_matches"] = f"""WITH RECURSIVE {GREEDYV} SELECT sm.id, other AS matched_id, round(s, 6) + 0.0 AS similarity FROM sm WHERE sm.id NOT IN (SELECT id FROM kp) AND other IN (SELECT id FROM kp) AND other < sm.id
 QUALIFY row_number() OVER (PARTITION BY sm.id ORDER BY s DESC, other) = 1"""
+
+# ---- compositions ----------------------------------------------------------------------------------------------------
+
+ORACLES["final_signals"] = f"""WITH RECURSIVE {TRADING}, {CONTEXT}, {_LATE}, {REGIME.replace("FROM tf)", "FROM tl)")},
+{voted("rg", _FIN % ("ns", "nc", NL, "rg"))}, {RISK}
+SELECT symbol, ts, regime, suggested_action, final_action, risk_level, round(pb, 4) + 0.0 AS bullish_probability, round(ps, 4) + 0.0 AS bearish_probability FROM rk"""
+_ACC = ("list_transform(list_zip(w, nms), lambda z: z[1] * coalesce(list_filter(acl, lambda q: q.n = z[2])[1].f, 1e0))")
+ORACLES["accuracy_weighted_votes"] = f"""WITH RECURSIVE {TRADING}, {REGIME}, {TRADES.replace("sg AS", "sg0 AS").replace("FROM sg JOIN tf ON sg.symbol = tf.symbol AND sg.ts = tf.ts", "FROM sg0 AS sg JOIN tf ON sg.symbol = tf.symbol AND sg.ts = tf.ts")},
+ac AS (SELECT td.symbol, regime, td.strategy_name AS n, round(avg(CASE WHEN rz > 0 THEN 1.0 ELSE 0 END), 4) AS a, count(*) AS k FROM td JOIN rg ON td.symbol = rg.symbol AND td.ts = rg.ts GROUP BY 1, 2, 3),
+al AS (SELECT symbol, regime, list({{'n': n, 'f': CASE WHEN k >= 10 THEN least(greatest(0.75e0 + a, 0.6e0), 1.35e0) ELSE 1e0 END}}) AS acl FROM ac GROUP BY 1, 2),
+rga AS (SELECT rg.*, coalesce(acl, []) AS acl FROM rg LEFT JOIN al USING (symbol, regime)),
+{voted("rga", _FIN % ("0", "0", "'neutral'", "rga"), _ACC)}
+SELECT symbol, ts, confidence, suggested_action, round(pb, 4) + 0.0 AS bullish_probability, round(ps, 4) + 0.0 AS bearish_probability FROM vt"""
+ORACLES["strategy_mixes"] = f"""WITH RECURSIVE {TRADING}, {signals_cte([s for s in STRATS if s[0] in ("Breakout", "SuperTrend", "RSI Reversal")])},
+cf AS (SELECT * FROM (VALUES ('trend', 'Breakout', 0.4e0), ('trend', 'SuperTrend', 0.3e0), ('revert', 'RSI Reversal', 0.45e0), ('revert', 'Breakout', 0.1e0)) v(config, strategy_name, weight))
+SELECT symbol, ts, config, strategy_name, signal, weight FROM sg JOIN cf USING (strategy_name)"""
+ORACLES["news_matching_or_all"] = """WITH d AS (SELECT doc_id, upper(string_split(text, chr(10))[1]) AS t FROM documents)
+SELECT doc_id, 'der' AS word FROM d WHERE contains(t, 'DER') UNION ALL SELECT doc_id, 'qqqq' FROM d"""
+ORACLES["stream_correlated_events"] = """SELECT CAST(a.user_id AS VARCHAR) AS correlation_id, a.ts AS raw_ts, b.ts AS ts FROM events a JOIN events b ON a.user_id = b.user_id
+  AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR"""

@@ -299,17 +299,48 @@ def risk_gate(spark, sf_dir):
     return risk.gate(df).select(*KEY, "gate_action", "gate_approved", "gate_risk_level", "gate_reason")
 
 
-@query
-def final_signals(spark, sf_dir):
-    """Latest unified signal per symbol: features, regime, signals, weights, vote, risk and text."""
+def decided_latest(spark, sf_dir) -> DataFrame:
+    """Latest unified signal per symbol: features, regime, signals, weights, vote and risk."""
     frame = regimes.latest_rows(frames.trading_frame(t.staged_bars(spark, sf_dir)), "symbol")
     frame = latest_context(spark, sf_dir, frame)
     df = regimes.trading_regime(strategies.with_signals(frame), DEFAULT.trading)
     s = DEFAULT.trading
     df = ensemble.vote(ensemble.weighted(df, s.max_strategy_weight, s.weight_floor))
-    df = risk.final_text(risk.evaluate(df, s, as_of()))
-    return df.select(*KEY, "regime", "suggested_action", "final_action", "risk_level", "bullish_probability",
-                     "bearish_probability", "final_explanation")
+    return risk.evaluate(df, s, as_of())
+
+
+@query
+def final_signals(spark, sf_dir):
+    df = decided_latest(spark, sf_dir)
+    return rounded(df, [*KEY, "regime", "suggested_action", "final_action", "risk_level"], {
+        4: ["bullish_probability", "bearish_probability"]})
+
+
+@query
+def final_signal_texts(spark, sf_dir):
+    return risk.final_text(decided_latest(spark, sf_dir)).select(*KEY, "final_explanation")
+
+
+@query
+def accuracy_weighted_votes(spark, sf_dir):
+    """Votes whose weights use each strategy's own accuracy in the regime of the bar."""
+    frame = t.stage(regimes.trading_regime(frames.trading_frame(t.staged_bars(spark, sf_dir)), DEFAULT.trading))
+    records = backtest.accuracy_by_regime(backtest.trades(frame, strategies.CORE, (), "regime"))
+    df = strategies.with_signals(frame).join(ensemble.accuracy_maps(records), ["symbol", "regime"], "left")
+    s = DEFAULT.trading
+    df = ensemble.vote(ensemble.weighted(df, s.max_strategy_weight, s.weight_floor, accuracy="accuracy_map"))
+    return rounded(df, [*KEY, "confidence", "suggested_action"], {4: ["bullish_probability", "bearish_probability"]})
+
+
+@query
+def strategy_mixes(spark, sf_dir):
+    """Signals of two custom mixes with the weights they carry."""
+    config = spark.createDataFrame(
+        [("trend", "Breakout", 0.4), ("trend", "SuperTrend", 0.3), ("revert", "RSI Reversal", 0.45), ("revert", "Breakout", 0.1)],
+        "config string, strategy_name string, weight double")
+    frame = frames.trading_frame(t.staged_bars(spark, sf_dir))
+    df = strategies.run_config(strategies.signal_rows(frame, ["Breakout", "SuperTrend", "RSI Reversal"]), config)
+    return df.select(*KEY, "config", "strategy_name", "signal", "weight")
 
 
 @query
@@ -478,6 +509,14 @@ def news_latest(spark, sf_dir):
     return news.latest_news(docs, "Tion", 20).select("id", "scraped_at")
 
 
+@query
+def news_matching_or_all(spark, sf_dir):
+    """Articles whose title names a word, and the whole list for a word no title has."""
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
+    found = news.matching_or_all(docs, "Der").select("doc_id", F.lit("der").alias("word"))
+    return found.unionByName(news.matching_or_all(docs, "QQQQ").select("doc_id", F.lit("qqqq").alias("word")))
+
+
 @query
 def news_pending(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents")
@@ -834,3 +873,16 @@ def stream_bandit_scores(spark, sf_dir):
     from quantloom.streaming import flows
 
     return rounded(flows.stream_bandit(as_stream(t.feedback(spark, sf_dir))), ["strategy_name", "n"], {5: ["mean_reward", "score"]})
+
+
+@query
+def stream_correlated_events(spark, sf_dir):
+    """News and bar events of one correlation id at most an hour apart, joined as streams."""
+    from quantloom.streaming import flows
+
+    events = t.envelopes(spark, sf_dir)
+    raw = as_stream(events.where("event_type = 'news.raw'"), 1)
+    bars = as_stream(events.where("event_type = 'market.ohlcv.raw'"), 1)
+    folder = flows.new_folder(spark, "correlated")
+    flows.run_once(flows.correlated(raw, bars), flows.versioned_sink(folder), folder)
+    return spark.read.parquet(f"{folder}/data").select("correlation_id", "raw_ts", "ts")

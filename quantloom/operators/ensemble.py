@@ -143,6 +143,17 @@ def accuracy_factor(record: Column) -> Column:
     return F.when(usable, clip(0.75 + record["accuracy"], 0.6, 1.35)).otherwise(1.0)
 
 
+def accuracy_maps(records: DataFrame) -> DataFrame:
+    """Accuracy records as one MAP<strategy, STRUCT<accuracy, sample_size>> per (symbol, regime).
+
+    Upper-cased symbol and lower-cased regime are the keys; records hold one row per
+    (strategy, symbol, regime), so a map has at most one entry per strategy.
+    """
+    entry = F.struct("strategy_name", F.struct("accuracy", "sample_size"))
+    return records.groupBy(F.upper("symbol").alias("symbol"), F.lower("regime").alias("regime")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("accuracy_map"))
+
+
 def weighted(
     df: DataFrame,
     cap: float,
