@@ -18,7 +18,7 @@ UNCOUNTED_STATES = ("CREATED", "FAILED", "EXPIRED")
 
 
 def feature_records(
-    wide: DataFrame, names: list[str], as_of: Column, timeframe: str = "1d", source: str = "adaptive_ai_layer"
+    wide: DataFrame, names: list[str], as_of: Column, timeframe: str = "1d", source: str = "feature_engine"
 ) -> DataFrame:
     """Wide features to one record per (symbol, ts, feature)."""
     long = wide.select("symbol", "ts", *[c(n).cast("double").alias(n) for n in names]).unpivot(
