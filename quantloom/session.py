@@ -48,6 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove a staged table when the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -57,5 +63,6 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
