@@ -66,3 +66,45 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+#: Vocabulary of a public tokenizer; never copied into the repository.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op10_sentencepiece(spark, sf_dir):
+    """Ids of every whole document, and whether decoding them gives the text back."""
+    from quantloom.llm import pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.Vocabulary.load(PIECE_MODEL), round_trip=True).drop("text")
+
+
+@query
+def op2_chat_format(spark, sf_dir):
+    """All conversations and conversation -7, whose texts look like control strings, read back from the formatted text."""
+    from quantloom.llm import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sly = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), c("id").alias("turn"),
+        F.when(c("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digest_formatted(chat.format_conversations(turns.unionByName(sly)))
+
+
+ORACLES["op2_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, len(regexp_replace(text, '\\|<\|(turn|text|end|im_start|im_end|endoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>', '', 'g')) AS plain,
+         length(text) - length(replace(text, '\', '')) AS slashes,
+         len(regexp_extract_all(text, '<\|(turn|text|end|im_start|im_end|endoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>')) AS controls
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(23 + length(role) + length(text) + slashes + 2 * controls)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
