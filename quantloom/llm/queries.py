@@ -108,3 +108,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(23 + length(role) + length(text) + slashes + 2 * controls)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    from quantloom.llm import language
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket(c("doc_id"), 4) == 2)
+    model = language.fit(docs.where("not held_out"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model)
