@@ -117,3 +117,12 @@ def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", bucket(c("doc_id"), 4) == 2)
     model = language.fit(docs.where("not held_out"))
     return language.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+@query
+def op9_quality(spark, sf_dir):
+    from quantloom.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.predict(docs, *quality.fit(docs))
+    return scored.select("doc_id", "quality_score", "votes_posterior", (c("quality_score") >= quality.CUT).alias("kept"))
