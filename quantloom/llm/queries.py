@@ -126,3 +126,12 @@ def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.predict(docs, *quality.fit(docs))
     return scored.select("doc_id", "quality_score", "votes_posterior", (c("quality_score") >= quality.CUT).alias("kept"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    from quantloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket(c("doc_id"), 5) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(bucket(c("doc_id"), 5) != 0)
+    return toxicity.classify(docs, labels)
