@@ -1,6 +1,6 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are lower-case words and their prefixes of 3 to 5 letters. Of the terms of a bounded sample of labelled rows, those
+Terms are lower-case words and their prefixes of 3 to 8 letters. Of the terms of a bounded sample of labelled rows, those
 that toxic rows have clearly more often make up the vocabulary (``VOCABULARY`` at most, by a chi-square of ``CHI_SQUARE``
 or more). Term counts of every whole text are staged once; document frequencies come from all documents.
 
@@ -34,7 +34,7 @@ from quantloom.llm.common import bounded_sample, stage
 EXAMPLES = 3000
 VOCABULARY = 2048
 CHI_SQUARE = 25.0
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 BLOCK = 64
 NEIGHBOURS = 15
 EVIDENCE = 3
@@ -151,19 +151,23 @@ def vocabulary(rows: DataFrame, limit: int = VOCABULARY) -> list[str]:
     """Terms that toxic rows of (text, toxic) have clearly more often, by falling chi-square."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        sizes = [0, 0]
+
+        def partial() -> pa.RecordBatch:
+            terms = list(counts[0].keys() | counts[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([n[t] for t in terms], pa.int64()) for n in counts)], ["term", "clean", "toxic"])
+            for n in counts:
+                n.clear()
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                terms: set[str] = set()
+                terms = {""}  # counts the rows
                 for word in word_counts(text):
                     terms |= terms_of(word)
                 counts[toxic > 0].update(terms)
-                sizes[toxic > 0] += 1
-        terms = [t for t in counts[1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *terms]), pa.array([sizes[0], *(counts[0][t] for t in terms)]), pa.array([sizes[1], *(counts[1][t] for t in terms)])], ["term", "clean", "toxic"])
-        rest = [t for t in counts[0] if t not in counts[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([counts[0][t] for t in rest], pa.int64()), pa.array([0] * len(rest), pa.int64())], ["term", "clean", "toxic"])
+                if len(counts[0]) + len(counts[1]) > CACHED_WORDS:
+                    yield partial()
+        yield partial()
 
     counted = stage(rows.select("text", "toxic").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     size = counted.where("term = ''").first()
