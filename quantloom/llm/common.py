@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quantloom.session import ship_package, stage
 
-__all__ = ["bounded_sample", "bucket", "null_safe", "slices", "stage", "table"]
+#: Bits of a bitmap of keys: 65,536 words of 64 bits, about 1 MB as a broadcast table, whatever the input.
+FILTER_BITS = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of all keys in which null equals null."""
-    condition = F.lit(True)
-    for key in keys:
-        condition &= left[key].eqNullSafe(right[key])
-    return condition
-
-
 def bucket(key: Column, parts: int) -> Column:
     """Remainder of the checksum of a key's text; null counts as the text ``null``."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % F.lit(parts)
@@ -53,3 +46,40 @@ def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[in
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """A bit for the hash of every value of ``key``: at most FILTER_BITS / 64 rows (word, bits)."""
+    bit = keys.select(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("_bit"))
+    words = bit.select(F.expr("cast(_bit div 64 as int)").alias("_word"), F.expr("shiftleft(1L, cast(_bit % 64 as int))").alias("_bits"))
+    return words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+
+
+def maybe_in(rows: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
+    """Adds a boolean: the bit of ``key`` is set. Unset means that the value is not among the keys; rows are not shuffled."""
+    marked = rows.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("_word", F.expr("cast(_bit div 64 as int)"))
+    test = F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1L") == 1
+    return marked.join(F.broadcast(bits), "_word", "left").withColumn(flag, F.coalesce(test, F.lit(False))).drop("_bit", "_word", "_bits")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of (a, b): rows (node, root), root being the smallest node. Nodes without an edge are left out.
+
+    Alternates the large-star and small-star steps until nothing changes. Each step is a minimum per node (combined
+    before the shuffle) and a join of two staged tables, which splits hot nodes.
+    """
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    current, before = stage(pairs.distinct()), None
+    while True:
+        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
+        if state == before:
+            return current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
+                current.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()
+        before = state
+        around = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        smallest = stage(around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
+        large = stage(around.where("v > u").join(smallest, F.col("u") == F.col("n")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        lowest = stage(large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "n"))
+        joined = large.join(lowest, F.col("hi") == F.col("n"))
+        current = stage(joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(
+            lowest.select(F.col("n").alias("hi"), F.col("m").alias("lo"))).distinct())

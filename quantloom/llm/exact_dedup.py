@@ -1,7 +1,7 @@
 """Exact de-duplication by progressive refinement: length, then prefix hash, then full hash.
 
 Each level counts its groups with a map-side aggregate and publishes those of two rows or more as a bitmap of fixed
-size (``FILTER_BITS``), which is the only thing that is broadcast. A row whose bit is unset is alone and leaves the
+size (``common.bitmap``), which is the only thing that is broadcast. A row whose bit is unset is alone and leaves the
 refinement; the next level is computed for the others only. A false positive of the bitmap costs one hash and changes
 no result. Full texts are hashed for surviving groups only and are never shuffled by the refinement.
 
@@ -15,10 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import stage
+from quantloom.llm.common import bitmap, maybe_in, stage
 
-#: Bits of a level's bitmap: 65,536 words of 64 bits, about 1 MB as a broadcast table, whatever the input.
-FILTER_BITS = 1 << 22
 PREFIX_CHARS = 256
 c = F.col
 
@@ -35,27 +33,16 @@ def level_keys() -> dict[str, Column]:
 
 
 def shared_bits(rows: DataFrame, key: str) -> DataFrame:
-    """Bitmap of the values of ``key`` that two or more rows have: at most FILTER_BITS / 64 rows (word, bits)."""
-    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    bit = groups.select(F.pmod(F.xxhash64(c(key)), F.lit(FILTER_BITS)).alias("_bit"))
-    words = bit.select(F.expr("cast(_bit div 64 as int)").alias("_word"), F.expr("shiftleft(1L, cast(_bit % 64 as int))").alias("_bits"))
-    return words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-
-
-def flag_shared(rows: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
-    """Adds a boolean: the bit of ``key`` is set, so another row may have the same value."""
-    marked = rows.withColumn("_bit", F.pmod(F.xxhash64(c(key)), F.lit(FILTER_BITS))).withColumn("_word", F.expr("cast(_bit div 64 as int)"))
-    joined = marked.join(F.broadcast(bits), "_word", "left")
-    test = F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1L") == 1
-    return joined.withColumn(flag, F.coalesce(test, F.lit(False))).drop("_bit", "_word", "_bits")
+    """Bitmap of the values of ``key`` that two or more rows have."""
+    return bitmap(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), key)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_alive``: the document shares length and prefix hash with another one (or seems to)."""
     small = stage(docs.select(*[v.alias(k) for k, v in level_keys().items()]))
-    by_length = flag_shared(small, "_length", stage(shared_bits(small, "_length")), "_same_length").where("_same_length")
+    by_length = maybe_in(small, "_length", stage(shared_bits(small, "_length")), "_same_length").where("_same_length")
     bits = stage(shared_bits(by_length, "_prefix"))
-    return flag_shared(docs.withColumn("_prefix", level_keys()["_prefix"]), "_prefix", bits, "_alive").drop("_prefix")
+    return maybe_in(docs.withColumn("_prefix", level_keys()["_prefix"]), "_prefix", bits, "_alive").drop("_prefix")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:

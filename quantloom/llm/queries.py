@@ -135,3 +135,10 @@ def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket(c("doc_id"), 5) == 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(bucket(c("doc_id"), 5) != 0)
     return toxicity.classify(docs, labels)
+
+
+@query
+def op6_ngram_jaccard(spark, sf_dir):
+    from quantloom.llm import near_dups
+
+    return near_dups.join_similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
