@@ -142,3 +142,10 @@ def op6_ngram_jaccard(spark, sf_dir):
     from quantloom.llm import near_dups
 
     return near_dups.join_similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_ann_forest(spark, sf_dir):
+    from quantloom.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), c("vec_id") % 20 == 0)
