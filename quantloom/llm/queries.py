@@ -149,3 +149,71 @@ def op5_ann_forest(spark, sf_dir):
     from quantloom.llm import ann
 
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), c("vec_id") % 20 == 0)
+
+
+def dated_lists(pages: DataFrame) -> DataFrame:
+    """List events derived from the hosts and URLs of the pages: about a third of the sites is listed at some time."""
+    from quantloom.llm import url_lists
+
+    def digits(start: int, n: int):
+        return F.conv(F.substring("digest", start, n), 16, 10).cast("int")
+
+    sites = pages.select(F.regexp_extract(url_lists.host(c("url")), r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("entry")).where("entry <> ''").distinct()
+    urls = pages.select(c("url").alias("entry")).where("url is not null").distinct()
+    both = sites.withColumn("kind", F.lit("domain")).unionByName(urls.withColumn("kind", F.lit("url"))).withColumn("digest", F.md5(c("entry").cast("binary")))
+    lists = F.when(c("kind") == "url", F.lit("malware")).when(digits(1, 1) < 5, "spam").when(digits(1, 1) < 6, "trusted").otherwise("adult")
+    listed = both.where(((c("kind") == "url") & (digits(1, 1) < 4)) | ((c("kind") == "domain") & (digits(1, 1) < 9))).withColumn("list", lists)
+    steps = F.array(
+        F.struct(F.lit("add").alias("action"), digits(2, 2).alias("day")),
+        F.struct(F.lit("remove").alias("action"), (digits(2, 2) + digits(4, 2) % 120 + 1).alias("day")),
+        F.struct(F.lit("add").alias("action"), (digits(2, 2) + digits(4, 2) % 120 + digits(6, 2) % 120 + 2).alias("day")))
+    dated = listed.withColumn("step", F.explode(F.slice(steps, 1, digits(8, 1) % 3 + 1)))
+    return dated.select("list", "kind", "entry", c("step.action").alias("action"), F.expr("timestamp_seconds(1704067200 + step.day * 86400L)").alias("at"))
+
+
+@query
+def op1_url_lists(spark, sf_dir):
+    """Every page as a capture with a fetch time, against dated lists of sites and URLs."""
+    from quantloom.llm import url_lists
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.expr("timestamp_seconds(1704067200 + (page_id * 7919 % 525600) * 60)"))
+    judged = url_lists.judge(captures, dated_lists(pages), allow=("trusted",))
+    return judged.select("page_id", "url", "blocked", F.size("hits").alias("n_hits"), F.array_join(F.transform(
+        "hits", lambda h: F.concat_ws(" ", h["list"], h["key"], F.date_format(h["valid_from"], "yyyy-MM-dd"), F.coalesce(F.date_format(h["valid_to"], "yyyy-MM-dd"), F.lit("-")))), "|").alias("hits"))
+
+
+ORACLES["op1_url_lists"] = r"""
+WITH keyed AS (
+  SELECT *, lower(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '')) AS host FROM pages),
+captures AS (
+  SELECT page_id, url, host, make_timestamp((1704067200 + (page_id * 7919 % 525600) * 60) * 1000000) AS fetched_at, string_split(host, '.') AS labels,
+         'u:' || host || regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS url_key
+  FROM keyed),
+entries AS (
+  SELECT DISTINCT 'domain' AS kind, entry, 'd:' || entry AS key FROM (SELECT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS entry FROM captures) WHERE entry <> ''
+  UNION ALL SELECT DISTINCT 'url', url, url_key FROM captures WHERE url IS NOT NULL),
+digits AS (
+  SELECT *, ('0x' || substr(md5(entry), 1, 1))::INT AS a, ('0x' || substr(md5(entry), 2, 2))::INT AS b, ('0x' || substr(md5(entry), 4, 2))::INT AS d,
+         ('0x' || substr(md5(entry), 6, 2))::INT AS e, ('0x' || substr(md5(entry), 8, 1))::INT % 3 + 1 AS steps FROM entries),
+listed AS (
+  SELECT *, CASE WHEN kind = 'url' THEN 'malware' WHEN a < 5 THEN 'spam' WHEN a < 6 THEN 'trusted' ELSE 'adult' END AS list
+  FROM digits WHERE (kind = 'url' AND a < 4) OR (kind = 'domain' AND a < 9)),
+events AS (
+  SELECT list, key, true AS active, b AS day FROM listed
+  UNION ALL SELECT list, key, false, b + d % 120 + 1 FROM listed WHERE steps >= 2
+  UNION ALL SELECT list, key, true, b + d % 120 + e % 120 + 2 FROM listed WHERE steps >= 3),
+single AS (SELECT list, key, make_timestamp((1704067200 + day::BIGINT * 86400) * 1000000) AS valid_from, bool_and(active) AS active FROM events GROUP BY ALL),
+spans AS (SELECT *, lead(valid_from) OVER (PARTITION BY list, key ORDER BY valid_from) AS valid_to FROM single),
+asked AS (
+  SELECT page_id, fetched_at, url_key AS key FROM captures WHERE host <> ''
+  UNION SELECT page_id, fetched_at, 'd:' || array_to_string(labels[i:], '.') FROM (
+    SELECT *, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM captures WHERE host <> '')),
+hits AS (
+  SELECT page_id, count(*) AS n_hits, bool_or(list = 'trusted') AS allowed,
+         string_agg(list || ' ' || key || ' ' || strftime(valid_from, '%Y-%m-%d') || ' ' || coalesce(strftime(valid_to, '%Y-%m-%d'), '-'), '|' ORDER BY list, key) AS hits
+  FROM asked JOIN spans USING (key)
+  WHERE active AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id)
+SELECT page_id, url, coalesce(n_hits > 0 AND NOT allowed, false) AS blocked, coalesce(n_hits, 0)::INT AS n_hits, coalesce(hits, '') AS hits
+FROM captures LEFT JOIN hits USING (page_id)
+"""
