@@ -241,7 +241,7 @@ def fit(counts: DataFrame, sample: DataFrame, terms: int) -> Model:
 def score(counts: DataFrame, model: Model) -> DataFrame:
     """Adds score, predicted and evidence (nearest examples: doc_id, cosine, toxic) in place of terms and counts."""
     held = counts.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in counts.schema.fields if f.name not in ("terms", "counts")]
+    rest = [f for f in counts.schema.fields if f.name not in ("terms", "counts", "score", "predicted", "evidence")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = held.value, {}
