@@ -500,11 +500,15 @@ rk3 AS (SELECT *, CASE WHEN atr_pct >= 0.03 * 2.2 OR abs(drawdown_60) >= 0.1875
 rk AS (SELECT *, CASE WHEN suggested_action = 'HOLD' OR volume <= 0 OR atr_14 <= 0 THEN 'HOLD' WHEN risk_level = 'EXTREME' THEN 'AVOID'
    WHEN confidence = 'LOW' OR rr < 1.5 OR greatest(round(pb, 4), round(ps, 4)) < 0.62 OR agree < 2 OR (risk_level = 'HIGH' AND coalesce(r5, 0) <= -0.04) THEN 'HOLD'
    ELSE suggested_action END AS final_action FROM rk3)"""
-ORACLES["risk_decisions"] = f"""{VOTE}, {RISK} SELECT symbol, ts, risk_level, final_action, final_action = suggested_action AND final_action <> 'HOLD' AND risk_level NOT IN ('HIGH', 'EXTREME') AS approved,
+SIZE = """rs0 AS (SELECT *, abs("close" - st) AS unit, CASE risk_level WHEN 'EXTREME' THEN 0 WHEN 'HIGH' THEN 0.5e0 ELSE 1 END AS share FROM rk),
+rs AS (SELECT *, CASE WHEN unit > 0 THEN round(least(1e4 / unit, 1e6 / greatest("close", 1e-9)), 4) ELSE 0 END AS qty,
+   CASE WHEN unit > 0 THEN round(least(1e4 / unit, 1e6 / greatest("close", 1e-9)) * unit, 2) ELSE 0 END AS risky FROM rs0)"""
+ORACLES["risk_decisions"] = f"""{VOTE}, {RISK}, {SIZE} SELECT symbol, ts, risk_level, final_action, final_action = suggested_action AND final_action <> 'HOLD' AND risk_level NOT IN ('HIGH', 'EXTREME') AS approved,
   final_action <> suggested_action AS override_applied, round(CASE WHEN risk_level <> 'EXTREME' THEN st END, 2) + 0.0 AS stop_loss,
-  round(CASE WHEN risk_level <> 'EXTREME' THEN tg END, 2) + 0.0 AS target, round(rr, 3) + 0.0 AS risk_reward_ratio FROM rk"""
-ORACLES["risk_gate"] = f"""{VOTE}, {RISK},
-g0 AS (SELECT *, year(ts) < 1996 AS stale, volume_ratio >= 2.5 AS anom, abs(drawdown_60) >= 0.15 AS dd, round(rr, 3) < 1.2 AS poor FROM rk),
+  round(CASE WHEN risk_level <> 'EXTREME' THEN tg END, 2) + 0.0 AS target, round(rr, 3) + 0.0 AS risk_reward_ratio,
+  round("close", 1) + 0.0 AS entry_price, round(qty * share, 2) + 0.0 AS position_size, round(risky * share, 1) + 0.0 AS capital_at_risk FROM rs"""
+ORACLES["risk_gate"] = f"""{VOTE}, {RISK}, {SIZE},
+g0 AS (SELECT *, year(ts) < 1996 AS stale, volume_ratio >= 2.5 AS anom, abs(drawdown_60) >= 0.15 AS dd, round(rr, 3) < 1.2 AS poor FROM rs),
 g1 AS (SELECT *, CASE WHEN stale THEN 'AVOID' ELSE suggested_action END AS a1 FROM g0),
 g2 AS (SELECT *, CASE WHEN poor AND a1 <> 'HOLD' THEN 'HOLD' ELSE a1 END AS a2, poor AND a1 <> 'HOLD' AS x2 FROM g1),
 g3 AS (SELECT *, CASE WHEN anom AND confidence <> 'HIGH' THEN 'HOLD' ELSE a2 END AS a3 FROM g2),
@@ -515,7 +519,10 @@ g6 AS (SELECT *, CASE WHEN x5 THEN 'HOLD' ELSE a4 END AS a5, array_to_string(lis
    CASE WHEN risk_level = 'HIGH' THEN 'high risk reduced position size' END, CASE WHEN anom THEN 'high anomaly severity requires stronger confirmation' END,
    CASE WHEN dd THEN 'recent drawdown breach blocks new trades' END, CASE WHEN x5 THEN 'low confidence ensemble downgraded to HOLD' END], lambda x: x IS NOT NULL), '; ') AS why FROM g5)
 SELECT symbol, ts, a5 AS gate_action, NOT stale AND NOT x2 AND NOT (anom AND confidence <> 'HIGH') AND NOT dd AND NOT x5 AND a5 <> 'HOLD' AS gate_approved,
-  CASE WHEN stale THEN 'HIGH' ELSE risk_level END AS gate_risk_level, CASE WHEN why = '' THEN 'risk gatekeeper approved the ensemble signal' ELSE why END AS gate_reason FROM g6"""
+  CASE WHEN stale THEN 'HIGH' ELSE risk_level END AS gate_risk_level, CASE WHEN why = '' THEN 'risk gatekeeper approved the ensemble signal' ELSE why END AS gate_reason,
+  round(gq, 2) + 0.0 AS gate_position_size, CASE WHEN gq > 0 AND risk_level <> 'EXTREME' THEN round(st, 2) + 0.0 END AS gate_stop_loss,
+  CASE WHEN gq > 0 AND risk_level <> 'EXTREME' THEN round(tg, 2) + 0.0 END AS gate_target
+FROM (SELECT *, CASE WHEN stale OR dd THEN 0 ELSE qty * share * CASE WHEN risk_level = 'HIGH' THEN 0.5e0 ELSE 1 END END AS gq FROM g6)"""
 
 # ---- back-test --------------------------------------------------------------------------------------
 
@@ -535,7 +542,8 @@ ORACLES["backtest_drawdown"] = f"""WITH RECURSIVE {TRADING}, {TRADES}, {_GRID},
 e0 AS (SELECT *, product(1 + rz) OVER (PARTITION BY strategy_name, symbol ORDER BY pos) AS eq FROM td),
 e1 AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY strategy_name, symbol ORDER BY pos)) AS pk FROM e0),
 m AS (SELECT strategy_name, symbol, min((eq - pk) / pk) AS dd FROM e1 GROUP BY 1, 2)
-SELECT gr.strategy_name, gr.symbol, round(log10(1 - round(least(coalesce(dd, 0), 0), 4)), 3) + 0.0 AS log_drawdown FROM gr LEFT JOIN m USING (strategy_name, symbol)"""
+SELECT gr.strategy_name, gr.symbol, round(log10(1 - round(least(coalesce(dd, 0), 0), 4)), 3) + 0.0 AS log_drawdown,
+  CASE WHEN coalesce(dd, 0) > -1000 THEN round(round(least(coalesce(dd, 0), 0), 4), 3) + 0.0 END AS drawdown FROM gr LEFT JOIN m USING (strategy_name, symbol)"""
 ORACLES["accuracy_by_regime"] = f"""WITH RECURSIVE {TRADING}, {REGIME}, {TRADES}
 SELECT td.strategy_name, td.symbol, regime, count(*) AS sample_size, round(avg(CASE WHEN rz > 0 THEN 1.0 ELSE 0 END), 4) + 0.0 AS accuracy,
   round(avg(rz), 6) + 0.0 AS avg_return FROM td JOIN rg ON td.symbol = rg.symbol AND td.ts = rg.ts GROUP BY 1, 2, 3"""
@@ -709,7 +717,7 @@ qy AS (SELECT *, list_filter([CASE WHEN bar AND l IS NULL THEN 'missing low' END
    CASE WHEN ts > TIMESTAMP '2024-01-30 12:00:00' THEN 'event timestamp is in the future' END, CASE WHEN rel < 0.4 THEN 'low source reliability' END], lambda x: x IS NOT NULL) AS issues FROM p),
 ck AS (SELECT *, CASE WHEN len(list_filter(issues, lambda x: contains(x, 'invalid') OR contains(x, 'missing'))) > 0 THEN 'FAIL' WHEN len(issues) > 0 THEN 'WARN' ELSE 'PASS' END AS quality_status FROM qy)"""
 ORACLES["quality_events"] = f"WITH {ENV} SELECT event_id, kind AS event_type, array_to_string(issues, '|') AS issues, quality_status, round(least(greatest(rel, 0), 1), 4) + 0.0 AS source_reliability_score FROM ck"
-ORACLES["event_dead_letters"] = f"""WITH {ENV} SELECT 'dead-' || event_id AS event_id, 'system.dead_letter' AS event_type, correlation_id, kind AS original_topic, array_to_string(issues, '; ') AS error, false AS retryable
+ORACLES["event_dead_letters"] = f"""WITH {ENV} SELECT 'dead-' || event_id AS event_id, 'system.dead_letter' AS event_type, correlation_id, kind AS original_topic, array_to_string(issues, '; ') AS error, false AS retryable, ts, source, symbol, 'dead-' || event_id AS original_id
 FROM ck WHERE quality_status = 'FAIL'"""
 ORACLES["event_round_trip"] = f"WITH {ENV} SELECT event_id, kind AS event_type, source, ts, symbol, correlation_id, CAST(NULL AS VARCHAR) AS error FROM ev"
 ORACLES["stream_event_routing"] = f"WITH {ENV} SELECT kind AS event_type, CASE WHEN quality_status = 'FAIL' THEN 'dead' ELSE 'clean' END AS side, quality_status, count(*) AS n FROM ck GROUP BY 1, 2, 3"
@@ -767,8 +775,9 @@ SELECT symbol, ts, coalesce(nullif(CASE WHEN k % 5 = 0 THEN 0 ELSE v - 0.5e0 END
 # ---- vectors -------------------------------------------------------------------------------------------------------
 
 SIM = """vx AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-sm AS (SELECT a.id, b.id AS other, round(least(greatest(list_dot_product(a.e, b.e), 0), 1), 6) AS s FROM vx a, vx b)"""
-ORACLES["vector_top5"] = f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM sm) SELECT id, rank, round(s, 6) + 0.0 AS similarity FROM k WHERE rank <= 5"""
+sm AS (SELECT a.id, b.id AS other, round(least(greatest(list_cosine_similarity(a.e, b.e), 0), 1), 6) AS s FROM vx a, vx b)"""
+ORACLES["vector_top5"] = f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM sm) SELECT id, other AS match, rank, round(s, 6) + 0.0 AS similarity FROM k WHERE rank <= 5"""
+ORACLES["vector_top3_scaled"] = f"""WITH {SIM}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS rank FROM sm) SELECT id, other AS match, rank, round(s, 6) + 0.0 AS similarity FROM k WHERE rank <= 3"""
 GREEDYV = f"""{SIM}, cf AS (SELECT vx.id, coalesce(list(other) FILTER (s > 0.4 AND other < vx.id), []) AS cs FROM vx JOIN sm ON sm.id = vx.id GROUP BY 1),
 og AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM cf),
 gv(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT og.i, CASE WHEN list_has_any(kept, cs) THEN kept ELSE list_append(kept, og.id) END FROM gv JOIN og ON og.i = gv.i + 1),
@@ -797,3 +806,8 @@ ORACLES["news_matching_or_all"] = """WITH d AS (SELECT doc_id, upper(string_spli
 SELECT doc_id, 'der' AS word FROM d WHERE contains(t, 'DER') UNION ALL SELECT doc_id, 'qqqq' FROM d"""
 ORACLES["stream_correlated_events"] = """SELECT CAST(a.user_id AS VARCHAR) AS correlation_id, a.ts AS raw_ts, b.ts AS ts FROM events a JOIN events b ON a.user_id = b.user_id
   AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR"""
+
+# News and option chains are those of the last bar, so only that bar is judged with them.
+_LAST_BARS = "(SELECT l_returnflag || l_linestatus AS symbol, CAST(max(date_trunc('day', l_shipdate)) AS TIMESTAMP) AS ts FROM lineitem GROUP BY 1)"
+for _name in ("strategy_signals_context", "trading_anomalies"):
+    ORACLES[_name] = f"SELECT q.* FROM ({ORACLES[_name]}) q JOIN {_LAST_BARS} l ON q.symbol = l.symbol AND q.ts = l.ts"

@@ -247,7 +247,8 @@ def strategy_signals_price(spark, sf_dir):
 
 @query
 def strategy_signals_context(spark, sf_dir):
-    frame = latest_context(spark, sf_dir, frames.trading_frame(t.staged_bars(spark, sf_dir)))
+    latest = regimes.latest_rows(frames.trading_frame(t.staged_bars(spark, sf_dir)), "symbol")
+    frame = latest_context(spark, sf_dir, latest)  # today's news and chain say nothing about earlier bars
     df = strategies.signal_rows(frame, ["FinBERT Sentiment", "Transformer Sentiment", "Options Chain PCR"])
     return rounded(df, [*KEY, "strategy_name", "signal", "reason"], {4: ["score", "confidence"]})
 
@@ -288,7 +289,7 @@ def ensemble_texts(spark, sf_dir):
 def risk_decisions(spark, sf_dir):
     df = risk.evaluate(voted(spark, sf_dir), DEFAULT.trading)
     return rounded(df, [*KEY, "risk_level", "final_action", "approved", "override_applied"], {
-        2: ["stop_loss", "target"], 3: ["risk_reward_ratio"]})
+        1: ["capital_at_risk", "entry_price"], 2: ["stop_loss", "target", "position_size"], 3: ["risk_reward_ratio"]})
 
 
 @query
@@ -296,7 +297,8 @@ def risk_gate(spark, sf_dir):
     df = risk.evaluate(voted(spark, sf_dir), DEFAULT.trading).withColumns({
         "stale_data": F.year("ts") < 1996, "high_anomaly": c("volume_ratio") >= 2.5,
         "drawdown_breach": F.abs("drawdown_60") >= 0.15})
-    return risk.gate(df).select(*KEY, "gate_action", "gate_approved", "gate_risk_level", "gate_reason")
+    return rounded(risk.gate(df), [*KEY, "gate_action", "gate_approved", "gate_risk_level", "gate_reason"], {
+        2: ["gate_position_size", "gate_stop_loss", "gate_target"]})
 
 
 def decided_latest(spark, sf_dir) -> DataFrame:
@@ -354,11 +356,12 @@ def backtest_results(spark, sf_dir):
 
 @query
 def backtest_drawdown(spark, sf_dir):
-    """Worst fall of the equity curve as the order of magnitude (equity spans hundreds of decades here)."""
+    """Worst fall of the equity curve: itself where it is bounded (above -1000), and its order of magnitude."""
     bars = t.staged_bars(spark, sf_dir)
     trades = t.stage(backtest.trades(frames.trading_frame(bars), PRICE_STRATEGIES))
     df = backtest.summary(trades, bars, PRICE_STRATEGIES)
-    return rounded(df.withColumn("log_drawdown", F.log10(1 - c("max_drawdown"))), ["strategy_name", "symbol"], {3: ["log_drawdown"]})
+    df = df.withColumns({"log_drawdown": F.log10(1 - c("max_drawdown")), "drawdown": F.when(c("max_drawdown") > -1000, c("max_drawdown"))})
+    return rounded(df, ["strategy_name", "symbol"], {3: ["log_drawdown", "drawdown"]})
 
 
 @query
@@ -413,8 +416,8 @@ def anomaly_risk_levels(spark, sf_dir):
 
 @query
 def trading_anomalies(spark, sf_dir):
-    frame = latest_context(spark, sf_dir, frames.trading_frame(t.staged_bars(spark, sf_dir)))
-    df = anomalies.anomaly_rows(frame, anomalies.trading_hits())
+    latest = regimes.latest_rows(frames.trading_frame(t.staged_bars(spark, sf_dir)), "symbol")
+    df = anomalies.anomaly_rows(latest_context(spark, sf_dir, latest), anomalies.trading_hits())
     return rounded(df, [*KEY, "anomaly_type", "severity"], {2: ["score"]})
 
 
@@ -599,7 +602,9 @@ def event_dead_letters(spark, sf_dir):
     checked = quality.check_events(t.envelopes(spark, sf_dir), events_as_of())
     failed = checked.where(c("quality_status") == "FAIL")
     df = event_source.dead_letters(failed, c("event_type"), F.array_join("issues", "; "), F.lit(False))
-    return df.select("event_id", "event_type", "correlation_id", "original_topic", "error", "retryable")
+    back = F.from_json("original_event", "event_id string, source string, symbol string, payload string")
+    return df.select("event_id", "event_type", "correlation_id", "original_topic", "error", "retryable", "ts", back["source"].alias("source"),
+                     back["symbol"].alias("symbol"), F.concat(F.lit("dead-"), back["event_id"]).alias("original_id"))
 
 
 @query
@@ -749,7 +754,17 @@ def vector_top5(spark, sf_dir):
     from quantloom.operators import vectors
 
     v = vectors_of(spark, sf_dir)
-    return rounded(vectors.top_k(v, v, 5), ["id", "rank"], {6: ["similarity"]})
+    return rounded(vectors.top_k(v, v, 5), ["id", "match", "rank"], {6: ["similarity"]})
+
+
+@query
+def vector_top3_scaled(spark, sf_dir):
+    """The same vectors at other lengths: the cosine does not see the difference."""
+    from quantloom.operators import vectors
+
+    v = vectors_of(spark, sf_dir)
+    scaled = v.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (c("id") % 5 + 1)))
+    return rounded(vectors.top_k(scaled, scaled, 3), ["id", "match", "rank"], {6: ["similarity"]})
 
 
 @query
@@ -808,22 +823,22 @@ def stream_of(spark, sf_dir, name: str) -> DataFrame:
 
 
 def as_stream(df: DataFrame, parts: int = 3) -> DataFrame:
-    """Write a DataFrame to the shared folder as files and read it as a stream, one file per trigger batch."""
+    """Write a DataFrame to the shared folder in ``parts`` of rising ``seq``, four files each, and read a part per trigger."""
     from quantloom.streaming.flows import new_folder
 
-    folder = new_folder(df.sparkSession, "input")
-    ends = df.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    folder, rows = new_folder(df.sparkSession, "input"), t.stage(df)
+    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
     part = F.floor((c("seq") - ends["lo"]) * parts / (ends["hi"] - ends["lo"] + 1))
-    for i in range(parts):  # written one after the other, so that files arrive in sequence order
-        df.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for i in range(parts):  # one after the other, so that files arrive in sequence order
+        rows.where(part == i).repartition(4).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(folder)
 
 
 @query
 def stream_candles_5m(spark, sf_dir):
     from quantloom.streaming import flows
 
-    return flows.stream_candles(as_stream(t.ticks(spark, sf_dir)), "5m", "60 days").select(*CANDLE)
+    return flows.stream_candles(as_stream(t.ticks(spark, sf_dir)), "5m").select(*CANDLE)
 
 
 @query

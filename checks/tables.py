@@ -17,12 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy parsing when a table is one or few files (as the test tables are)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as trades: symbol from the two flags, unit price, quantity as size."""
     return table(spark, sf_dir, "lineitem").select(
@@ -60,7 +54,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(
         F.lit("HTTPS://WWW.Example.com/news/"), c("source"), F.lit("/"), c("n_chars").cast("string"),
         F.lit("/?utm="), c("doc_id").cast("string"), F.lit("#top"))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         c("doc_id").alias("id"), "source", F.split("text", "\n")[0].alias("title"), url.alias("url"),
         F.lit(None).cast("string").alias("summary"), c("text").alias("content"),
         F.lit(None).cast("string").alias("author"), F.array(c("lang"), c("source"), c("lang")).alias("tags"),
@@ -80,7 +74,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news with lexical sentiment: symbol and time follow from the document id."""
     from quantloom.functions.sentiment import lexical_sentiment, signed_score
 
-    docs = spread(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", doc_symbol().alias("symbol"), doc_ts().alias("ts"), "text", "lang",
         lexical_sentiment(c("text"), UP_TOKENS, DOWN_TOKENS).alias("_s"))
     return docs.select(
@@ -102,7 +96,7 @@ def chain_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.struct(F.struct(
         F.array(strike).alias("data"), (c("l_extendedprice") / c("l_quantity")).alias("underlyingValue")).alias("records"))
     used = ["l_returnflag", "l_linestatus", "l_shipdate", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
-    return spread(table(spark, sf_dir, "lineitem").select(*used)).select(
+    return table(spark, sf_dir, "lineitem").select(*used).select(
         F.concat("l_returnflag", "l_linestatus").alias("symbol"), c("l_shipdate").cast("timestamp").alias("ts"),
         F.to_json(payload).alias("payload"))
 

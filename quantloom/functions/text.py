@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# URL pattern (scheme, host part, path) and text limits.
+# URL pattern (scheme, host part, path).
 URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
-MAX_SEMANTIC_CHARS = 4000
 
 
 def _trim_url(url: Column) -> Column:
@@ -92,14 +91,16 @@ def join_parts(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-def semantic_hash(title: Column, summary: Column, content: Column) -> Column:
-    """Hash of the leading characters of the article; the limit is part of the definition."""
-    return hash_content(F.substring(join_parts(title, summary, content), 1, MAX_SEMANTIC_CHARS))
+def semantic_hash(title: Column, summary: Column, content: Column, limit: int | None = None) -> Column:
+    """Hash of the whole article, or of its first ``limit`` characters."""
+    joined = join_parts(title, summary, content)
+    return hash_content(F.substring(joined, 1, limit) if limit else joined)
 
 
-def embedding_text(title: Column, summary: Column, content: Column) -> Column:
-    """Text given to an embedding model; the limit is the model's input size."""
-    return F.substring(normalize_text(join_parts(title, summary, content)), 1, MAX_SEMANTIC_CHARS)
+def embedding_text(title: Column, summary: Column, content: Column, limit: int | None = None) -> Column:
+    """Text given to an embedding model; ``limit`` is the input size of models that have one."""
+    joined = normalize_text(join_parts(title, summary, content))
+    return F.substring(joined, 1, limit) if limit else joined
 
 
 # Accepted date layouts, ISO first, then mail style.
@@ -161,10 +162,10 @@ def language_tag(source: Column, declared: Column) -> Column:
     return F.when(source == "cnbcawaaz", "hi").otherwise(F.coalesce(F.nullif(declared, F.lit("")), F.lit("en")))
 
 
-def distinct_tags(tags: Column, limit: int = 20) -> Column:
-    """Cleaned tags in first-seen order, at most ``limit`` (the stored tag list is that short)."""
-    cleaned = F.transform(tags, clean_text)
-    return F.slice(F.array_distinct(F.filter(cleaned, lambda t: t.isNotNull())), 1, limit)
+def distinct_tags(tags: Column, limit: int | None = None) -> Column:
+    """Cleaned tags in first-seen order, the first ``limit`` of them if one is given."""
+    found = F.array_distinct(F.filter(F.transform(tags, clean_text), lambda t: t.isNotNull()))
+    return F.slice(found, 1, limit) if limit else found
 
 
 def feature_version(name: Column, signature: Column, year: Column) -> Column:

@@ -14,21 +14,24 @@ def asof_join(
     slice_of: Column,
     by: list[str] | None = None,
     spread: list[str] | None = None,
-    buckets: int = 16,
+    bucket_rows: int = 4096,
 ) -> DataFrame:
     """Add to each left row the ``values`` of the last right row with ``right.ts <= left.ts``.
 
     Both sides are cut into time slices (``slice_of``, an expression over ``ts``). Within a
     slice they are unioned and the last value is carried forward; a slice that opens
     without a right row takes the closing value of the nearest earlier slice, found from
-    one summary row per slice. Left rows of one slice are spread over ``buckets`` by the
-    hash of ``spread``, so the right side (a reference series) is repeated, not the left.
+    one summary row per slice. Left rows of one slice are spread by the hash of ``spread`` over as
+    many buckets as it takes for about ``bucket_rows`` rows each, so the right side (a reference
+    series) is repeated, not the left.
     ``right`` must hold one row per (by, ts).
     """
     by = by or []
     keys = [*by, "_slice"]
-    salt = F.pmod(F.hash(*(spread or left.columns)), F.lit(buckets))
-    left_cut = left.withColumn("_slice", slice_of).withColumn("_salt", salt)
+    cut = left.withColumn("_slice", slice_of)
+    sizes = cut.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("_buckets"))
+    salt = F.pmod(F.hash(*(spread or left.columns)), F.col("_buckets"))
+    left_cut = cut.join(sizes, keys).withColumn("_salt", salt).drop("_buckets")
     right_cut = right.select(*by, ts, F.struct(*values).alias("_value")).withColumn("_slice", slice_of)
 
     every_slice = left_cut.select(*keys).union(right_cut.select(*keys)).distinct()
@@ -40,7 +43,7 @@ def asof_join(
 
     payload = F.struct(*[F.col(name) for name in left.columns])
     events = left_cut.select(*keys, "_salt", ts, F.lit(1).alias("_side"), payload.alias("_row")).unionByName(
-        right_cut.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        right_cut.join(sizes, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1)))
         .select(*keys, "_salt", ts, F.lit(0).alias("_side"), "_value"),
         allowMissingColumns=True,
     )

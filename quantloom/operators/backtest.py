@@ -37,26 +37,35 @@ def trades(
 
 
 def equity_curve(trade_rows: DataFrame) -> DataFrame:
-    """Add ``equity`` (product of 1 + return from the first trade) and its running ``peak``.
+    """Add the equity curve (product of 1 + return from the first trade) and its drawdown.
 
-    Inside a block the products are local; one summary row per block carries the equity
-    and the peak over. ``trade_rows`` is read twice, so give it as a stored table. A loss
-    above 100 % turns equity negative, which swaps the roles of local highs and lows.
+    Equity is kept as ``equity_sign`` (-1, 0, 1) and ``log_equity`` (sum of log |1 + return|),
+    the running peak, which starts at 1, as ``log_peak``; so no length of series overflows.
+    ``drawdown`` is equity / peak - 1. Inside a block the sums are local; one summary row per
+    block carries sign, log and peak over. ``trade_rows`` is read twice, so give it as a
+    stored table. A loss above 100 % turns the sign, so a block keeps the highs of both signs.
     """
     keys = ["strategy_name", "symbol"]
     inside = Window.partitionBy(*keys, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    local = trade_rows.withColumn("_equity", F.product(1 + c("realized")).over(inside))
-    local = local.withColumns({"_top": F.max("_equity").over(inside), "_low": F.min("_equity").over(inside)})
-    reach = c("_start") * F.when(c("_start") >= 0, c("_top")).otherwise(c("_low"))
+    growth = 1 + c("realized")
+    zeros = F.max((growth == 0).cast("int"))
+    turns = F.sum((growth < 0).cast("int"))
+    local = trade_rows.withColumns({
+        "_log": F.sum(F.when(growth != 0, F.log(F.abs(growth))).otherwise(0.0)).over(inside),
+        "_sign": F.when(zeros.over(inside) == 1, 0).otherwise(1 - 2 * F.pmod(turns.over(inside), F.lit(2)))})
+    local = local.withColumns({
+        "_top": F.max(F.when(c("_sign") == 1, c("_log"))).over(inside), "_low": F.max(F.when(c("_sign") == -1, c("_log"))).over(inside)})
+    reach = c("_start") + F.when(c("_from") == 1, c("_top")).when(c("_from") == -1, c("_low"))
     blocks = local.groupBy(*keys, "block").agg(
-        F.max_by("_equity", "pos").alias("_close"), F.max("_top").alias("_top"), F.min("_low").alias("_low"))
-    blocks = blocks.withColumn("_start", F.coalesce(F.product("_close").over(earlier), F.lit(1.0)))
-    blocks = blocks.withColumn("_high", F.greatest(F.lit(1.0), F.max(reach).over(earlier))).select(
-        *keys, "block", "_start", "_high")
-    return local.join(blocks, [*keys, "block"]).withColumns({
-        "equity": c("_start") * c("_equity"), "peak": F.greatest(c("_high"), reach),
-    }).drop("_equity", "_top", "_low", "_start", "_high")
+        F.max_by("_log", "pos").alias("_add"), F.max_by("_sign", "pos").alias("_end"), F.max("_top").alias("_top"), F.max("_low").alias("_low"))
+    blocks = blocks.withColumns({
+        "_start": F.coalesce(F.sum("_add").over(earlier), F.lit(0.0)), "_from": F.coalesce(F.product("_end").over(earlier), F.lit(1.0)).cast("int")})
+    blocks = blocks.withColumn("_high", F.greatest(F.lit(0.0), F.max(reach).over(earlier))).select(*keys, "block", "_start", "_from", "_high")
+    joined = local.join(blocks, [*keys, "block"]).withColumns({
+        "equity_sign": c("_from") * c("_sign"), "log_equity": c("_start") + c("_log"), "log_peak": F.greatest(c("_high"), reach)})
+    fall = c("equity_sign") * F.exp(c("log_equity") - c("log_peak")) - 1
+    return joined.withColumn("drawdown", fall).drop("_log", "_sign", "_top", "_low", "_start", "_from", "_high")
 
 
 def summary(trade_rows: DataFrame, bars: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -69,7 +78,7 @@ def summary(trade_rows: DataFrame, bars: DataFrame, names: Sequence[str]) -> Dat
         F.count(F.lit(1)).alias("_trades"), F.avg((c("realized") > 0).cast("double")).alias("_rate"),
         F.sum(F.when(c("realized") > 0, c("realized"))).alias("_gain"),
         F.abs(F.sum(F.when(c("realized") < 0, c("realized")))).alias("_loss"),
-        F.min((c("equity") - c("peak")) / c("peak")).alias("_fall"),
+        F.min("drawdown").alias("_fall"),
         F.avg("realized").alias("_mean"), F.stddev_pop("realized").alias("_std"))
     spans = (
         bars.groupBy("symbol").agg(F.min("ts").alias("start_date"), F.max("ts").alias("end_date"),

@@ -61,14 +61,12 @@ def best_by_regime(records: DataFrame, *ranking: str) -> DataFrame:
 def recent_win_ratio(outcomes: DataFrame, limit: int = 100) -> DataFrame:
     """Share of wins among each strategy's last settled outcomes.
 
-    Each slice of the sequence keeps its own last ``limit`` rows first, so the final
-    ranking sees few rows however many outcomes a strategy has.
+    The rank limit is applied in every task before the shuffle (Spark's window group limit), so
+    the final ranking sees ``limit`` rows per task at most, however many outcomes a strategy has.
     """
     settled = outcomes.where(c("result") != "PENDING").select("strategy_name", "seq", "result")
-    part = Window.partitionBy("strategy_name", F.pmod(F.hash("seq"), F.lit(64))).orderBy(c("seq").desc())
     whole = Window.partitionBy("strategy_name").orderBy(c("seq").desc())
-    few = settled.withColumn("_n", F.row_number().over(part)).where(c("_n") <= limit)
-    last = few.withColumn("_n", F.row_number().over(whole)).where(c("_n") <= limit)
+    last = settled.withColumn("_n", F.row_number().over(whole)).where(c("_n") <= limit)
     return last.groupBy("strategy_name").agg(F.avg((c("result") == "WIN").cast("double")).alias("win_ratio"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import text as tx
 from quantloom.functions.safe import clip, div, zero
 from quantloom.functions.sentiment import default_score, score_label, signed_score
-from quantloom.session import stage
+from quantloom.session import read_if_there, stage
 
 c = F.col
 
@@ -35,32 +35,32 @@ def valid_articles(articles: DataFrame) -> DataFrame:
     return articles.where((F.length("title") >= 8) & (F.coalesce("url", F.lit("")) != ""))
 
 
-def first_seen(articles: DataFrame, id_col: str = "id", max_rounds: int = 100) -> DataFrame:
+def first_seen(articles: DataFrame, id_col: str = "id") -> DataFrame:
     """Articles kept by the greedy rule in id order: drop on a url seen before, then on a
     (source, content) seen before; dropped articles block nobody.
 
     Each round keeps every open article that is the first open one of both its groups,
-    then drops the others of those groups. Group minima combine map-side and each group
-    joins against one row, so a hot group is only a skewed join that AQE splits. The open
-    set is written out every round, which cuts lineage.
+    then drops the others of those groups, until none is open (the smallest id always
+    settles, so rounds end). Group minima combine map-side and are written out, so that
+    each join meets two plain scans and AQE can split a hot group. The open set is
+    written out every round too, which cuts lineage.
     """
-    keys = articles.select(id_col, "url_hash", "source", "content_hash")
-    open_rows, kept = stage(keys), []
-    for _ in range(max_rounds):
-        by_url = open_rows.groupBy("url_hash").agg(F.min(id_col).alias("_u"))
-        by_text = open_rows.groupBy("source", "content_hash").agg(F.min(id_col).alias("_t"))
+    columns = [id_col, "url_hash", "source", "content_hash"]
+    articles = stage(articles)
+    open_rows, kept = stage(articles.select(*columns)), []
+    while True:
+        by_url = stage(open_rows.groupBy("url_hash").agg(F.min(id_col).alias("_u")))
+        by_text = stage(open_rows.groupBy("source", "content_hash").agg(F.min(id_col).alias("_t")))
         marked = open_rows.join(by_url, "url_hash").join(by_text, ["source", "content_hash"])
         winners = stage(
-            marked.where((c(id_col) == c("_u")) & (c(id_col) == c("_t"))).select(*keys.columns))
+            marked.where((c(id_col) == c("_u")) & (c(id_col) == c("_t"))).select(*columns))
         kept.append(winners)
         open_rows = stage(
             open_rows.join(winners.select("url_hash").distinct(), "url_hash", "left_anti")
             .join(winners.select("source", "content_hash").distinct(), ["source", "content_hash"], "left_anti")
-            .select(*keys.columns))
+            .select(*columns))
         if open_rows.isEmpty():
             break
-    else:
-        raise RuntimeError("dedupe did not settle")
     result = kept[0]
     for more in kept[1:]:
         result = result.unionByName(more)
@@ -81,10 +81,8 @@ def insert_news(batch: DataFrame, table_path: str, id_col: str = "id") -> DataFr
     """Append the new articles of a batch to a Parquet table; returns the per-article outcome."""
     spark = batch.sparkSession
     checked = stage(batch)
-    try:
-        stored = spark.read.parquet(table_path)
-    except Exception:  # noqa: BLE001 - the table does not exist before the first insert
-        stored = checked.limit(0)
+    stored = read_if_there(spark, table_path)
+    stored = checked.limit(0) if stored is None else stored
     marked = stage(new_articles(checked, stored))
     fresh = first_seen(marked.where("duplicate_reason is null"), id_col)
     stage_fresh = stage(fresh.select(*batch.columns))
@@ -129,21 +127,26 @@ def merge_news(local: DataFrame, live: DataFrame, limit: int | None = None) -> D
     return (ordered.limit(limit) if limit else ordered).drop("_at")
 
 
-def candidate_links(links: DataFrame, per_page: int = 50) -> DataFrame:
-    """Links per page by url: place of the first, title of the last; at most ``per_page`` (fetch budget)."""
+def candidate_links(links: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Links per page by url: place of the first, title of the last; the first ``per_page`` if a fetch budget is given."""
     merged = links.groupBy("page", "url").agg(
         F.min("position").alias("position"), F.max_by("title", "position").alias("title"))
     w = Window.partitionBy("page").orderBy("position")
-    return merged.withColumn("rank", F.row_number().over(w)).where(c("rank") <= per_page)
+    ranked = merged.withColumn("rank", F.row_number().over(w))
+    return ranked.where(c("rank") <= per_page) if per_page else ranked
 
 
 def enrich(items: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Add sentiment to articles whose title equals a scored text (last scored one wins)."""
-    best = outputs.groupBy("text").agg(F.max_by(F.struct("sentiment", "confidence"), "seq").alias("_s"))
-    return items.join(best, items["title"] == best["text"], "left").withColumns({
+    """Add sentiment to articles whose title equals a scored text (last scored one wins).
+
+    Texts are matched by a 256-bit hash, so that neither join nor aggregate moves them.
+    """
+    scored = outputs.select(tx.sha(c("text")).alias("_text"), "sentiment", "confidence", "seq")
+    best = stage(scored.groupBy("_text").agg(F.max_by(F.struct("sentiment", "confidence"), "seq").alias("_s")))
+    return items.withColumn("_title", tx.sha(c("title"))).join(best, c("_title") == c("_text"), "left").withColumns({
         "sentiment": c("_s.sentiment"),
         "sentiment_score": signed_score(c("_s.sentiment"), c("_s.confidence")),
-    }).drop("_s", "text")
+    }).drop("_s", "_text", "_title")
 
 
 def daily_sentiment(events: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Exact vector search and greedy near-duplicate removal on unit vectors.
+"""Exact cosine search and greedy near-duplicate removal.
+
+Vectors are divided by their length first; a zero vector has similarity 0 to everything.
 
 Both work on tiles: rows are spread evenly over tiles by hash, every pair of tiles is one
 matrix product in a task, and a task emits only a few numbers per row (its best matches,
@@ -26,7 +28,10 @@ def _tiles(df: DataFrame, tile_rows: int) -> int:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype("float64")
+    """Rows scaled to length 1; zero vectors stay."""
+    rows = np.vstack(column.to_numpy()).astype("float64")
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms > 0, norms, 1.0)
 
 
 def _match_tiles(
@@ -96,7 +101,7 @@ def _conflicts(left: DataFrame, right: DataFrame, threshold: float, tile_rows: i
 
 def greedy_distinct(
     vectors: DataFrame, threshold: float = 0.92, stored: DataFrame | None = None,
-    tile_rows: int = TILE_ROWS, max_rounds: int = 100,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Rows of ``vectors`` (id, embedding) kept by the greedy rule in id order: a row is a
     duplicate when its best earlier kept match is above ``threshold`` (strictly).
@@ -113,17 +118,13 @@ def greedy_distinct(
         clash = _conflicts(open_rows, shifted, threshold, tile_rows)
         open_rows = stage(open_rows.join(clash, "id", "left_anti"))
     kept: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if open_rows.isEmpty():
-            break
+    while not open_rows.isEmpty():  # the smallest open id settles in every round
         blocked = stage(_conflicts(open_rows, open_rows, threshold, tile_rows))
         winners = stage(open_rows.join(blocked, "id", "left_anti"))
         rest = open_rows.join(blocked, "id", "left_semi")
         near = _conflicts(rest, winners, threshold, tile_rows)
         kept.append(winners)
         open_rows = stage(rest.join(near, "id", "left_anti"))
-    else:
-        raise RuntimeError("near-duplicate removal did not settle")
     result = kept[0] if kept else open_rows
     for more in kept[1:]:
         result = result.unionByName(more)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,6 +55,16 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None before its first write; other read errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

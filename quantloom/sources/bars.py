@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import first_nonzero
 from quantloom.functions.text import parse_datetime
+from quantloom.session import stage
+
+c = F.col
 
 BAR_SCHEMA = (
     "symbol STRING, ts TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, source STRING")
@@ -31,10 +36,25 @@ def from_table(df: DataFrame, symbol: str, source: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str, source: str = "kaggle_ohlcv") -> DataFrame:
-    """Bars from CSV files with a header; files under one path share their header spelling."""
+    """Bars from CSV files with a header each; spelling and order of the columns may differ by file.
+
+    The first line of every file is found first, one row per file. The distinct spellings (a handful) reach the
+    driver, and the lines of each are parsed by name.
+    """
+    lines = spark.read.text(path).select("value", c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("start"))
+    first = lines.where("start = 0").withColumn("line", F.monotonically_increasing_id())
+    headers = stage(first.groupBy("file").agg(F.min_by("value", "line").alias("header")))
     with spark_case_sensitive(spark):
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-        return from_table(raw, symbol, source)
+        parts = []
+        for (header,) in headers.select("header").distinct().orderBy("header").collect():
+            names = next(csv.reader([header.lstrip("\ufeff")]))
+            schema = ", ".join(f"`{name.strip().replace('`', '')}` STRING" for name in names)
+            own = lines.join(headers.where(c("header") == header), "file").where(c("value") != header)
+            parts.append(from_table(own.select(F.from_csv("value", F.lit(schema)).alias("_row")).select("_row.*"), symbol, source))
+        out = parts[0] if parts else spark.createDataFrame([], BAR_SCHEMA)
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
 
 
 class spark_case_sensitive:  # noqa: N801 - used as a statement

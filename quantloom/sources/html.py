@@ -48,7 +48,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     ).where(c("title").isNotNull())
 
 
-def article_candidates(pages: DataFrame, min_title: int = 12, per_page: int = 50) -> DataFrame:
+def article_candidates(pages: DataFrame, min_title: int = 12, per_page: int | None = None) -> DataFrame:
     """Probable article links per page (title of at least ``min_title`` characters)."""
     from quantloom.operators.news import candidate_links
 

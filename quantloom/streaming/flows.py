@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quantloom.operators import candles, memory, quality
 from quantloom.operators.vectors import greedy_distinct
-from quantloom.session import shared_dir
+from quantloom.session import read_if_there, shared_dir
 from quantloom.sources import sinks
 
 c = F.col
@@ -48,8 +48,8 @@ def read_versions(spark: SparkSession, folder: str, keys: list[str]) -> DataFram
 
 
 def live_candles(ticks: DataFrame, timeframe: str, lateness: str = "1 hour") -> DataFrame:
-    """Candles of a tick stream, updated with every batch; ticks later than ``lateness`` are dropped
-    so that state stays bounded (the batch build accepts them)."""
+    """Candles of a tick stream, updated with every batch, for dashboards: ticks later than ``lateness``
+    are dropped so that state stays bounded. ``stream_candles`` keeps them."""
     seconds = candles.TIMEFRAMES[timeframe]
     return (
         candles.clean_ticks(ticks).withWatermark("ts", lateness)
@@ -58,10 +58,19 @@ def live_candles(ticks: DataFrame, timeframe: str, lateness: str = "1 hour") ->
         .select("symbol", c("w.start").alias("ts"), "open", "high", "low", "close", "volume"))
 
 
-def stream_candles(ticks: DataFrame, timeframe: str, lateness: str = "1 hour") -> DataFrame:
+def stream_candles(ticks: DataFrame, timeframe: str) -> DataFrame:
+    """Candles of a tick stream, late ticks included.
+
+    Each micro-batch stores its own partial candles (first and last sequence number with
+    them); partial candles merge like ticks do, so no state is kept and no tick is too late.
+    """
     folder = new_folder(ticks.sparkSession, "candles")
-    run_once(live_candles(ticks, timeframe, lateness), versioned_sink(folder), folder, "update")
-    return read_versions(ticks.sparkSession, folder, ["symbol", "ts"])
+    store = versioned_sink(folder)
+    run_once(ticks, lambda batch, batch_id: store(candles.candles(batch, timeframe), batch_id), folder)
+    parts = ticks.sparkSession.read.parquet(f"{folder}/data")
+    return parts.groupBy("symbol", "ts").agg(
+        F.min_by("open", "first_seq").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "last_seq").alias("close"), F.max("volume").alias("volume"))
 
 
 def route_events(events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -125,11 +134,7 @@ def stream_vector_dedupe(vectors: DataFrame, table_path: str, threshold: float =
     folder = new_folder(spark, "vectors")
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        try:
-            stored = spark.read.parquet(table_path)
-        except Exception:  # noqa: BLE001 - no vectors stored yet
-            stored = None
-        greedy_distinct(batch, threshold, stored).write.mode("append").parquet(table_path)
+        greedy_distinct(batch, threshold, read_if_there(spark, table_path)).write.mode("append").parquet(table_path)
 
     run_once(vectors, insert, folder)
     return spark.read.parquet(table_path)
@@ -144,7 +149,7 @@ def stream_lifecycle(events: DataFrame) -> DataFrame:
 
 def expiring_lifecycle(events: DataFrame, ttl: str = "1 day") -> DataFrame:
     """Live state per correlation id; ids without an event for ``ttl`` (event time) become EXPIRED."""
-    minutes = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
     def step(key: tuple[str], batches, state: GroupState):
         last, done = state.get if state.exists else ("CREATED", "")
@@ -156,7 +161,7 @@ def expiring_lifecycle(events: DataFrame, ttl: str = "1 day") -> DataFrame:
         finished = set(filter(None, done.split("|"))) | (set(pdf.state) - set(memory.UNCOUNTED_STATES))
         last, done = pdf.state.iloc[-1], "|".join(sorted(finished))
         state.update((last, done))
-        state.setTimeoutTimestamp(int(pdf.ts.max().timestamp() * 1000) + minutes)
+        state.setTimeoutTimestamp(int(pdf.ts.max().timestamp() * 1000) + ttl_ms)
         yield pd.DataFrame({"correlation_id": [key[0]], "state": [last], "completed": [done]})
 
     return (

@@ -129,6 +129,9 @@ def test_bar_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date,Open,High,Low,Close,Volume\n2026-01-01,1,3,0.5,2,\n")
     row = bar_source.read_csv(spark, str(tmp_path), "abc").first()
     assert (row.symbol, row.ts, row.open, row.volume, row.source) == ("ABC", datetime(2026, 1, 1), 1.0, 0.0, "kaggle_ohlcv")
+    (tmp_path / "c.csv").write_text("close,date,open,low,high\n5,2026-01-02,4,3,10\n")
+    both = bar_source.read_csv(spark, str(tmp_path / "*.csv"), "abc").orderBy("ts").collect()
+    assert [(r.open, r.high, r.low, r.close) for r in both] == [(1.0, 3.0, 0.5, 2.0), (4.0, 10.0, 3.0, 5.0)]
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "p.csv").write_text('sentence,label\n"Good, really",positive\nBad,-1\nMeh,other\n')
     labels = [r.sentiment for r in bar_source.read_labelled_sentences(spark, str(tmp_path / "b")).collect()]

@@ -96,8 +96,21 @@ def test_backtest_drawdown_across_blocks(spark):
     equity = np.cumprod(1 + r)
     peak = np.maximum.accumulate(np.concatenate([[1.0], equity]))[1:]
     got = backtest.equity_curve(rows).orderBy("pos").toPandas()
-    np.testing.assert_allclose(got.equity, equity, rtol=1e-9)
-    np.testing.assert_allclose(got.peak, peak, rtol=1e-9)
+    np.testing.assert_allclose(got.equity_sign * np.exp(got.log_equity), equity, rtol=1e-9)
+    np.testing.assert_allclose(np.exp(got.log_peak), peak, rtol=1e-9)
+    np.testing.assert_allclose(got.drawdown, equity / peak - 1, rtol=1e-9)
+
+
+def test_a_long_series_does_not_overflow(spark):
+    r = np.tile([2.0, -0.5, 3.0, -1.5, 0.9], 4000)
+    rows = spark.createDataFrame([("s", "A", int(i // 512), int(i), float(x)) for i, x in enumerate(r)],
+                                 "strategy_name string, symbol string, block int, pos int, realized double")
+    got = backtest.equity_curve(rows).orderBy("pos").toPandas()
+    sign, log = np.cumprod(np.sign(1 + r)), np.cumsum(np.log(np.abs(1 + r)))
+    high = np.maximum.accumulate(np.where(sign > 0, log, 0.0).clip(min=0))
+    np.testing.assert_allclose(got.log_equity, log, rtol=1e-9)
+    np.testing.assert_allclose(got.drawdown, sign * np.exp(log - high) - 1, rtol=1e-6)
+    assert got.drawdown.notna().all() and log.max() > 1000
 
 
 def test_adaptive_weights_prefer_trend(spark):
