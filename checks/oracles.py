@@ -811,3 +811,17 @@ ORACLES["stream_correlated_events"] = """SELECT CAST(a.user_id AS VARCHAR) AS co
 _LAST_BARS = "(SELECT l_returnflag || l_linestatus AS symbol, CAST(max(date_trunc('day', l_shipdate)) AS TIMESTAMP) AS ts FROM lineitem GROUP BY 1)"
 for _name in ("strategy_signals_context", "trading_anomalies"):
     ORACLES[_name] = f"SELECT q.* FROM ({ORACLES[_name]}) q JOIN {_LAST_BARS} l ON q.symbol = l.symbol AND q.ts = l.ts"
+
+ORACLES["isolation_summary"] = f"WITH {BARS} SELECT symbol, count(*) AS rows, true AS bounded, true AS severity_fits, true AS share_fits FROM bars GROUP BY 1 HAVING count(*) >= 40"
+ORACLES["html_headlines"] = f"""WITH l AS ({ORACLES["html_links"]})
+SELECT page_id, position, length(repeat(title, 4)) BETWEEN 35 AND 220 AND NOT regexp_matches(lower(repeat(title, 4)), 'subscribe|download app|follow us|sign in|watch live') AS headline FROM l"""
+ORACLES["html_candidates"] = f"""WITH l AS ({ORACLES["html_links"]}), w AS (
+  SELECT page_id AS page, link AS url, min(position) AS position, arg_max(title, position) AS title FROM l WHERE is_article AND length(title) >= 2 GROUP BY 1, 2)
+SELECT page, url, position, title, row_number() OVER (PARTITION BY page ORDER BY position) AS rank FROM w"""
+ORACLES["news_valid"] = f"WITH {ARTICLES} SELECT id FROM ah WHERE length(title) >= 8"
+ORACLES["news_embedding_texts"] = f"""WITH {ARTICLES}, j AS (SELECT id, {_NT.format(x="title || ' ' || text")} AS t FROM ah) SELECT id, sha256(t) AS digest, sha256(t) AS semantic_hash FROM j"""
+ORACLES["parsed_dates"] = "SELECT event_id, date_trunc('second', ts) AS ts FROM events"
+ORACLES["bar_files"] = f"""WITH {BARS} SELECT symbol, ts, 'kaggle_ohlcv' AS source, open, high, low, "close", CAST(volume AS DOUBLE) AS volume FROM bars"""
+ORACLES["preliminary_risk"] = f"""WITH RECURSIVE {TRADING} SELECT symbol, ts, CASE WHEN atr_pct >= 0.03 * 1.5 THEN 'HIGH' WHEN atr_pct >= 0.03 THEN 'MODERATE' ELSE 'LOW' END AS level FROM tf"""
+_H1 = r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)"
+ORACLES["html_titles"] = f"SELECT page_id, {plain(_H1)} AS title, 'en' AS language FROM pages"

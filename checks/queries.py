@@ -566,11 +566,71 @@ def html_urls(spark, sf_dir):
         tx.is_article_url(c("url")).alias("is_article"), tx.hash_url(c("url")).alias("url_hash"))
 
 
+@query
+def html_headlines(spark, sf_dir):
+    """Links of headline length into news, market or story pages (the test pages' links have other paths, so titles count)."""
+    return html.page_links(t.table(spark, sf_dir, "pages")).select(
+        "page_id", "position", tx.is_headline_link(F.concat(c("href"), F.lit(".html")), F.repeat("title", 4)).alias("headline"))
+
+
+@query
+def html_candidates(spark, sf_dir):
+    """Article links of every page, one per url, in order of their first place."""
+    return html.article_candidates(t.table(spark, sf_dir, "pages"), min_title=2).select("page", "url", "position", "title", "rank")
+
+
+@query
+def news_valid(spark, sf_dir):
+    return news.valid_articles(news.normalize_articles(t.raw_articles(spark, sf_dir))).select("id")
+
+
+@query
+def news_embedding_texts(spark, sf_dir):
+    """Whole normalised texts given to an embedding model, as hashes."""
+    docs = news.normalize_articles(t.raw_articles(spark, sf_dir))
+    return docs.select("id", tx.sha(tx.embedding_text(c("title"), c("summary"), c("content"))).alias("digest"), "semantic_hash")
+
+
+@query
+def parsed_dates(spark, sf_dir):
+    """Event times written in four layouts and read back."""
+    ts = c("ts").cast("timestamp")
+    layouts = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "d MMM yyyy HH:mm:ss")
+    text = F.element_at(F.array(*[F.date_format(ts, layout) for layout in layouts]), (c("event_id") % 4 + 1).cast("int"))
+    return t.table(spark, sf_dir, "events").select("event_id", tx.parse_datetime(text).alias("ts"))
+
+
+@query
+def bar_files(spark, sf_dir):
+    """Bars written as CSV files with two header spellings and column orders, then read as one path."""
+    from quantloom.streaming.flows import new_folder
+
+    folder, bars = new_folder(spark, "bars"), t.daily_bars(spark, sf_dir)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    one = bars.where("symbol < 'N'").select("symbol", day.alias("date"), "open", "high", "low", "close", "volume")
+    two = bars.where("symbol >= 'N'").select(c("close").alias("Close"), c("symbol"), c("low").alias("Low"), day.alias("Date"), c("high").alias("High"), c("open").alias("Open"), c("volume").alias("Volume"))
+    for part in (one, two):
+        part.write.mode("append").option("header", True).csv(folder)
+    return bar_source.read_csv(spark, folder, "none").select("symbol", "ts", "source", "open", "high", "low", "close", "volume")
+
+
+@query
+def preliminary_risk(spark, sf_dir):
+    frame = frames.trading_frame(t.staged_bars(spark, sf_dir))
+    return frame.select(*KEY, risk.preliminary_level(c("atr_pct"), DEFAULT.trading).alias("level"))
+
+
 @query
 def html_articles(spark, sf_dir):
     return html.extract_articles(t.table(spark, sf_dir, "pages")).select("page_id", "title", "summary", "content", "language")
 
 
+@query
+def html_titles(spark, sf_dir):
+    """Titles and languages of the parsed pages, by an independent pattern in SQL."""
+    return html.extract_articles(t.table(spark, sf_dir, "pages")).select("page_id", "title", "language")
+
+
 # ---- events, quality, memory ---------------------------------------------------------------
 
 
@@ -817,6 +877,20 @@ def isolation_anomalies(spark, sf_dir):
     return isolation.detect(t.stage(frame.select("symbol", "block", "pos", "ts", *isolation.COLUMNS)))
 
 
+@query
+def isolation_summary(spark, sf_dir):
+    """Facts of the forest that do not hang on its random cuts: rows scored, share flagged, severities."""
+    from quantloom.operators import isolation
+
+    frame = frames.fill_numeric(frames.adaptive_stages(t.staged_bars(spark, sf_dir)))
+    scored = t.stage(isolation.scores(t.stage(frame.select("symbol", "block", "pos", "ts", *isolation.COLUMNS))))
+    hits = isolation.flagged(scored).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("hits"), F.bool_and((c("score") > 0.15) == (c("severity") == "HIGH")).alias("severity_fits"))
+    rows = scored.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(c("raw").between(0, 1)).alias("bounded"))
+    return rows.join(hits, "symbol").select(
+        "symbol", "rows", "bounded", "severity_fits", (F.abs(c("hits") / c("rows") - isolation.CONTAMINATION) < 0.01).alias("share_fits"))
+
+
 def stream_of(spark, sf_dir, name: str) -> DataFrame:
     batch = t.table(spark, sf_dir, name)
     return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/{name}.parquet")

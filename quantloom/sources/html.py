@@ -1,12 +1,15 @@
-"""Links and articles from stored HTML pages, with built-in text functions."""
+"""Links from stored HTML pages with built-in text functions; articles from a parsed tree."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import text as tx
-from quantloom.functions.safe import let
 
 c = F.col
 
@@ -17,7 +20,6 @@ ENTITIES = (
     ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&amp;", "&"),
 )
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|iframe)\b[^>]*>.*?</\1\s*>"
-ASIDE = r"(?is)<(figure|aside|nav|form)\b[^>]*>.*?</\1\s*>"
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*>(.*?)</a\s*>"
 MIN_BODY_CHARS = 80
 
@@ -64,61 +66,140 @@ def headlines(pages: DataFrame) -> DataFrame:
     return page_links(pages).where(tx.is_headline_link(c("href"), c("title")))
 
 
-def meta(html: Column, *names: str) -> Column:
-    """Content of the first of the named meta tags that has one, in either attribute order."""
-    def one(name: str) -> list[Column]:
-        key = rf"(?:property|name|itemprop)\s*=\s*[\"']{name}[\"']"
-        value = r"content\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-        after, ahead = rf"(?is)<meta\b[^>]*{key}[^>]*{value}", rf"(?is)<meta\b[^>]*{value}[^>]*{key}"
-        return [F.nullif(F.regexp_extract(html, p, g), F.lit("")) for p in (after, ahead) for g in (1, 2)]
-
-    return tx.clean_text(unescape(F.coalesce(*[x for n in names for x in one(n)])))
-
-
-def element(html: Column, tag: str) -> Column:
-    """Text of the first ``tag`` element; NULL when absent or empty."""
-    return tag_text(F.nullif(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), F.lit("")))
-
-
-def by_class(html: Column, *names: str) -> Column:
-    """Text of the first element with one of the classes (up to its first closing tag of that kind)."""
-    pattern = rf"(?is)<(\w+)\b[^>]*class\s*=\s*[\"'][^\"']*\b(?:{'|'.join(names)})\b[^\"']*[\"'][^>]*>(.*?)</\1\s*>"
-    return tag_text(F.nullif(F.regexp_extract(html, pattern, 2), F.lit("")))
-
-
-def body_text(html: Column) -> Column:
-    """Paragraphs of the article element, else its text; at least MIN_BODY_CHARS characters."""
-    def long_enough(text: Column) -> Column:
-        return F.when(F.length(text) >= MIN_BODY_CHARS, text)
-
-    def read(part: Column) -> Column:
-        paragraphs = F.regexp_extract_all(part, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<p\b|$)"), F.lit(1))
-        joined = F.array_join(F.filter(F.transform(paragraphs, tag_text), lambda x: x.isNotNull()), "\n\n")
-        return F.coalesce(long_enough(joined), long_enough(tag_text(part)))
-
-    def content(tag_pattern: str, group: int) -> Column:
-        part = F.regexp_replace(F.regexp_extract(html, tag_pattern, group), ASIDE, " ")
-        return let(part, read)
-
-    box = r"(?is)<(div|section)\b[^>]*class\s*=\s*[\"'][^\"']*\b(?:article_content|article-content|story-content|content_wrapper|content)\b[^\"']*[\"'][^>]*>(.*?)</\1\s*>"
-    return F.coalesce(content(r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1), content(box, 2))
+# Elements without content, elements that end an open paragraph, parts that are no article text, classes.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+ENDS_PARAGRAPH = frozenset("p div section article ul ol table form figure aside nav h1 h2 h3 h4 h5 h6 blockquote pre header footer main".split())
+SKIPPED = frozenset("script style noscript iframe template".split())
+ASIDES = frozenset("figure aside nav form".split())
+BODY_CLASSES = ("article_content", "article-content", "story-content", "content_wrapper", "content")
+
+
+class Node:
+    """An element with its attributes and children (elements and texts)."""
+
+    __slots__ = ("tag", "attrs", "children")
+
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs, self.children = tag, attrs, []
+
+    def walk(self) -> Iterator[Node]:
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [x for x in reversed(node.children) if isinstance(x, Node)]
+
+    def first(self, tag: str = "", classes: tuple[str, ...] = ()) -> Node | None:
+        return next((n for n in self.walk() if (not tag or n.tag == tag) and (not classes or set(classes) & set(n.attrs.get("class", "").split()))), None)
+
+    def text(self, without: frozenset[str] = frozenset()) -> str | None:
+        """Text with one space between words; None when empty."""
+        parts, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                parts.append(node)
+            elif node is self or node.tag not in without:
+                todo += reversed(node.children)
+        return " ".join(" ".join(parts).split()) or None
+
+
+class TreeBuilder(HTMLParser):
+    """Builds the tree of a page; unclosed and stray tags are tolerated, entities decoded."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open = [Node("", {})]
+        self.skipping = ""
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.skipping:
+            return
+        if tag in SKIPPED:
+            self.skipping = tag
+            return
+        if tag in ENDS_PARAGRAPH and self.open[-1].tag == "p":
+            self.open.pop()
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].children.append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.skipping:
+            self.skipping = "" if tag == self.skipping else self.skipping
+            return
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag == tag:
+                del self.open[depth:]
+                break
+
+    def handle_data(self, data: str) -> None:
+        if not self.skipping:
+            self.open[-1].children.append(data)
+
+
+def page_tree(html: str | None) -> Node:
+    builder = TreeBuilder()
+    builder.feed(html or "")
+    builder.close()
+    return builder.open[0]
+
+
+def first_meta(metas: list[Node], *names: str) -> str | None:
+    """Content of the first of the named meta tags that has one."""
+    for name in names:
+        for m in metas:
+            if name in (m.attrs.get("property"), m.attrs.get("name"), m.attrs.get("itemprop")) and m.attrs.get("content", "").strip():
+                return m.attrs["content"]
+    return None
+
+
+def body_of(root: Node) -> str | None:
+    """Paragraphs of the article element or content box, else its text; at least MIN_BODY_CHARS characters."""
+    for box in (root.first("article"), next((n for n in root.walk() if n.tag in ("div", "section") and set(BODY_CLASSES) & set(n.attrs.get("class", "").split())), None)):
+        if box is None:
+            continue
+        asides = {id(x) for n in box.walk() if n.tag in ASIDES for x in n.walk()}
+        paragraphs = [n.text(ASIDES) for n in box.walk() if n.tag == "p" and id(n) not in asides]
+        for text in ("\n\n".join(p for p in paragraphs if p), box.text(ASIDES) or ""):
+            if len(text) >= MIN_BODY_CHARS:
+                return text
+    return None
+
+
+def article_of(html: str | None) -> dict[str, object]:
+    """Fields of one page: meta tags first, then elements."""
+    root = page_tree(html)
+    metas = [n for n in root.walk() if n.tag == "meta"]
+
+    def text(*places: Node | None) -> str | None:
+        return next((t for t in (p.text() for p in places if p is not None) if t), None)
+
+    time = next((n.attrs["datetime"] for n in root.walk() if n.tag == "time" and n.attrs.get("datetime")), None)
+    return {
+        "title": first_meta(metas, "og:title", "twitter:title") or text(root.first("h1")),
+        "summary": first_meta(metas, "description", "og:description", "twitter:description") or text(root.first("h2")) or text(root.first("", ("summary", "article_summary"))),
+        "author": first_meta(metas, "author", "article:author") or text(root.first("", ("author", "article_author"))),
+        "published_at": time or first_meta(metas, "article:published_time", "publish-date", "publish_date", "date"),
+        "tags": [m.attrs.get("content", "") for m in metas if m.attrs.get("property") == "article:tag"],
+        "language": first_meta(metas, "og:locale", "language") or "en",
+        "content": body_of(root),
+    }
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
-    """Title, summary, author, date, tags, language and body per page: meta tags first, then elements."""
-    df = pages.withColumn("_v", visible(c("html")))
-    html = c("_v")
-    time_attr = F.nullif(F.regexp_extract(html, r"(?is)<time\b[^>]*datetime\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
-    tag_meta = F.regexp_extract_all(
-        html, F.lit(r"(?is)<meta\b[^>]*property\s*=\s*[\"']article:tag[\"'][^>]*content\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return df.select(
-        "page_id", "url",
-        F.coalesce(meta(html, "og:title", "twitter:title"), element(html, "h1")).alias("title"),
-        F.coalesce(meta(html, "description", "og:description", "twitter:description"), element(html, "h2"),
-                   by_class(html, "summary", "article_summary")).alias("summary"),
-        F.coalesce(meta(html, "author", "article:author"), by_class(html, "author", "article_author")).alias("author"),
-        F.coalesce(tx.clean_text(time_attr),
-                   meta(html, "article:published_time", "publish-date", "publish_date", "date")).alias("published_at"),
-        tx.distinct_tags(tag_meta).alias("tags"),
-        F.coalesce(meta(html, "og:locale", "language"), F.lit("en")).alias("language"),
-        body_text(html).alias("content"))
+    """Title, summary, author, date, tags, language and body per page, read from a parsed tree in Arrow batches."""
+    kind = "title string, summary string, author string, published_at string, tags array<string>, language string, content string"
+    fields = [f.split(" ")[0] for f in kind.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [article_of(h) for h in batch.column("html").to_pylist()]
+            cells = [pa.array([r[f] for r in rows], pa.list_(pa.string()) if f == "tags" else pa.string()) for f in fields]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *cells], ["page_id", "url", *fields])
+
+    found = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, {kind}")
+    return found.select(
+        "page_id", "url", *[tx.clean_text(c(n)).alias(n) for n in ("title", "summary", "author", "published_at")],
+        tx.distinct_tags(c("tags")).alias("tags"), "language", "content")

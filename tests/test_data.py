@@ -150,6 +150,14 @@ def test_html(spark):
     assert article.title == "Shares & bonds" and article.author == "A B" and article.content.endswith("\n\nEnd.") and "menu" not in article.content
 
 
+def test_nested_and_entity_html(spark):
+    nested = '<div class="big content"><div>x</div><p>It&#8217;s ' + "word " * 20 + "<b>bold</b> end<p>Second &mdash; one.<aside><p>ad</p></aside></div><p>after</p>"
+    pages = spark.createDataFrame([(1, "u", nested), (2, "u", None), (3, "u", "<h1>A &amp; B</h1><p class='author'>C</p><script>var a='</p>'</script>")], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in html.extract_articles(pages).collect()}
+    assert got[1].content.startswith("It’s word") and got[1].content.endswith("bold end\n\nSecond — one.")
+    assert got[2].title is None and got[2].language == "en" and (got[3].title, got[3].author, got[3].content) == ("A & B", "C", None)
+
+
 def test_sinks_and_store(spark, tmp_path):
     df = spark.createDataFrame([("A", datetime(2026, 1, 1), 1.0), ("B", datetime(2026, 1, 2), 2.0)], "symbol string, ts timestamp, v double")
     path = sinks.append_snapshot(df, str(tmp_path), "regimes")
