@@ -2,7 +2,7 @@
 
 Terms are lower-case words and their prefixes of 3 to 8 letters. Of the terms of a bounded sample of labelled rows, those
 that toxic rows have clearly more often make up the vocabulary (``VOCABULARY`` at most, by a chi-square of ``CHI_SQUARE``
-or more). Term counts of every whole text are staged once; document frequencies come from all documents.
+and a share ``LIFT`` times that of other rows, or more). Term counts of every whole text are staged once; document frequencies come from all documents.
 
 The index keeps examples in blocks and, per term, the largest weight in each block. A search visits blocks by falling
 bound and stops when no block can beat the k-th neighbour, so its result equals a full scan's. Votes weigh by 1 / distance
@@ -34,6 +34,7 @@ from quantloom.llm.common import bounded_sample, stage
 EXAMPLES = 3000
 VOCABULARY = 2048
 CHI_SQUARE = 25.0
+LIFT = 8.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BLOCK = 64
 NEIGHBOURS = 15
@@ -60,36 +61,38 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(ids[i])))
-        self.ids = ids[order]
-        self.order = np.array(order, np.int64)
+        self.ids, self.order, self.terms = ids[order], np.array(order, np.int64), terms
         self.blocks = max(1, -(-len(ids) // BLOCK))
-        owner = np.repeat(np.arange(len(ids)), [len(vectors[i][0]) for i in order])
-        term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
-        by_term = np.lexsort((owner, term))
-        self.owner, self.weight = owner[by_term], weight[by_term]
-        # first posting of each (term, block)
-        place = term[by_term] * self.blocks + self.owner // BLOCK
-        self.starts = np.searchsorted(place, np.arange(terms * self.blocks + 1))
-        self.largest = np.zeros(terms * self.blocks)
-        np.maximum.at(self.largest, place, self.weight)
-        self.largest = self.largest.reshape(terms, self.blocks)
+        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+        self.rows = np.concatenate([[0], np.cumsum(sizes)])  # where the terms of each example begin
+        self.term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
+        self.weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
+        self.largest = np.zeros((terms, self.blocks))
+        np.maximum.at(self.largest, (self.term, np.repeat(np.arange(len(ids)), sizes) // BLOCK), self.weight)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, position) of the k nearest with a cosine above 0; ``without`` is left out."""
+        query = np.zeros(self.terms)
+        query[terms] = weights
         bounds = weights @ self.largest[terms]
-        found: list[tuple[float, int, int]] = []
+        scores, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
         for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(found) == k and bounds[block] + 1e-9 < -found[-1][0]:
+            if bounds[block] <= 0 or bounds[block] + 1e-9 < least:
                 break
-            scores = np.zeros(BLOCK)
-            first = block * BLOCK
-            for term, weight in zip(terms, weights):
-                a, b = self.starts[term * self.blocks + block], self.starts[term * self.blocks + block + 1]
-                scores[self.owner[a:b] - first] += weight * self.weight[a:b]
-            found += [(-round(float(scores[i]), 12), int(self.ids[first + i]), int(first + i)) for i in np.flatnonzero(scores > 0) if first + i != without]
-            found = sorted(found)[:k]
-        return [(-s, at) for s, _, at in found]
+            first, last = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
+            a, b = self.rows[first], self.rows[last]
+            own = np.add.reduceat(self.weight[a:b] * query[self.term[a:b]], self.rows[first:last] - a).round(12)
+            at = np.flatnonzero((own > 0) & (own >= least))
+            scores, places = np.concatenate([scores, own[at]]), np.concatenate([places, at + first])
+            if without >= 0:
+                scores, places = scores[places != without], places[places != without]
+            if len(scores) > k:
+                best = np.lexsort((self.ids[places], -scores))[:k]
+                scores, places = scores[best], places[best]
+            if len(scores) == k:
+                least = float(scores.min())
+        best = np.lexsort((self.ids[places], -scores))
+        return list(zip(scores[best].tolist(), places[best].tolist()))
 
 
 @dataclass
@@ -176,7 +179,7 @@ def vocabulary(rows: DataFrame, limit: int = VOCABULARY) -> list[str]:
     a, b, total = c("toxic") / F.lit(size.toxic), c("clean") / F.lit(size.clean), float(size.clean + size.toxic)
     both = (c("toxic") + c("clean")) / F.lit(total)
     chi = (a - b) * (a - b) / (both * (F.lit(1.0) - both) * F.lit(1.0 / size.toxic + 1.0 / size.clean) + F.lit(1e-12))
-    best = counted.where((c("term") != "") & (c("toxic") >= 2) & (a > b)).withColumn("chi", chi).where(c("chi") >= CHI_SQUARE)
+    best = counted.where((c("term") != "") & (c("toxic") >= 2) & (a >= b * LIFT)).withColumn("chi", chi).where(c("chi") >= CHI_SQUARE)
     return [r.term for r in best.orderBy(c("chi").desc(), "term").limit(limit).collect()]
 
 
