@@ -815,7 +815,8 @@ for _name in ("strategy_signals_context", "trading_anomalies"):
 ORACLES["isolation_summary"] = f"WITH {BARS} SELECT symbol, count(*) AS rows, true AS bounded, true AS severity_fits, true AS share_fits FROM bars GROUP BY 1 HAVING count(*) >= 40"
 ORACLES["html_headlines"] = f"""WITH l AS ({ORACLES["html_links"]})
 SELECT page_id, position, length(repeat(title, 4)) BETWEEN 35 AND 220 AND NOT regexp_matches(lower(repeat(title, 4)), 'subscribe|download app|follow us|sign in|watch live') AS headline FROM l"""
-ORACLES["html_candidates"] = f"""WITH l AS ({ORACLES["html_links"]}), w AS (
+_MOVED = "FROM (SELECT page_id, url, replace(html, 'href=\"/', 'href=\"/news/') AS html FROM pages) pages"
+ORACLES["html_candidates"] = f"""WITH l AS ({ORACLES["html_links"].replace("FROM pages", _MOVED)}), w AS (
   SELECT page_id AS page, link AS url, min(position) AS position, arg_max(title, position) AS title FROM l WHERE is_article AND length(title) >= 2 GROUP BY 1, 2)
 SELECT page, url, position, title, row_number() OVER (PARTITION BY page ORDER BY position) AS rank FROM w"""
 ORACLES["news_valid"] = f"WITH {ARTICLES} SELECT id FROM ah WHERE length(title) >= 8"

@@ -575,8 +575,10 @@ def html_headlines(spark, sf_dir):
 
 @query
 def html_candidates(spark, sf_dir):
-    """Article links of every page, one per url, in order of their first place."""
-    return html.article_candidates(t.table(spark, sf_dir, "pages"), min_title=2).select("page", "url", "position", "title", "rank")
+    """Article links of every page, one per url, in order of their first place (site links moved under /news/)."""
+    moved = F.replace("html", F.lit('href="/'), F.lit('href="/news/'))
+    pages = t.table(spark, sf_dir, "pages").withColumn("html", moved)
+    return html.article_candidates(pages, min_title=2).select("page", "url", "position", "title", "rank")
 
 
 @query

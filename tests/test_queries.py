@@ -12,7 +12,10 @@ from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 FAST = ["candles_5m", "features_oscillators", "trading_regimes", "options_rollup", "news_exact_dedupe", "html_links", "quality_events",
-        "source_reliability", "lifecycle_states", "classification_report", "stream_candles_5m"]
+        "source_reliability", "lifecycle_states", "classification_report", "stream_candles_5m", "bar_files", "html_titles", "html_candidates",
+        "html_headlines", "news_valid", "news_embedding_texts", "news_enriched", "parsed_dates", "event_dead_letters", "recent_win_ratio",
+        "vector_top5", "vector_top3_scaled", "candle_upsert", "risk_decisions", "risk_gate", "strategy_signals_context", "trading_anomalies",
+        "backtest_drawdown", "preliminary_risk"]
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else FAST
 
 
