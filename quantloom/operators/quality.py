@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import clip, zero
+from quantloom.session import stage
 
 c = F.col
 
@@ -162,17 +163,18 @@ def feature_quality(frame: DataFrame, as_of: Column, news: DataFrame | None = No
         "symbol", "ts", "rows", "missing_features", "stale_inputs", "enough_history", "quality_score", "warnings")
 
 
-def clamp_walk(events: DataFrame, block_rows: int = 256) -> DataFrame:
+def clamp_walk(events: DataFrame, block_rows: int = 256, start: DataFrame | None = None) -> DataFrame:
     """Source reliability in arrival order: ``score_before`` and ``score_after`` per event.
 
-    ``events`` has source, seq and passed, with ``pos`` (rank within the source). A run of
-    clamped steps is itself one clamped step (add, then limit to [low, high]), so blocks
-    are reduced to such triples first, groups of blocks next, and only then is each block
-    replayed from its own starting score. No group is larger than ``block_rows``.
+    ``events`` has source, seq and passed, with ``pos`` (rank within the source); ``start`` may hold
+    (source, score) to begin with. A run of clamped steps is itself one clamped step (add, then
+    limit to [low, high]), so blocks are reduced to such triples, blocks of blocks next, as many
+    levels as it takes to reach one triple per source; then each level is replayed from the
+    starting scores of the one above. No array is larger than ``block_rows``.
     """
     def reduce_steps(steps: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("add"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
-        return F.aggregate(steps, start, lambda acc, s: F.struct(
+        begin = F.struct(F.lit(0.0).alias("add"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+        return F.aggregate(steps, begin, lambda acc, s: F.struct(
             (acc["add"] + s["add"]).alias("add"),
             F.least(F.greatest(acc["low"] + s["add"], s["low"]), s["high"]).alias("low"),
             F.least(F.greatest(acc["high"] + s["add"], s["low"]), s["high"]).alias("high")))
@@ -180,13 +182,10 @@ def clamp_walk(events: DataFrame, block_rows: int = 256) -> DataFrame:
     def apply(score: Column, s: Column) -> Column:
         return F.least(F.greatest(score + s["add"], s["low"]), s["high"])
 
-    def ordered(value: list[str], by: str) -> Column:
-        return F.array_sort(F.collect_list(F.struct(c(by).alias("at"), *value)))
-
-    def replay(start: Column, items: Column) -> Column:
-        """Items with the score before each of them (arrays of at most block_rows entries)."""
+    def replay(score: Column, items: Column) -> Column:
+        """Places of the items with the score before each of them."""
         none = F.array().cast("array<struct<at:bigint,before:double>>")
-        first = F.struct(start.cast("double").alias("score"), none.alias("out"))
+        first = F.struct(score.cast("double").alias("score"), none.alias("out"))
         return F.aggregate(items, first, lambda acc, i: F.struct(
             apply(acc["score"], i["step"]).alias("score"),
             F.array_append(acc["out"], F.struct(i["at"].alias("at"), acc["score"].alias("before"))).alias("out")),
@@ -195,19 +194,19 @@ def clamp_walk(events: DataFrame, block_rows: int = 256) -> DataFrame:
     step = F.struct(
         F.when(c("passed"), PASS_STEP).otherwise(FAIL_STEP).alias("add"),
         F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    rows = events.select("source", "seq", "pos", "passed", step.alias("step"),
-                         F.floor(c("pos") / block_rows).alias("b"))
-    blocks = rows.groupBy("source", "b").agg(ordered(["step"], "pos").alias("items")).withColumn(
-        "step", reduce_steps(F.transform("items", lambda i: i["step"])))
-    groups = blocks.select("source", "b", "step", F.floor(c("b") / block_rows).alias("g")).groupBy("source", "g").agg(
-        ordered(["step"], "b").alias("items")).withColumn("step", reduce_steps(F.transform("items", lambda i: i["step"])))
-    # Third level: one triple per block_rows^2 events of a source.
-    tops = groups.groupBy("source").agg(ordered(["step"], "g").alias("items"))
-    group_start = tops.select("source", F.inline(replay(F.lit(START_SCORE), c("items")))).select(
-        "source", c("at").alias("g"), c("before").alias("_start"))
-    block_start = groups.join(group_start, ["source", "g"]).select(
-        "source", F.inline(replay(c("_start"), c("items")))).select("source", c("at").alias("b"), c("before").alias("_start"))
-    scored = blocks.join(block_start, ["source", "b"]).select(
-        "source", F.inline(replay(c("_start"), c("items")))).select("source", c("at").alias("pos"), c("before").alias("score_before"))
-    return rows.join(scored, ["source", "pos"]).select(
-        "source", "seq", "passed", "score_before", apply(c("score_before"), c("step")).alias("score_after"))
+    rows = stage(events.select("source", "seq", "passed", c("pos").cast("long").alias("at"), step.alias("step")))
+    top, levels = rows.agg(F.max("at")).first()[0], []
+    current = rows.select("source", "at", "step")
+    while top is not None and (not levels or top > 0):
+        grouped = current.groupBy("source", F.floor(c("at") / block_rows).alias("g")).agg(
+            F.array_sort(F.collect_list(F.struct("at", "step"))).alias("items"))
+        levels.append(stage(grouped.withColumn("step", reduce_steps(F.transform("items", lambda i: i["step"])))))
+        current, top = levels[-1].select("source", c("g").alias("at"), "step"), top // block_rows
+    before = current.select("source", "at")
+    before = before.withColumn("before", F.lit(START_SCORE)) if start is None else before.join(
+        start.select("source", "score"), "source", "left").select("source", "at", F.coalesce("score", F.lit(START_SCORE)).alias("before"))
+    for level in reversed(levels):
+        opened = level.join(before.withColumnRenamed("at", "g"), ["source", "g"])
+        before = opened.select("source", F.inline(replay(c("before"), c("items"))))
+    return rows.join(before, ["source", "at"]).select(
+        "source", "seq", "passed", c("before").alias("score_before"), apply(c("before"), c("step")).alias("score_after"))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quantloom.operators import candles, memory, quality
+from quantloom.operators.blocks import index_rows
 from quantloom.operators.vectors import greedy_distinct
-from quantloom.session import read_if_there, shared_dir
+from quantloom.session import read_if_there, shared_dir, stage
 from quantloom.sources import sinks
 
 c = F.col
@@ -88,31 +89,25 @@ def route_events(events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame
     return stored.where("side = 'clean'").drop("side", "batch"), stored.where("side = 'dead'").drop("side", "batch")
 
 
-def reliability_stream(events: DataFrame) -> DataFrame:
+def stream_reliability(events: DataFrame) -> DataFrame:
     """Source scores over a stream of (source, seq, passed): scores before and after each event.
 
-    The state is one number per source; events of a micro-batch are replayed in seq order.
+    A micro-batch is walked like a batch, from the last scores of the batch before it: one row per source.
     """
-    def walk(key: tuple[str], batches, state: GroupState):
-        score = state.get[0] if state.exists else quality.START_SCORE
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        before, after = [], []
-        for passed in pdf.passed:
-            before.append(score)
-            score = min(1.0, max(0.0, score + (quality.PASS_STEP if passed else quality.FAIL_STEP)))
-            after.append(score)
-        state.update((score,))
-        yield pdf.assign(source=key[0], score_before=before, score_after=after)[
-            ["source", "seq", "passed", "score_before", "score_after"]]
-
-    out = "source string, seq bigint, passed boolean, score_before double, score_after double"
-    return events.groupBy("source").applyInPandasWithState(walk, out, "score double", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_reliability(events: DataFrame) -> DataFrame:
-    folder = new_folder(events.sparkSession, "reliability")
-    run_once(reliability_stream(events), versioned_sink(folder), folder)
-    return events.sparkSession.read.parquet(f"{folder}/data").drop("batch", "batch_id")
+    spark = events.sparkSession
+    folder = new_folder(spark, "reliability")
+
+    def walk(batch: DataFrame, batch_id: int) -> None:
+        last = read_if_there(spark, f"{folder}/scores/batch={batch_id - 1}")
+        ranked = index_rows(stage(batch), ["source"], ["seq"], F.floor(c("seq") / 100_000))
+        scored = stage(quality.clamp_walk(ranked, start=last))
+        scored.write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
+        ends = scored.groupBy("source").agg(F.max_by("score_after", "seq").alias("score"))
+        kept = ends if last is None else ends.unionByName(last.join(ends.select("source"), "source", "left_anti"))
+        kept.write.mode("overwrite").parquet(f"{folder}/scores/batch={batch_id}")
+
+    run_once(events, walk, folder)
+    return spark.read.parquet(f"{folder}/data").drop("batch")
 
 
 def stream_news_dedupe(articles: DataFrame, table_path: str) -> DataFrame:
