@@ -10,16 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm import exact_dedup, mixing, near_dups, pieces, quality
-from quantloom.llm.common import stage, table
+from quantloom.llm.common import ready, stage, table
 from quantloom.llm.queries import PIECE_MODEL
-from quantloom.session import ship_package
 
 ORACLE_SQL = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised scorer does not reject."""
-    ship_package(spark)
+    ready(spark)
     return quality.keep_good(docs)
 
 
@@ -30,7 +29,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by five-word similarity of 0.8 the one with the smallest doc_id."""
-    ship_package(spark)
+    ready(spark)
     return near_dups.keep_one(docs)
 
 
@@ -41,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the text's piece ids."""
-    ship_package(spark)
+    ready(spark)
     return pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.Vocabulary.load(PIECE_MODEL)).drop("text")
 
 

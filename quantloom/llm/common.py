@@ -13,9 +13,21 @@ from quantloom.session import ship_package, stage
 FILTER_BITS = 1 << 22
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; the package is sent to the Python workers first."""
+#: Rows of an Arrow batch, where the session has Spark's default: whole texts are large, and a batch is copied several times.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers and keep batches of texts small."""
     ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; the session is made ready first."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
