@@ -32,7 +32,7 @@ from quantloom.llm.common import stage
 
 TREES = 12
 DEPTH = 5
-SHARE = 1.4
+SHARE = 1.75
 SAMPLE = 8192
 LEAF_SAMPLE = 128  # sampled rows that a leaf has at least
 BLOCK = 4096
