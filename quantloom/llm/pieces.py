@@ -24,7 +24,6 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,10 @@ from pyspark.sql import DataFrame
 from quantloom.llm.common import slices
 
 MARK = "▁"
-#: Marked words and piece pairs that a Python worker remembers; beyond that it forgets all and goes on.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 400_000
+#: Marked words (twice: a new and an old cache) and piece pairs that a Python worker remembers.
+CACHED_WORDS, CACHED_PAIRS = 250_000, 400_000
+#: Numbers of characters that are no piece begin here, as last pieces of a prefix.
+FOREIGN = 1 << 21
 
 
 @dataclass
@@ -83,13 +84,17 @@ class Encoder:
                 longer.setdefault(p[-3:], set()).add(len(p))
         self.longer = {end: sorted(found, reverse=True) for end, found in longer.items()}
         self.sizes: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.splitter = re.compile(".+" if inner else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+", re.S) if not any("\n" in p for p in self.ids) \
             else re.compile(".+" if inner else f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
         self.forget()
 
     def forget(self) -> None:
+        """Begin a new cache; the one before it is kept to copy from."""
+        self.older: dict[str, int] = getattr(self, "known", {})
+        if self.older:
+            self.old_flat, self.old_starts, self.old_lengths = self.flat, self.starts, self.lengths
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.lengths = array("i"), array("q"), array("q")
 
@@ -107,13 +112,22 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether the two stay as they are when their characters are merged; an empty left side asks for the right one alone."""
+    def text_of(self, number: int) -> str:
+        return chr(number - FOREIGN) if number >= FOREIGN else self.vocabulary.pieces[number] if number >= 0 else ""
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether two pieces stay as they are when their characters are merged; -1 on the left asks for the right one alone."""
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        known = self.pairs[(left, right)] = self.merge(left + right) == ([left, right] if left else [right])
+        before, piece = self.text_of(left), self.text_of(right)
+        known = self.pairs[left << 24 | right] = self.merge(before + piece) == ([before, piece] if before else [piece])
         return known
 
+    def foreign(self, number: int) -> list[int]:
+        """Ids, last first, of a character that is no piece."""
+        v = self.vocabulary
+        return [v.byte_ids[b] for b in reversed(chr(number - FOREIGN).encode("utf-8", "surrogatepass"))] if v.byte_ids else [v.unknown]
+
     def ending(self, tail: str) -> tuple[int, ...]:
         """Lengths that a piece ending in these last three characters may have, longest first."""
         if len(self.sizes) >= CACHED_PAIRS:
@@ -122,55 +136,74 @@ class Encoder:
         found = self.sizes[tail] = (*(self.longer.get(tail, ()) if len(tail) > 2 else ()), *short)
         return found
 
-    def split(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """Pieces of distinct words, in sorted order. ``size[e]`` and ``total[e]`` are the states of the prefix of length e."""
-        path, size, total = "", [0], [0.0]
+    def split(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Ids of distinct words, in sorted order. The stacks hold, for each prefix of the current word, its last piece, where
+        that begins and (unigram models) the score."""
+        path, last, first, total = "", [-1], [0], [0.0]
         ids, score, unigram, sizes, pairs = self.ids, self.score, self.vocabulary.unigram, self.sizes, self.pairs
         for word in sorted(words):
-            shared = len(commonprefix((path, word)))
-            del size[shared + 1 :], total[shared + 1 :]
+            shared = 0
+            for x, y in zip(path, word):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], first[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 tail = word[end - 3 if end > 3 else 0 : end]
                 lengths = sizes.get(tail)
                 if lengths is None:
                     lengths = self.ending(tail)
-                found, best = 1, total[end - 1] + self.floor
+                found, best = -1, self.floor + total[end - 1]
                 for n in lengths:
                     start = end - n
-                    if start < 0 or (piece := word[start:end]) not in ids:
+                    if start < 0:
+                        continue
+                    piece = ids.get(word[start:end])
+                    if piece is None:
                         continue
                     if unigram:
-                        if total[start] + score[piece] > best:
-                            found, best = n, total[start] + score[piece]
+                        if total[start] + score[word[start:end]] > best:
+                            found, best, begin = piece, total[start] + score[word[start:end]], start
                         continue
-                    left = word[start - size[start] : start]
-                    fits = pairs.get((left, piece))
-                    if self.follows(left, piece) if fits is None else fits:
-                        found = n
+                    fits = pairs.get(last[start] << 24 | piece)
+                    if self.follows(last[start], piece) if fits is None else fits:
+                        found, begin = piece, start
                         break
-                size.append(found)
+                if found >= 0:
+                    last.append(found)
+                    first.append(begin)
+                else:
+                    last.append(ids.get(word[end - 1], FOREIGN + ord(word[end - 1])))
+                    first.append(end - 1)
                 total.append(best)
-            pieces, end = [], len(word)
+            path, own, end = word, [], len(word)
             while end:
-                pieces.append(word[end - size[end] : end])
-                end -= size[end]
-            pieces.reverse()
-            path = word
-            yield word, pieces
+                number = last[end]
+                if number < FOREIGN:
+                    own.append(number)
+                else:
+                    own += self.foreign(number)
+                end = first[end]
+            own.reverse()
+            yield word, own
 
     def learn(self, words: set[str]) -> None:
-        ids, v = self.ids, self.vocabulary
-        for word, pieces in self.split(words):
-            self.known[word] = len(self.starts)
-            self.starts.append(len(self.flat))
-            for piece in pieces:
-                if (i := ids.get(piece)) is not None:
-                    self.flat.append(i)
-                elif v.byte_ids:
-                    self.flat.extend([v.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")])
-                else:
-                    self.flat.append(v.unknown)
-            self.lengths.append(len(self.flat) - self.starts[-1])
+        """Put new words into the cache; those that the cache before it still holds are copied."""
+        known, starts, lengths, flat = self.known, self.starts, self.lengths, self.flat
+        new = []
+        for word in words:
+            if (at := self.older.get(word)) is None:
+                new.append(word)
+            else:
+                known[word] = len(starts)
+                starts.append(len(flat))
+                lengths.append(self.old_lengths[at])
+                flat.extend(self.old_flat[self.old_starts[at] : self.old_starts[at] + self.old_lengths[at]])
+        for word, own in self.split(new):
+            known[word] = len(starts)
+            starts.append(len(flat))
+            lengths.append(len(own))
+            flat.extend(own)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start (with the end of the last)."""
