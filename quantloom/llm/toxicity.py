@@ -2,10 +2,11 @@
 
 Terms are lower-case words and their prefixes of 3 to 8 letters. Of the terms of a bounded sample of labelled rows, those
 that toxic rows have clearly more often make up the vocabulary (``VOCABULARY`` at most, by a chi-square of ``CHI_SQUARE``
-and a share ``LIFT`` times that of other rows, or more). Term counts of every whole text are staged once; document frequencies come from all documents.
+or more). Term counts of every whole text are staged once; document frequencies come from all documents.
 
 The index keeps examples in blocks and, per term, the largest weight in each block. A search visits blocks by falling
-bound and stops when no block can beat the k-th neighbour, so its result equals a full scan's. Votes weigh by 1 / distance
+bound and stops when no block can beat the k-th neighbour; if ``ALONE`` blocks don't suffice, one pass over the postings of
+the query's terms scores all of them. Its result equals a full scan's. Votes weigh by 1 / distance
 and by how many labelled rows an example stands for; isotonic regression over the examples' own leave-one-out votes turns
 them into probabilities. The nearest examples are returned as evidence.
 
@@ -34,9 +35,9 @@ from quantloom.llm.common import bounded_sample, stage
 EXAMPLES = 3000
 VOCABULARY = 2048
 CHI_SQUARE = 25.0
-LIFT = 8.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BLOCK = 64
+ALONE = 4
 NEIGHBOURS = 15
 EVIDENCE = 3
 CACHED_WORDS = 300_000
@@ -68,7 +69,17 @@ class BlockMaxIndex:
         self.term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
         self.weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
         self.largest = np.zeros((terms, self.blocks))
-        np.maximum.at(self.largest, (self.term, np.repeat(np.arange(len(ids)), sizes) // BLOCK), self.weight)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        np.maximum.at(self.largest, (self.term, owner // BLOCK), self.weight)
+        by_term = np.argsort(self.term, kind="stable")
+        self.owner, self.posted = owner[by_term], self.weight[by_term]
+        self.starts = np.searchsorted(self.term[by_term], np.arange(terms + 1))  # where the postings of each term begin
+
+    def all_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosine with every example, from the postings of the query's terms."""
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
+        values = np.concatenate([w * self.posted[s] for s, w in zip(spans, weights)])
+        return np.bincount(np.concatenate([self.owner[s] for s in spans]), values, len(self.ids)).round(12)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, position) of the k nearest with a cosine above 0; ``without`` is left out."""
@@ -76,9 +87,15 @@ class BlockMaxIndex:
         query[terms] = weights
         bounds = weights @ self.largest[terms]
         scores, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
+        for visited, block in enumerate(np.argsort(-bounds, kind="stable")):
             if bounds[block] <= 0 or bounds[block] + 1e-9 < least:
                 break
+            if visited == ALONE:
+                own = self.all_scores(terms, weights)
+                places = np.flatnonzero((own > 0) & (own >= least - 1e-11))
+                places = places[places != without]
+                scores = own[places]
+                break
             first, last = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
             a, b = self.rows[first], self.rows[last]
             own = np.add.reduceat(self.weight[a:b] * query[self.term[a:b]], self.rows[first:last] - a).round(12)
@@ -91,7 +108,7 @@ class BlockMaxIndex:
                 scores, places = scores[best], places[best]
             if len(scores) == k:
                 least = float(scores.min())
-        best = np.lexsort((self.ids[places], -scores))
+        best = np.lexsort((self.ids[places], -scores))[:k]
         return list(zip(scores[best].tolist(), places[best].tolist()))
 
 
@@ -179,7 +196,7 @@ def vocabulary(rows: DataFrame, limit: int = VOCABULARY) -> list[str]:
     a, b, total = c("toxic") / F.lit(size.toxic), c("clean") / F.lit(size.clean), float(size.clean + size.toxic)
     both = (c("toxic") + c("clean")) / F.lit(total)
     chi = (a - b) * (a - b) / (both * (F.lit(1.0) - both) * F.lit(1.0 / size.toxic + 1.0 / size.clean) + F.lit(1e-12))
-    best = counted.where((c("term") != "") & (c("toxic") >= 2) & (a >= b * LIFT)).withColumn("chi", chi).where(c("chi") >= CHI_SQUARE)
+    best = counted.where((c("term") != "") & (c("toxic") >= 2) & (a > b)).withColumn("chi", chi).where(c("chi") >= CHI_SQUARE)
     return [r.term for r in best.orderBy(c("chi").desc(), "term").limit(limit).collect()]
 
 

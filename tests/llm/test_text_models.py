@@ -129,6 +129,28 @@ def test_block_max_search_equals_a_full_scan():
         assert [g[0] for g in got] == pytest.approx([f[0] for f in full]) and sorted(i for _, i in got[:10]) == sorted(i for _, i in full[:10]) or len(full) < 10
 
 
+def test_many_blocks_are_scored_like_a_full_scan(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    vectors, index, terms = random_index()
+    dense = np.zeros((len(vectors), terms))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for at, i in enumerate(index.order[:80]):
+        scores = (dense @ dense[i]).round(12)
+        full = sorted((-s, j * 3) for j, s in enumerate(scores) if s > 0 and j != i)[:15]
+        got = index.nearest(*vectors[i], 15, without=at)
+        assert [g[0] for g in got] == pytest.approx([-s for s, _ in full]) and len(got) == len(full)
+
+
+def test_words_three_times_as_frequent_in_toxic_rows_count(spark):
+    rows = [(i, int(i < 200), ("grim " if i % 10 < (6 if i < 200 else 2) else "mild ") + f"w{i % 7}") for i in range(800)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows] + [(900, "a grim text"), (901, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, toxic int")
+    assert "grim" in toxicity.vocabulary(docs.join(labels, "doc_id"))
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect() if r.doc_id >= 900}
+    assert got[900].evidence and not got[901].evidence and got[900].score > got[901].score
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
