@@ -94,9 +94,10 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Staged (row, doc_id, set_key, bands): ``row`` is a number of its own, set_key is null without a word."""
-    kind = dict(docs.dtypes)["doc_id"]
+def sketches(docs: DataFrame, bands: int, rows: int, row: str | None = None) -> DataFrame:
+    """Staged (row, doc_id, set_key, bands): ``row`` is a number of its own or that column, set_key is null without a word."""
+    names = ["doc_id", *([row] if row else [])]
+    kinds = ", ".join(f"{n} {dict(docs.dtypes)[n]}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(bands, rows)
@@ -106,10 +107,10 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 found = shingler.shingles(text.as_py())
                 keys.append(None if found is None else set_key(found))
                 hashes.append(None if found is None else shingler.band_hashes(found))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], [*names, "set_key", "bands"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key binary, bands array<long>")
-    return stage(found.withColumn("row", F.monotonically_increasing_id()))
+    found = docs.select(*names, "text").mapInArrow(run, f"{kinds}, set_key binary, bands array<long>")
+    return stage(found.withColumnRenamed(row, "row") if row else found.withColumn("row", F.monotonically_increasing_id()))
 
 
 def distinct_texts(found: DataFrame) -> DataFrame:
@@ -215,14 +216,10 @@ def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, bands: int, r
     return stage(compare_blocks(dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other"), threshold))
 
 
-def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, text_id, copies, n_linked_texts and n_links.
-
-    class_id: smallest doc_id of all connected documents; text_id: of those with equal shingles; copies: how many these
-    are; n_linked_texts: other texts of the threshold's similarity; n_links: other documents, copies counted.
-    """
+def classified(docs: DataFrame, threshold: float, recall: float, block: int, row: str | None = None) -> DataFrame:
+    """Per document: row, doc_id and what is known of its text (``_key`` and the rest are null without a word)."""
     bands, rows = choose_bands(threshold, recall)
-    found = sketches(docs, bands, rows)
+    found = sketches(docs, bands, rows, row)
     texts = distinct_texts(found)
     groups = stage(components(candidate_links(texts)))
     pairs = verified(docs, texts, groups, bands, rows, threshold, block)
@@ -232,8 +229,17 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     named = stage(texts.select("node", "set_key", "copies").join(own, "set_key").join(linked, "node", "left").join(counts, "node", "left").select(
         "set_key", "copies", "text_id", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked_copies", F.lit(0)).alias("linked_copies")))
     smallest = stage(named.groupBy("class").agg(F.min("text_id").alias("class_id")))
-    final = stage(named.join(smallest, "class").select(c("set_key").alias("_key"), "copies", "text_id", "class_id", "links", "linked_copies"))
-    joined = found.select("doc_id", "set_key").join(final, c("set_key") == c("_key"), "left")
+    final = stage(named.join(smallest, "class").select(c("set_key").alias("_key"), "copies", "text_id", "class", "class_id", "links", "linked_copies"))
+    return found.select("row", "doc_id", "set_key").join(final, c("set_key") == c("_key"), "left")
+
+
+def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, class_id, text_id, copies, n_linked_texts and n_links.
+
+    class_id: smallest doc_id of all connected documents; text_id: of those with equal shingles; copies: how many these
+    are; n_linked_texts: other texts of the threshold's similarity; n_links: other documents, copies counted.
+    """
+    joined = classified(docs, threshold, recall, block)
     alone = c("_key").isNull()
     return joined.select(
         "doc_id", F.when(alone, c("doc_id")).otherwise(c("class_id")).alias("class_id"), F.when(alone, c("doc_id")).otherwise(c("text_id")).alias("text_id"),
@@ -242,10 +248,15 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest doc_id. Only texts that may go pass a shuffle."""
-    classes = join_similar(docs)
-    gone = stage(classes.where("not (doc_id <=> class_id)").select(c("doc_id").alias("_gone")).distinct())
-    marked = maybe_in(docs, "doc_id", stage(bitmap(gone, "_gone")), "_maybe")
+    """``docs`` with one row of each class, the one with the smallest doc_id (null comes last). Only texts that may go pass a shuffle.
+
+    Rows are told apart by a number of their own, so null and repeated ids neither take others along nor save copies.
+    """
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    several = stage(classified(numbered, THRESHOLD, TARGET_RECALL, BLOCK, "_row").where("linked_copies + copies > 1").select("row", "doc_id", "class"))
+    kept = stage(several.groupBy("class").agg(F.min(F.struct(c("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row"))
+    gone = stage(several.join(kept, "row", "left_anti").select(c("row").alias("_gone")))
+    marked = maybe_in(numbered, "_row", stage(bitmap(gone, "_gone")), "_maybe")
     safe = marked.where("not _maybe").drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe").join(gone, c("doc_id").eqNullSafe(c("_gone")), "left_anti")
+    rest = marked.where("_maybe").drop("_maybe").join(gone, c("_row") == c("_gone"), "left_anti")
     return safe.unionByName(rest).select(*[f"`{n}`" for n in docs.columns])

@@ -134,6 +134,20 @@ def test_one_of_each_class_stays(awkward):
     assert 130 in ids and not {131, 140, 111} & set(ids) and 110 in ids and ids[None] == 2
 
 
+def test_null_and_repeated_ids_are_judged_row_by_row(spark, words):
+    def text(at, changed=""):
+        return " ".join([*words[at : at + 59], changed or words[at + 59]])
+
+    rows = [(1, text(0)), (None, text(0, "changed")), (None, text(60)),  # a null-id copy takes no other row along
+            (5, text(0, "other")), (5, text(120)),  # nor does a copy under an id of its own
+            (None, text(180)), (None, text(180)), (None, text(180, "changed")),  # one of a class without ids stays
+            (7, text(240)), (7, text(240)), (7, text(240, "changed")), (7, text(300)),
+            (None, None), (None, ""), (7, "")]
+    left = Counter((r.doc_id, (r.text or "").split(" ")[0]) for r in near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = [words[at] for at in range(0, 360, 60)]
+    assert left == Counter([(1, first[0]), (None, first[1]), (5, first[2]), (None, first[3]), (7, first[4]), (7, first[5]), (None, ""), (None, ""), (7, "")])
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_dups.choose_bands(0.8, 0.9999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
