@@ -289,7 +289,7 @@ def ensemble_texts(spark, sf_dir):
 def risk_decisions(spark, sf_dir):
     df = risk.evaluate(voted(spark, sf_dir), DEFAULT.trading)
     return rounded(df, [*KEY, "risk_level", "final_action", "approved", "override_applied"], {
-        1: ["capital_at_risk", "entry_price"], 2: ["stop_loss", "target", "position_size"], 3: ["risk_reward_ratio"]})
+        1: ["capital_at_risk"], 2: ["entry_price", "stop_loss", "target", "position_size"], 3: ["risk_reward_ratio"]})
 
 
 @query

@@ -7,11 +7,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
-from quantloom.session import prepare  # noqa: E402
+from bars import BAR_SCHEMA  # noqa: E402
 
-BAR_SCHEMA = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
+from quantloom.session import prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -31,13 +31,3 @@ def trend80(spark):
         price += 0.4 + (i % 5) * 0.05
         rows.append(("INFY", datetime(2026, 1, 1) + timedelta(days=i), price - 0.4, price + 1, price - 1, price, 100000.0 + 1500 * i))
     return spark.createDataFrame(rows, BAR_SCHEMA)
-
-
-def minute_bars(spark, symbol, changes, spread, count=80):
-    rows, price = [], 1500.0
-    for i in range(count):
-        start = price
-        price += changes[i % len(changes)]
-        rows.append((symbol, datetime(2026, 1, 1, 9) + timedelta(minutes=i), start, max(start, price) + spread,
-                     min(start, price) - spread, price, 150000.0 + i))
-    return spark.createDataFrame(rows, BAR_SCHEMA)

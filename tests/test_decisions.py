@@ -4,7 +4,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
-from conftest import minute_bars
+from bars import minute_bars
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

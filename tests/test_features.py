@@ -64,11 +64,20 @@ def test_asof_matches_pandas(spark):
     t0 = datetime(2024, 1, 1)
     left = pd.DataFrame({"ts": sorted(t0 + timedelta(seconds=int(s)) for s in rng.choice(400_000, 300, replace=False)), "x": range(300)})
     right = pd.DataFrame({"ts": sorted(t0 + timedelta(seconds=int(s)) for s in rng.choice(400_000, 40, replace=False)), "v": rng.random(40)})
-    got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), "ts", ["v"], time_slice("ts", 3600), buckets=3)
+    got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), "ts", ["v"], time_slice("ts", 3600), bucket_rows=3)
     want = pd.merge_asof(left, right, on="ts")
     pd.testing.assert_series_equal(got.toPandas().sort_values("x").v.reset_index(drop=True), want.v, check_names=False)
 
 
+def test_asof_keeps_rows_without_key_or_time(spark):
+    at = datetime(2024, 1, 1)
+    left = spark.createDataFrame([("a", at, 1), (None, at, 2), ("a", None, 3), ("b", at, 4)], "k string, ts timestamp, x int")
+    right = spark.createDataFrame([("a", at, 0.5), (None, at, 0.7), ("a", None, 0.9)], "k string, ts timestamp, v double")
+    got = {r.x: r.v for r in asof_join(left, right, "ts", ["v"], time_slice("ts", 3600), by=["k"]).collect()}
+    assert got == {1: 0.5, 2: None, 3: None, 4: None}
+    assert asof_join(left.limit(0), right, "ts", ["v"], time_slice("ts", 3600), by=["k"]).count() == 0
+
+
 def test_leak_free_uses_the_previous_day(spark, trend80):
     news = spark.createDataFrame(
         [("INFY", datetime(2026, 1, 10).date(), 0.8, 2, 2, 0, 0.0)],
