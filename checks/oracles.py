@@ -506,7 +506,11 @@ rs AS (SELECT *, CASE WHEN unit > 0 THEN round(least(1e4 / unit, 1e6 / greatest(
 ORACLES["risk_decisions"] = f"""{VOTE}, {RISK}, {SIZE} SELECT symbol, ts, risk_level, final_action, final_action = suggested_action AND final_action <> 'HOLD' AND risk_level NOT IN ('HIGH', 'EXTREME') AS approved,
   final_action <> suggested_action AS override_applied, round(CASE WHEN risk_level <> 'EXTREME' THEN st END, 2) + 0.0 AS stop_loss,
   round(CASE WHEN risk_level <> 'EXTREME' THEN tg END, 2) + 0.0 AS target, round(rr, 3) + 0.0 AS risk_reward_ratio,
-  round("close"::DECIMAL(20, 8), 2)::DOUBLE AS entry_price, round(qty * share, 2) + 0.0 AS position_size, round(risky * share, 1) + 0.0 AS capital_at_risk FROM rs"""
+  CASE WHEN final_action <> suggested_action THEN 'Risk engine overrode ' || suggested_action || ' to ' || final_action || '; ' || coalesce(nullif(concat_ws('; ',
+    CASE WHEN coalesce(volume, 0) <= 0 THEN 'latest candle volume is zero' END, CASE WHEN coalesce(atr_14, 0) <= 0 THEN 'ATR is unavailable' END,
+    CASE WHEN rr < 1.5 THEN 'risk/reward is below #' END), ''), 'risk level is ' || risk_level) || '; risk/reward is #'
+    ELSE 'Risk engine approved ' || final_action || '; risk level is ' || risk_level || ', ATR percentage is #, and risk/reward is #' END AS reason,
+  true AS entry_at_close, true AS entry_in_cents, round(qty * share, 2) + 0.0 AS position_size, round(risky * share, 1) + 0.0 AS capital_at_risk FROM rs"""
 ORACLES["risk_gate"] = f"""{VOTE}, {RISK}, {SIZE},
 g0 AS (SELECT *, year(ts) < 1996 AS stale, volume_ratio >= 2.5 AS anom, abs(drawdown_60) >= 0.15 AS dd, round(rr, 3) < 1.2 AS poor FROM rs),
 g1 AS (SELECT *, CASE WHEN stale THEN 'AVOID' ELSE suggested_action END AS a1 FROM g0),

@@ -287,9 +287,12 @@ def ensemble_texts(spark, sf_dir):
 
 @query
 def risk_decisions(spark, sf_dir):
-    df = risk.evaluate(voted(spark, sf_dir), DEFAULT.trading)
-    return rounded(df, [*KEY, "risk_level", "final_action", "approved", "override_applied"], {
-        1: ["capital_at_risk"], 2: ["entry_price", "stop_loss", "target", "position_size"], 3: ["risk_reward_ratio"]})
+    # entry_price is the close at two places; on exact halves the last bit of a mean decides, so the distance is checked
+    df = risk.evaluate(voted(spark, sf_dir), DEFAULT.trading).withColumns({
+        "reason": F.regexp_replace("risk_reason", "[0-9.]+%?", "#"), "entry_at_close": F.abs(c("entry_price") - c("close")) < 0.00500001,
+        "entry_in_cents": F.abs(c("entry_price") * 100 - F.round(c("entry_price") * 100)) < 1e-6})
+    return rounded(df, [*KEY, "risk_level", "final_action", "approved", "override_applied", "reason", "entry_at_close", "entry_in_cents"], {
+        1: ["capital_at_risk"], 2: ["stop_loss", "target", "position_size"], 3: ["risk_reward_ratio"]})
 
 
 @query
