@@ -217,3 +217,23 @@ hits AS (
 SELECT page_id, url, coalesce(n_hits > 0 AND NOT allowed, false) AS blocked, coalesce(n_hits, 0)::INT AS n_hits, coalesce(hits, '') AS hits
 FROM captures LEFT JOIN hits USING (page_id)
 """
+
+
+@query
+def op11_warc(spark, sf_dir):
+    """Every page through a monolithic archive, the normaliser and a read by offset."""
+    from quantloom.llm import warc
+
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+#: Base32 of a 40-digit hex digest: four groups of 40 bits, eight letters each.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, {10 * g + 1}, 10))::BIGINT >> {35 - 5 * i}) & 31)::INT + 1, 1)" for g in range(4) for i in range(8))
+ORACLES["op11_warc"] = f"""
+WITH hashed AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keep, row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS n FROM hashed)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN keep END AS refers_to, url AS uri, true AS intact
+FROM ranked
+"""
