@@ -237,3 +237,49 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_BASE32} AS payload_dige
        CASE WHEN n > 1 THEN keep END AS refers_to, url AS uri, true AS intact
 FROM ranked
 """
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Runs of every document, a tenth of which get a repeated end."""
+    from quantloom.llm import periodic
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs, periodic.repeated_text(c("doc_id"), c("text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(c("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector, components as integers, labels of every seventh moved on."""
+    from quantloom.llm import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    whole = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    moved = F.when(c("vec_id") % 7 == 0, (c("label") + 1) % 10).otherwise(c("label"))
+    ready_rows = vectors.where(whole).select("vec_id", moved.alias("label"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return hard_negatives.mine(ready_rows, c("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH base AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.n AS anchor, a.vec_id AS anchor_id, b.n, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM (SELECT * FROM base WHERE vec_id % 100 = 0) a JOIN base b ON a.n <> b.n),
+positives AS (
+  SELECT anchor, n AS p, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, n) <= 5)
+SELECT s.anchor_id, p.positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM scored s JOIN positives p USING (anchor)
+WHERE NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+WINDOW w AS (PARTITION BY anchor, p.p ORDER BY s.score DESC, s.vec_id, s.n)
+"""
