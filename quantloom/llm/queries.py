@@ -280,6 +280,6 @@ positives AS (
 SELECT s.anchor_id, p.positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
 FROM scored s JOIN positives p USING (anchor)
 WHERE NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
-QUALIFY rank <= 5
 WINDOW w AS (PARTITION BY anchor, p.p ORDER BY s.score DESC, s.vec_id, s.n)
+QUALIFY rank <= 5
 """
