@@ -24,7 +24,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def cell(v: object) -> str:
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
         if isinstance(v, pd.Timestamp):
             return v.strftime("%Y-%m-%d %H:%M:%S.%f")

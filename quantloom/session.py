@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -75,5 +77,37 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     delete_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _staged_paths(spark).append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quantloom_path = path
+    return back
 
+
+def _staged_paths(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_quantloom_staged"):
+        context._quantloom_staged = []
+    return context._quantloom_staged
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned and nothing unwritten reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._quantloom_path)
+        _staged_paths(df.sparkSession).remove(df._quantloom_path)
+
+
+@contextmanager
+def only_result_stays(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete all tables staged inside the block, but for those put into the list that it yields."""
+    before, kept = set(_staged_paths(spark)), []
+    yield kept
+    keep = before | {df._quantloom_path for df in kept}
+    for path in [p for p in _staged_paths(spark) if p not in keep]:
+        _delete(spark, path)
+        _staged_paths(spark).remove(path)
