@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.session import ship_package, stage
+from quantloom.session import ship_package, stage, unstage
 
-#: Bits of a bitmap of keys: 65,536 words of 64 bits, about 1 MB as a broadcast table, whatever the input.
-FILTER_BITS = 1 << 22
+c = F.col
+
+#: A bitmap of keys has BITS_PER_KEY bits for each, at least FILTER_BITS and at most MOST_BITS: a broadcast table of 65,536 to
+#: 2,097,152 words of 64 bits. Beyond that false positives grow, which costs shuffle but changes no result.
+FILTER_BITS, BITS_PER_KEY, MOST_BITS = 1 << 22, 16, 1 << 27
 
 
 #: Rows of an Arrow batch, where the session has Spark's default: whole texts are large, and a batch is copied several times.
@@ -60,18 +65,62 @@ def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[in
         yield start, len(texts)
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """A bit for the hash of every value of ``key``: at most FILTER_BITS / 64 rows (word, bits)."""
-    bit = keys.select(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("_bit"))
+class Bitmap(NamedTuple):
+    words: DataFrame  # (_word, _bits)
+    bits: int
+
+
+def bitmap(keys: DataFrame, *key: str) -> Bitmap:
+    """A bit for the hash of every value of ``key``, staged; sized by their number."""
+    hashed = stage(keys.select(F.xxhash64(*key).alias("_hash")))
+    bits, count = FILTER_BITS, hashed.count()
+    while bits < min(MOST_BITS, count * BITS_PER_KEY):
+        bits *= 2
+    bit = hashed.select(F.pmod("_hash", F.lit(bits)).alias("_bit"))
     words = bit.select(F.expr("cast(_bit div 64 as int)").alias("_word"), F.expr("shiftleft(1L, cast(_bit % 64 as int))").alias("_bits"))
-    return words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    held = stage(words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
+    unstage(hashed)
+    return Bitmap(held, bits)
 
 
-def maybe_in(rows: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
+def maybe_in(rows: DataFrame, key: str | tuple[str, ...], held: Bitmap, flag: str) -> DataFrame:
     """Adds a boolean: the bit of ``key`` is set. Unset means that the value is not among the keys; rows are not shuffled."""
-    marked = rows.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("_word", F.expr("cast(_bit div 64 as int)"))
+    names = (key,) if isinstance(key, str) else key
+    marked = rows.withColumn("_bit", F.pmod(F.xxhash64(*names), F.lit(held.bits))).withColumn("_word", F.expr("cast(_bit div 64 as int)"))
     test = F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1L") == 1
-    return marked.join(F.broadcast(bits), "_word", "left").withColumn(flag, F.coalesce(test, F.lit(False))).drop("_bit", "_word", "_bits")
+    return marked.join(F.broadcast(held.words), "_word", "left").withColumn(flag, F.coalesce(test, F.lit(False))).drop("_bit", "_word", "_bits")
+
+
+#: Columns that name a row for good: its file and its place in it.
+ROW = ("_row_file", "_row_at")
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns ``ROW``. A plain scan of files has them already, anything else is staged first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    files = docs if plan.nodeName() == "LogicalRelation" else stage(docs)
+    try:
+        return files.select(*[c(f"`{n}`") for n in docs.columns], c("_metadata.file_path").alias("_row_file"), c("_metadata.row_index").alias("_row_at"))
+    except AnalysisException:  # files of a format without row numbers
+        files = stage(docs)
+        return files.select(*[c(f"`{n}`") for n in docs.columns], c("_metadata.file_path").alias("_row_file"), c("_metadata.row_index").alias("_row_at"))
+
+
+def without_rows(named: DataFrame, gone: DataFrame) -> DataFrame:
+    """``named_rows`` but for those in staged ``gone`` (``ROW``).
+
+    Two bitmaps tell apart which rows go and which only seem to, so that hardly any content is shuffled: rows in neither
+    pass, rows that go for certain are dropped where they lie, and a few that both bitmaps flag are joined.
+    """
+    names = [c(f"`{n}`") for n in named.columns if n not in ROW]
+    go = bitmap(gone, *ROW)
+    flagged = maybe_in(named.select(*ROW), ROW, go, "_maybe").where("_maybe").drop("_maybe")
+    stay = bitmap(stage(flagged.join(gone, list(ROW), "left_anti")), *ROW)  # false positives of the first
+    marked = maybe_in(maybe_in(named, ROW, go, "_maybe"), ROW, stay, "_unsure")
+    sure = marked.where("not _maybe").select(*names)
+    return sure.unionByName(marked.where("_maybe and _unsure").join(gone, list(ROW), "left_anti").select(*names))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -93,5 +142,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = stage(around.where("v > u").join(smallest, F.col("u") == F.col("n")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         lowest = stage(large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "n"))
         joined = large.join(lowest, F.col("hi") == F.col("n"))
+        used = (current, smallest, large, lowest)
         current = stage(joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(
             lowest.select(F.col("n").alias("hi"), F.col("m").alias("lo"))).distinct())
+        unstage(*used)

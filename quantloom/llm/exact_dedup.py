@@ -1,6 +1,6 @@
 """Exact de-duplication by progressive refinement: length, then prefix hash, then full hash.
 
-Each level counts its groups with a map-side aggregate and publishes those of two rows or more as a bitmap of fixed
+Each level counts its groups with a map-side aggregate and publishes those of two rows or more as a bitmap of bounded
 size (``common.bitmap``), which is the only thing that is broadcast. A row whose bit is unset is alone and leaves the
 refinement; the next level is computed for the others only. A false positive of the bitmap costs one hash and changes
 no result. Full texts are hashed for surviving groups only and are never shuffled by the refinement.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bitmap, maybe_in, stage
+from quantloom.llm.common import ROW, Bitmap, bitmap, maybe_in, named_rows, stage, without_rows
 
 PREFIX_CHARS = 256
 c = F.col
@@ -32,7 +32,7 @@ def level_keys() -> dict[str, Column]:
     }
 
 
-def shared_bits(rows: DataFrame, key: str) -> DataFrame:
+def shared_bits(rows: DataFrame, key: str) -> Bitmap:
     """Bitmap of the values of ``key`` that two or more rows have."""
     return bitmap(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), key)
 
@@ -40,8 +40,8 @@ def shared_bits(rows: DataFrame, key: str) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_alive``: the document shares length and prefix hash with another one (or seems to)."""
     small = stage(docs.select(*[v.alias(k) for k, v in level_keys().items()]))
-    by_length = maybe_in(small, "_length", stage(shared_bits(small, "_length")), "_same_length").where("_same_length")
-    bits = stage(shared_bits(by_length, "_prefix"))
+    by_length = maybe_in(small, "_length", shared_bits(small, "_length"), "_same_length").where("_same_length")
+    bits = shared_bits(by_length, "_prefix")
     return maybe_in(docs.withColumn("_prefix", level_keys()["_prefix"]), "_prefix", bits, "_alive").drop("_prefix")
 
 
@@ -69,13 +69,14 @@ def find_copies(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are not kept. Only texts of surviving groups pass a shuffle."""
-    names = docs.columns
-    flagged = survivors(docs)
-    alive = flagged.where("_alive").withColumn("_full", F.sha2(content().cast("binary"), 256))
-    ids = stage(alive.select("doc_id", "_full", F.lit(0).alias("_row")))
-    groups = groups_of(ids).select(c("_full").alias("_group"), "_keep_id", "_size")
-    joined = alive.join(groups, c("_full") == c("_group"), "left")
-    single = joined.where("_size is null").select(*names)
-    kept = joined.where(c("_size").isNotNull() & c("doc_id").eqNullSafe(c("_keep_id"))).dropDuplicates(["_full"]).select(*names)
-    return flagged.where("not _alive").select(*names).unionByName(single).unionByName(kept)
+    """``docs`` without the rows that are not kept; of rows that share text and doc_id the last by file and place stays.
+
+    Rows are told apart by where they lie, so only lengths, hashes and ids are shuffled, no texts.
+    """
+    named = named_rows(docs)
+    flagged = survivors(named.select("doc_id", "text", *ROW)).where("_alive")
+    alive = stage(flagged.select("doc_id", *ROW, F.sha2(content().cast("binary"), 256).alias("_full")))
+    best = alive.groupBy("_full").agg(F.count(F.lit(1)).alias("_size"), F.max(F.struct("doc_id", *ROW)).alias("_keep"))
+    groups = stage(best.where("_size > 1").select(c("_full").alias("_group"), *[c(f"_keep.{n}").alias(f"_keep{n}") for n in ROW]))
+    lost = alive.join(groups, c("_full") == c("_group")).where((c("_row_file") != c("_keep_row_file")) | (c("_row_at") != c("_keep_row_at")))
+    return without_rows(named, stage(lost.select(*ROW)))

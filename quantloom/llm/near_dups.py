@@ -3,12 +3,13 @@
 Texts become sets of hashed five-word shingles. Documents of equal sets are one text. The number of bands and of rows per
 band is the most selective one that reaches ``TARGET_RECALL`` at the threshold. Band hashes are shuffled with an id each; a
 bucket of several texts links each of them to its smallest id (never all pairs), and the components of these links bring
-candidates together. Each candidate's shingles are computed once more and go to its component, where every pair is
-compared on full sets; a large component is dealt into block pairs of bounded size, so no task holds more than two blocks.
+candidates together. Each candidate's text, found by its place and not by its id, goes to its component, where every pair is
+compared on full sets; texts whose sizes rule the threshold out don't link, which keeps chains of unlike candidates short. A
+large component is dealt into block pairs of bounded size, so no task holds more than two blocks.
 A block pair returns, per text, how many it is linked to and one edge towards the smallest text it is connected with, so
 the output grows with texts, not with pairs, while no link inside a component is lost.
 
-Bounds: a block holds about ``BLOCK`` texts; bitmaps that spare texts without a candidate the shuffle have a fixed size.
+Bounds: a block holds about ``BLOCK`` texts; bitmaps that spare texts without a candidate the shuffle have a bounded size.
 
 Defined cases: words are runs of word characters, lower case. Null texts and texts without a word take part in no link.
 A text of fewer than five words has one shingle, all its words. A document's class is the smallest doc_id of all that are
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.chat import grouped
-from quantloom.llm.common import bitmap, components, maybe_in, stage
+from quantloom.llm.common import ROW, bitmap, components, maybe_in, named_rows, stage, unstage, without_rows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -94,37 +95,46 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def sketches(docs: DataFrame, bands: int, rows: int, row: str | None = None) -> DataFrame:
-    """Staged (row, doc_id, set_key, bands): ``row`` is a number of its own or that column, set_key is null without a word."""
-    names = ["doc_id", *([row] if row else [])]
-    kinds = ", ".join(f"{n} {dict(docs.dtypes)[n]}" for n in names)
+def sketches(named: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Staged (row, ROW, doc_id, set_key, size, bands) of ``named_rows``: set_key and what follows are null without a word."""
+    names = ["doc_id", *ROW]
+    kinds = f"doc_id {dict(named.dtypes)['doc_id']}, _row_file string, _row_at long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(bands, rows)
         for batch in batches:
-            keys, hashes = [], []
+            keys, sizes, hashes = [], [], []
             for text in batch.column("text"):
                 found = shingler.shingles(text.as_py())
                 keys.append(None if found is None else set_key(found))
+                sizes.append(None if found is None else len(found))
                 hashes.append(None if found is None else shingler.band_hashes(found))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], [*names, "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in names], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], [*names, "set_key", "size", "bands"])
 
-    found = docs.select(*names, "text").mapInArrow(run, f"{kinds}, set_key binary, bands array<long>")
-    return stage(found.withColumnRenamed(row, "row") if row else found.withColumn("row", F.monotonically_increasing_id()))
+    found = named.select(*names, "text").mapInArrow(run, f"{kinds}, set_key binary, size long, bands array<long>")
+    return stage(found.withColumn("row", F.monotonically_increasing_id()))
 
 
 def distinct_texts(found: DataFrame) -> DataFrame:
-    """Staged (node, doc_id, set_key, copies, bands), one row per set of shingles; node is its first row."""
-    first = found.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("row", "doc_id", "bands")).alias("_first"), F.count(F.lit(1)).alias("copies"))
-    return stage(first.select(c("_first.row").alias("node"), c("_first.doc_id").alias("doc_id"), "set_key", "copies", c("_first.bands").alias("bands")))
+    """Staged (node, ROW, set_key, size, copies, bands), one row per set of shingles; node is its first row."""
+    first = found.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("row", *ROW, "size", "bands")).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    return stage(first.select(c("_first.row").alias("node"), *[c(f"_first.{n}").alias(n) for n in (*ROW, "size", "bands")], "set_key", "copies"))
 
 
-def candidate_links(texts: DataFrame) -> DataFrame:
-    """(a, b): each text of a bucket and the bucket's smallest."""
-    banded = texts.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
-    shared = stage(banded.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(c("bucket").alias("key"), "b"))
-    likely = maybe_in(banded, "bucket", stage(bitmap(shared, "key")), "_shared").where("_shared").drop("_shared")
-    return likely.join(shared, c("bucket") == c("key")).where("node <> b").select(c("node").alias("a"), "b")
+def candidate_links(texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each text of a bucket and the bucket's smallest, among texts whose sizes allow the threshold.
+
+    Sets of a similarity of ``threshold`` differ in size by that factor at most, so they are in the same step of a scale of
+    this factor or in neighbouring ones: each text is asked for in its own step and the next one.
+    """
+    banded = texts.select("node", "size", F.posexplode("bands").alias("band", "hash")).select("node", "size", F.xxhash64("band", "hash").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    likely = maybe_in(banded, "bucket", bitmap(shared, "bucket"), "_shared").where("_shared").drop("_shared")
+    step = F.floor(F.log(c("size")) / -math.log(threshold) + 1e-9)
+    keyed = stage(likely.withColumn("step", F.explode(F.array(step, step + 1))).select("node", F.xxhash64("bucket", "step").alias("bucket")))
+    least = stage(keyed.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(c("bucket").alias("key"), "b"))
+    return keyed.join(least, c("bucket") == c("key")).where("node <> b").select(c("node").alias("a"), "b")
 
 
 def linked_pairs(sets: list[np.ndarray], first: int, threshold: float) -> list[tuple[int, int]]:
@@ -155,15 +165,17 @@ def linked_pairs(sets: list[np.ndarray], first: int, threshold: float) -> list[t
     return list(zip(x.tolist(), y.tolist()))
 
 
-def compare_blocks(dealt: DataFrame, threshold: float) -> DataFrame:
+def compare_blocks(dealt: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
     """Per text of a block pair that has a link: (node, root, links, linked_copies)."""
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("linked_copies", pa.int64())])
+    names = ("comp", "left", "right", "node", "copies", "block", "shingles", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((tuple(r[:3]), *r[3:]) for b in batches for r in zip(*[b.column(n).to_pylist() for n in ("comp", "left", "right", "node", "copies", "block", "shingles")]))
+        shingler = Shingler(bands, rows)
+        source = ((tuple(r[:3]), *r[3:]) for b in batches for r in zip(*[b.column(n).to_pylist() for n in names]))
         out: list[tuple[int, int, int, int]] = []
-        for (_, left, right), members in grouped(rows):
-            texts = sorted({m[1]: m for m in members}.values(), key=lambda m: (m[3] != left, m[1]))
+        for (_, left, right), members in grouped(source):
+            texts = sorted(members, key=lambda m: (m[3] != left, m[1]))
             first = sum(m[3] == left for m in texts) if left != right else 0
             root = list(range(len(texts)))
 
@@ -175,7 +187,8 @@ def compare_blocks(dealt: DataFrame, threshold: float) -> DataFrame:
 
             links, copies = [0] * len(texts), [0] * len(texts)
             if len(texts) > 1 and (left == right or 0 < first < len(texts)):
-                for x, y in linked_pairs([np.frombuffer(m[4], np.uint64) for m in texts], first, threshold):
+                sets = [shingler.shingles(m[5]) if m[4] is None else np.frombuffer(m[4], np.uint64) for m in texts]
+                for x, y in linked_pairs(sets, first, threshold):
                     links[x] += 1
                     links[y] += 1
                     copies[x] += texts[y][2]
@@ -192,45 +205,54 @@ def compare_blocks(dealt: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], schema=schema)
 
     placed = dealt.repartition("comp", "left", "right").sortWithinPartitions("comp", "left", "right")
-    return placed.select("comp", "left", "right", "node", "copies", "block", "shingles").mapInArrow(run, "node long, root long, links long, linked_copies long")
+    return placed.select(*names).mapInArrow(run, "node long, root long, links long, linked_copies long")
 
 
-def verified(docs: DataFrame, texts: DataFrame, groups: DataFrame, bands: int, rows: int, threshold: float, block: int) -> DataFrame:
-    """Staged block results of all candidate components (node, root)."""
+def verified(named: DataFrame, texts: DataFrame, groups: DataFrame, bands: int, rows: int, threshold: float, block: int) -> DataFrame:
+    """Staged block results of all candidate components (node, root).
+
+    Members are joined to their text by row. Texts travel as they are to a component of one block, which takes their shingles;
+    for components of several blocks shingles are taken once, before they are dealt out.
+    """
     sizes = stage(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("root", "comp"))
     placed = groups.join(sizes, c("root") == c("comp")).select("node", "comp", "blocks")
-    members = stage(placed.join(texts.drop("bands"), "node").select("node", "comp", "blocks", c("doc_id").alias("_id"), c("set_key").alias("_key"), "copies"))
-    likely = maybe_in(docs.select("doc_id", "text"), "doc_id", stage(bitmap(members, "_id")), "_member").where("_member").drop("_member")
-    found = likely.join(members, c("doc_id").eqNullSafe(c("_id"))).drop("doc_id", "_id")
+    members = stage(placed.join(texts.select("node", *ROW, "copies"), "node"))
+    likely = maybe_in(named.select(*ROW, "text"), ROW, bitmap(members, *ROW), "_member").where("_member").drop("_member")
+    found = likely.join(members, list(ROW)).select("text", "node", "comp", "blocks", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(bands, rows)
         for batch in batches:
-            sets = [shingler.shingles(t.as_py()) for t in batch.column("text")]
-            keep = [i for i, (s, k) in enumerate(zip(sets, batch.column("_key").to_pylist())) if s is not None and set_key(s) == k]
-            rest = batch.select(["node", "comp", "blocks", "copies"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[i].tobytes() for i in keep], pa.binary())], [*rest.schema.names, "shingles"])
+            several = np.array(batch.column("blocks")) > 1
+            texts = batch.column("text").to_pylist()
+            sets = [shingler.shingles(t).tobytes() if s else None for t, s in zip(texts, several)]
+            kept = pa.array([None if s else t for t, s in zip(texts, several)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("node", "comp", "blocks", "copies")], pa.array(sets, pa.binary()), kept],
+                                             ["node", "comp", "blocks", "copies", "shingles", "text"])
 
-    shingled = found.select("text", "_key", "node", "comp", "blocks", "copies").mapInArrow(run, "node long, comp long, blocks int, copies long, shingles binary")
-    dealt = shingled.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return stage(compare_blocks(dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other"), threshold))
+    carried = found.mapInArrow(run, "node long, comp long, blocks int, copies long, shingles binary, text string")
+    dealt = carried.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return stage(compare_blocks(dealt.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other"), bands, rows, threshold))
 
 
-def classified(docs: DataFrame, threshold: float, recall: float, block: int, row: str | None = None) -> DataFrame:
-    """Per document: row, doc_id and what is known of its text (``_key`` and the rest are null without a word)."""
+def classified(named: DataFrame, threshold: float, recall: float, block: int) -> DataFrame:
+    """Per row of ``named_rows``: ROW, doc_id and what is known of its text (``_key`` and the rest are null without a word)."""
     bands, rows = choose_bands(threshold, recall)
-    found = sketches(docs, bands, rows, row)
-    texts = distinct_texts(found)
-    groups = stage(components(candidate_links(texts)))
-    pairs = verified(docs, texts, groups, bands, rows, threshold, block)
+    sketched = sketches(named, bands, rows)
+    texts = distinct_texts(sketched)
+    found = stage(sketched.select(*ROW, "doc_id", "set_key"))
+    unstage(sketched)
+    groups = stage(components(candidate_links(texts, threshold)))
+    pairs = verified(named, texts, groups, bands, rows, threshold, block)
     counts = stage(pairs.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked_copies").alias("linked_copies")))
     linked = stage(components(pairs.select(c("node").alias("a"), c("root").alias("b"))).withColumnRenamed("root", "class"))
     own = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("text_id"))
-    named = stage(texts.select("node", "set_key", "copies").join(own, "set_key").join(linked, "node", "left").join(counts, "node", "left").select(
+    told = stage(texts.select("node", "set_key", "copies").join(own, "set_key").join(linked, "node", "left").join(counts, "node", "left").select(
         "set_key", "copies", "text_id", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked_copies", F.lit(0)).alias("linked_copies")))
-    smallest = stage(named.groupBy("class").agg(F.min("text_id").alias("class_id")))
-    final = stage(named.join(smallest, "class").select(c("set_key").alias("_key"), "copies", "text_id", "class", "class_id", "links", "linked_copies"))
-    return found.select("row", "doc_id", "set_key").join(final, c("set_key") == c("_key"), "left")
+    unstage(texts, groups, pairs, counts)
+    smallest = stage(told.groupBy("class").agg(F.min("text_id").alias("class_id")))
+    final = stage(told.join(smallest, "class").select(c("set_key").alias("_key"), "copies", "text_id", "class", "class_id", "links", "linked_copies"))
+    return found.join(final, c("set_key") == c("_key"), "left")
 
 
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
@@ -239,7 +261,7 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     class_id: smallest doc_id of all connected documents; text_id: of those with equal shingles; copies: how many these
     are; n_linked_texts: other texts of the threshold's similarity; n_links: other documents, copies counted.
     """
-    joined = classified(docs, threshold, recall, block)
+    joined = classified(named_rows(docs.select("doc_id", "text")), threshold, recall, block)
     alone = c("_key").isNull()
     return joined.select(
         "doc_id", F.when(alone, c("doc_id")).otherwise(c("class_id")).alias("class_id"), F.when(alone, c("doc_id")).otherwise(c("text_id")).alias("text_id"),
@@ -248,15 +270,13 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, the one with the smallest doc_id (null comes last). Only texts that may go pass a shuffle.
+    """``docs`` with one row of each class, the one with the smallest doc_id (null comes last).
 
-    Rows are told apart by a number of their own, so null and repeated ids neither take others along nor save copies.
+    Rows are told apart by where they lie, so null and repeated ids neither take others along nor save copies, and only
+    texts with a candidate pass a shuffle.
     """
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    several = stage(classified(numbered, THRESHOLD, TARGET_RECALL, BLOCK, "_row").where("linked_copies + copies > 1").select("row", "doc_id", "class"))
-    kept = stage(several.groupBy("class").agg(F.min(F.struct(c("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row"))
-    gone = stage(several.join(kept, "row", "left_anti").select(c("row").alias("_gone")))
-    marked = maybe_in(numbered, "_row", stage(bitmap(gone, "_gone")), "_maybe")
-    safe = marked.where("not _maybe").drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe").join(gone, c("_row") == c("_gone"), "left_anti")
-    return safe.unionByName(rest).select(*[f"`{n}`" for n in docs.columns])
+    named = named_rows(docs)
+    several = stage(classified(named, THRESHOLD, TARGET_RECALL, BLOCK).where("linked_copies + copies > 1").select(*ROW, "doc_id", "class"))
+    first = several.groupBy("class").agg(F.min(F.struct(c("doc_id").isNull().alias("none"), "doc_id", *ROW)).alias("first"))
+    gone = stage(several.select(*ROW).join(first.select(*[c(f"first.{n}").alias(n) for n in ROW]), list(ROW), "left_anti"))
+    return without_rows(named, gone)

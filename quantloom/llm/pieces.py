@@ -20,6 +20,7 @@ they are, repeated ones too; further columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -49,6 +50,11 @@ class Vocabulary:
     unknown: int = 0
     unigram: bool = False
 
+    def key(self) -> str:
+        """Tells models apart."""
+        held = hashlib.sha256(repr((self.pieces, self.scores, sorted(self.byte_ids.items()), sorted(self.special), self.unknown, self.unigram)).encode("utf-8", "surrogatepass"))
+        return held.hexdigest()
+
     @staticmethod
     def load(path: str) -> Vocabulary:
         """Read a model file with the public library; only identity normalisation with a mark in front is supported."""
@@ -97,6 +103,7 @@ class Encoder:
             self.old_flat, self.old_starts, self.old_lengths = self.flat, self.starts, self.lengths
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.lengths = array("i"), array("q"), array("q")
+        self.whole = bytearray()  # whether the ids of a word read back as the word: 2 for not yet known
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by repeated merging of the best pair, the leftmost among equals."""
@@ -198,15 +205,21 @@ class Encoder:
                 known[word] = len(starts)
                 starts.append(len(flat))
                 lengths.append(self.old_lengths[at])
+                self.whole.append(2)
                 flat.extend(self.old_flat[self.old_starts[at] : self.old_starts[at] + self.old_lengths[at]])
         for word, own in self.split(new):
             known[word] = len(starts)
             starts.append(len(flat))
             lengths.append(len(own))
+            self.whole.append(2)
             flat.extend(own)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start (with the end of the last)."""
+        return self.encode_words(texts)[:2]
+
+    def encode_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[str]]:
+        """Ids and starts as ``encode`` gives them, and the marked words: their places in the cache, where each text's begin, and themselves."""
         words: list[str] = []
         ends = [0]
         for text in texts:
@@ -217,12 +230,25 @@ class Encoder:
             self.forget()
         self.learn(set(words).difference(self.known))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        lengths = np.array(self.lengths, np.int64)[at] if len(at) else np.zeros(0, np.int64)
-        starts = np.array(self.starts, np.int64)[at] if len(at) else lengths
+        if not len(at):
+            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64), at, ends, words
+        lengths, starts = np.frombuffer(self.lengths, np.int64)[at], np.frombuffer(self.starts, np.int64)[at]  # views: nothing is copied but what is asked for
         stop = np.concatenate([[0], np.cumsum(lengths)])
         place = np.repeat(starts - stop[:-1], lengths) + np.arange(stop[-1])
-        flat = np.array(self.flat, np.int32)
-        return flat[place] if len(place) else np.zeros(0, np.int32), stop[np.array(ends)]
+        return np.frombuffer(self.flat, np.int32)[place], stop[np.array(ends)], at, ends, words
+
+    def reads_back(self, texts: list[str | None], ids: np.ndarray, stop: np.ndarray, at: np.ndarray, ends: list[int], words: list[str], decoder: Decoder) -> list[bool]:
+        """Whether the ids of each text decode to it. Pieces and byte sequences lie within a word, so the ids of each
+        cached word are decoded once; a text with a word that differs is decoded as a whole."""
+        whole = self.whole
+        new = np.flatnonzero(np.frombuffer(whole, np.uint8)[at] == 2).tolist() if len(at) else []
+        for i, word in {int(at[j]): words[j] for j in new}.items():
+            own = np.frombuffer(self.flat, np.int32)[self.starts[i] : self.starts[i] + self.lengths[i]]
+            whole[i] = decoder.joined(own) == word.replace(MARK, " ")
+        good = np.concatenate([[0], np.cumsum(np.frombuffer(whole, np.uint8)[at])]) if len(at) else np.zeros(1, np.int64)
+        edges = np.array(ends)
+        sound = good[edges[1:]] - good[edges[:-1]] == np.diff(edges)
+        return [bool(s) or decoder.decode(ids[a:b]) == (t or "").replace(MARK, " ") for t, s, a, b in zip(texts, sound, stop, stop[1:])]
 
 
 class Decoder:
@@ -235,37 +261,52 @@ class Decoder:
         self.high[[i for i, b in byte_of.items() if b >= 0x80]] = True
         self.byte_of = byte_of
 
-    def decode(self, ids: np.ndarray) -> str:
+    def joined(self, ids: np.ndarray) -> str:
         """Bytes above ASCII are joined with their neighbours; broken sequences become the replacement character."""
         if self.high[ids].any():
             raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode("utf-8", "surrogatepass") for i in ids.tolist())
-            text = raw.decode("utf-8", "replace")
-        else:
-            text = "".join(map(self.text.__getitem__, ids.tolist()))
+            return raw.decode("utf-8", "replace")
+        return "".join(map(self.text.__getitem__, ids.tolist()))
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ``ids`` without the leading mark."""
+        text = self.joined(ids)
         return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, round_trip: bool = False) -> DataFrame:
+_coders: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def coders(key: str, vocabulary: Vocabulary) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of a Python worker, with what they have learnt from earlier tasks; those of the last model only."""
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Encoder(vocabulary), Decoder(vocabulary)
+    return _coders[key]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, round_trip: bool = False, keep_text: bool = True) -> DataFrame:
     """Adds ``ids`` (array of int) and ``n_tokens``; with ``round_trip`` also whether decoding the ids gives the text back."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held, key = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.key()
     columns = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens", "round_trip")]
 
+    kept = [f for f in columns if keep_text or f.name != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(held.value), Decoder(held.value)
+        encoder, decoder = coders(key, held.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                ids, stop = encoder.encode(texts[a:b])
+                ids, stop, *rest = encoder.encode_words(texts[a:b])
                 out = batch.slice(a, b - a)
-                columns_out = [*out.columns, pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(ids)), pa.array(np.diff(stop))]
-                names = [*batch.schema.names, "ids", "n_tokens"]
+                columns_out = [*[out.column(f.name) for f in kept], pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(ids)), pa.array(np.diff(stop))]
+                names = [*[f.name for f in kept], "ids", "n_tokens"]
                 if round_trip:
-                    same = [decoder.decode(ids[s:e]) == (t or "").replace(MARK, " ") for t, s, e in zip(texts[a:b], stop, stop[1:])]
-                    columns_out.append(pa.array(same, pa.bool_()))
+                    columns_out.append(pa.array(encoder.reads_back(texts[a:b], ids, stop, *rest, decoder), pa.bool_()))
                     names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(columns_out, names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["ids array<int>", "n_tokens long"] + ["round_trip boolean"] * round_trip)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>", "n_tokens long"] + ["round_trip boolean"] * round_trip)
     return docs.select(*[f"`{f.name}`" for f in columns]).mapInArrow(run, schema)
 
 

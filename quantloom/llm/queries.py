@@ -78,7 +78,7 @@ def op10_sentencepiece(spark, sf_dir):
     from quantloom.llm import pieces
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, pieces.Vocabulary.load(PIECE_MODEL), round_trip=True).drop("text")
+    return pieces.encode(docs, pieces.Vocabulary.load(PIECE_MODEL), round_trip=True, keep_text=False)
 
 
 @query

@@ -87,7 +87,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     """A record per page (``RECORDS``): response with its payload, or revisit of the response ``refers``."""
     digested = pages.select(c("page_id").cast("long").alias("page_id"), c("url").cast("string").alias("url"), payload().alias("payload")).withColumn("digest", F.sha1("payload"))
     counted = stage(digested.select("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    flagged = maybe_in(digested, "digest", stage(bitmap(counted, "digest")), "_shared")
+    flagged = maybe_in(digested, "digest", bitmap(counted, "digest"), "_shared")
     alone = flagged.where("not _shared").withColumn("_row", F.lit(None).cast("long"))
     none = F.lit(None)
     singles = alone.select(record_number("digest", "page_id", "_row").alias("record"), F.lit("response").alias("type"), "page_id", "url", "digest", none.cast("string").alias("refers"), "payload")
@@ -99,7 +99,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     revisits = told.where("_row <> _keep_row").select(
         record_number("digest", "page_id", "_row").alias("record"), F.lit("revisit").alias("type"), "page_id", "url", "digest",
         record_number("digest", "_keep_id", "_keep_row").alias("refers"), none.cast("binary").alias("payload"))
-    likely = maybe_in(several, "_row", stage(bitmap(groups, "_keep_row")), "_maybe").where("_maybe")
+    likely = maybe_in(several, "_row", bitmap(groups, "_keep_row"), "_maybe").where("_maybe")
     responses = likely.join(groups.select("_keep_row"), c("_row") == c("_keep_row")).select(
         record_number("digest", "page_id", "_row").alias("record"), F.lit("response").alias("type"), "page_id", "url", "digest", none.cast("string").alias("refers"), "payload")
     return singles.unionByName(responses).unionByName(revisits)
