@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm import exact_dedup, mixing, near_dups, pieces, quality
 from quantloom.llm.common import ready, stage, table
 from quantloom.llm.queries import PIECE_MODEL
+from quantloom.session import only_result_stays, unstage
 
 ORACLE_SQL = None
 
@@ -41,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the text's piece ids."""
     ready(spark)
-    return pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.Vocabulary.load(PIECE_MODEL)).drop("text")
+    return pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.Vocabulary.load(PIECE_MODEL), keep_text=False)
 
 
 STAGES = [
@@ -54,7 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's output is written before the next one starts; its input and its own tables are then deleted."""
     docs = table(spark, sf_dir, "documents")
-    for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+    for number, (_, step) in enumerate(STAGES[:-1]):
+        before = docs
+        with only_result_stays(spark) as result:
+            docs = stage(step(spark, docs, sf_dir))
+            result.append(docs)
+        if number:
+            unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
