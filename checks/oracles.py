@@ -44,6 +44,7 @@ def candle_sql(seconds: int, source: str = "ticks") -> str:
 
 for _tf, _sec in (("1m", 60), ("5m", 300), ("15m", 900)):
     ORACLES[f"candles_{_tf}"] = f"WITH {TICKS} {candle_sql(_sec)}"
+ORACLES["candle_partition_upsert"] = f"WITH {TICKS}, tk AS (SELECT * FROM ticks WHERE dayofmonth(ts) % 2 = 1 OR seq % 2 = 0) {candle_sql(300, 'tk')}"
 ORACLES["candle_rollup"] = ORACLES["candles_15m"]
 ORACLES["candle_upsert"] = ORACLES["candles_5m"]
 ORACLES["stream_candles_5m"] = ORACLES["candles_5m"]
@@ -123,6 +124,12 @@ VWAP = f"""CASE WHEN volume <> 0 THEN sum((high + low + "close") / 3 * volume) O
 ORACLES["features_vwap"] = f"""WITH {BASE}, f AS (SELECT *, {VWAP} AS vwap FROM b1)
 SELECT symbol, ts, {cols(['vwap'], 2)}, round(("close" - vwap) / nullif(vwap, 0), 4) + 0.0 AS distance_from_vwap FROM f"""
 
+ORACLES["features_momentum"] = f"""WITH {BASE}, f AS (SELECT *, avg("close") OVER {r(20)} AS sma_20, max(high) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS top,
+  min(low) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS bottom, {chg(chr(34) + 'close' + chr(34), 10)} AS roc_10 FROM b1),
+g AS (SELECT *, {chg('sma_20', 5)} AS sma_slope_20, ("close" - sma_20) / nullif(sma_20, 0) AS distance_from_sma20, ("close" - top) / nullif("close", 0) AS breakout_distance,
+  (bottom - "close") / nullif("close", 0) AS breakdown_distance FROM f)
+SELECT symbol, ts, {cols(['sma_slope_20', 'distance_from_sma20', 'breakout_distance', 'breakdown_distance', 'roc_10'], 4)} FROM g"""
+
 TRADING = f"""{BASE}, {EMA},
 t0 AS (SELECT *, avg(tr) OVER {r(14)} AS atr_14, avg(tr) OVER {r(10)} AS atr_10 FROM b1),
 {RSI % 't0'},
@@ -635,14 +642,24 @@ def tok(g: str, f: str) -> str:
 
 _NORM = "w / sum(w) OVER (PARTITION BY symbol, ts)"
 _CAPN = "least(greatest(w, 0), 0.35e0) / sum(least(greatest(w, 0), 0.35e0)) OVER (PARTITION BY symbol, ts)"
-ORACLES["adaptive_strategy_weights"] = f"""{FULL}, {RULE_CTE},
+SETTLED = """oc0 AS (SELECT symbol, regime, coalesce(returns, 0) AS r, lead(ts) OVER w AS ts, lead("close") OVER w / "close" - 1 AS gain FROM rl WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+oc1 AS (SELECT symbol, regime, ts, gain, unnest([{'n': 'MACD Momentum', 's': sign(r)::DOUBLE}, {'n': 'RSI Reversal', 's': -sign(r)::DOUBLE}, {'n': 'Breakout', 's': CASE WHEN abs(r) > 0.02 THEN sign(r)::DOUBLE END}]) AS u FROM oc0),
+oc AS (SELECT symbol, regime, ts, u.n AS strategy_name, u.s * gain AS realized FROM oc1 WHERE u.s * gain IS NOT NULL AND ts IS NOT NULL),
+perf AS (SELECT symbol, regime, strategy_name, ts, count(*) OVER w AS n, sum((realized > 0)::INT) OVER w / count(*) OVER w AS accuracy, sum(realized) OVER w / count(*) OVER w AS avg_return,
+   min(least(realized, 0)) OVER w AS worst FROM oc WINDOW w AS (PARTITION BY symbol, regime, strategy_name ORDER BY ts ROWS UNBOUNDED PRECEDING))"""
+ORACLES["settled_performance"] = f"""{FULL}, {RULE_CTE}, {SETTLED}, asked AS (SELECT symbol, ts, regime, unnest(['MACD Momentum', 'RSI Reversal', 'Breakout']) AS strategy_name FROM rl)
+SELECT a.symbol, a.ts, a.regime, a.strategy_name, p.n AS sample_size, round(p.accuracy, 4) + 0.0 AS accuracy, round(p.avg_return, 4) + 0.0 AS avg_return, round(p.worst, 4) + 0.0 AS max_drawdown
+FROM asked a ASOF JOIN perf p ON a.symbol = p.symbol AND a.regime = p.regime AND a.strategy_name = p.strategy_name AND a.ts >= p.ts"""
+ORACLES["adaptive_strategy_weights"] = f"""{FULL}, {RULE_CTE}, {SETTLED},
 q0 AS (SELECT symbol, ts, regime, greatest(0.35, least(1, conf)) AS rc, rolling_sentiment_mean AS sn, coalesce(volatility_percentile, 0) AS vs, volatility_shock_score >= 3 AS hot,
    unnest([{{'n': 'MACD Momentum', 'w': 0.4e0}}, {{'n': 'RSI Reversal', 'w': 0.3e0}}, {{'n': 'ATR Volatility System', 'w': 0.2e0}}, {{'n': 'Breakout', 'w': 0.1e0}}, {{'n': 'Risk Parity', 'w': 0.3e0}}]) AS u FROM rl),
 q1 AS (SELECT * EXCLUDE (u), u.n AS strategy_name, u.w AS w FROM q0),
 q2 AS (SELECT * REPLACE ({_CAPN} AS w) FROM q1),
-q3 AS (SELECT * REPLACE (w * CASE WHEN regime IN ('TRENDING','BULLISH_REGIME','RISK_ON') THEN {tok('t', '1.25')} * {tok('r', '0.8')} WHEN regime = 'SIDEWAYS' THEN {tok('r', '1.25')} * {tok('breakout', '0.75')}
-   WHEN regime IN ('PANIC','RISK_OFF','HIGH_VOLATILITY') THEN {tok('g', '1.2')} * {tok('e', '0.75')} ELSE 1 END * CASE WHEN hot THEN CASE WHEN regexp_matches(lower(strategy_name), 'risk|volatility') THEN 1.15e0 ELSE 0.9e0 END ELSE 1 END AS w) FROM q2),
-q4 AS (SELECT * REPLACE ({_CAPN} AS w) FROM q3),
+qp AS (SELECT q.* REPLACE (q.w * CASE WHEN p.n >= 10 THEN (0.6e0 + p.accuracy) * greatest(0.3, 1 + p.avg_return - abs(p.worst)) ELSE 1 END AS w)
+   FROM (SELECT q2.* REPLACE (w * CASE WHEN regime IN ('TRENDING','BULLISH_REGIME','RISK_ON') THEN {tok('t', '1.25')} * {tok('r', '0.8')} WHEN regime = 'SIDEWAYS' THEN {tok('r', '1.25')} * {tok('breakout', '0.75')}
+   WHEN regime IN ('PANIC','RISK_OFF','HIGH_VOLATILITY') THEN {tok('g', '1.2')} * {tok('e', '0.75')} ELSE 1 END * CASE WHEN hot THEN CASE WHEN regexp_matches(lower(strategy_name), 'risk|volatility') THEN 1.15e0 ELSE 0.9e0 END ELSE 1 END AS w) FROM q2) q
+   ASOF LEFT JOIN perf p ON q.symbol = p.symbol AND q.regime = p.regime AND q.strategy_name = p.strategy_name AND q.ts >= p.ts),
+q4 AS (SELECT * REPLACE ({_CAPN} AS w) FROM qp),
 q5 AS (SELECT *, regime IN ('TRENDING','BULLISH_REGIME') AND sn > 0.1 AND vs < 0.75 AS up, regime = 'SIDEWAYS' AS flat, regime IN ('PANIC','RISK_OFF') OR hot AS stress FROM q4),
 q6 AS (SELECT * REPLACE (w * CASE WHEN up THEN {tok('t', '1.15')} ELSE 1 END * CASE WHEN flat THEN {tok('r', '1.15')} ELSE 1 END * CASE WHEN stress THEN {tok('g', '1.2')} * {tok('breakout|momentum', '0.75')} ELSE 1 END AS w) FROM q5),
 q7 AS (SELECT * REPLACE ({_NORM} AS w) FROM q6),
@@ -659,7 +676,7 @@ _NT = r"regexp_replace(lower(trim(regexp_replace({x}, '\s+', ' ', 'g'))), 'ß',
 ARTICLES = f"""ar AS (SELECT doc_id AS id, source, lang, n_chars, 'https://www.example.com/news/' || source || '/' || n_chars AS url,
    trim(regexp_replace(string_split(text, chr(10))[1], '[ \\t]+', ' ', 'g')) AS title, {_NT.format(x='text')} AS body, text FROM documents),
 ah AS (SELECT *, sha256(url) AS url_hash, sha256(CASE WHEN body = '' THEN {_NT.format(x="title")} ELSE body END) AS content_hash FROM ar)"""
-ORACLES["news_articles"] = f"WITH {ARTICLES} SELECT id, url, url_hash, content_hash, lang || '|' || source AS tags, lang AS language, length(title) AS title_len FROM ah"
+ORACLES["news_articles"] = f"WITH {ARTICLES} SELECT id, url, url_hash, content_hash, sha256({_NT.format(x="title || ' ' || text")}) AS semantic_hash, lang || '|' || source AS tags, lang AS language, length(title) AS title_len FROM ah"
 GREEDY = f"""{ARTICLES}, o AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM ah),
 go(i, us, cs, kept) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::BIGINT
   UNION ALL SELECT o.i, CASE WHEN list_contains(us, url_hash) OR list_contains(cs, source || content_hash) THEN us ELSE list_append(us, url_hash) END,
@@ -742,6 +759,13 @@ ORACLES["lifecycle_states"] = f"""WITH {LIFE}, g AS (SELECT correlation_id, arg_
 h AS (SELECT *, list_filter(['DATA_COLLECTED','FEATURES_READY','REGIME_READY','STRATEGIES_READY','ENSEMBLE_READY','RISK_READY'], lambda x: NOT list_contains(coalesce(done, []), x)) AS miss FROM g)
 SELECT correlation_id, state, array_to_string(coalesce(done, []), '|') AS completed, array_to_string(miss, '|') AS missing, len(miss) = 0 AS ready, events, error FROM h"""
 ORACLES["stream_lifecycle_states"] = ORACLES["lifecycle_states"]
+ORACLES["live_lifecycle_states"] = f"""WITH {LIFE}, tm AS (SELECT lf.*, e.ts FROM lf JOIN events e ON e.event_id = lf.seq),
+gp AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS cut FROM tm WINDOW w AS (PARTITION BY correlation_id ORDER BY ts, seq)),
+sn AS (SELECT *, sum(cut) OVER (PARTITION BY correlation_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS session, (SELECT max(ts) FROM events) AS latest FROM gp),
+ss AS (SELECT correlation_id, session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, arg_max(state, seq) AS state, max(session) OVER (PARTITION BY correlation_id) AS newest, any_value(latest) AS latest,
+   list_sort(list(DISTINCT state) FILTER (state NOT IN ('CREATED', 'FAILED'))) AS done, 'code ' || arg_max(k, seq) FILTER (state = 'FAILED') AS error FROM sn GROUP BY 1, 2)
+SELECT correlation_id, first_ts, last_ts, CASE WHEN session < newest OR last_ts + INTERVAL 12 HOUR < latest - INTERVAL 1 MINUTE THEN 'EXPIRED' ELSE state END AS state,
+  array_to_string(coalesce(done, []), '|') AS completed, events, error FROM ss"""
 ORACLES["lifecycle_counts"] = f"WITH {LIFE} SELECT state, count(*) AS n FROM lf GROUP BY 1"
 FEED = """fb AS (SELECT event_id AS seq, event_type AS strategy_name, CAST(props->>'$.k' AS DOUBLE) AS k, (value - 20) / 100 AS rr, value / 500 AS mae FROM events),
 fr AS (SELECT *, CASE WHEN k < 40 THEN 1 WHEN k < 80 THEN -1 ELSE 0 END * rr AS g FROM fb),
@@ -830,3 +854,8 @@ ORACLES["bar_files"] = f"""WITH {BARS} SELECT symbol, ts, 'kaggle_ohlcv' AS sour
 ORACLES["preliminary_risk"] = f"""WITH RECURSIVE {TRADING} SELECT symbol, ts, CASE WHEN atr_pct >= 0.03 * 1.5 THEN 'HIGH' WHEN atr_pct >= 0.03 THEN 'MODERATE' ELSE 'LOW' END AS level FROM tf"""
 _H1 = r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)"
 ORACLES["html_titles"] = f"SELECT page_id, {plain(_H1)} AS title, 'en' AS language FROM pages"
+
+# What holds whatever the trees look like.
+ORACLES["model_store_scores"] = f"""SELECT symbol, count(*) AS rows, true AS known, true AS same_after_load, 1::BIGINT AS model_version, true AS trained_once
+FROM ({ORACLES["training_targets"]}) WHERE directional IS NOT NULL GROUP BY 1"""
+ORACLES["model_boosted_regimes"] = f"""SELECT symbol, count(*) AS rows, true AS bounded, true AS beats_majority FROM ({ORACLES["training_targets"]}) GROUP BY 1"""

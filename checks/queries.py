@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import tables as t
@@ -131,6 +132,13 @@ def features_oscillators(spark, sf_dir):
     return rounded(owned(df), KEY, {4: ["rsi_14", "adx_14"]})
 
 
+@query
+def features_momentum(spark, sf_dir):
+    """Slopes and distances of the price from its means and its last highs and lows."""
+    df = feat.momentum(feat.volatility(blocked(spark, sf_dir)), BLOCKS)
+    return rounded(owned(df), KEY, {4: ["sma_slope_20", "distance_from_sma20", "breakout_distance", "breakdown_distance", "roc_10"]})
+
+
 @query
 def features_vwap(spark, sf_dir):
     df = feat.vwap(blocked(spark, sf_dir))
@@ -424,23 +432,46 @@ def trading_anomalies(spark, sf_dir):
     return rounded(df, [*KEY, "anomaly_type", "severity"], {2: ["score"]})
 
 
-@query
-def adaptive_strategy_weights(spark, sf_dir):
-    """Adaptive weights per (symbol, bar) from the rule regime, news and the bar's anomalies."""
-    frame = regimes.rule_regime(frames.fill_numeric(full_stages(spark, sf_dir)), DEFAULT.adaptive)
+def settled_outcomes(frame: DataFrame) -> DataFrame:
+    """Three simple strategies on every bar, settled at the next one: follow the last return, oppose it, follow a large one."""
+    following = Window.partitionBy("symbol").orderBy("ts")  # daily bars of one symbol
+    closed = frame.select("symbol", "regime", "returns", F.lead("ts").over(following).alias("ts"), (F.lead("close").over(following) / c("close") - 1).alias("gain"))
+    sides = F.create_map(
+        F.lit("MACD Momentum"), F.sign("returns"), F.lit("RSI Reversal"), -F.sign("returns"),
+        F.lit("Breakout"), F.when(F.abs("returns") > 0.02, F.sign("returns")))
+    return closed.select("symbol", "regime", "ts", "gain", F.explode(sides).alias("strategy_name", "side")).select(
+        "symbol", "regime", "ts", "strategy_name", (c("side") * c("gain")).alias("realized"))
+
+
+def weighted_bars(spark, sf_dir) -> DataFrame:
+    """Bars with rule regime, base weights and what the strategies had settled by then."""
+    frame = t.stage(regimes.rule_regime(frames.fill_numeric(full_stages(spark, sf_dir)), DEFAULT.adaptive).select(
+        *KEY, "close", "returns", "regime", "confidence", "rolling_sentiment_mean", "volatility_percentile", "volatility_shock_score"))
     base = F.create_map(*[F.lit(x) for pair in (("MACD Momentum", 0.4), ("RSI Reversal", 0.3), ("ATR Volatility System", 0.2),
                                                 ("Breakout", 0.1), ("Risk Parity", 0.3)) for x in pair])
-    df = frame.select(
+    bars = frame.select(
         *KEY, "regime", c("confidence").alias("regime_confidence"), c("rolling_sentiment_mean").alias("sentiment_score"),
         c("volatility_percentile").alias("volatility_score"), base.alias("base_weights"),
         F.when(c("volatility_shock_score") >= 3, "HIGH").otherwise("LOW").alias("risk_level"),
-        (c("volatility_shock_score") >= 3).alias("severe_anomaly"),
-        F.lit(None).cast("map<string,struct<accuracy:double,avg_return:double,max_drawdown:double,sample_size:bigint>>").alias("performance"))
-    df = weighting.adaptive_weights(df, DEFAULT.adaptive)
+        (c("volatility_shock_score") >= 3).alias("severe_anomaly"))
+    return weighting.performance_as_of(bars, settled_outcomes(frame), F.date_trunc("year", "ts"))
+
+
+@query
+def adaptive_strategy_weights(spark, sf_dir):
+    """Adaptive weights per (symbol, bar) from the rule regime, settled outcomes, news and the bar's anomalies."""
+    df = weighting.adaptive_weights(weighted_bars(spark, sf_dir), DEFAULT.adaptive)
     long = df.select(*KEY, "reason", "weight_confidence", F.explode("weights").alias("strategy_name", "weight"))
     return rounded(long, [*KEY, "strategy_name", "reason"], {4: ["weight", "weight_confidence"]})
 
 
+@query
+def settled_performance(spark, sf_dir):
+    """The records that adaptive weights rest on, as of every bar."""
+    rows = weighted_bars(spark, sf_dir).select(*KEY, "regime", F.explode("performance").alias("strategy_name", "p"))
+    return rounded(rows.select(*KEY, "regime", "strategy_name", "p.*"), [*KEY, "regime", "strategy_name", "sample_size"], {4: ["accuracy", "avg_return", "max_drawdown"]})
+
+
 @query
 def training_targets(spark, sf_dir):
     from quantloom.operators import training
@@ -472,7 +503,7 @@ def options_rollup_signal(spark, sf_dir):
 @query
 def news_articles(spark, sf_dir):
     return news.normalize_articles(t.raw_articles(spark, sf_dir)).select(
-        "id", "url", "url_hash", "content_hash", text_list("tags"), "language", F.length("title").alias("title_len"))
+        "id", "url", "url_hash", "content_hash", "semantic_hash", text_list("tags"), "language", F.length("title").alias("title_len"))
 
 
 @query
@@ -771,6 +802,18 @@ def candle_upsert(spark, sf_dir):
     return sinks.upsert(old, candles.candles(ticks, "5m").select(*CANDLE), ["symbol", "ts"]).select(*CANDLE)
 
 
+@query
+def candle_partition_upsert(spark, sf_dir):
+    """5m candles by day; the days of odd sequence numbers in January are built again and replaced as partitions."""
+    from quantloom.streaming.flows import new_folder
+
+    ticks, path = t.ticks(spark, sf_dir), new_folder(spark, "candle-table")
+    by_day = lambda rows: candles.candles(rows, "5m").select(*CANDLE).withColumn("day", F.to_date("ts"))
+    sinks.upsert_partitions(by_day(ticks.where(c("seq") % 2 == 0)), path, ["symbol", "ts"], "day")
+    sinks.upsert_partitions(by_day(ticks.where(F.dayofmonth("ts") % 2 == 1)), path, ["symbol", "ts"], "day")
+    return spark.read.parquet(path).select(*CANDLE)
+
+
 def model_versions(spark, sf_dir) -> DataFrame:
     events = t.table(spark, sf_dir, "events")
     return events.select(
@@ -844,7 +887,7 @@ def vector_duplicate_matches(spark, sf_dir):
     from quantloom.operators import vectors
 
     v = vectors_of(spark, sf_dir)
-    return rounded(vectors.duplicate_matches(v, vectors.greedy_distinct(v, 0.4)), ["id", "matched_id"], {6: ["similarity"]})
+    return rounded(vectors.duplicate_matches(v, vectors.greedy_distinct(v, 0.4), 0.4), ["id", "matched_id"], {6: ["similarity"]})
 
 
 MODEL_FEATURES = ["return_1", "return_5", "realized_vol_20", "bb_width", "rsi_14", "adx_14", "liquidity_score", "trend_strength"]
@@ -867,6 +910,44 @@ def model_walk_forward(spark, sf_dir):
     return training.evaluate(predictions)
 
 
+@query
+def model_store_scores(spark, sf_dir):
+    """A forest is trained, saved, registered, loaded as the active version and scores all rows: facts per symbol."""
+    from quantloom.operators import training
+    from quantloom.operators.model_store import ModelStore
+    from quantloom.streaming.flows import new_folder
+
+    data = labelled_frame(spark, sf_dir).where("directional is not null")
+    store, at, made = ModelStore(spark, new_folder(spark, "models")), datetime(2024, 1, 1), {}
+
+    def train():
+        predictions, model = training.walk_forward(data, MODEL_FEATURES, "directional", 2, trees=8, depth=4)
+        made["direct"] = model.transform(data).select("symbol", "ts", c("predicted").alias("direct"))
+        report = training.evaluate(predictions).first()
+        return model, "directional", MODEL_FEATURES, {"accuracy": report.accuracy, "f1_macro": report.f1_macro}
+
+    first, second = [store.retrain_if_due("directional", train, at, min_accuracy=0.0) for _ in range(2)]
+    scored = store.score(data, "directional").join(made["direct"], ["symbol", "ts"])
+    return scored.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(c("prediction").isin("up", "down", "sideways")).alias("known"),
+        F.bool_and(c("prediction") == c("direct")).alias("same_after_load"), F.max("model_version").alias("model_version"),
+        F.lit(first == 1 and second is None).alias("trained_once"))
+
+
+@query
+def model_boosted_regimes(spark, sf_dir):
+    """Boosted regime models, one against the rest, on a few rounds: rows per symbol, and whether rows kept from training are told
+    better than by the most frequent regime."""
+    from quantloom.operators import training
+
+    scored = t.stage(training.boosted_regimes(labelled_frame(spark, sf_dir), MODEL_FEATURES, "regime_target", rounds=5, depth=3, step=0.4))
+    held = scored.where("validation")
+    majority = held.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share"))
+    told = held.agg((F.avg((c("label") == c("prediction")).cast("double"))).alias("accuracy"))
+    fact = told.crossJoin(majority).select((c("accuracy") > c("share")).alias("beats_majority"))  # one row each
+    return scored.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), (F.max("trees") <= 5).alias("bounded")).crossJoin(fact)
+
+
 @query
 def model_regime_clusters(spark, sf_dir):
     from quantloom.operators import training
@@ -962,6 +1043,15 @@ def stream_lifecycle_states(spark, sf_dir):
     return df.select("correlation_id", "state", text_list("completed"), text_list("missing"), "ready", "events", "error")
 
 
+@query
+def live_lifecycle_states(spark, sf_dir):
+    """Sessions of every correlation id, kept as state with a timer: half a day without an event ends one."""
+    from quantloom.streaming import flows
+
+    sessions, _ = flows.live_lifecycle(as_stream(t.lifecycle_events(spark, sf_dir)), "12 hours")
+    return sessions.select("correlation_id", "first_ts", "last_ts", "state", "completed", "events", "error")
+
+
 @query
 def stream_bandit_scores(spark, sf_dir):
     from quantloom.streaming import flows

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quantloom.functions import text as tx
 from quantloom.functions.safe import clip, div, zero
 from quantloom.functions.sentiment import default_score, score_label, signed_score
-from quantloom.session import read_if_there, stage
+from quantloom.session import read_if_there, stage, unstage
+from quantloom.sources.keytable import KeyTable
 
 c = F.col
 
@@ -46,7 +47,6 @@ def first_seen(articles: DataFrame, id_col: str = "id") -> DataFrame:
     written out every round too, which cuts lineage.
     """
     columns = [id_col, "url_hash", "source", "content_hash"]
-    articles = stage(articles)
     open_rows, kept = stage(articles.select(*columns)), []
     while True:
         by_url = stage(open_rows.groupBy("url_hash").agg(F.min(id_col).alias("_u")))
@@ -55,10 +55,12 @@ def first_seen(articles: DataFrame, id_col: str = "id") -> DataFrame:
         winners = stage(
             marked.where((c(id_col) == c("_u")) & (c(id_col) == c("_t"))).select(*columns))
         kept.append(winners)
-        open_rows = stage(
-            open_rows.join(winners.select("url_hash").distinct(), "url_hash", "left_anti")
-            .join(winners.select("source", "content_hash").distinct(), ["source", "content_hash"], "left_anti")
+        rest = stage(
+            open_rows.join(winners.select("url_hash"), "url_hash", "left_anti")
+            .join(winners.select("source", "content_hash"), ["source", "content_hash"], "left_anti")
             .select(*columns))
+        unstage(open_rows, by_url, by_text)
+        open_rows = rest
         if open_rows.isEmpty():
             break
     result = kept[0]
@@ -92,6 +94,27 @@ def insert_news(batch: DataFrame, table_path: str, id_col: str = "id") -> DataFr
     ).withColumn("inserted", F.coalesce("inserted", F.lit(False)))
 
 
+def article_keys() -> Column:
+    """The two keys by which an article is known: its url, and its text within its source."""
+    return F.array(F.concat(F.lit("u:"), "url_hash"), F.concat_ws("\x1f", F.lit("t:"), "source", "content_hash"))
+
+
+def insert_news_batch(batch: DataFrame, root: str, batch_id: int, id_col: str = "id") -> None:
+    """Store the new articles of a micro-batch under ``root``, by a key table instead of the stored articles.
+
+    Articles are written first, then their keys; each batch overwrites its own folders and looks at earlier batches only,
+    so a replay after a crash between the two writes leaves the same table.
+    """
+    keys = KeyTable(f"{root}/keys")
+    checked = stage(batch)
+    known = keys.seen(checked.select(F.explode(article_keys()).alias("key")), batch_id)
+    old = checked.select(id_col, F.explode(article_keys()).alias("key")).join(known, "key", "left_semi").select(id_col).distinct()
+    fresh = first_seen(stage(checked.join(old, id_col, "left_anti")), id_col)
+    fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{root}/articles/batch={batch_id}")
+    written = batch.sparkSession.read.schema(batch.schema).parquet(f"{root}/articles/batch={batch_id}")
+    keys.add(written.select(F.explode(article_keys()).alias("key")), batch_id)
+
+
 def pending_embeddings(items: DataFrame, vectors: DataFrame, limit: int = 100) -> DataFrame:
     """Oldest articles without a vector that are no known duplicates (``limit`` = work batch)."""
     waiting = items.where(~c("semantic_duplicate")).join(vectors.select("id"), "id", "left_anti")

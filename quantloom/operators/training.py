@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from quantloom.operators import features as feat
 from quantloom.operators.backtest import walk_forward_folds
 from quantloom.operators.blocks import owned, series_window, tail
 from quantloom.operators.memory import classification_report
+from quantloom.session import stage
 from quantloom.settings import Blocks
 
 c = F.col
@@ -114,11 +116,27 @@ def cluster_regimes(dataset: DataFrame, names: Sequence[str], clusters: int = 4,
     return model.transform(dataset).drop("_raw", "_scaled")
 
 
-def boosted_regimes(dataset: DataFrame, names: Sequence[str], target: str, rounds: int = 200) -> PipelineModel:
-    """Boosted-tree regime classifier, one against the rest."""
-    rows = dataset.where(c(target).isNotNull())
-    indexer = StringIndexer(inputCol=target, outputCol="target_index", stringOrderType="alphabetAsc").fit(rows)
-    booster = OneVsRest(
-        classifier=GBTClassifier(maxDepth=4, maxIter=rounds, stepSize=0.05, subsamplingRate=0.8, seed=42),
-        featuresCol="features", labelCol="target_index")
-    return _pipeline(names, indexer.labels, booster).fit(indexer.transform(rows))
+def boosted_regimes(
+    dataset: DataFrame, names: Sequence[str], target: str, rounds: int = 200, depth: int = 4, step: float = 0.05,
+    validation: Column | None = None, tolerance: float = 0.01,
+) -> DataFrame:
+    """``dataset`` rows with a target, scored out of training: (..., label, prediction, validation, trees).
+
+    One boosted binary model per label, one against the rest; the label with the largest probability wins, ties to the
+    first. Rows of ``validation`` (a fifth by the hash of symbol and time) do not train: each model stops when they stop
+    gaining by ``tolerance``. ``trees`` tells how many rounds the longest model took.
+    """
+    held = F.pmod(F.xxhash64("symbol", "ts"), F.lit(5)) == 0 if validation is None else validation
+    rows = stage(dataset.where(c(target).isNotNull()).select("symbol", "ts", c(target).alias("label"), held.alias("validation"), *names))
+    labels = sorted(r.label for r in rows.select("label").distinct().collect())  # a handful of regimes
+    ready = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep").transform(rows)
+    longest = 0
+    for i, label in enumerate(labels):
+        booster = GBTClassifier(
+            maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8, seed=42, validationIndicatorCol="validation", validationTol=tolerance,
+            labelCol="_is", featuresCol="features", rawPredictionCol="_raw", predictionCol="_guess", probabilityCol="_both")
+        model = booster.fit(ready.withColumn("_is", (c("label") == label).cast("double")))
+        longest = max(longest, model.getNumTrees)
+        ready = model.transform(ready).withColumn(f"_p{i}", vector_to_array("_both")[1]).drop("_raw", "_guess", "_both")
+    best = F.array_max(F.array(*[F.struct(c(f"_p{i}").alias("p"), F.lit(-i).alias("i"), F.lit(label).alias("label")) for i, label in enumerate(labels)]))
+    return ready.select("symbol", "ts", *names, "label", best["label"].alias("prediction"), "validation", F.lit(longest).alias("trees"))

@@ -1,107 +1,263 @@
-"""Exact cosine search and greedy near-duplicate removal.
+"""Exact cosine search and greedy near-duplicate removal, with bounds that spare pairs of tiles.
 
 Vectors are divided by their length first; a zero vector has similarity 0 to everything.
 
-Both work on tiles: rows are spread evenly over tiles by hash, every pair of tiles is one
-matrix product in a task, and a task emits only a few numbers per row (its best matches,
-or its earliest conflict), never the pairs. A tile holds at most about ``tile_rows`` rows
-whatever the data looks like, so groups of copies make no hot task.
+Rows are turned onto the principal axes of a bounded sample (a rotation, so products stay as they are) and sorted into
+cells by their leading coordinates: a tree of medians of that sample. Rows of a cell are packed into tiles of at most
+``tile_rows``; a cell of any size is many tiles, so groups of copies make no hot task. A tile and a cell know the ranges of
+their ``LEAD`` leading coordinates and the largest length of the rest, which bounds every product between them: the
+ranges' largest products, plus the product of the remaining lengths. Pairs below the threshold, or below the
+current k-th best of all the tile's rows, never meet. What is left is one matrix product per pair of tiles; a task emits
+a few numbers per row, never the pairs. Results are exact, with bounds or without.
+
+Each tile is read once and repeated only for the cells that it has to meet. The driver sees the sample (``SAMPLE`` values) and one
+row per cell (``MAX_CELLS`` at most). ``planned_pairs`` tells how many cells each tile has to meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.session import stage
 
 c = F.col
 TILE_ROWS = 4096
+SAMPLE = 1 << 22  # values of the sampled rows
+LEAD = 16
+MAX_CELLS = 4096
+CELL_SAMPLE = 16  # sampled rows that a cell has at least
+SALT_ROWS = 1 << 16
+ROUND = 1e-6  # similarities are rounded to six digits
 
-
-def _tiles(df: DataFrame, tile_rows: int) -> int:
-    return max(1, -(-df.count() // tile_rows))
+ROWS = "cell int, id bigint, vector binary"
+TILES = "cell int, tile bigint, n bigint, ids binary, vectors binary, low array<double>, high array<double>, rest double, first bigint, last bigint"
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def unit_rows(column: pa.Array) -> np.ndarray:
     """Rows scaled to length 1; zero vectors stay."""
-    rows = np.vstack(column.to_numpy()).astype("float64")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms > 0, norms, 1.0)
 
 
-def _match_tiles(
-    left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame],
-    schema: str, tile_rows: int,
-) -> DataFrame:
-    """Apply ``compare(left_tile, right_tile, similarities)`` to every pair of tiles."""
-    rows, cols = _tiles(left, tile_rows), _tiles(right, tile_rows)
+@dataclass
+class Cells:
+    """A rotation and a complete tree of medians over its leading coordinates; children of node i are 2i + 1 and 2i + 2."""
 
-    def place(df: DataFrame, mine: int, other: int, own: str, repeated: str) -> DataFrame:
-        return df.select(
-            c("id").alias(f"{own}_id"), c("embedding").alias(f"{own}_vector"),
-            F.pmod(F.xxhash64("id"), F.lit(mine)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other - 1).cast("bigint"))).alias(repeated))
+    axes: np.ndarray
+    on: np.ndarray
+    cuts: np.ndarray
+    depth: int
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.rename(columns={"lt_id": "id", "lt_vector": "embedding"})
-        b = b.rename(columns={"rt_id": "id", "rt_vector": "embedding"})
-        if a.empty or b.empty:
-            return compare(a, b, np.zeros((len(a), len(b))))
-        similar = np.round(np.clip(_matrix(a.embedding) @ _matrix(b.embedding).T, 0.0, 1.0), 6)
-        return compare(a, b, similar)
+    @staticmethod
+    def fit(sample: np.ndarray, depth: int) -> Cells:
+        dims = sample.shape[1]
+        while depth and len(sample) >> depth < CELL_SAMPLE:
+            depth -= 1
+        values, vectors = np.linalg.eigh(sample.T @ sample)
+        axes = vectors[:, np.argsort(-values, kind="stable")]
+        rows, nodes = (sample @ axes)[:, :LEAD], (1 << depth) - 1
+        on, cuts, at = np.zeros(nodes, np.int64), np.zeros(nodes), np.zeros(len(sample), np.int64)
+        for node in range(nodes):
+            here = at == node
+            if here.any():
+                on[node] = int(np.argmax(rows[here].std(0)))
+                cuts[node] = np.median(rows[here, on[node]])
+                at[here] = 2 * node + 1 + (rows[here, on[node]] > cuts[node])
+        return Cells(axes if dims else np.zeros((0, 0)), on, cuts, depth)
 
-    a, b = place(left, rows, cols, "lt", "rt"), place(right, cols, rows, "rt", "lt")
-    return a.groupBy("lt", "rt").cogroup(b.groupBy("lt", "rt")).applyInPandas(pair, schema)
+    def cell_of(self, turned: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(turned), np.int64)
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (turned[np.arange(len(turned)), self.on[at]] > self.cuts[at])
+        return at - ((1 << self.depth) - 1)
 
 
-def top_k(queries: DataFrame, stored: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The ``k`` most similar stored vectors per query (id, embedding): (id, match, similarity, rank).
+def fit_cells(vectors: DataFrame, tile_rows: int = TILE_ROWS, depth: int | None = None) -> Cells:
+    """Cells of about a tile each, from rows drawn by the hash of their id."""
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dims")).first()
+    dims = max(1, size.dims or 1)
+    depth = max(0, min(MAX_CELLS, -(-size.n // tile_rows)) - 1).bit_length() if depth is None else depth
+    share = min(1.0, SAMPLE // dims / max(1, size.n))
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("cells"), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy("id").limit(2 * SAMPLE // dims)
+    rows = np.array([r.embedding for r in drawn.select("embedding").collect()], np.float64).reshape(-1, dims)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return Cells.fit(rows / np.where(norms > 0, norms, 1.0), depth)
 
-    Similarity is the cosine clamped to [0, 1] and rounded to 6 digits; ties go to the lower id.
-    """
-    def best(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        if not sims.size:
-            return pd.DataFrame({"id": [], "match": [], "similarity": []}).astype({"id": "int64", "match": "int64", "similarity": "float64"})
-        ids = b.id.to_numpy()
+
+def placed(vectors: DataFrame, cells: Cells) -> DataFrame:
+    """Staged (cell, id, vector) of (id, embedding): the turned unit vector as bytes."""
+    held = vectors.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turned = unit_rows(batch.column("embedding")) @ held.value.axes if batch.num_rows else np.zeros((0, 1))
+            raw = [r.tobytes() for r in np.ascontiguousarray(turned)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held.value.cell_of(turned), pa.int32()), batch.column("id"), pa.array(raw, pa.binary())], ["cell", "id", "vector"])
+
+    return stage(vectors.select(c("id").cast("bigint").alias("id"), "embedding").mapInArrow(run, ROWS))
+
+
+def tiles(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Staged tiles (``TILES``) of ``placed`` rows. Large cells are dealt to several tasks."""
+    sizes = {r.cell: r["count"] for r in rows.groupBy("cell").count().collect()}  # MAX_CELLS rows at most
+    large = {cell: -(-n // SALT_ROWS) for cell, n in sizes.items() if n > SALT_ROWS}
+    salts = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[c("cell")] if large else F.lit(1)
+
+    def tile(cell: int, members: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        ids = np.array([m[0] for m in members], np.int64)
+        vectors = np.frombuffer(b"".join(m[1] for m in members)).reshape(len(ids), -1)
+        rest = np.linalg.norm(vectors[:, LEAD:], axis=1).max()
+        values = [cell, int(ids.min()), len(ids), ids.tobytes(), vectors.tobytes(), vectors[:, :LEAD].min(0).tolist(), vectors[:, :LEAD].max(0).tolist(), float(rest), int(ids.min()), int(ids.max())]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [f.split()[0] for f in TILES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for cell, i, vector in zip(*[batch.column(n).to_pylist() for n in ("cell", "id", "vector")]):
+                if held and (cell != at or len(held) == tile_rows):
+                    yield tile(at, held)
+                    held = []
+                at = cell
+                held.append((i, vector))
+        if held:
+            yield tile(at, held)
+
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.coalesce(salts, F.lit(1)))).repartition("cell", "_salt").sortWithinPartitions("cell", "id")
+    return stage(dealt.select("cell", "id", "vector").mapInArrow(run, TILES))
+
+
+def boxes(tiled: DataFrame) -> pd.DataFrame:
+    """One row per cell (``MAX_CELLS`` at most): ranges of the leading coordinates, largest rest, number of rows."""
+    out = []
+    for r in tiled.groupBy("cell").agg(
+            F.sum("n").alias("n"), F.max("rest").alias("rest"), F.max(F.size("low")).alias("lead"),
+            *[F.min(F.try_element_at("low", F.lit(i + 1))).alias(f"l{i}") for i in range(LEAD)],
+            *[F.max(F.try_element_at("high", F.lit(i + 1))).alias(f"h{i}") for i in range(LEAD)]).collect():
+        out.append((r.cell, r.n, [r[f"l{i}"] for i in range(r.lead)], [r[f"h{i}"] for i in range(r.lead)], r.rest))
+    return pd.DataFrame(sorted(out), columns=["cell", "n", "low", "high", "rest"])
+
+
+def bounds(low: np.ndarray, high: np.ndarray, rest: float, table: dict[str, np.ndarray]) -> np.ndarray:
+    """Largest possible product between a box and each of the boxes of ``table``."""
+    products = np.stack([low * table["low"], low * table["high"], high * table["low"], high * table["high"]])
+    return products.max(0).sum(1) + rest * table["rest"]
+
+
+def as_arrays(found: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {"cell": found.cell.to_numpy(np.int64), "low": np.array(found.low.tolist(), np.float64), "high": np.array(found.high.tolist(), np.float64), "rest": found.rest.to_numpy(np.float64)}
+
+
+def with_cells(left: DataFrame, right_boxes: pd.DataFrame, floor: Column, only_nearest: bool = False) -> DataFrame:
+    """Adds ``want``: the cells that may hold a product of ``floor`` or more with a row of the tile; or only the likeliest one."""
+    if right_boxes.empty:
+        return left.withColumn("want", F.array().cast("array<int>"))
+    table = as_arrays(right_boxes)
+
+    @F.pandas_udf("array<int>")
+    def wanted(low: pd.Series, high: pd.Series, rest: pd.Series, cell: pd.Series, least: pd.Series) -> pd.Series:
+        out = []
+        for lo, hi, r, own, f in zip(low, high, rest, cell, least):
+            if only_nearest and own in table["cell"]:
+                out.append(np.array([own], np.int32))
+                continue
+            bound = bounds(np.asarray(lo), np.asarray(hi), r, table)
+            at = [int(np.argmax(bound))] if only_nearest else np.flatnonzero(bound + ROUND >= f)
+            out.append(table["cell"][at].astype(np.int32))
+        return pd.Series(out)
+
+    return left.withColumn("want", wanted("low", "high", "rest", "cell", floor.cast("double")))
+
+
+def planned_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Per left tile how many cells of the right there are and how many it meets at ``threshold``."""
+    found = boxes(right)
+    return with_cells(left, found, F.lit(threshold)).select("cell", "tile", "n", F.lit(len(found)).alias("cells"), F.size("want").alias("met"))
+
+
+Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+
+
+def meet(left: DataFrame, right: DataFrame, compare: Compare, schema: str, earlier_only: bool = False) -> DataFrame:
+    """Apply ``compare(left ids, right ids, similarities)`` to every left tile and each tile of the cells it wants."""
+    asked = left.withColumn("_cell", F.explode("want")).select(
+        c("_cell"), c("ids").alias("l_ids"), c("vectors").alias("l_vectors"), c("last").alias("l_last"))
+    on = asked["_cell"] == right["cell"]
+    met = asked.join(right, on & (c("first") < c("l_last")) if earlier_only else on).select("l_ids", "l_vectors", "ids", "vectors")
+    kinds = {"bigint": pa.int64(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                l_ids, l_vectors, ids, vectors = [batch.column(n)[i].as_py() for n in ("l_ids", "l_vectors", "ids", "vectors")]
+                l_ids, ids = np.frombuffer(l_ids, np.int64), np.frombuffer(ids, np.int64)
+                own, others = np.frombuffer(l_vectors).reshape(len(l_ids), -1), np.frombuffer(vectors).reshape(len(ids), -1)
+                for a in range(0, len(l_ids), 512):  # bounds the matrix of products
+                    similar = np.round(np.clip(own[a : a + 512] @ others.T, 0.0, 1.0), 6)
+                    cells = compare(l_ids[a : a + 512], ids, similar)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(cells, fields)], [n for n, _ in fields])
+
+    return met.mapInArrow(run, schema)
+
+
+def _best(k: int) -> Compare:
+    def best(own: np.ndarray, ids: np.ndarray, similar: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(ids, kind="stable")
-        sims, ids = sims[:, order], ids[order]
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({
-            "id": np.repeat(a.id.to_numpy(), top.shape[1]), "match": ids[top].ravel(),
-            "similarity": np.take_along_axis(sims, top, axis=1).ravel()})
+        top = np.argsort(-similar[:, order], axis=1, kind="stable")[:, :k]
+        return np.repeat(own, top.shape[1]), ids[order][top].ravel(), np.take_along_axis(similar[:, order], top, axis=1).ravel()
 
-    found = _match_tiles(queries, stored, best, "id bigint, match bigint, similarity double", tile_rows)
-    w = Window.partitionBy("id").orderBy(c("similarity").desc(), "match")
-    return found.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
+    return best
 
 
-def _earliest_conflict(threshold: float) -> Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]:
-    def find(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        if not sims.size:
-            return pd.DataFrame({"id": [], "conflict": []}).astype("int64")
-        ids, others = a.id.to_numpy()[:, None], b.id.to_numpy()[None, :]
-        hit = (sims > threshold) & (others < ids)
-        first = np.where(hit, others, np.iinfo("int64").max).min(axis=1)
-        some = hit.any(axis=1)
-        return pd.DataFrame({"id": a.id.to_numpy()[some], "conflict": first[some]})
+def top_k(queries: DataFrame, stored: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The ``k`` most similar stored vectors per query (id, embedding): (id, match, similarity, rank).
+
+    Similarity is the cosine clamped to [0, 1] and rounded to 6 digits; ties go to the lower id. Tiles of queries first
+    meet their likeliest cell; the k-th similarity found there rules out cells for the second pass.
+    """
+    cells = fit_cells(stored, tile_rows)
+    right = tiles(placed(stored, cells), tile_rows)
+    left = tiles(placed(queries, cells), tile_rows)
+    found, schema = boxes(right), "id bigint, match bigint, similarity double"
+    first = with_cells(left, found, F.lit(0.0), only_nearest=True)
+    begun = stage(meet(first, right, _best(k), schema))
+    order = Window.partitionBy("id").orderBy(c("similarity").desc(), "match")
+    own = queries.select(c("id").cast("bigint").alias("id")).distinct().join(
+        begun.withColumn("rank", F.row_number().over(order)).where(c("rank") == k).select("id", "similarity"), "id", "left")
+    ids_of = F.pandas_udf(lambda raw: pd.Series([np.frombuffer(r, np.int64) for r in raw]), "array<bigint>")
+    members = left.select("cell", "tile", F.explode(ids_of("ids")).alias("id"))
+    floors = stage(members.join(own, "id").groupBy("cell", "tile").agg(F.min(F.coalesce("similarity", F.lit(0.0))).alias("floor")).select(
+        c("cell").alias("_of"), c("tile").alias("_tile"), "floor"))
+    bounded = first.withColumnRenamed("want", "met").join(floors, (c("cell") == c("_of")) & (c("tile") == c("_tile")))
+    again = with_cells(bounded, found, c("floor")).withColumn("want", F.array_except("want", "met"))
+    both = begun.unionByName(meet(again, right, _best(k), schema))
+    return both.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
 
-    return find
 
+def conflicts(left: DataFrame, right: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Ids of ``placed`` left rows with an earlier right row above the threshold."""
+    def find(own: np.ndarray, ids: np.ndarray, similar: np.ndarray) -> tuple[np.ndarray, ...]:
+        return (own[((similar > threshold) & (ids[None, :] < own[:, None])).any(1)],)
 
-def _conflicts(left: DataFrame, right: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
-    """Ids of ``left`` with an earlier row in ``right`` above the threshold."""
-    found = _match_tiles(left, right, _earliest_conflict(threshold), "id bigint, conflict bigint", tile_rows)
-    return found.select("id").distinct()
+    others = tiles(right, tile_rows)
+    asked = with_cells(tiles(left, tile_rows), boxes(others), F.lit(threshold))
+    return meet(asked, others, find, "id bigint", earlier_only=True).distinct()
 
 
 def greedy_distinct(
     vectors: DataFrame, threshold: float = 0.92, stored: DataFrame | None = None,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int = TILE_ROWS, cells: Cells | None = None,
 ) -> DataFrame:
     """Rows of ``vectors`` (id, embedding) kept by the greedy rule in id order: a row is a
     duplicate when its best earlier kept match is above ``threshold`` (strictly).
@@ -109,39 +265,47 @@ def greedy_distinct(
     Later copies of an identical vector always share the first one's conflicts, so they
     are removed first. Then each round keeps the rows without an earlier open conflict and
     drops what is too close to them. Each round is written out, which cuts lineage.
+    Everything ``stored`` counts as earlier than the batch.
     """
-    first = vectors.groupBy("embedding").agg(F.min("id").alias("id")).select("id", "embedding")
-    open_rows = stage(first)
+    first = stage(vectors.groupBy("embedding").agg(F.min("id").alias("id")).select(c("id").cast("bigint").alias("id"), "embedding"))
+    cells = cells or fit_cells(first, tile_rows)
+    open_rows = placed(first, cells)
     if stored is not None:
-        # Everything stored counts as earlier than the batch.
-        shifted = stored.select((-c("id") - 1).alias("id"), "embedding")
-        clash = _conflicts(open_rows, shifted, threshold, tile_rows)
-        open_rows = stage(open_rows.join(clash, "id", "left_anti"))
+        shifted = placed(stored.select((-c("id") - 1).alias("id"), "embedding"), cells)
+        open_rows = stage(open_rows.join(conflicts(open_rows, shifted, threshold, tile_rows), "id", "left_anti"))
     kept: list[DataFrame] = []
     while not open_rows.isEmpty():  # the smallest open id settles in every round
-        blocked = stage(_conflicts(open_rows, open_rows, threshold, tile_rows))
+        blocked = stage(conflicts(open_rows, open_rows, threshold, tile_rows))
         winners = stage(open_rows.join(blocked, "id", "left_anti"))
-        rest = open_rows.join(blocked, "id", "left_semi")
-        near = _conflicts(rest, winners, threshold, tile_rows)
         kept.append(winners)
-        open_rows = stage(rest.join(near, "id", "left_anti"))
-    result = kept[0] if kept else open_rows
+        if blocked.isEmpty():
+            break
+        rest = stage(open_rows.join(blocked, "id", "left_semi"))
+        open_rows = stage(rest.join(conflicts(rest, winners, threshold, tile_rows), "id", "left_anti"))
+    if not kept:
+        return first.limit(0)
+    ids = kept[0].select("id")
     for more in kept[1:]:
-        result = result.unionByName(more)
-    return result
+        ids = ids.unionByName(more.select("id"))
+    return first.join(ids, "id", "left_semi")
+
 
+def duplicate_matches(vectors: DataFrame, kept: DataFrame, threshold: float = -1.0, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """For each dropped row its most similar earlier kept row: (id, matched_id, similarity).
 
-def duplicate_matches(vectors: DataFrame, kept: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """For each dropped row its most similar earlier kept row: (id, matched_id, similarity)."""
-    def best(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        if not sims.size:
-            return pd.DataFrame({"id": [], "matched_id": [], "similarity": []}).astype(
-                {"id": "int64", "matched_id": "int64", "similarity": "float64"})
-        earlier = np.where(b.id.to_numpy()[None, :] < a.id.to_numpy()[:, None], sims, -1.0)
+    ``threshold`` is the one that rows were dropped by, if known: every dropped row has a match above it.
+    """
+    def best(own: np.ndarray, ids: np.ndarray, similar: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(ids, kind="stable")
+        earlier = np.where(ids[order][None, :] < own[:, None], similar[:, order], -1.0)
         at = earlier.argmax(axis=1)
-        return pd.DataFrame({"id": a.id, "matched_id": b.id.to_numpy()[at], "similarity": earlier.max(axis=1)})
+        some = earlier.max(axis=1) >= 0
+        return own[some], ids[order][at[some]], earlier.max(axis=1)[some]
 
+    cells = fit_cells(kept, tile_rows)
     dropped = vectors.join(kept.select("id"), "id", "left_anti")
-    found = _match_tiles(dropped, kept, best, "id bigint, matched_id bigint, similarity double", tile_rows)
+    right = tiles(placed(kept, cells), tile_rows)
+    asked = with_cells(tiles(placed(dropped, cells), tile_rows), boxes(right), F.lit(threshold))
+    found = meet(asked, right, best, "id bigint, matched_id bigint, similarity double", earlier_only=True)
     rank = F.struct("similarity", -c("matched_id"))
     return found.groupBy("id").agg(F.max_by("matched_id", rank).alias("matched_id"), F.max("similarity").alias("similarity"))

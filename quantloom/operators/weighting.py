@@ -6,10 +6,11 @@ all steps are map and array expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.safe import array_sum, let
+from quantloom.session import stage
 from quantloom.settings import AdaptiveSettings
 
 c = F.col
@@ -70,20 +71,46 @@ def performance_rules(weights: Column, performance: Column) -> Column:
     return F.transform_values(weights, adjusted)
 
 
-def performance_map(records: DataFrame, regimes: DataFrame) -> DataFrame:
-    """Per symbol of ``regimes`` (symbol, regime): latest usable record per strategy as a map.
+PERFORMANCE = "map<string,struct<accuracy:double,avg_return:double,max_drawdown:double,sample_size:bigint>>"
 
-    A record is usable when its regime matches or is "unknown"; the highest ``seq`` wins.
+
+def performance_as_of(bars: DataFrame, outcomes: DataFrame, slice_of: Column) -> DataFrame:
+    """``bars`` (symbol, ts, regime, base_weights, ...) with ``performance``: what each weighted strategy had settled by then.
+
+    ``outcomes`` are (symbol, strategy_name, regime, ts, realized), ts being the time of settlement and regime that of the
+    entry; those of the bar's regime or of "unknown" count. A record holds the share of gains, the mean, the worst
+    single outcome (0 at best) and the number of outcomes settled at ``ts`` or before, so no weight sees the future.
+
+    Time is cut into slices (``slice_of``, over ``ts``). Totals per slice run forward as one row per (symbol, regime, strategy,
+    slice); only inside a slice are bars and outcomes sorted together. No partition holds more than a slice of one key.
     """
-    matched = (
-        regimes.select("symbol", c("regime").alias("_now")).join(records, "symbol")
-        .where((c("regime") == c("_now")) | (c("regime") == "unknown"))
-    )
-    value = F.struct("accuracy", "avg_return", "max_drawdown", "sample_size")
-    latest = matched.groupBy("symbol", "strategy_name").agg(F.max_by(value, "seq").alias("v"))
-    # One entry per strategy, so the collected list is as short as the strategy table.
-    return latest.groupBy("symbol").agg(
-        F.map_from_entries(F.collect_list(F.struct("strategy_name", "v"))).alias("performance"))
+    keys = ["symbol", "strategy_name", "regime"]
+    settled = outcomes.where(c("realized").isNotNull() & c("ts").isNotNull()).select(
+        *keys, "ts", slice_of.alias("_slice"), F.lit(1).cast("bigint").alias("n"), (c("realized") > 0).cast("bigint").alias("wins"),
+        c("realized").alias("total"), F.least(c("realized"), F.lit(0.0)).alias("worst"))
+    either = F.array_distinct(F.array(c("regime"), F.lit("unknown")))
+    asking = stage(bars.select("symbol", "ts", c("regime").alias("_now"), slice_of.alias("_slice"), F.explode(F.map_keys("base_weights")).alias("strategy_name"), either.alias("_either"))
+                   .select("symbol", "ts", "_now", "_slice", "strategy_name", F.explode("_either").alias("regime")))
+    sums = [F.sum("n").alias("n"), F.sum("wins").alias("wins"), F.sum("total").alias("total"), F.min("worst").alias("worst")]
+    whole = settled.groupBy(*keys, "_slice").agg(*sums)
+    every = asking.select(*keys, "_slice").distinct().join(whole, [*keys, "_slice"], "full")
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    opening = every.select(*keys, "_slice", F.sum("n").over(earlier).alias("_n"), F.sum("wins").over(earlier).alias("_wins"),
+                           F.sum("total").over(earlier).alias("_total"), F.min("worst").over(earlier).alias("_worst"))
+    both = asking.withColumn("_asks", F.lit(1)).unionByName(settled.withColumn("_asks", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*keys, "_slice").orderBy("ts", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.select(*keys, "ts", "_now", "_slice", "_asks", *[f(n).over(so_far).alias(n) for f, n in ((F.sum, "n"), (F.sum, "wins"), (F.sum, "total"), (F.min, "worst"))])
+    known = inside.where("_asks = 1").join(opening, [*keys, "_slice"], "left")
+    zero_if = lambda a, b: F.coalesce(c(a), F.lit(0)) + F.coalesce(c(b), F.lit(0))
+    summed = known.groupBy("symbol", "ts", "_now", "strategy_name").agg(
+        F.sum(zero_if("n", "_n")).alias("n"), F.sum(zero_if("wins", "_wins")).alias("wins"), F.sum(zero_if("total", "_total")).alias("total"),
+        F.min(F.least(F.coalesce("worst", F.lit(0.0)), F.coalesce("_worst", F.lit(0.0)))).alias("worst")).where("n > 0")
+    record = F.struct((c("wins") / c("n")).alias("accuracy"), (c("total") / c("n")).alias("avg_return"), c("worst").alias("max_drawdown"), c("n").alias("sample_size"))
+    # One entry per weighted strategy, so the map is as short as the strategy table.
+    maps = summed.groupBy("symbol", "ts", "_now").agg(F.map_from_entries(F.collect_list(F.struct("strategy_name", record))).alias("performance"))
+    found = maps.select(c("symbol").alias("_symbol"), c("ts").alias("_ts"), "_now", "performance")
+    at = (c("symbol") == c("_symbol")) & (c("ts") == c("_ts")) & (c("regime") == c("_now"))
+    return bars.drop("performance").join(found, at, "left").drop("_symbol", "_ts", "_now")
 
 
 def adaptive_weights(df: DataFrame, s: AdaptiveSettings) -> DataFrame:

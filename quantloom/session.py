@@ -90,7 +90,8 @@ def _staged_paths(spark: SparkSession) -> list[str]:
     return context._quantloom_staged
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system; no error if it is not there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -98,7 +99,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def unstage(*tables: DataFrame) -> None:
     """Delete tables that ``stage`` returned and nothing unwritten reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df._quantloom_path)
+        delete_folder(df.sparkSession, df._quantloom_path)
         _staged_paths(df.sparkSession).remove(df._quantloom_path)
 
 
@@ -109,5 +110,5 @@ def only_result_stays(spark: SparkSession) -> Iterator[list[DataFrame]]:
     yield kept
     keep = before | {df._quantloom_path for df in kept}
     for path in [p for p in _staged_paths(spark) if p not in keep]:
-        _delete(spark, path)
+        delete_folder(spark, path)
         _staged_paths(spark).remove(path)

@@ -1,4 +1,4 @@
-"""Links from stored HTML pages with built-in text functions; articles from a parsed tree."""
+"""Links and articles from stored HTML pages, read from a parsed tree."""
 
 from __future__ import annotations
 
@@ -10,62 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import text as tx
+from quantloom.session import ship_package
 
 c = F.col
 
-# Entities decoded after tags are removed ('&amp;' last).
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
-    ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&amp;", "&"),
-)
-HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|iframe)\b[^>]*>.*?</\1\s*>"
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*>(.*?)</a\s*>"
 MIN_BODY_CHARS = 80
 
 
-def visible(html: Column) -> Column:
-    return F.regexp_replace(html, HIDDEN, " ")
-
-
-def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def tag_text(html: Column) -> Column:
-    """Readable text of an HTML fragment; NULL when empty."""
-    plain = unescape(F.regexp_replace(html, r"(?s)<[^>]*>", " "))
-    return F.nullif(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), F.lit(""))
-
-
-def page_links(pages: DataFrame) -> DataFrame:
-    """Every link with text of every page: (page_id, position, href, title)."""
-    found = F.regexp_extract_all("_v", F.lit(ANCHOR), F.lit(0))
-    links = pages.withColumn("_v", visible(c("html"))).select("page_id", "url", F.posexplode(found).alias("position", "_a"))
-    return links.select(
-        "page_id", c("url").alias("base_url"), "position",
-        unescape(F.regexp_extract("_a", ANCHOR, 1)).alias("href"), tag_text(F.regexp_extract("_a", ANCHOR, 2)).alias("title"),
-    ).where(c("title").isNotNull())
-
-
-def article_candidates(pages: DataFrame, min_title: int = 12, per_page: int | None = None) -> DataFrame:
-    """Probable article links per page (title of at least ``min_title`` characters)."""
-    from quantloom.operators.news import candidate_links
-
-    links = page_links(pages).where(F.length("title") >= min_title).withColumn(
-        "link", tx.absolutize_url(c("base_url"), c("href")))
-    wanted = links.where(tx.is_article_url(c("link"))).select(
-        c("page_id").alias("page"), c("link").alias("url"), "position", "title")
-    return candidate_links(wanted, per_page)
-
-
-def headlines(pages: DataFrame) -> DataFrame:
-    """Links that look like news headlines."""
-    return page_links(pages).where(tx.is_headline_link(c("href"), c("title")))
-
-
 # Elements without content, elements that end an open paragraph, parts that are no article text, classes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_PARAGRAPH = frozenset("p div section article ul ol table form figure aside nav h1 h2 h3 h4 h5 h6 blockquote pre header footer main".split())
@@ -146,6 +97,44 @@ def page_tree(html: str | None) -> Node:
     return builder.open[0]
 
 
+@F.udtf(returnType="position int, href string, title string")
+class PageLinks:
+    """Rows (position, href, title) of a page's links, read from its tree: entities are decoded and nested markup is joined
+    with blanks. A link without text is named by its ``title`` attribute; one without either counts, but gives no row."""
+
+    def eval(self, html: str | None) -> Iterator[tuple[int, str, str]]:
+        position = -1
+        for node in page_tree(html).walk():
+            if node.tag == "a" and node.attrs.get("href", "").strip():
+                position += 1
+                title = node.text() or " ".join(node.attrs.get("title", "").split())
+                if title:
+                    yield position, node.attrs["href"].strip(), title
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Every link with text of every page: (page_id, base_url, position, href, title), by a lateral join of pages and ``PageLinks``."""
+    ship_package(pages.sparkSession)
+    asked = pages.select("page_id", c("url").alias("base_url"), c("html").alias("_html"))
+    return asked.lateralJoin(PageLinks(c("_html").outer())).drop("_html")
+
+
+def article_candidates(pages: DataFrame, min_title: int = 12, per_page: int | None = None) -> DataFrame:
+    """Probable article links per page (title of at least ``min_title`` characters)."""
+    from quantloom.operators.news import candidate_links
+
+    links = page_links(pages).where(F.length("title") >= min_title).withColumn(
+        "link", tx.absolutize_url(c("base_url"), c("href")))
+    wanted = links.where(tx.is_article_url(c("link"))).select(
+        c("page_id").alias("page"), c("link").alias("url"), "position", "title")
+    return candidate_links(wanted, per_page)
+
+
+def headlines(pages: DataFrame) -> DataFrame:
+    """Links that look like news headlines."""
+    return page_links(pages).where(tx.is_headline_link(c("href"), c("title")))
+
+
 def first_meta(metas: list[Node], *names: str) -> str | None:
     """Content of the first of the named meta tags that has one."""
     for name in names:

@@ -6,17 +6,18 @@ is there and stops, so the same flow serves back-fills, tests and live use.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quantloom.operators import candles, memory, quality
+from quantloom.operators import candles, memory, quality, vectors
 from quantloom.operators.blocks import index_rows
-from quantloom.operators.vectors import greedy_distinct
 from quantloom.session import read_if_there, shared_dir, stage
 from quantloom.sources import sinks
 
@@ -111,28 +112,84 @@ def stream_reliability(events: DataFrame) -> DataFrame:
 
 
 def stream_news_dedupe(articles: DataFrame, table_path: str) -> DataFrame:
-    """Insert an article stream into a news table, dropping exact duplicates without a time limit."""
-    from quantloom.operators.news import insert_news
+    """Insert an article stream into a news table, dropping exact duplicates without a time limit.
+
+    A micro-batch reads the key buckets it may hit, never the stored articles; ``sources/keytable`` tells how.
+    """
+    from quantloom.operators.news import insert_news_batch
 
     folder = new_folder(articles.sparkSession, "news")
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        insert_news(batch, table_path)
+        insert_news_batch(batch, table_path, batch_id)
 
     run_once(articles, insert, folder)
-    return articles.sparkSession.read.parquet(table_path)
+    return articles.sparkSession.read.parquet(f"{table_path}/articles").drop("batch")
 
 
-def stream_vector_dedupe(vectors: DataFrame, table_path: str, threshold: float = 0.92) -> DataFrame:
-    """Store the vectors of a stream that are no near-duplicates of stored or earlier ones."""
-    spark = vectors.sparkSession
-    folder = new_folder(spark, "vectors")
+class VectorTable:
+    """Stored vectors in cells as partitions, with the bounds of each cell; ``operators/vectors`` tells how cells bound products.
 
-    def insert(batch: DataFrame, batch_id: int) -> None:
-        greedy_distinct(batch, threshold, read_if_there(spark, table_path)).write.mode("append").parquet(table_path)
+    Folders per batch: ``vectors`` by cell, ``boxes`` (one row per cell, as all batches so far left them) and ``reads``. The
+    cells are fitted to the first batch and stay. A batch reads earlier batches only and overwrites its own folders, so replays are harmless.
+    """
 
-    run_once(vectors, insert, folder)
-    return spark.read.parquet(table_path)
+    def __init__(self, spark: SparkSession, root: str, depth: int = 8):
+        self.spark, self.root, self.depth = spark, root, depth
+
+    def cells(self, batch: DataFrame) -> vectors.Cells:
+        found = read_if_there(self.spark, f"{self.root}/cells")
+        if found is None:
+            made = vectors.fit_cells(batch, depth=self.depth)
+            row = (made.axes.tobytes(), made.on.tobytes(), made.cuts.tobytes(), made.depth)
+            self.spark.createDataFrame([row], "axes binary, `on` binary, cuts binary, depth int").write.mode("overwrite").parquet(f"{self.root}/cells")
+            return made
+        r = found.first()
+        axes = np.frombuffer(r.axes)
+        side = round(len(axes) ** 0.5)
+        return vectors.Cells(axes.reshape(side, side), np.frombuffer(r["on"], np.int64), np.frombuffer(r.cuts), r.depth)
+
+    def _boxes(self, batch_id: int) -> pd.DataFrame:
+        for before in range(batch_id - 1, -1, -1):
+            found = read_if_there(self.spark, f"{self.root}/boxes/batch={before}")
+            if found is not None:
+                return pd.DataFrame([r.asDict() for r in found.collect()], columns=["cell", "n", "low", "high", "rest"])  # MAX_CELLS rows at most
+        return pd.DataFrame(columns=["cell", "n", "low", "high", "rest"])
+
+    def insert(self, batch: DataFrame, batch_id: int, threshold: float) -> None:
+        """Store the vectors of a batch that are no near-duplicates of stored or earlier ones."""
+        batch = stage(batch.select(c("id").cast("bigint").alias("id"), "embedding"))
+        cells, before = self.cells(batch), self._boxes(batch_id)
+        asked = vectors.with_cells(vectors.tiles(vectors.placed(batch, cells)), before, F.lit(threshold))
+        wanted = sorted(r.cell for r in asked.select(F.explode("want").alias("cell")).distinct().collect())
+        near = None
+        if wanted:
+            near = self.spark.read.parquet(f"{self.root}/vectors").where(c("cell").isin(wanted) & (c("batch") < batch_id)).select("id", "embedding")
+        kept = stage(vectors.greedy_distinct(batch, threshold, near, cells=cells))
+        at = vectors.placed(kept, cells)
+        kept.join(at.select("id", "cell"), "id").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/vectors/batch={batch_id}")
+        grown = pd.concat([before, vectors.boxes(vectors.tiles(at))])
+        rows = []
+        for cell, g in grown.groupby("cell"):
+            rows.append((int(cell), int(g.n.sum()), np.min(g.low.tolist(), 0).tolist(), np.max(g.high.tolist(), 0).tolist(), float(g.rest.max())))
+        self.spark.createDataFrame(rows, "cell int, n bigint, low array<double>, high array<double>, rest double").write.mode("overwrite").parquet(f"{self.root}/boxes/batch={batch_id}")
+        self.spark.createDataFrame([(batch_id, len(before), len(wanted))], "batch_id bigint, cells_stored bigint, cells_read bigint").write.mode("overwrite").parquet(
+            f"{self.root}/reads/batch={batch_id}")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/vectors").drop("batch", "cell")
+
+    def reads(self) -> DataFrame:
+        """Per batch: cells that held vectors before it, and how many of them were read."""
+        return self.spark.read.parquet(f"{self.root}/reads").select("batch_id", "cells_stored", "cells_read")
+
+
+def stream_vector_dedupe(stream: DataFrame, table_path: str, threshold: float = 0.92, depth: int = 8) -> DataFrame:
+    """Store the vectors of a stream that are no near-duplicates of stored or earlier ones."""
+    spark = stream.sparkSession
+    table = VectorTable(spark, table_path, depth)
+    run_once(stream, lambda batch, batch_id: table.insert(batch, batch_id, threshold), new_folder(spark, "vectors"))
+    return table.rows()
 
 
 def stream_lifecycle(events: DataFrame) -> DataFrame:
@@ -142,29 +199,64 @@ def stream_lifecycle(events: DataFrame) -> DataFrame:
     return memory.lifecycle(events.sparkSession.read.parquet(f"{folder}/data"))
 
 
-def expiring_lifecycle(events: DataFrame, ttl: str = "1 day") -> DataFrame:
-    """Live state per correlation id; ids without an event for ``ttl`` (event time) become EXPIRED."""
-    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+LIVE_STATE = "correlation_id string, state string, completed string, events bigint, first_ts timestamp, last_ts timestamp, error string"
+
+
+def expiring_lifecycle(events: DataFrame, ttl: str = "1 day", lateness: str = "1 minute") -> DataFrame:
+    """Lifecycle per correlation id with keyed state and a timer: a row per change, in update mode.
+
+    State per id is its last state, the completed ones, counts and times; no event is stored. An id without an event for
+    ``ttl`` of event time becomes EXPIRED and its state is removed, by a timer or, within a batch, by the gap itself;
+    a later event starts it anew. Events later than ``lateness`` are dropped. Events of a batch are taken by ts, then seq.
+    """
+    span = pd.Timedelta(ttl)
+
+    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def row(name: str, held: tuple) -> tuple:
+            return (key[0], name, held[1], held[2], pd.Timestamp(held[3], unit="us"), pd.Timestamp(held[4], unit="us"), held[5] or None)
 
-    def step(key: tuple[str], batches, state: GroupState):
-        last, done = state.get if state.exists else ("CREATED", "")
+        held, out = state.get if state.exists else None, []
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"correlation_id": [key[0]], "state": ["EXPIRED"], "completed": [done]})
-            return
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        finished = set(filter(None, done.split("|"))) | (set(pdf.state) - set(memory.UNCOUNTED_STATES))
-        last, done = pdf.state.iloc[-1], "|".join(sorted(finished))
-        state.update((last, done))
-        state.setTimeoutTimestamp(int(pdf.ts.max().timestamp() * 1000) + ttl_ms)
-        yield pd.DataFrame({"correlation_id": [key[0]], "state": [last], "completed": [done]})
+            out.append(row("EXPIRED", held))
+        else:
+            for e in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
+                at = int(e.ts.value // 1000)
+                if held is not None and at - held[4] > span.value // 1000:
+                    out.append(row("EXPIRED", held))
+                    held = None
+                done = set(held[1].split("|")) - {""} if held else set()
+                if e.state not in memory.UNCOUNTED_STATES:
+                    done.add(e.state)
+                held = (e.state, "|".join(sorted(done)), (held[2] if held else 0) + 1, held[3] if held else at, max(at, held[4]) if held else at,
+                        e.error or "" if e.state == "FAILED" else held[5] if held else "")
+            out.append(row(held[0], held))
+            state.update(held)
+            state.setTimeoutTimestamp((held[4] + span.value // 1000) // 1000)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in LIVE_STATE.split(", ")])
 
     return (
-        events.withWatermark("ts", "1 minute").groupBy("correlation_id").applyInPandasWithState(
-            step, "correlation_id string, state string, completed string", "state string, completed string",
+        events.select("correlation_id", "state", "ts", "seq", "error").withWatermark("ts", lateness).groupBy("correlation_id").applyInPandasWithState(
+            step, LIVE_STATE, "state string, completed string, events bigint, first_us bigint, last_us bigint, error string",
             "update", GroupStateTimeout.EventTimeTimeout))
 
 
+def live_lifecycle(events: DataFrame, ttl: str, lateness: str = "1 minute") -> tuple[DataFrame, DataFrame]:
+    """Run ``expiring_lifecycle`` over what is there: (last row of each session, state rows held after each batch)."""
+    spark = events.sparkSession
+    folder = new_folder(spark, "live-lifecycle")
+    query = (
+        expiring_lifecycle(events, ttl, lateness).writeStream.outputMode("update").foreachBatch(versioned_sink(folder))
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    sizes = [(p["batchId"], s["numRowsTotal"], p["numInputRows"]) for p in map(lambda x: json.loads(x.json), query.recentProgress) for s in p["stateOperators"]]
+    held = spark.createDataFrame(sizes, "batch_id bigint, state_rows bigint, input_rows bigint")
+    rows = spark.read.parquet(f"{folder}/data").drop("batch")
+    newest = F.struct("batch_id", "events", (c("state") == "EXPIRED").alias("over"))
+    last = rows.withColumn("_v", newest).groupBy("correlation_id", "first_ts").agg(F.max_by(F.struct(*[n for n in rows.columns if n not in ("correlation_id", "first_ts")]), "_v").alias("_r"))
+    return last.select("correlation_id", "first_ts", "_r.*").drop("batch_id"), held
+
+
 def stream_bandit(feedback: DataFrame) -> DataFrame:
     """Reward sums per strategy over a feedback stream, as upper-confidence scores."""
     folder = new_folder(feedback.sparkSession, "bandit")
