@@ -53,6 +53,17 @@ def bounded_sample(df: DataFrame, group: str, key: Column, limit: int) -> DataFr
     return drawn.where(F.col("_draw") < F.col("_share")).select("d.*").drop("_draw")
 
 
+def sampled_rows(docs: DataFrame, group: str, limit: int) -> DataFrame:
+    """About ``limit`` rows of each value of ``group``, with all columns; texts are neither shuffled nor read to draw.
+
+    Rows are drawn by id and place, so rows that share an id are drawn one by one. The drawn places are broadcast: ``limit``
+    for each value.
+    """
+    named = named_rows(docs)
+    drawn = stage(bounded_sample(named.select(group, "doc_id", *ROW), group, F.xxhash64("doc_id", ROW[1]), limit).select(*ROW))
+    return named.join(F.broadcast(drawn), list(ROW), "left_semi").drop(*ROW)
+
+
 def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``chars`` characters, one row at least: bounds the working memory of a batch."""
     start, held = 0, 0

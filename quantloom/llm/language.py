@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded_sample, stage
+from quantloom.llm.common import sampled_rows, stage
 
 DIMS = 1 << 14
 SAMPLE = 400
@@ -148,7 +148,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
         found, cutoffs = cluster(np.stack(vectors), clusters)
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "vector": [v.astype(np.float32).tobytes() for v in found], "cutoff": cutoffs})
 
-    drawn = stage(bounded_sample(train, "lang", F.col("doc_id"), sample))
+    drawn = stage(sampled_rows(train, "lang", sample))
     rows = drawn.groupBy("lang").applyInPandas(centroids, "lang string, vector binary, cutoff double").orderBy("lang", "vector").collect()
     matrix = np.stack([np.frombuffer(r.vector, np.float32) for r in rows], 1) if rows else np.zeros((DIMS, 0), np.float32)
     return Model(idf, [r.lang for r in rows], np.ascontiguousarray(matrix), np.array([r.cutoff for r in rows]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded_sample, stage
+from quantloom.llm.common import ROW, bounded_sample, named_rows, stage
 
 DIMS = 1 << 11
 SAMPLE = 1500
@@ -102,9 +102,9 @@ LABELLERS = (
 )
 
 
-def pattern(text: str | None) -> int:
-    """The votes as one number; -1 without a word."""
-    found = facts(text)
+def pattern(text: str | None, known: Facts | None = None) -> int:
+    """The votes as one number; -1 without a word. ``known`` are the text's facts, if they are known."""
+    found = known or facts(text)
     return -1 if found is None else sum(vote(found) * 3**i for i, vote in enumerate(LABELLERS))
 
 
@@ -149,9 +149,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return model
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """(dimensions, values): log shares of hashed n-grams of character classes, and steps of the repetition shares."""
-    found = facts(text)
+def features(text: str | None, found: Facts | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(dimensions, values): log shares of hashed n-grams of character classes, and steps of the repetition shares.
+
+    ``found`` are the text's facts, if they are known.
+    """
+    found = found or facts(text)
     if found is None:
         return None
     counts, total = np.zeros(DIMS), 0
@@ -178,8 +181,8 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None) -> float:
-        found = features(text)
+    def score(self, text: str | None, known: Facts | None = None) -> float:
+        found = features(text, known)
         if found is None:
             return 0.0
         return float(1.0 / (1.0 + math.exp(-min(700.0, max(-700.0, float(self.weights[found[0]] @ found[1]) + self.bias)))))
@@ -199,26 +202,26 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, roun
     return Scorer(w, b)
 
 
-def vote_patterns(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern) of every document, staged."""
+def vote_patterns(named: DataFrame) -> DataFrame:
+    """(doc_id, ROW, pattern) of every row of ``named_rows``, staged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes = [pattern(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.int32())], ["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("doc_id", *ROW)], pa.array(votes, pa.int32())], ["doc_id", *ROW, "pattern"])
 
-    return stage(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, pattern int"))
+    return stage(named.select("doc_id", *ROW, "text").mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, {ROW[0]} string, {ROW[1]} long, pattern int"))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     """Learn from all documents' votes; no label is used."""
-    patterns = vote_patterns(docs)
+    named = named_rows(docs)
+    patterns = vote_patterns(named)
     counts = patterns.where("pattern >= 0").groupBy("pattern").count().orderBy("pattern").toPandas()
     model = expectation_maximisation(counts["pattern"].to_numpy(np.int64), counts["count"].to_numpy(np.float64))
     posterior = model.posterior(counts["pattern"].to_numpy(np.int64))
     good = [int(p) for p, s in zip(counts["pattern"], posterior) if s > 0.5]
     sides = patterns.where("pattern >= 0").withColumn("_side", F.col("pattern").isin(good).cast("int"))
-    drawn = stage(bounded_sample(sides, "_side", F.col("doc_id"), sample).select("doc_id", "pattern").dropDuplicates(["doc_id"]))
-    held = F.broadcast(drawn.withColumnRenamed("doc_id", "_id"))  # about 2 * sample rows, by the draw
+    drawn = stage(bounded_sample(sides, "_side", F.xxhash64("doc_id", ROW[1]), sample).select(*ROW, "pattern"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +232,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
                 pa.array([found[i][0].astype(np.int32).tobytes() for i in keep], pa.binary()),
                 pa.array([found[i][1].astype(np.float32).tobytes() for i in keep], pa.binary())], ["pattern", "dims", "vals"])
 
-    texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("_id"))).select("pattern", "text")
+    texts = named.select(*ROW, "text").join(F.broadcast(drawn), list(ROW)).select("pattern", "text")  # about 2 * sample rows, by the draw
     rows = texts.mapInArrow(run, "pattern int, dims binary, vals binary").orderBy("pattern", "dims", "vals").toPandas()
     if not len(rows):
         return model, Scorer(np.zeros(DIMS), 0.0)
@@ -250,8 +253,9 @@ def predict(docs: DataFrame, model: LabelModel, scorer: Scorer, names: tuple[str
         labels, linear = held.value
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
-            scores = [linear.score(t) for t in texts]
-            votes = np.array([pattern(t) for t in texts], np.int64)
+            found = [facts(t) for t in texts]
+            scores = [linear.score(t, f) if f else 0.0 for t, f in zip(texts, found)]
+            votes = np.array([pattern(t, f) if f else -1 for t, f in zip(texts, found)], np.int64)
             posterior = pa.array(labels.posterior(np.maximum(votes, 0)), mask=votes < 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), posterior], [*batch.schema.names, *names])
 

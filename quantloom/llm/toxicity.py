@@ -1,20 +1,22 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are lower-case words and their prefixes of 3 to 8 letters. Of the terms of a bounded sample of labelled rows, those
-that toxic rows have clearly more often make up the vocabulary (``VOCABULARY`` at most, by a chi-square of ``CHI_SQUARE``
-or more). Term counts of every whole text are staged once; document frequencies come from all documents.
-
-The index keeps examples in blocks and, per term, the largest weight in each block. A search visits blocks by falling
-bound and stops when no block can beat the k-th neighbour; if ``ALONE`` blocks don't suffice, one pass over the postings of
-the query's terms scores all of them. Its result equals a full scan's. Votes weigh by 1 / distance
+Terms are all lower-case words, hashed into ``TERMS`` numbers. Inverse document frequencies come from all documents and
+whole texts. So that examples are near when they agree in what matters, each term's weight is multiplied by how
+clearly its share differs between toxic and clean examples (a damped chi-square, ``FLOOR`` at least): no word is left out, and
+any text that shares a word with an example, toxic or clean, has neighbours.
+
+The index keeps examples in blocks and, per term, the largest weight in each block it occurs in. A search scores the
+``OPENED`` blocks with the highest bounds, then, at once, the postings of all blocks whose bound reaches the k-th score so
+far; blocks below are skipped. Its result equals a full scan's. Votes weigh by 1 / distance
 and by how many labelled rows an example stands for; isotonic regression over the examples' own leave-one-out votes turns
 them into probabilities. The nearest examples are returned as evidence.
 
 Bounds: ``EXAMPLES`` labelled rows of each class fit the model (chosen by hash; all others only count towards its class's
-size), so index and broadcast do not grow with the input.
+size), one text for each, so index and broadcast do not grow with the input.
 
-Defined cases: texts without a term of the vocabulary (null and empty ones too) get the toxic share of such examples. Of
-several labels of a document the largest counts, null labels don't. Without examples the score is 0. Equal cosines go to
+Defined cases: texts without a word that an example has (null and empty ones too) get the toxic share of examples without
+words. Of several labels of a document the largest counts, null labels and null ids don't; of several texts of a labelled
+id the first in order stands for it. Without examples the score is 0. Equal cosines go to
 the smaller doc_id. Repeated rows are scored each; further columns pass by.
 """
 
@@ -27,31 +29,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import bounded_sample, stage
 
 EXAMPLES = 3000
-VOCABULARY = 2048
-CHI_SQUARE = 25.0
-PREFIXES = (3, 4, 5, 6, 7, 8)
+TERMS = 1 << 20
+CHI_SQUARE = 100.0  # at this value a term has half of the full weight
+FLOOR = 0.02  # share of the full weight that any term has
 BLOCK = 64
-ALONE = 4
+OPENED = 3
 NEIGHBOURS = 15
 EVIDENCE = 3
 CACHED_WORDS = 300_000
+CACHED_TEXTS = 20_000
 PRIOR = 0.5  # weight of the base rate among the votes
 WORD = re.compile(r"[^\W\d_]+")
 c = F.col
 
 
-def terms_of(word: str) -> set[str]:
-    return {word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)}
+class Terms:
+    """Term numbers and counts of texts; remembers words up to a bound."""
 
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = Counter(WORD.findall((text or "").lower()))
+        known = self.known
+        new = [w for w in found if w not in known]
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = list(found)
+        for word in new:
+            known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % TERMS
+        terms = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        single, place = np.unique(terms, return_inverse=True)
+        return (single, np.bincount(place, counts).astype(np.int64)) if len(single) < len(terms) else (terms, counts)
 
 
 # ---- index ---------------------------------------------------------------------------
@@ -62,59 +79,60 @@ class BlockMaxIndex:
 
     def __init__(self, ids: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(ids[i])))
-        self.ids, self.order, self.terms = ids[order], np.array(order, np.int64), terms
+        self.ids, self.order = ids[order], np.array(order, np.int64)
         self.blocks = max(1, -(-len(ids) // BLOCK))
         sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
-        self.rows = np.concatenate([[0], np.cumsum(sizes)])  # where the terms of each example begin
-        self.term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
-        self.weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
-        self.largest = np.zeros((terms, self.blocks))
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        np.maximum.at(self.largest, (self.term, owner // BLOCK), self.weight)
-        by_term = np.argsort(self.term, kind="stable")
-        self.owner, self.posted = owner[by_term], self.weight[by_term]
-        self.starts = np.searchsorted(self.term[by_term], np.arange(terms + 1))  # where the postings of each term begin
-
-    def all_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Cosine with every example, from the postings of the query's terms."""
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        values = np.concatenate([w * self.posted[s] for s, w in zip(spans, weights)])
-        return np.bincount(np.concatenate([self.owner[s] for s in spans]), values, len(self.ids)).round(12)
+        term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
+        by_term = np.argsort(term, kind="stable")  # within a term by example, so by block too
+        term, self.owner, self.posted = term[by_term], np.repeat(np.arange(len(ids)), sizes)[by_term], weight[by_term]
+        edge = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.owner[1:] // BLOCK != self.owner[:-1] // BLOCK)])) if len(term) else np.zeros(0, np.int64)
+        self.cells = np.concatenate([edge, [len(term)]])  # where the postings of each (term, block) begin
+        self.block = self.owner[edge] // BLOCK
+        self.largest = np.maximum.reduceat(self.posted, edge) if len(edge) else np.zeros(0)
+        self.starts = np.searchsorted(term[edge], np.arange(terms + 1)) if len(edge) else np.zeros(terms + 1, np.int64)  # where the cells of each term begin
+
+    @staticmethod
+    def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Positions first, first + 1, ... of each span, one after the other."""
+        return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    def scored(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosine with every example, from the postings of these cells only."""
+        size = self.cells[cells + 1] - self.cells[cells]
+        at = self.spans(self.cells[cells], size)
+        return np.bincount(self.owner[at], np.repeat(weights, size) * self.posted[at], len(self.ids)).round(12)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, position) of the k nearest with a cosine above 0; ``without`` is left out."""
-        query = np.zeros(self.terms)
-        query[terms] = weights
-        bounds = weights @ self.largest[terms]
-        scores, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for visited, block in enumerate(np.argsort(-bounds, kind="stable")):
-            if bounds[block] <= 0 or bounds[block] + 1e-9 < least:
-                break
-            if visited == ALONE:
-                own = self.all_scores(terms, weights)
-                places = np.flatnonzero((own > 0) & (own >= least - 1e-11))
-                places = places[places != without]
-                scores = own[places]
-                break
-            first, last = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
-            a, b = self.rows[first], self.rows[last]
-            own = np.add.reduceat(self.weight[a:b] * query[self.term[a:b]], self.rows[first:last] - a).round(12)
-            at = np.flatnonzero((own > 0) & (own >= least))
-            scores, places = np.concatenate([scores, own[at]]), np.concatenate([places, at + first])
+        size = self.starts[terms + 1] - self.starts[terms]
+        cells, weight = self.spans(self.starts[terms], size), np.repeat(weights, size)
+        if not len(cells):
+            return []
+        block = self.block[cells]
+        bounds = np.bincount(block, weight * self.largest[cells], self.blocks)
+        opened = np.zeros(self.blocks, bool)
+        opened[np.argsort(-bounds, kind="stable")[:OPENED]] = True
+        here = opened[block]
+        scores = self.scored(cells[here], weight[here])
+        if without >= 0:
+            scores[without] = 0.0
+        reached = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        others = (bounds > 0) & (bounds + 1e-9 >= reached) & ~opened
+        if others.any():
+            here = others[block]
+            scores = scores + self.scored(cells[here], weight[here])
             if without >= 0:
-                scores, places = scores[places != without], places[places != without]
-            if len(scores) > k:
-                best = np.lexsort((self.ids[places], -scores))[:k]
-                scores, places = scores[best], places[best]
-            if len(scores) == k:
-                least = float(scores.min())
-        best = np.lexsort((self.ids[places], -scores))[:k]
-        return list(zip(scores[best].tolist(), places[best].tolist()))
+                scores[without] = 0.0
+        least = max(np.partition(scores, -k)[-k], 1e-12) if len(scores) > k else 1e-12
+        places = np.flatnonzero(scores >= least)
+        best = places[np.lexsort((self.ids[places], -scores[places]))[:k]]
+        return list(zip(scores[best].tolist(), best.tolist()))
 
 
 @dataclass
 class Model:
-    idf: np.ndarray
+    idf: np.ndarray  # by term, with what the labels say of it
     index: BlockMaxIndex
     labels: np.ndarray  # by position in the index
     shares: np.ndarray  # rows that an example stands for
@@ -161,91 +179,76 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
 
 def labelled_sample(labels: DataFrame, limit: int) -> DataFrame:
     """(doc_id, toxic, share): about ``limit`` rows per class; share is how many rows of its class one stands for."""
-    single = stage(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    single = stage(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     drawn = bounded_sample(single, "toxic", c("doc_id"), limit)
     sizes = single.groupBy("toxic").agg(F.greatest(F.count(F.lit(1)) / F.lit(float(limit)), F.lit(1.0)).alias("share"))
     return stage(drawn.join(sizes, "toxic").select("doc_id", "toxic", "share"))
 
 
-def vocabulary(rows: DataFrame, limit: int = VOCABULARY) -> list[str]:
-    """Terms that toxic rows of (text, toxic) have clearly more often, by falling chi-square."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def partial() -> pa.RecordBatch:
-            terms = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([n[t] for t in terms], pa.int64()) for n in counts)], ["term", "clean", "toxic"])
-            for n in counts:
-                n.clear()
-            return out
-
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                terms = {""}  # counts the rows
-                for word in word_counts(text):
-                    terms |= terms_of(word)
-                counts[toxic > 0].update(terms)
-                if len(counts[0]) + len(counts[1]) > CACHED_WORDS:
-                    yield partial()
-        yield partial()
-
-    counted = stage(rows.select("text", "toxic").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    size = counted.where("term = ''").first()
-    if size is None or not size.clean or not size.toxic:
-        return []
-    a, b, total = c("toxic") / F.lit(size.toxic), c("clean") / F.lit(size.clean), float(size.clean + size.toxic)
-    both = (c("toxic") + c("clean")) / F.lit(total)
-    chi = (a - b) * (a - b) / (both * (F.lit(1.0) - both) * F.lit(1.0 / size.toxic + 1.0 / size.clean) + F.lit(1e-12))
-    best = counted.where((c("term") != "") & (c("toxic") >= 2) & (a > b)).withColumn("chi", chi).where(c("chi") >= CHI_SQUARE)
-    return [r.term for r in best.orderBy(c("chi").desc(), "term").limit(limit).collect()]
-
-
-def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, ..., terms, counts) of every whole text: numbers of the vocabulary's terms it holds."""
-    held = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "terms", "counts")]
+def example_terms(docs: DataFrame, sample: DataFrame) -> list:
+    """Rows (doc_id, toxic, share, terms, counts) of the sampled ids that have a document, by doc_id: one text for each."""
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "share").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = held.value, {}
+        of = Terms().of
         for batch in batches:
-            found_terms, found_counts = [], []
-            for text in batch.column("text"):
-                found: Counter = Counter()
-                for word, n in word_counts(text.as_py()).items():
-                    own = known.get(word)
-                    if own is None:
-                        if len(known) >= CACHED_WORDS:
-                            known.clear()
-                        own = known[word] = tuple(number[t] for t in terms_of(word) if t in number)
-                    for t in own:
-                        found[t] += n
-                at = sorted(found)
-                found_terms.append(at)
-                found_counts.append([found[t] for t in at])
+            found = [of(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found_terms, pa.list_(pa.int32())), pa.array(found_counts, pa.list_(pa.int32()))], [*[f.name for f in rest], "terms", "counts"])
+                [*[batch.column(n) for n in ("doc_id", "toxic", "share")], *[pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]], ["doc_id", "toxic", "share", "terms", "counts"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["terms array<int>", "counts array<int>"])
-    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(run, schema)
+    kinds = dict(texts.dtypes)
+    found = texts.mapInArrow(run, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, share double, terms array<long>, counts array<long>")
+    return sorted(found.collect(), key=lambda r: r.doc_id)  # two times EXAMPLES rows or so
 
 
-def fit(counts: DataFrame, sample: DataFrame, terms: int) -> Model:
-    """Model from staged ``term_counts`` of all documents and the labelled sample (doc_id, toxic, share)."""
-    frequencies = counts.select(F.explode("terms").alias("term")).groupBy("term").count().collect()  # one row per term at most
-    documents = counts.count()
-    seen = np.zeros(terms)
-    for r in frequencies:
-        seen[r["term"]] = r["count"]
-    idf = np.log((1.0 + documents) / (1.0 + seen)) + 1.0
-    rows = counts.join(F.broadcast(sample), "doc_id").select("doc_id", "terms", "counts", "toxic", "share").collect()
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: r.doc_id)
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those with each term; TERMS numbers per task and on the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen, rows = Terms().of, np.zeros(TERMS, np.int64), 0
+        for batch in batches:
+            for text in batch.column("text"):
+                seen[of(text.as_py())[0]] += 1
+            rows += batch.num_rows
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[rows], seen[some]]))], ["term", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = counted.select(F.pmod("term", F.lit(64)).alias("part"), "term", "n").groupBy("part").agg(F.collect_list("term").alias("terms"), F.collect_list("n").alias("ns")).collect()
+    seen, total = np.zeros(TERMS, np.int64), 0
+    for r in found:
+        terms, ns = np.array(r.terms, np.int64), np.array(r.ns, np.int64)
+        total += int(ns[terms < 0].sum())
+        seen[terms[terms >= 0]] = ns[terms >= 0]
+    return total, seen
+
+
+def told_apart(rows: list) -> np.ndarray:
+    """Per term FLOOR to FLOOR + 1: a damped chi-square of its shares among toxic and clean examples."""
+    seen, size = np.zeros((2, TERMS)), np.zeros(2)
+    for r in rows:
+        kind = int(r.toxic > 0)
+        seen[kind, r.terms] += 1
+        size[kind] += 1
+    if not size.all():
+        return np.ones(TERMS)
+    clean, toxic = seen[0] / size[0], seen[1] / size[1]
+    both = seen.sum(0) / size.sum()
+    chi = (toxic - clean) ** 2 / (both * (1 - both) * (1 / size).sum() + 1e-12)
+    return FLOOR + chi / (chi + CHI_SQUARE)
+
+
+def fit(docs: DataFrame, sample: DataFrame) -> Model:
+    """Model from all documents and the labelled sample (doc_id, toxic, share)."""
+    rows = example_terms(docs, sample)
+    documents, seen = document_frequencies(docs)
+    idf = (np.log((1.0 + documents) / (1.0 + seen)) + 1.0) * told_apart(rows)
     full, empty = [r for r in rows if r.terms], [r for r in rows if not r.terms]
     mass = sum(r.share for r in empty)
     everything = sum(r.share for r in rows)
     overall = sum(r.share * (r.toxic > 0) for r in rows) / everything if rows else 0.0
     base = (sum(r.share * (r.toxic > 0) for r in empty) + overall) / (mass + 1.0)
     vectors = [(np.array(r.terms), unit(np.array(r.terms), np.array(r.counts), idf)) for r in full]
-    index = BlockMaxIndex(np.array([r.doc_id for r in full], np.int64), vectors, max(1, terms))
+    index = BlockMaxIndex(np.array([r.doc_id for r in full], np.int64), vectors, TERMS)
     labels = np.array([float(full[i].toxic > 0) for i in index.order])
     shares = np.array([full[i].share for i in index.order])
     model = Model(idf, index, labels, shares, base, np.zeros(1), np.array([base]))
@@ -258,21 +261,22 @@ def fit(counts: DataFrame, sample: DataFrame, terms: int) -> Model:
     return model
 
 
-def score(counts: DataFrame, model: Model) -> DataFrame:
-    """Adds score, predicted and evidence (nearest examples: doc_id, cosine, toxic) in place of terms and counts."""
-    held = counts.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in counts.schema.fields if f.name not in ("terms", "counts", "score", "predicted", "evidence")]
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Adds score, predicted and evidence (nearest examples: doc_id, cosine, toxic) in place of the text."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    rest = [f for f in docs.schema.fields if f.name not in ("text", "score", "predicted", "evidence")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = held.value, {}
+        m, of, known = held.value, Terms().of, {}
         for batch in batches:
             scores, evidence = [], []
-            for terms, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(terms), tuple(n))
+            for text in batch.column("text"):
+                terms, n = of(text.as_py())
+                key = xxhash.xxh3_128_digest(terms.tobytes() + n.tobytes())
                 if key not in known:
-                    if len(known) >= 20_000:
+                    if len(known) >= CACHED_TEXTS:
                         known.clear()
-                    value, near = m.score(np.array(terms, np.int64), np.array(n, np.int64))
+                    value, near = m.score(terms, n)
                     known[key] = value, [{"doc_id": int(m.index.ids[p]), "cosine": s, "toxic": int(m.labels[p])} for s, p in near[:EVIDENCE]]
                 scores.append(known[key][0])
                 evidence.append(known[key][1])
@@ -282,13 +286,9 @@ def score(counts: DataFrame, model: Model) -> DataFrame:
                 [*[f.name for f in rest], "score", "predicted", "evidence"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"])
-    return counts.select(*[f"`{f.name}`" for f in rest], "terms", "counts").mapInArrow(run, schema)
+    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """Scores of ``docs``, learnt from the rows of ``labels`` (doc_id, toxic) that are among them."""
-    sample = labelled_sample(labels, examples)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    terms = vocabulary(texts)
-    counts = stage(term_counts(docs, terms))
-    return score(counts, fit(counts, sample, len(terms)))
+    return score(docs, fit(docs, labelled_sample(labels, examples)))

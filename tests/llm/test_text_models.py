@@ -143,10 +143,13 @@ def test_many_blocks_are_scored_like_a_full_scan(monkeypatch):
 
 
 def test_words_three_times_as_frequent_in_toxic_rows_count(spark):
-    rows = [(i, int(i < 200), ("grim " if i % 10 < (6 if i < 200 else 2) else "mild ") + f"w{i % 7}") for i in range(800)]
+    # labels don't follow ids: equal texts are equally near, and ties go to small ids
+    rows = [(i, int(i % 4 == 0), ("grim " if i // 4 % 10 < (6 if i % 4 == 0 else 2) else "mild ") + f"w{i % 7}") for i in range(800)]
     docs = spark.createDataFrame([(i, t) for i, _, t in rows] + [(900, "a grim text"), (901, "another text")], "doc_id long, text string")
     labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, toxic int")
-    assert "grim" in toxicity.vocabulary(docs.join(labels, "doc_id"))
+    weight = toxicity.told_apart(toxicity.example_terms(docs, toxicity.labelled_sample(labels, 1000)))
+    number = {w: int(toxicity.Terms().of(w)[0][0]) for w in ("grim", "mild", "another")}
+    assert weight[number["grim"]] > 0.4 and weight[number["mild"]] > 0.4 and weight[number["another"]] == toxicity.FLOOR
     got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect() if r.doc_id >= 900}
     assert got[900].evidence and not got[901].evidence and got[900].score > got[901].score
 
@@ -160,6 +163,30 @@ def test_toxicity_on_held_out_rows(spark):
     pos, neg = [s for t, s, _ in held if t], [s for t, s, _ in held if not t]
     assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.93
     assert np.mean([p == 0 for t, _, p in held if not t]) > 0.97 and all(p == (s >= 0.5) for _, s, p in held)
+    assert np.mean([bool(r.evidence) for r in got]) > 0.99  # every text that shares a word with an example has neighbours
+
+
+def test_toxicity_equals_a_full_scan_of_the_examples(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    sample = toxicity.labelled_sample(labels, 500)
+    model, of = toxicity.fit(docs, sample), toxicity.Terms().of
+    rows = toxicity.example_terms(docs, sample)
+    dense = {r.doc_id: dict(zip(r.terms, toxicity.unit(np.array(r.terms), np.array(r.counts), model.idf))) for r in rows if r.terms}
+    for r in docs.where("doc_id % 7 = 0").collect():
+        terms, counts = of(r.text)
+        got = model.index.nearest(terms, model.vector(terms, counts), 15) if len(terms) else []
+        own = dict(zip(terms.tolist(), model.vector(terms, counts))) if len(terms) else {}
+        full = sorted(-sum(w * own[t] for t, w in v.items() if t in own) for v in dense.values())[:15]
+        assert [s for s, _ in got] == pytest.approx([-s for s in full if s < -1e-12], abs=1e-9)
+
+
+def test_a_hot_id_in_the_sample_is_one_example(spark):
+    docs = spark.createDataFrame([(1, f"vile text {i}") for i in range(5000)] + [(i, f"plain words {i}") for i in range(2, 200)] + [(None, "vile none")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(i, int(i % 9 == 0)) for i in range(2, 200)] + [(None, 1)], "doc_id long, toxic int")
+    assert len(toxicity.example_terms(docs, toxicity.labelled_sample(labels, 500))) == 199
+    assert toxicity.classify(docs, labels).count() == docs.count()
 
 
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
