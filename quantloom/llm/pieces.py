@@ -34,7 +34,7 @@ from quantloom.llm.common import slices
 
 MARK = "▁"
 #: Marked words (twice: a new and an old cache) and piece pairs that a Python worker remembers.
-CACHED_WORDS, CACHED_PAIRS = 250_000, 400_000
+CACHED_WORDS, CACHED_PAIRS = 400_000, 1_200_000
 #: Numbers of characters that are no piece begin here, as last pieces of a prefix.
 FOREIGN = 1 << 21
 
@@ -81,6 +81,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
+        self.decoder = Decoder(v)
         self.ids = {p: i for i, p in enumerate(v.pieces) if i not in v.special}
         self.score = {p: v.scores[i] for p, i in self.ids.items()}
         self.floor = min(self.score.values(), default=0.0) - 10.0
@@ -100,10 +101,10 @@ class Encoder:
         """Begin a new cache; the one before it is kept to copy from."""
         self.older: dict[str, int] = getattr(self, "known", {})
         if self.older:
-            self.old_flat, self.old_starts, self.old_lengths = self.flat, self.starts, self.lengths
+            self.old_flat, self.old_starts, self.old_lengths, self.old_whole = self.flat, self.starts, self.lengths, self.whole
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.lengths = array("i"), array("q"), array("q")
-        self.whole = bytearray()  # whether the ids of a word read back as the word: 2 for not yet known
+        self.whole = bytearray()  # whether the ids of a word read back as the word
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by repeated merging of the best pair, the leftmost among equals."""
@@ -147,7 +148,7 @@ class Encoder:
         """Ids of distinct words, in sorted order. The stacks hold, for each prefix of the current word, its last piece, where
         that begins and (unigram models) the score."""
         path, last, first, total = "", [-1], [0], [0.0]
-        ids, score, unigram, sizes, pairs = self.ids, self.score, self.vocabulary.unigram, self.sizes, self.pairs
+        ids, score, unigram, sizes_of, piece_of, known_pair = self.ids, self.score, self.vocabulary.unigram, self.sizes.get, self.ids.get, self.pairs.get
         for word in sorted(words):
             shared = 0
             for x, y in zip(path, word):
@@ -157,7 +158,7 @@ class Encoder:
             del last[shared + 1 :], first[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 tail = word[end - 3 if end > 3 else 0 : end]
-                lengths = sizes.get(tail)
+                lengths = sizes_of(tail)
                 if lengths is None:
                     lengths = self.ending(tail)
                 found, best = -1, self.floor + total[end - 1]
@@ -165,14 +166,14 @@ class Encoder:
                     start = end - n
                     if start < 0:
                         continue
-                    piece = ids.get(word[start:end])
+                    piece = piece_of(word[start:end])
                     if piece is None:
                         continue
                     if unigram:
                         if total[start] + score[word[start:end]] > best:
                             found, best, begin = piece, total[start] + score[word[start:end]], start
                         continue
-                    fits = pairs.get(last[start] << 24 | piece)
+                    fits = known_pair(last[start] << 24 | piece)
                     if self.follows(last[start], piece) if fits is None else fits:
                         found, begin = piece, start
                         break
@@ -205,21 +206,21 @@ class Encoder:
                 known[word] = len(starts)
                 starts.append(len(flat))
                 lengths.append(self.old_lengths[at])
-                self.whole.append(2)
+                self.whole.append(self.old_whole[at])
                 flat.extend(self.old_flat[self.old_starts[at] : self.old_starts[at] + self.old_lengths[at]])
         for word, own in self.split(new):
             known[word] = len(starts)
             starts.append(len(flat))
             lengths.append(len(own))
-            self.whole.append(2)
+            self.whole.append(self.decoder.joined(own) == word.replace(MARK, " "))
             flat.extend(own)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids start (with the end of the last)."""
         return self.encode_words(texts)[:2]
 
-    def encode_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[str]]:
-        """Ids and starts as ``encode`` gives them, and the marked words: their places in the cache, where each text's begin, and themselves."""
+    def encode_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Ids and starts as ``encode`` gives them, and the marked words: their places in the cache and where each text's begin."""
         words: list[str] = []
         ends = [0]
         for text in texts:
@@ -231,24 +232,19 @@ class Encoder:
         self.learn(set(words).difference(self.known))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if not len(at):
-            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64), at, ends, words
+            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64), at, ends
         lengths, starts = np.frombuffer(self.lengths, np.int64)[at], np.frombuffer(self.starts, np.int64)[at]  # views: nothing is copied but what is asked for
         stop = np.concatenate([[0], np.cumsum(lengths)])
         place = np.repeat(starts - stop[:-1], lengths) + np.arange(stop[-1])
-        return np.frombuffer(self.flat, np.int32)[place], stop[np.array(ends)], at, ends, words
-
-    def reads_back(self, texts: list[str | None], ids: np.ndarray, stop: np.ndarray, at: np.ndarray, ends: list[int], words: list[str], decoder: Decoder) -> list[bool]:
-        """Whether the ids of each text decode to it. Pieces and byte sequences lie within a word, so the ids of each
-        cached word are decoded once; a text with a word that differs is decoded as a whole."""
-        whole = self.whole
-        new = np.flatnonzero(np.frombuffer(whole, np.uint8)[at] == 2).tolist() if len(at) else []
-        for i, word in {int(at[j]): words[j] for j in new}.items():
-            own = np.frombuffer(self.flat, np.int32)[self.starts[i] : self.starts[i] + self.lengths[i]]
-            whole[i] = decoder.joined(own) == word.replace(MARK, " ")
-        good = np.concatenate([[0], np.cumsum(np.frombuffer(whole, np.uint8)[at])]) if len(at) else np.zeros(1, np.int64)
+        return np.frombuffer(self.flat, np.int32)[place], stop[np.array(ends)], at, ends
+
+    def reads_back(self, texts: list[str | None], ids: np.ndarray, stop: np.ndarray, at: np.ndarray, ends: list[int]) -> list[bool]:
+        """Whether the ids of each text decode to it. Pieces and byte sequences lie within a word, and each cached word's ids
+        were decoded when it was split; a text with a word that differs is decoded as a whole."""
+        good = np.concatenate([[0], np.cumsum(np.frombuffer(self.whole, np.uint8)[at])]) if len(at) else np.zeros(1, np.int64)
         edges = np.array(ends)
         sound = good[edges[1:]] - good[edges[:-1]] == np.diff(edges)
-        return [bool(s) or decoder.decode(ids[a:b]) == (t or "").replace(MARK, " ") for t, s, a, b in zip(texts, sound, stop, stop[1:])]
+        return [bool(s) or self.decoder.decode(ids[a:b]) == (t or "").replace(MARK, " ") for t, s, a, b in zip(texts, sound, stop, stop[1:])]
 
 
 class Decoder:
@@ -257,32 +253,31 @@ class Decoder:
         byte_of = {i: b for b, i in v.byte_ids.items()}
         hidden = v.special - byte_of.keys()
         self.text = ["" if i in hidden else chr(byte_of[i]) if i in byte_of else p.replace(MARK, " ") for i, p in enumerate(v.pieces)]
-        self.high = np.zeros(len(v.pieces), bool)
-        self.high[[i for i, b in byte_of.items() if b >= 0x80]] = True
+        self.high = frozenset(i for i, b in byte_of.items() if b >= 0x80)
         self.byte_of = byte_of
 
-    def joined(self, ids: np.ndarray) -> str:
+    def joined(self, ids: list[int]) -> str:
         """Bytes above ASCII are joined with their neighbours; broken sequences become the replacement character."""
-        if self.high[ids].any():
-            raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode("utf-8", "surrogatepass") for i in ids.tolist())
-            return raw.decode("utf-8", "replace")
-        return "".join(map(self.text.__getitem__, ids.tolist()))
+        if self.high.isdisjoint(ids):
+            return "".join([self.text[i] for i in ids])
+        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode("utf-8", "surrogatepass") for i in ids)
+        return raw.decode("utf-8", "replace")
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ``ids`` without the leading mark."""
-        text = self.joined(ids)
+        text = self.joined(ids.tolist())
         return text[1:] if text.startswith(" ") else text
 
 
-_coders: dict[str, tuple[Encoder, Decoder]] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def coders(key: str, vocabulary: Vocabulary) -> tuple[Encoder, Decoder]:
-    """Encoder and decoder of a Python worker, with what they have learnt from earlier tasks; those of the last model only."""
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Encoder(vocabulary), Decoder(vocabulary)
-    return _coders[key]
+def encoder_of(key: str, vocabulary: Vocabulary) -> Encoder:
+    """The encoder of a Python worker, with what it has learnt from earlier tasks; that of the last model only."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, round_trip: bool = False, keep_text: bool = True) -> DataFrame:
@@ -293,16 +288,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, round_trip: bool = False, ke
     kept = [f for f in columns if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = coders(key, held.value)
+        encoder = encoder_of(key, held.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                ids, stop, *rest = encoder.encode_words(texts[a:b])
+                ids, stop, *words = encoder.encode_words(texts[a:b])
                 out = batch.slice(a, b - a)
                 columns_out = [*[out.column(f.name) for f in kept], pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(ids)), pa.array(np.diff(stop))]
                 names = [*[f.name for f in kept], "ids", "n_tokens"]
                 if round_trip:
-                    columns_out.append(pa.array(encoder.reads_back(texts[a:b], ids, stop, *rest, decoder), pa.bool_()))
+                    columns_out.append(pa.array(encoder.reads_back(texts[a:b], ids, stop, *words), pa.bool_()))
                     names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(columns_out, names)
 
