@@ -7,9 +7,12 @@ that open it too; the blocks meet in a join on (tree, leaf) and are multiplied.
 ``k`` best, whose scores are recomputed one by one in double precision, so equal vectors get equal scores whatever block
 they came from; the best of all blocks remain.
 
-A hot leaf (many equal vectors) is many blocks, each multiplied on its own. The forest has ``TREES`` times 2 ** ``DEPTH`` leaves at
-most and is broadcast; it does not grow with the input. ``share`` sets recall against work: vectors without structure, as in
-the test tables, need a large one.
+``share`` sets recall against work. It is measured: ``QUERIES`` sampled rows search the sample, and the smallest share
+that reaches ``RECALL`` of their true neighbours there is taken. Clustered embeddings need a few hundredths of the rows; vectors
+without structure, as in the test tables, need to open nearly as many as there are, or more (a row counts in each tree).
+
+A hot leaf (many equal vectors) is many blocks, each multiplied on its own. Trees grow with the rows, to leaves of about
+``BLOCK``, from depth ``DEPTH`` to ``MAX_DEPTH``. The forest has ``TREES`` times 2 ** ``MAX_DEPTH`` leaves at most and is broadcast.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component or are not of the most common length
 take no part, nor do null ids. Of several rows of an id the smallest vector counts. Equal scores go to the smaller id.
@@ -31,10 +34,12 @@ from quantloom.llm.chat import grouped
 from quantloom.llm.common import stage
 
 TREES = 12
-DEPTH = 5
-SHARE = 1.75
+DEPTH, MAX_DEPTH = 5, 8
 SAMPLE = 8192
-LEAF_SAMPLE = 128  # sampled rows that a leaf has at least
+LEAF_SAMPLE = 32  # sampled rows that a leaf has at least
+QUERIES = 96  # sampled rows whose neighbours set the share
+RECALL = 0.96
+MARGIN = 1.1  # the share is taken so many times, as sampled neighbours are farther than those among all rows
 BLOCK = 4096
 c = F.col
 
@@ -75,6 +80,27 @@ class Forest:
             at = 2 * at + 1 + (np.take_along_axis(margins, at[:, :, None], 2)[:, :, 0] > 0)
         return at - ((1 << self.depth) - 1)
 
+    def share_for(self, rows: np.ndarray, k: int, recall: float = RECALL, queries: int = QUERIES) -> float:
+        """The share of ``rows`` that opened leaves must hold so that queries among them find this part of their k nearest."""
+        asked = rows[:: max(1, len(rows) // queries)]
+        at = np.arange(len(rows))[:: max(1, len(rows) // queries)]
+        if len(rows) < 2:
+            return 1.0
+        scores = asked @ rows.T
+        scores[np.arange(len(asked)), at] = -np.inf
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(rows) - 1)]
+        leaves, margins, count = self.leaves(rows), self.margins(asked), 1 << self.depth
+        sizes = np.stack([np.bincount(leaves[:, t], minlength=count) for t in range(leaves.shape[1])])
+        needed = []
+        for i in range(len(asked)):
+            opened = np.full(sizes.shape, np.inf)
+            held = 0
+            for tree, leaf in self.open_leaves(margins[i], sizes, np.inf):
+                opened[tree, leaf] = held  # a leaf is opened while fewer rows are held
+                held += sizes[tree, leaf]
+            needed += opened[np.arange(leaves.shape[1])[None, :], leaves[near[i]]].min(1).tolist()
+        return float(np.quantile(needed, recall, method="higher") / len(rows)) * MARGIN + 1e-9
+
     def open_leaves(self, margins: np.ndarray, sizes: np.ndarray, wanted: float) -> list[tuple[int, int]]:
         """Leaves (tree, leaf) of one query, nearest first, until they hold ``wanted`` rows."""
         first, found, held = (1 << self.depth) - 1, [], 0
@@ -150,15 +176,17 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     return tuple(np.concatenate(v) for v in zip(*out))  # type: ignore[return-value]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """The k nearest found of every query row: query_id, rank, vec_id, score (inner product)."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float | None = None, trees: int = TREES, depth: int | None = None) -> DataFrame:
+    """The k nearest found of every query row: query_id, rank, vec_id, score (inner product). ``share`` is measured if not given."""
     base = usable(vectors)
     single = dict(base.dtypes)["embedding"] == "array<float>"
     kind = np.dtype(np.float32 if single else np.float64)
     count = base.count()
     drawn = base.where(F.pmod(F.xxhash64(F.lit("forest"), "vec_id"), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE / max(1, count)) * (1 << 30))).orderBy("vec_id").collect()
     sample = np.array([r.embedding for r in drawn], np.float64)
+    depth = min(MAX_DEPTH, max(DEPTH, (count // BLOCK).bit_length())) if depth is None else depth
     forest = Forest.fit(sample if len(sample) else np.zeros((1, 1)), trees, depth)
+    share = forest.share_for(sample, k) if share is None and len(sample) else share or 1.0
     held = base.sparkSession.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
