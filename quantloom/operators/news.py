@@ -47,7 +47,9 @@ def first_seen(articles: DataFrame, id_col: str = "id") -> DataFrame:
     written out every round too, which cuts lineage.
     """
     columns = [id_col, "url_hash", "source", "content_hash"]
-    open_rows, kept = stage(articles.select(*columns)), []
+    own = F.concat(F.lit("id:"), c(id_col).cast("string"))  # a null hash equals no other
+    keyed = articles.select(id_col, F.coalesce("url_hash", own).alias("url_hash"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("content_hash", own).alias("content_hash"))
+    open_rows, kept = stage(keyed), []
     while True:
         by_url = stage(open_rows.groupBy("url_hash").agg(F.min(id_col).alias("_u")))
         by_text = stage(open_rows.groupBy("source", "content_hash").agg(F.min(id_col).alias("_t")))
@@ -96,7 +98,8 @@ def insert_news(batch: DataFrame, table_path: str, id_col: str = "id") -> DataFr
 
 def article_keys() -> Column:
     """The two keys by which an article is known: its url, and its text within its source."""
-    return F.array(F.concat(F.lit("u:"), "url_hash"), F.concat_ws("\x1f", F.lit("t:"), "source", "content_hash"))
+    text = F.concat(F.lit("t:"), F.coalesce("source", F.lit("")), F.lit("\x1f"), c("content_hash"))
+    return F.array(F.concat(F.lit("u:"), "url_hash"), text)  # null where a hash is
 
 
 def insert_news_batch(batch: DataFrame, root: str, batch_id: int, id_col: str = "id") -> None:

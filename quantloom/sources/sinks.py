@@ -72,8 +72,9 @@ def compact_versions(spark: SparkSession, folder: str, keys: list[str], upto: in
     and the earlier ones, which hold nothing newer, are removed afterwards.
     """
     rows = spark.read.parquet(f"{folder}/data").where(F.col("batch") <= upto)
+    batches = [r.batch for r in rows.select("batch").distinct().collect()]
     newest = stage(latest_by_key(rows.drop("batch"), keys, F.col("batch_id")))
     newest.select(*[n for n in rows.columns if n != "batch"]).write.mode("overwrite").parquet(f"{folder}/data/batch={upto}")
-    for batch in [r.batch for r in rows.select("batch").distinct().collect()]:
+    for batch in batches:
         if batch < upto:
             delete_folder(spark, f"{folder}/data/batch={batch}")
