@@ -858,4 +858,3 @@ ORACLES["html_titles"] = f"SELECT page_id, {plain(_H1)} AS title, 'en' AS langua
 # What holds whatever the trees look like.
 ORACLES["model_store_scores"] = f"""SELECT symbol, count(*) AS rows, true AS known, true AS same_after_load, 1::BIGINT AS model_version, true AS trained_once
 FROM ({ORACLES["training_targets"]}) WHERE directional IS NOT NULL GROUP BY 1"""
-ORACLES["model_boosted_regimes"] = f"""SELECT symbol, count(*) AS rows, true AS bounded, true AS beats_majority FROM ({ORACLES["training_targets"]}) GROUP BY 1"""

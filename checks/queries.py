@@ -934,20 +934,6 @@ def model_store_scores(spark, sf_dir):
         F.lit(first == 1 and second is None).alias("trained_once"))
 
 
-@query
-def model_boosted_regimes(spark, sf_dir):
-    """Boosted regime models, one against the rest, on a few rounds: rows per symbol, and whether rows kept from training are told
-    better than by the most frequent regime."""
-    from quantloom.operators import training
-
-    scored = t.stage(training.boosted_regimes(labelled_frame(spark, sf_dir), MODEL_FEATURES, "regime_target", rounds=5, depth=3, step=0.4))
-    held = scored.where("validation")
-    majority = held.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share"))
-    told = held.agg((F.avg((c("label") == c("prediction")).cast("double"))).alias("accuracy"))
-    fact = told.crossJoin(majority).select((c("accuracy") > c("share")).alias("beats_majority"))  # one row each
-    return scored.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), (F.max("trees") <= 5).alias("bounded")).crossJoin(fact)
-
-
 @query
 def model_regime_clusters(spark, sf_dir):
     from quantloom.operators import training

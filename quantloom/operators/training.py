@@ -129,13 +129,13 @@ def boosted_regimes(
     held = F.pmod(F.xxhash64("symbol", "ts"), F.lit(5)) == 0 if validation is None else validation
     rows = stage(dataset.where(c(target).isNotNull()).select("symbol", "ts", c(target).alias("label"), held.alias("validation"), *names))
     labels = sorted(r.label for r in rows.select("label").distinct().collect())  # a handful of regimes
-    ready = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep").transform(rows)
-    longest = 0
+    base = stage(VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep").transform(rows))
+    ready, longest = base, 0
     for i, label in enumerate(labels):
         booster = GBTClassifier(
             maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8, seed=42, validationIndicatorCol="validation", validationTol=tolerance,
-            labelCol="_is", featuresCol="features", rawPredictionCol="_raw", predictionCol="_guess", probabilityCol="_both")
-        model = booster.fit(ready.withColumn("_is", (c("label") == label).cast("double")))
+            labelCol="_is", featuresCol="features", predictionCol="_guess").setRawPredictionCol("_raw").setProbabilityCol("_both")
+        model = booster.fit(base.select("features", "validation", (c("label") == label).cast("double").alias("_is")))
         longest = max(longest, model.getNumTrees)
         ready = model.transform(ready).withColumn(f"_p{i}", vector_to_array("_both")[1]).drop("_raw", "_guess", "_both")
     best = F.array_max(F.array(*[F.struct(c(f"_p{i}").alias("p"), F.lit(-i).alias("i"), F.lit(label).alias("label")) for i, label in enumerate(labels)]))

@@ -12,7 +12,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.sql import functions as F
 
-from quantloom.operators import vectors, weighting
+from quantloom.operators import training, vectors, weighting
 from quantloom.operators.model_store import ModelStore
 from quantloom.operators.news import insert_news_batch
 from quantloom.session import only_result_stays, stage
@@ -191,6 +191,14 @@ def test_model_store(spark):
     assert scored.count() >= 38 and scored.first().model_version == 2
 
 
+def test_boosted_labels_stop_on_validation_rows(spark):
+    rows = [("A", datetime(2024, 1, 1) + timedelta(days=i), float(i % 7), "low" if i % 7 < 3 else "high") for i in range(200)] + [("A", datetime(2023, 1, 1), 1.0, None)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double, regime string")
+    got = training.boosted_regimes(df, ["x"], "regime", rounds=3, depth=2, step=0.5).collect()
+    assert len(got) == 200 and {r.prediction for r in got} == {"low", "high"}
+    assert np.mean([r.prediction == r.label for r in got if r.validation]) > 0.95 and got[0].trees <= 3 and 10 < sum(r.validation for r in got) < 80
+
+
 def test_links_from_the_tree(spark):
     page = """<a href="/a b">R&#233;sum&#xE9; &lt;x&gt;</a><a href='/c' title=" named  by title "><img src=x></a><a href="/d"></a><a name=x>no href</a>
       <div><a class=k href="/e?a=1&amp;b=2">one<b> two</b>three</a></div><script><a href="/no">no</a></script><!-- <a href="/no2">no</a> --><A HREF=/f>open"""
