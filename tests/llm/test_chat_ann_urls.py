@@ -124,3 +124,25 @@ def test_lists_as_of_the_fetch(spark):
     assert got == [(1, False, 0), (2, True, 1), (2, True, 1), (3, False, 0), (4, True, 1), (5, True, 1), (6, False, 0), (7, False, 2), (8, False, 0), (9, False, 0), (10, False, 0), (11, False, 0)]
     assert url_lists.judge(captures.limit(0), lists).count() == 0
     assert not any(r.blocked for r in url_lists.judge(captures, lists.limit(0)).collect())
+
+
+@pytest.mark.parametrize("spread, most", [(None, 2.0), (0.3, 0.3)])
+def test_measured_share_of_opened_leaves(spread, most):
+    """5,000 vectors without structure and in 40 clusters: recall of queries outside the sample, and the share that it takes."""
+    draw = np.random.default_rng(12)
+    rows = draw.standard_normal((5000, 64))
+    if spread:
+        rows = draw.standard_normal((40, 64))[draw.integers(0, 40, 5000)] + spread * rows
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    forest = ann.Forest.fit(rows[:4096])
+    share = forest.share_for(rows[:4096], 20)
+    leaves = forest.leaves(rows)
+    sizes = np.stack([np.bincount(leaves[:, t], minlength=1 << forest.depth) for t in range(leaves.shape[1])])
+    found = []
+    for i in range(4100, 5000, 30):
+        scores = rows @ rows[i]
+        scores[i] = -np.inf
+        near = np.argsort(-scores)[:20]
+        opened = set(forest.open_leaves(forest.margins(rows[i : i + 1])[0], sizes, share * len(rows)))
+        found.append(np.mean([any((t, leaves[j, t]) in opened for t in range(leaves.shape[1])) for j in near]))
+    assert np.mean(found) >= 0.9 and share < most

@@ -162,3 +162,20 @@ def test_components(spark):
 def test_length_of_words_is_counted_in_sql(spark):
     df = spark.createDataFrame([("a  b\tc\x0b d e",), ("",), (None,)], "text string")
     assert [r[0] for r in df.select(mixing.words(F.col("text"))).collect()] == [4, 0, 0]
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, hot):
+    import random
+
+    draw = random.Random(6)
+    rows = []
+    for i in range(600):
+        words = [f"w{draw.randrange(5000)}" for _ in range(40)]
+        rows += [(hot, " ".join(words), "a"), (hot, " ".join([*words, f"end{i}"]), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = near_dups.keep_one(docs)
+    kept = [r.text for r in left.collect()]
+    assert len(kept) == 600 and len({t.split(" end")[0] for t in kept}) == 600
+    repeated = spark.createDataFrame([(hot, "same text of all", s) for s in "abc"] + [(hot, "another text", "a")], "doc_id long, text string, source string")
+    assert sorted(r.text for r in exact_dedup.drop_copies(repeated).collect()) == ["another text", "same text of all"]
