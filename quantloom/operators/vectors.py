@@ -7,11 +7,13 @@ cells by their leading coordinates: a tree of medians of that sample. Rows of a
 ``tile_rows``; a cell of any size is many tiles, so groups of copies make no hot task. A tile and a cell know the ranges of
 their ``LEAD`` leading coordinates and the largest length of the rest, which bounds every product between them: the
 ranges' largest products, plus the product of the remaining lengths. Pairs below the threshold, or below the
-current k-th best of all the tile's rows, never meet. What is left is one matrix product per pair of tiles; a task emits
-a few numbers per row, never the pairs. Results are exact, with bounds or without.
+current k-th best of all the tile's rows, never meet. What is left is one matrix product per left tile and block of right
+tiles; a task emits a few numbers per row, never the pairs. Products are taken in single precision; whatever its error could
+let in or keep out is taken again in double precision, so results are exact, with bounds or without.
 
-Each tile is read once and repeated only for the cells that it has to meet. The driver sees the sample (``SAMPLE`` values) and one
-row per cell (``MAX_CELLS`` at most). ``planned_pairs`` tells how many cells each tile has to meet.
+Cells are packed into blocks of at most ``BLOCK`` values, and left tiles are dealt to slices: a tile is repeated once per block
+or slice that it has to meet, so shuffled bytes grow with rows times blocks. The driver sees the sample (``CELL_ROWS`` rows a cell, ``SAMPLE``
+values at most) and one row per cell (``MAX_CELLS`` at most); vectors are never broadcast. ``planned_pairs`` tells how many cells each tile has to meet.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ from quantloom.session import stage
 
 c = F.col
 TILE_ROWS = 4096
-SAMPLE = 1 << 22  # values of the sampled rows
+SAMPLE = 1 << 22  # values of the sampled rows, at most
+CELL_ROWS = 64  # rows sampled for each cell
+BLOCK = 1 << 22  # values of the right tiles that a task holds
+PIECE = 4096  # right rows of one matrix product
 LEAD = 16
 MAX_CELLS = 4096
 CELL_SAMPLE = 16  # sampled rows that a cell has at least
@@ -86,9 +91,12 @@ def fit_cells(vectors: DataFrame, tile_rows: int = TILE_ROWS, depth: int | None
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dims")).first()
     dims = max(1, size.dims or 1)
     depth = max(0, min(MAX_CELLS, -(-size.n // tile_rows)) - 1).bit_length() if depth is None else depth
-    share = min(1.0, SAMPLE // dims / max(1, size.n))
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("cells"), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy("id").limit(2 * SAMPLE // dims)
-    rows = np.array([r.embedding for r in drawn.select("embedding").collect()], np.float64).reshape(-1, dims)
+    wanted = min(SAMPLE // dims, max(CELL_ROWS << depth, 16 * dims, 4096))
+    share = min(1.0, wanted / max(1, size.n))
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("cells"), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * wanted)
+    found = drawn.select(c("id").cast("bigint").alias("id"), c("embedding").cast("array<double>").alias("embedding")).toArrow()  # not as Python floats
+    rows = found.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    rows = rows[np.argsort(found.column("id").to_numpy(), kind="stable")]
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return Cells.fit(rows / np.where(norms > 0, norms, 1.0), depth)
 
@@ -185,37 +193,124 @@ def planned_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     return with_cells(left, found, F.lit(threshold)).select("cell", "tile", "n", F.lit(len(found)).alias("cells"), F.size("want").alias("met"))
 
 
-Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+Pieces = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of right rows: ids, vectors, vectors in single precision
+Compare = Callable[[np.ndarray, np.ndarray, Pieces], tuple[np.ndarray, ...]]
 
 
-def meet(left: DataFrame, right: DataFrame, compare: Compare, schema: str, earlier_only: bool = False) -> DataFrame:
-    """Apply ``compare(left ids, right ids, similarities)`` to every left tile and each tile of the cells it wants."""
-    asked = left.withColumn("_cell", F.explode("want")).select(
-        c("_cell"), c("ids").alias("l_ids"), c("vectors").alias("l_vectors"), c("last").alias("l_last"))
-    on = asked["_cell"] == right["cell"]
-    met = asked.join(right, on & (c("first") < c("l_last")) if earlier_only else on).select("l_ids", "l_vectors", "ids", "vectors")
+@dataclass
+class Blocks:
+    """Cells packed in order into blocks of ``rows`` rows; a larger cell has several blocks, its tiles dealt by hash."""
+
+    start: dict[int, int]
+    count: dict[int, int]
+    blocks: int
+
+    @staticmethod
+    def pack(found: pd.DataFrame, rows: int) -> Blocks:
+        start, count, at, held = {}, {}, 0, 0
+        for cell, n in zip(found.cell.tolist(), found.n.tolist()):
+            if held and held + n > rows:
+                at, held = at + 1, 0
+            start[cell], count[cell] = at, -(-n // rows)
+            at, held = at + count[cell] - 1, held + n if count[cell] == 1 else rows
+        return Blocks(start, count, at + 1)
+
+    def of_tile(self) -> Column:
+        held = F.pandas_udf(lambda cells, deal: pd.Series([self.start[a] + b % self.count[a] for a, b in zip(cells, deal)], dtype="int32"), "int")
+        return held("cell", F.pmod(F.xxhash64("tile"), F.lit(1 << 30)))
+
+    def wanted(self) -> Column:
+        held = F.pandas_udf(lambda want: pd.Series([np.unique([b for a in w for b in range(self.start[a], self.start[a] + self.count[a])]).astype(np.int32) for w in want]), "array<int>")
+        return held("want")
+
+
+def slack_of(dims: int) -> float:
+    """Half a unit of the sixth digit, and what single precision may add to or take from a product of unit vectors."""
+    return ROUND + (dims + 8) * 2.0**-23
+
+
+def exact(own: np.ndarray, others: np.ndarray, at: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Similarities of the pairs (at, col) in double precision, a bounded number of values at a time."""
+    out, step = np.empty(len(at)), max(1, (1 << 21) // max(1, own.shape[1]))
+    for a in range(0, len(at), step):
+        out[a : a + step] = np.einsum("ij,ij->i", own[at[a : a + step]], others[col[a : a + step]])
+    return np.round(np.clip(out, 0.0, 1.0), 6)
+
+
+def meet(left: DataFrame, right: DataFrame, found: pd.DataFrame, dims: int, compare: Compare, schema: str, tile_rows: int, earlier_only: bool = False) -> DataFrame:
+    """Apply ``compare(left ids, left vectors, pieces)`` to every left tile and the right tiles of the cells it wants, block by block.
+
+    ``found`` has the boxes of the right. With ``earlier_only``, right tiles without an id before the last of the left tile are left out.
+    """
+    most = max(1, BLOCK // max(1, dims))
+    rows, asking = int(found.n.sum()), left.agg(F.sum("n")).first()[0] or 0
+    blocks = Blocks.pack(found, min(most, max(tile_rows, -(-rows // 8))))
+    slices = max(1, -(-asking // min(most, max(tile_rows, -(-asking // 8)))))
+    names = ["_block", "_slice", "_left", "want", "cell", "ids", "vectors", "first", "last"]
+    asked = left.where(F.size("want") > 0).withColumns({"_block": F.explode(blocks.wanted()), "_slice": F.pmod(F.xxhash64("cell", "tile"), F.lit(slices)).cast("int"), "_left": F.lit(True)})
+    there = right.withColumns({"_block": blocks.of_tile(), "_slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1))), "_left": F.lit(False), "want": F.lit(None).cast("array<int>")})
+    tasks = min(2 * blocks.blocks * slices, 4000)
+    dealt = asked.select(*names).unionByName(there.select(*names)).repartition(tasks, "_block", "_slice").sortWithinPartitions("_block", "_slice", "_left", "cell", "first")
     kinds = {"bigint": pa.int64(), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                l_ids, l_vectors, ids, vectors = [batch.column(n)[i].as_py() for n in ("l_ids", "l_vectors", "ids", "vectors")]
-                l_ids, ids = np.frombuffer(l_ids, np.int64), np.frombuffer(ids, np.int64)
-                own, others = np.frombuffer(l_vectors).reshape(len(l_ids), -1), np.frombuffer(vectors).reshape(len(ids), -1)
-                for a in range(0, len(l_ids), 512):  # bounds the matrix of products
-                    similar = np.round(np.clip(own[a : a + 512] @ others.T, 0.0, 1.0), 6)
-                    cells = compare(l_ids[a : a + 512], ids, similar)
+                r = {n: batch.column(n)[i].as_py() for n in names}
+                if key != (r["_block"], r["_slice"]):
+                    key, held, block = (r["_block"], r["_slice"]), [], None
+                ids = np.frombuffer(r["ids"], np.int64)
+                if not r["_left"]:
+                    held.append((r["cell"], r["first"], ids, np.frombuffer(r["vectors"]).reshape(len(ids), -1)))
+                    continue
+                if not held:
+                    continue
+                if block is None:  # the block's right tiles as one table
+                    ends, block = np.cumsum([0] + [len(h[2]) for h in held]), (np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]))
+                    block += (block[1].astype(np.float32),)
+                    held = [(h[0], h[1]) for h in held]
+                want, own, spans = set(r["want"]), np.frombuffer(r["vectors"]).reshape(len(ids), -1), []
+                for j, (cell, first) in enumerate(held):
+                    if cell in want and not (earlier_only and first >= r["last"]):
+                        if spans and spans[-1][1] == ends[j] and ends[j + 1] - spans[-1][0] <= PIECE:
+                            spans[-1][1] = ends[j + 1]
+                        else:
+                            spans.append([ends[j], ends[j + 1]])
+                pieces = [tuple(x[a:b] for x in block) for lo, hi in spans for a, b in zip(range(lo, hi, PIECE), [*range(lo + PIECE, hi, PIECE), hi])]
+                for a in range(0, len(ids) if pieces else 0, 512):  # bounds the matrix of products
+                    cells = compare(ids[a : a + 512], own[a : a + 512], pieces)
                     yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(cells, fields)], [n for n, _ in fields])
 
-    return met.mapInArrow(run, schema)
-
-
-def _best(k: int) -> Compare:
-    def best(own: np.ndarray, ids: np.ndarray, similar: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(ids, kind="stable")
-        top = np.argsort(-similar[:, order], axis=1, kind="stable")[:, :k]
-        return np.repeat(own, top.shape[1]), ids[order][top].ravel(), np.take_along_axis(similar[:, order], top, axis=1).ravel()
+    return dealt.mapInArrow(run, schema)
+
+
+def _best(k: int, earlier_only: bool = False) -> Compare:
+    """The ``k`` most similar (earlier) rows, ties to the lower id."""
+    def best(ids: np.ndarray, own: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
+        slack, own32 = slack_of(own.shape[1]), own.astype(np.float32)
+        score, match = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), np.int64)  # -1: nothing found yet
+        for others, vectors, vectors32 in pieces:
+            similar = own32 @ vectors32.T
+            if earlier_only:
+                similar[others[None, :] >= ids[:, None]] = -2.0
+            least, open_rows = score[:, -1].copy(), np.flatnonzero(score[:, -1] < 0)
+            if len(open_rows) and len(others) > 4 * k:
+                least[open_rows] = np.partition(similar[open_rows], len(others) - k, axis=1)[:, len(others) - k] - slack
+            cut = np.where(least > slack, least - slack, -1.5).astype(np.float32)  # products below zero count as zero
+            at, col = np.nonzero(similar >= cut[:, None])
+            better = (score[at, -1] < 1.0) | (others[col] < match[at, -1])  # of copies only lower ids matter
+            at, col = at[better], col[better]
+            if len(at):
+                hit, place = np.unique(at, return_inverse=True)
+                scores = np.concatenate([score[hit].ravel(), exact(own, vectors, at, col)])
+                matches, row = np.concatenate([match[hit].ravel(), others[col]]), np.concatenate([np.repeat(np.arange(len(hit)), k), place])
+                order = np.lexsort((matches, -scores, row))
+                firsts = np.searchsorted(row[order], np.arange(len(hit)))[:, None] + np.arange(k)  # each row has its k old ones at least
+                score[hit], match[hit] = scores[order][firsts], matches[order][firsts]
+        some = score >= 0
+        return np.repeat(ids, some.sum(1)), match[some], score[some]
 
     return best
 
@@ -231,7 +326,8 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int = 5, tile_rows: int = TI
     left = tiles(placed(queries, cells), tile_rows)
     found, schema = boxes(right), "id bigint, match bigint, similarity double"
     first = with_cells(left, found, F.lit(0.0), only_nearest=True)
-    begun = stage(meet(first, right, _best(k), schema))
+    dims = len(cells.axes)
+    begun = stage(meet(first, right, found, dims, _best(k), schema, tile_rows))
     order = Window.partitionBy("id").orderBy(c("similarity").desc(), "match")
     own = queries.select(c("id").cast("bigint").alias("id")).distinct().join(
         begun.withColumn("rank", F.row_number().over(order)).where(c("rank") == k).select("id", "similarity"), "id", "left")
@@ -241,18 +337,31 @@ def top_k(queries: DataFrame, stored: DataFrame, k: int = 5, tile_rows: int = TI
         c("cell").alias("_of"), c("tile").alias("_tile"), "floor"))
     bounded = first.withColumnRenamed("want", "met").join(floors, (c("cell") == c("_of")) & (c("tile") == c("_tile")))
     again = with_cells(bounded, found, c("floor")).withColumn("want", F.array_except("want", "met"))
-    both = begun.unionByName(meet(again, right, _best(k), schema))
+    both = begun.unionByName(meet(again, right, found, dims, _best(k), schema, tile_rows))
     return both.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
 
 
-def conflicts(left: DataFrame, right: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Ids of ``placed`` left rows with an earlier right row above the threshold."""
-    def find(own: np.ndarray, ids: np.ndarray, similar: np.ndarray) -> tuple[np.ndarray, ...]:
-        return (own[((similar > threshold) & (ids[None, :] < own[:, None])).any(1)],)
+def conflicts(left: DataFrame, right: DataFrame, dims: int, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Ids of left ``tiles`` with an earlier right row above the threshold."""
+    def find(ids: np.ndarray, own: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
+        slack, open_rows = slack_of(own.shape[1]), np.arange(len(ids))
+        for others, vectors, vectors32 in pieces:
+            similar = own[open_rows].astype(np.float32) @ vectors32.T
+            at, col = np.nonzero(similar > (threshold - slack if threshold >= 0 else -np.inf))
+            earlier = others[col] < ids[open_rows[at]]
+            at, col = at[earlier], col[earlier]
+            sure = (similar[at, col] > threshold + slack) | (threshold < 0)
+            hit = np.zeros(len(open_rows), bool)
+            hit[at[sure]] = True
+            near = ~sure & ~hit[at]
+            hit[at[near][exact(own[open_rows], vectors, at[near], col[near]) > threshold]] = True
+            open_rows = open_rows[~hit]
+        return (np.delete(ids, open_rows),)
 
-    others = tiles(right, tile_rows)
-    asked = with_cells(tiles(left, tile_rows), boxes(others), F.lit(threshold))
-    return meet(asked, others, find, "id bigint", earlier_only=True).distinct()
+    found = boxes(right)
+    if found.empty:
+        return left.select(c("first").alias("id")).limit(0)
+    return meet(with_cells(left, found, F.lit(threshold)), right, found, dims, find, "id bigint", tile_rows, earlier_only=True).distinct()
 
 
 def greedy_distinct(
@@ -269,19 +378,22 @@ def greedy_distinct(
     """
     first = stage(vectors.groupBy("embedding").agg(F.min("id").alias("id")).select(c("id").cast("bigint").alias("id"), "embedding"))
     cells = cells or fit_cells(first, tile_rows)
-    open_rows = placed(first, cells)
+    open_rows, dims = placed(first, cells), len(cells.axes)
     if stored is not None:
         shifted = placed(stored.select((-c("id") - 1).alias("id"), "embedding"), cells)
-        open_rows = stage(open_rows.join(conflicts(open_rows, shifted, threshold, tile_rows), "id", "left_anti"))
+        old = conflicts(tiles(open_rows, tile_rows), tiles(shifted, tile_rows), dims, threshold, tile_rows)
+        open_rows = stage(open_rows.join(old, "id", "left_anti"))
     kept: list[DataFrame] = []
     while not open_rows.isEmpty():  # the smallest open id settles in every round
-        blocked = stage(conflicts(open_rows, open_rows, threshold, tile_rows))
+        tiled = tiles(open_rows, tile_rows)
+        blocked = stage(conflicts(tiled, tiled, dims, threshold, tile_rows))
         winners = stage(open_rows.join(blocked, "id", "left_anti"))
         kept.append(winners)
         if blocked.isEmpty():
             break
         rest = stage(open_rows.join(blocked, "id", "left_semi"))
-        open_rows = stage(rest.join(conflicts(rest, winners, threshold, tile_rows), "id", "left_anti"))
+        dropped = conflicts(tiles(rest, tile_rows), tiles(winners, tile_rows), dims, threshold, tile_rows)
+        open_rows = stage(rest.join(dropped, "id", "left_anti"))
     if not kept:
         return first.limit(0)
     ids = kept[0].select("id")
@@ -295,17 +407,11 @@ def duplicate_matches(vectors: DataFrame, kept: DataFrame, threshold: float = -1
 
     ``threshold`` is the one that rows were dropped by, if known: every dropped row has a match above it.
     """
-    def best(own: np.ndarray, ids: np.ndarray, similar: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(ids, kind="stable")
-        earlier = np.where(ids[order][None, :] < own[:, None], similar[:, order], -1.0)
-        at = earlier.argmax(axis=1)
-        some = earlier.max(axis=1) >= 0
-        return own[some], ids[order][at[some]], earlier.max(axis=1)[some]
-
     cells = fit_cells(kept, tile_rows)
     dropped = vectors.join(kept.select("id"), "id", "left_anti")
     right = tiles(placed(kept, cells), tile_rows)
-    asked = with_cells(tiles(placed(dropped, cells), tile_rows), boxes(right), F.lit(threshold))
-    found = meet(asked, right, best, "id bigint, matched_id bigint, similarity double", earlier_only=True)
+    boxed = boxes(right)
+    asked = with_cells(tiles(placed(dropped, cells), tile_rows), boxed, F.lit(threshold))
+    found = meet(asked, right, boxed, len(cells.axes), _best(1, earlier_only=True), "id bigint, matched_id bigint, similarity double", tile_rows, earlier_only=True)
     rank = F.struct("similarity", -c("matched_id"))
     return found.groupBy("id").agg(F.max_by("matched_id", rank).alias("matched_id"), F.max("similarity").alias("similarity"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 from checks.compare import compare
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
+from quantloom.operators import vectors
 
 
 def test_titles_with_a_cut_reference_match_sql(spark, tmp_path):
@@ -17,3 +20,29 @@ def test_titles_with_a_cut_reference_match_sql(spark, tmp_path):
     got = QUERIES["html_titles"](spark, str(tmp_path)).toPandas()
     assert dict(zip(got.page_id, got.title)) == {1: "a &&&", 2: 'b&amp; " c<i>', 3: "© 2020 · d &am", 4: None}
     assert compare(got, con.sql(ORACLES["html_titles"]).df()) == ""
+
+
+def test_cells_are_packed_into_few_blocks():
+    found = pd.DataFrame({"cell": range(20), "n": [10] * 10 + [95] + [10] * 9})
+    blocks = vectors.Blocks.pack(found, 30)
+    assert blocks.blocks == 11 and blocks.count[10] == 4  # 4 of three cells or less, 4 of the large one, 3 after it
+    rows = {}
+    for cell, n in zip(found.cell, found.n):
+        if blocks.count[cell] == 1:
+            rows[blocks.start[cell]] = rows.get(blocks.start[cell], 0) + n
+    assert max(rows.values()) <= 30 and len(set(rows) & set(range(blocks.start[10], blocks.start[10] + 4))) == 0
+
+
+def test_best_of_pieces_equals_brute_force_with_ties():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(900, 24))
+    rows[200:500] = rows[200]  # copies, so that ids decide
+    rows[7] = 0.0
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    ids, similar = rng.permutation(900), np.round(np.clip(rows @ rows.T, 0.0, 1.0), 6)
+    pieces = [(ids[a : a + 100], rows[a : a + 100], rows[a : a + 100].astype(np.float32)) for a in range(0, 900, 100)]
+    for earlier in (False, True):
+        got = pd.DataFrame(dict(zip(("id", "match", "score"), vectors._best(4, earlier)(ids, rows, pieces)))).groupby("id").match.apply(list).to_dict()
+        for i, own in enumerate(ids):
+            want = sorted((-similar[i, j], ids[j]) for j in range(900) if not earlier or ids[j] < own)[:4]
+            assert got.get(own, []) == [m for _, m in want]
