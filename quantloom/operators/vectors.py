@@ -34,6 +34,7 @@ TILE_ROWS = 4096
 SAMPLE = 1 << 22  # values of the sampled rows, at most
 CELL_ROWS = 64  # rows sampled for each cell
 BLOCK = 1 << 22  # values of the right tiles that a task holds
+LINKS = 64  # earlier conflicts that a row lists per block
 PIECE = 4096  # right rows of one matrix product
 LEAD = 16
 MAX_CELLS = 4096
@@ -364,6 +365,51 @@ def conflicts(left: DataFrame, right: DataFrame, dims: int, threshold: float, ti
     return meet(with_cells(left, found, F.lit(threshold)), right, found, dims, find, "id bigint", tile_rows, earlier_only=True).distinct()
 
 
+def links(left: DataFrame, right: DataFrame, dims: int, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(id, earlier): ids of earlier right rows above the threshold, the lowest ``LINKS`` of each block of right tiles.
+
+    A row with more has a link to itself, which says that its list is not whole.
+    """
+    def find(ids: np.ndarray, own: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
+        slack, own32 = slack_of(own.shape[1]), own.astype(np.float32)
+        rows, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for others, vectors, vectors32 in pieces:
+            similar = own32 @ vectors32.T
+            at, col = np.nonzero(similar > (threshold - slack if threshold >= 0 else -np.inf))
+            earlier = others[col] < ids[at]
+            at, col = at[earlier], col[earlier]
+            good = (similar[at, col] > threshold + slack) | (threshold < 0)
+            good[~good] = exact(own, vectors, at[~good], col[~good]) > threshold
+            rows, found = np.concatenate([rows, at[good]]), np.concatenate([found, others[col[good]]])
+            order = np.lexsort((found, rows))
+            rows, found = rows[order], found[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, found = rows[place <= LINKS], found[place <= LINKS]  # one more than is kept
+        more = np.arange(len(rows)) - np.searchsorted(rows, rows) == LINKS
+        return ids[rows], np.where(more, ids[rows], found)
+
+    boxed = boxes(right)
+    return meet(with_cells(left, boxed, F.lit(threshold)), right, boxed, dims, find, "id bigint, earlier bigint", tile_rows, earlier_only=True)
+
+
+def settle(ids: DataFrame, linked: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Walk the greedy rule over links: (tables of kept ids, ids that stay open because a link list is not whole).
+
+    A row without a link is kept; a row linked to a kept one is dropped, and links to dropped rows go. Only ids are shuffled and written.
+    """
+    kept: list[DataFrame] = []
+    while not ids.isEmpty():
+        free = stage(ids.join(linked.select("id").distinct(), "id", "left_anti"))
+        if free.isEmpty():
+            break
+        kept.append(free)
+        gone = stage(linked.join(free.select(c("id").alias("earlier")), "earlier", "left_semi").select("id").distinct())
+        settled = free.unionByName(gone)
+        linked = stage(linked.join(gone, "id", "left_anti").join(gone.select(c("id").alias("earlier")), "earlier", "left_anti").select("id", "earlier"))
+        ids = stage(ids.join(settled, "id", "left_anti"))
+    return kept, ids
+
+
 def greedy_distinct(
     vectors: DataFrame, threshold: float = 0.92, stored: DataFrame | None = None,
     tile_rows: int = TILE_ROWS, cells: Cells | None = None,
@@ -372,8 +418,8 @@ def greedy_distinct(
     duplicate when its best earlier kept match is above ``threshold`` (strictly).
 
     Later copies of an identical vector always share the first one's conflicts, so they
-    are removed first. Then each round keeps the rows without an earlier open conflict and
-    drops what is too close to them. Each round is written out, which cuts lineage.
+    are removed first. Then vectors meet once: each row's earlier conflicts are listed (a bounded list), and rounds over
+    these ids settle who stays. Rows whose list was cut meet the kept rows and, if still open, one another again.
     Everything ``stored`` counts as earlier than the batch.
     """
     first = stage(vectors.groupBy("embedding").agg(F.min("id").alias("id")).select(c("id").cast("bigint").alias("id"), "embedding"))
@@ -384,15 +430,17 @@ def greedy_distinct(
         old = conflicts(tiles(open_rows, tile_rows), tiles(shifted, tile_rows), dims, threshold, tile_rows)
         open_rows = stage(open_rows.join(old, "id", "left_anti"))
     kept: list[DataFrame] = []
-    while not open_rows.isEmpty():  # the smallest open id settles in every round
+    while not open_rows.isEmpty():  # once, unless a row has more than ``LINKS`` links into a block
         tiled = tiles(open_rows, tile_rows)
-        blocked = stage(conflicts(tiled, tiled, dims, threshold, tile_rows))
-        winners = stage(open_rows.join(blocked, "id", "left_anti"))
-        kept.append(winners)
-        if blocked.isEmpty():
+        winners, still = settle(open_rows.select("id"), stage(links(tiled, tiled, dims, threshold, tile_rows)))
+        kept += winners
+        if still.isEmpty():
             break
-        rest = stage(open_rows.join(blocked, "id", "left_semi"))
-        dropped = conflicts(tiles(rest, tile_rows), tiles(winners, tile_rows), dims, threshold, tile_rows)
+        new = winners[0]  # the smallest open id settles in every pass, so there is one
+        for more in winners[1:]:
+            new = new.unionByName(more)
+        rest = stage(open_rows.join(still, "id", "left_semi"))
+        dropped = conflicts(tiles(rest, tile_rows), tiles(stage(open_rows.join(new, "id", "left_semi")), tile_rows), dims, threshold, tile_rows)
         open_rows = stage(rest.join(dropped, "id", "left_anti"))
     if not kept:
         return first.limit(0)

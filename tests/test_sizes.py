@@ -46,3 +46,21 @@ def test_best_of_pieces_equals_brute_force_with_ties():
         for i, own in enumerate(ids):
             want = sorted((-similar[i, j], ids[j]) for j in range(900) if not earlier or ids[j] < own)[:4]
             assert got.get(own, []) == [m for _, m in want]
+
+
+def test_greedy_rule_settles_over_links_and_cut_lists(spark, monkeypatch):
+    """One meeting of vectors settles a chain of conflicts; cut lists lead to further ones and the same rows."""
+    angles = np.concatenate([np.arange(0, 3.0, 0.05), np.full(40, 1.0) + np.arange(40) * 1e-3, np.arange(0, 3.0, 0.03)])
+    rows = np.stack([np.cos(angles), np.sin(angles)], 1)
+    similar, kept = np.round(np.clip(rows @ rows.T, 0.0, 1.0), 6), []
+    for i in range(len(rows)):
+        if not any(similar[i, j] > 0.99 for j in kept):
+            kept.append(i)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id bigint, embedding array<double>")
+    calls, meet = [], vectors.meet
+    monkeypatch.setattr(vectors, "meet", lambda *a, **b: calls.append(1) or meet(*a, **b))
+    assert sorted(r.id for r in vectors.greedy_distinct(df, 0.99, tile_rows=30).collect()) == kept
+    assert len(calls) == 1
+    monkeypatch.setattr(vectors, "LINKS", 1)
+    assert sorted(r.id for r in vectors.greedy_distinct(df, 0.99, tile_rows=30).collect()) == kept
+    assert len(calls) > 2
