@@ -220,21 +220,34 @@ def expiring_lifecycle(events: DataFrame, ttl: str = "1 day", lateness: str = "1
             state.remove()
             out.append(row("EXPIRED", held))
         else:
-            for e in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
-                at = int(e.ts.value // 1000)
-                if held is not None and at - held[4] > span.value // 1000:
-                    out.append(row("EXPIRED", held))
-                    held = None
-                done = set(held[1].split("|")) - {""} if held else set()
-                if e.state not in memory.UNCOUNTED_STATES:
-                    done.add(e.state)
-                held = (e.state, "|".join(sorted(done)), (held[2] if held else 0) + 1, held[3] if held else at, max(at, held[4]) if held else at,
-                        e.error or "" if e.state == "FAILED" else held[5] if held else "")
-            out.append(row(held[0], held))
-            state.update(held)
-            state.setTimeoutTimestamp((held[4] + span.value // 1000) // 1000)
+            gap, events = span.value // 1000, []
+            for batch in batches:  # plain tuples: most ids have few events a batch, and a table of its own for each is dear
+                times = batch["ts"].to_numpy("datetime64[ns]")
+                events += zip(np.isnat(times).tolist(), (times.astype("int64") // 1000).tolist(), batch["seq"].tolist(), batch["state"].tolist(), batch["error"].tolist())
+            events.sort(key=lambda e: e[:3])
+            done = set(held[1].split("|")) - {""} if held else set()
+            for _, at, _, name, error in events:
+                if held is not None and at - held[4] > gap:
+                    out.append(row("EXPIRED", (held[0], "|".join(sorted(done)), *held[2:])))
+                    held, done = None, set()
+                if name not in memory.UNCOUNTED_STATES:
+                    done.add(name)
+                held = (name, "", (held[2] if held else 0) + 1, held[3] if held else at, max(at, held[4]) if held else at,
+                        error or "" if name == "FAILED" else held[5] if held else "")
+            held = (held[0], "|".join(sorted(done)), *held[2:])
+            over = (held[4] + gap) // 1000
+            if over < state.getCurrentWatermarkMs():  # an old event of a new batch: its timer would lie in the past
+                out.append(row("EXPIRED", held))
+                if state.exists:
+                    state.remove()
+            else:
+                out.append(row(held[0], held))
+                state.update(held)
+                state.setTimeoutTimestamp(over)
         yield pd.DataFrame(out, columns=[f.split()[0] for f in LIVE_STATE.split(", ")])
 
+    if "error" not in events.columns:
+        events = events.withColumn("error", F.lit(None).cast("string"))
     return (
         events.select("correlation_id", "state", "ts", "seq", "error").withWatermark("ts", lateness).groupBy("correlation_id").applyInPandasWithState(
             step, LIVE_STATE, "state string, completed string, events bigint, first_us bigint, last_us bigint, error string",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from checks.compare import compare
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
 from quantloom.operators import vectors
+from quantloom.streaming import flows
 
 
 def test_titles_with_a_cut_reference_match_sql(spark, tmp_path):
@@ -64,3 +67,14 @@ def test_greedy_rule_settles_over_links_and_cut_lists(spark, monkeypatch):
     monkeypatch.setattr(vectors, "LINKS", 1)
     assert sorted(r.id for r in vectors.greedy_distinct(df, 0.99, tile_rows=30).collect()) == kept
     assert len(calls) > 2
+
+
+def test_live_lifecycle_takes_events_past_their_time(spark):
+    """An event that is on time for its batch, but whose timer would lie before the watermark, expires at once."""
+    at, folder = datetime(2024, 1, 1), flows.new_folder(spark, "test-old-events")
+    for i, (key, day) in enumerate((("a", 0), ("b", 10), ("c", 1))):
+        rows = [(key, "CREATED", at + timedelta(days=day), i, None)]
+        spark.createDataFrame(rows, "correlation_id string, state string, ts timestamp, seq bigint, error string").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("correlation_id string, state string, ts timestamp, seq bigint, error string").option("maxFilesPerTrigger", 1).parquet(folder)
+    sessions, _ = flows.live_lifecycle(stream, "6 hours")
+    assert {r.correlation_id: r.state for r in sessions.collect()} == {"a": "EXPIRED", "b": "CREATED", "c": "EXPIRED"}
