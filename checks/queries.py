@@ -969,15 +969,22 @@ def stream_of(spark, sf_dir, name: str) -> DataFrame:
 
 
 def as_stream(df: DataFrame, parts: int = 3) -> DataFrame:
-    """Write a DataFrame to the shared folder in ``parts`` of rising ``seq``, four files each, and read a part per trigger."""
+    """Write a DataFrame to the shared folder in ``parts`` of rising ``seq`` and read a part per trigger.
+
+    A part has four files, or one per core where it is large. Its rows are taken from the staged table by bounds of
+    seq, which spare row groups that hold none of them, and dealt by hash, which needs no sort.
+    """
     from quantloom.streaming.flows import new_folder
 
     folder, rows = new_folder(df.sparkSession, "input"), t.stage(df)
-    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    part = F.floor((c("seq") - ends["lo"]) * parts / (ends["hi"] - ends["lo"] + 1))
+    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("seq").alias("n")).first()
+    lo, span = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0) + 1
+    files = max(4, min(df.sparkSession.sparkContext.defaultParallelism, ends["n"] // parts // 5000))
+    cuts = [lo - (-i * span // parts) for i in range(parts + 1)]
     for i in range(parts):  # one after the other, so that files arrive in sequence order
-        rows.where(part == i).repartition(4).write.mode("append").parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+        part = rows.where((c("seq") >= cuts[i]) & (c("seq") < cuts[i + 1]))
+        part.repartition(files, "seq").write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query

@@ -55,30 +55,35 @@ def bar_issues(p: dict[str, Column]) -> list[Column]:
 
 
 def check_events(events: DataFrame, as_of: Column) -> DataFrame:
-    """Add ``issues, quality_status, source_reliability_score`` to envelopes with a JSON payload."""
+    """Add ``issues, quality_status, source_reliability_score`` to envelopes with a JSON payload.
+
+    A payload is searched once per field, and only for the fields of its kind of event; the rules then read columns.
+    """
     def number(name: str) -> Column:
         return F.get_json_object("payload", f"$.{name}").try_cast("double")
 
-    prices = {n: number(n) for n in (*PRICES, "volume")}
     headline = F.coalesce(
         F.nullif(F.get_json_object("payload", "$.title"), F.lit("")), F.get_json_object("payload", "$.text"), F.lit(""))
     is_bar = c("event_type").isin("market.ohlcv.raw", "features.generated")
     is_chain = c("event_type") == "market.options.raw"
     is_news = c("event_type").isin("news.raw", "news.cleaned")
-    reliability = F.coalesce(number("source_reliability_score"), F.lit(START_SCORE))
+    read = {f"_{n}": F.when(is_bar, number(n)) for n in (*PRICES, "volume")} | {
+        "_pcr": F.when(is_chain, number("pcr")), "_iv": F.when(is_chain, number("iv")), "_headline": F.when(is_news, headline),
+        "_reliability": F.coalesce(number("source_reliability_score"), F.lit(START_SCORE))}
+    prices, reliability = {n: c(f"_{n}") for n in (*PRICES, "volume")}, c("_reliability")
     found = [F.when(is_bar, rule) for rule in bar_issues(prices)] + [
-        issue(is_chain & (number("pcr") < 0), "invalid negative PCR"),
-        issue(is_chain & (number("iv") < 0), "invalid negative IV"),
-        issue(is_news & (F.trim(headline) == ""), "missing empty news headline"),
+        issue(c("_pcr") < 0, "invalid negative PCR"),
+        issue(c("_iv") < 0, "invalid negative IV"),
+        issue(F.trim("_headline") == "", "missing empty news headline"),
         issue(c("ts") > as_of, "event timestamp is in the future"),
         issue(reliability < 0.4, "low source reliability"),
     ]
     issues = F.array_compact(F.array(*found))
-    return events.withColumn("issues", issues).withColumns({
+    return events.withColumns(read).withColumn("issues", issues).withColumns({
         "quality_status": F.when(F.exists("issues", lambda x: x.rlike("invalid|missing")), "FAIL")
         .when(F.size("issues") > 0, "WARN").otherwise("PASS"),
         "source_reliability_score": clip(reliability, 0.0, 1.0),
-    })
+    }).drop(*read)
 
 
 def missing_fields(required: list[str]) -> Column:
@@ -206,7 +211,8 @@ def clamp_walk(events: DataFrame, block_rows: int = 256, start: DataFrame | None
     before = before.withColumn("before", F.lit(START_SCORE)) if start is None else before.join(
         start.select("source", "score"), "source", "left").select("source", "at", F.coalesce("score", F.lit(START_SCORE)).alias("before"))
     for level in reversed(levels):
+        fields, _, step_of = event if level is levels[0] else block
         opened = level.join(before.withColumnRenamed("at", "g"), ["source", "g"])
-        before = opened.select("source", F.inline(replay(c("before"), c("items"))))
-    return rows.join(before, ["source", "at"]).select(
-        "source", "seq", "passed", c("before").alias("score_before"), apply(c("before"), c("step")).alias("score_after"))
+        before = opened.select("source", F.inline(replay(c("before"), c("items"), fields, step_of)))
+    return before.select(
+        "source", "seq", "passed", c("before").alias("score_before"), apply(c("before"), step(c("passed"))).alias("score_after"))
