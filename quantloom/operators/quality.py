@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,7 +177,8 @@ def clamp_walk(events: DataFrame, block_rows: int = 256, start: DataFrame | None
     (source, score) to begin with. A run of clamped steps is itself one clamped step (add, then
     limit to [low, high]), so blocks are reduced to such triples, blocks of blocks next, as many
     levels as it takes to reach one triple per source; then each level is replayed from the
-    starting scores of the one above. No array is larger than ``block_rows``.
+    starting scores of the one above. The first level keeps the events themselves, so they
+    are shuffled once. No array is larger than ``block_rows``.
     """
     def reduce_steps(steps: Column) -> Column:
         begin = F.struct(F.lit(0.0).alias("add"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
@@ -187,26 +190,29 @@ def clamp_walk(events: DataFrame, block_rows: int = 256, start: DataFrame | None
     def apply(score: Column, s: Column) -> Column:
         return F.least(F.greatest(score + s["add"], s["low"]), s["high"])
 
-    def replay(score: Column, items: Column) -> Column:
-        """Places of the items with the score before each of them."""
-        none = F.array().cast("array<struct<at:bigint,before:double>>")
+    def step(passed: Column) -> Column:
+        return F.struct(
+            F.when(passed, PASS_STEP).otherwise(FAIL_STEP).alias("add"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def replay(score: Column, items: Column, fields: dict[str, str], step_of: Callable[[Column], Column]) -> Column:
+        """The fields of the items with the score before each of them."""
+        none = F.array().cast(f"array<struct<{','.join(f'{n}:{kind}' for n, kind in fields.items())},before:double>>")
         first = F.struct(score.cast("double").alias("score"), none.alias("out"))
         return F.aggregate(items, first, lambda acc, i: F.struct(
-            apply(acc["score"], i["step"]).alias("score"),
-            F.array_append(acc["out"], F.struct(i["at"].alias("at"), acc["score"].alias("before"))).alias("out")),
+            apply(acc["score"], step_of(i)).alias("score"),
+            F.array_append(acc["out"], F.struct(*[i[n].alias(n) for n in fields], acc["score"].alias("before"))).alias("out")),
             lambda acc: acc["out"])
 
-    step = F.struct(
-        F.when(c("passed"), PASS_STEP).otherwise(FAIL_STEP).alias("add"),
-        F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    rows = stage(events.select("source", "seq", "passed", c("pos").cast("long").alias("at"), step.alias("step")))
-    top, levels = rows.agg(F.max("at")).first()[0], []
-    current = rows.select("source", "at", "step")
-    while top is not None and (not levels or top > 0):
+    # what an item of the first level is, and of those above: its fields besides the step, and its step
+    event = {"at": "bigint", "seq": dict(events.dtypes)["seq"], "passed": "boolean"}, ["at", "seq", "passed"], lambda i: step(i["passed"])
+    block = {"at": "bigint"}, ["at", "step"], lambda i: i["step"]
+    current, levels, top = events.select("source", c("pos").cast("long").alias("at"), "seq", "passed"), [], None
+    while not levels or top:
+        _, columns, step_of = block if levels else event
         grouped = current.groupBy("source", F.floor(c("at") / block_rows).alias("g")).agg(
-            F.array_sort(F.collect_list(F.struct("at", "step"))).alias("items"))
-        levels.append(stage(grouped.withColumn("step", reduce_steps(F.transform("items", lambda i: i["step"])))))
-        current, top = levels[-1].select("source", c("g").alias("at"), "step"), top // block_rows
+            F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
+        levels.append(stage(grouped.withColumn("step", reduce_steps(F.transform("items", step_of)))))
+        current, top = levels[-1].select("source", c("g").alias("at"), "step"), levels[-1].agg(F.max("g")).first()[0]
     before = current.select("source", "at")
     before = before.withColumn("before", F.lit(START_SCORE)) if start is None else before.join(
         start.select("source", "score"), "source", "left").select("source", "at", F.coalesce("score", F.lit(START_SCORE)).alias("before"))

@@ -101,9 +101,9 @@ def stream_reliability(events: DataFrame) -> DataFrame:
     def walk(batch: DataFrame, batch_id: int) -> None:
         last = read_if_there(spark, f"{folder}/scores/batch={batch_id - 1}")
         ranked = index_rows(stage(batch), ["source"], ["seq"], F.floor(c("seq") / 100_000))
-        scored = stage(quality.clamp_walk(ranked, start=last))
+        scored = quality.clamp_walk(ranked, start=last)
         scored.write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
-        ends = scored.groupBy("source").agg(F.max_by("score_after", "seq").alias("score"))
+        ends = spark.read.schema(scored.schema).parquet(f"{folder}/data/batch={batch_id}").groupBy("source").agg(F.max_by("score_after", "seq").alias("score"))
         kept = ends if last is None else ends.unionByName(last.join(ends.select("source"), "source", "left_anti"))
         kept.write.mode("overwrite").parquet(f"{folder}/scores/batch={batch_id}")
 

@@ -19,3 +19,14 @@ def test_event_payload_fields_are_read_once(spark):
     assert checked.columns == [*events.columns, "issues", "quality_status", "source_reliability_score"]
     assert [r.quality_status for r in checked.orderBy("seq").collect()] == ["FAIL", "FAIL", "FAIL", "WARN", "PASS"]
     assert optimized(checked).count("get_json_object(") <= 11  # ten fields, the title's in a condition as well
+
+
+def test_clamp_walk_joins_events_with_no_second_copy(spark):
+    events = spark.range(40).select(F.lit("a").alias("source"), c("id").alias("seq"), (c("id") % 3 == 0).alias("passed"), c("id").alias("pos"))
+    walked = quality.clamp_walk(events)
+    score, wanted = quality.START_SCORE, []
+    for i in range(40):
+        before, score = score, min(max(score + (quality.PASS_STEP if i % 3 == 0 else quality.FAIL_STEP), 0.0), 1.0)
+        wanted.append((i, before, score))
+    assert [(r.seq, r.score_before, r.score_after) for r in walked.orderBy("seq").collect()] == wanted
+    assert optimized(walked).count("Join Inner") == 1
