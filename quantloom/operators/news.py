@@ -105,15 +105,15 @@ def article_keys() -> Column:
 def insert_news_batch(batch: DataFrame, root: str, batch_id: int, id_col: str = "id") -> None:
     """Store the new articles of a micro-batch under ``root``, by a key table instead of the stored articles.
 
-    Articles are written first, then their keys; each batch overwrites its own folders and looks at earlier batches only,
+    What is new is found by ids and hashes alone; texts are read once more, to be written. Articles are written first, then their keys; each batch overwrites its own folders and looks at earlier batches only,
     so a replay after a crash between the two writes leaves the same table.
     """
     keys = KeyTable(f"{root}/keys")
-    checked = stage(batch)
+    checked = stage(batch.select(id_col, "url_hash", "source", "content_hash"))
     known = keys.seen(checked.select(F.explode(article_keys()).alias("key")), batch_id)
     old = checked.select(id_col, F.explode(article_keys()).alias("key")).join(known, "key", "left_semi").select(id_col).distinct()
-    fresh = first_seen(stage(checked.join(old, id_col, "left_anti")), id_col)
-    fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{root}/articles/batch={batch_id}")
+    fresh = first_seen(stage(checked.join(old, id_col, "left_anti")), id_col).select(id_col)
+    batch.join(stage(fresh), id_col, "left_semi").select(*batch.columns).write.mode("overwrite").parquet(f"{root}/articles/batch={batch_id}")
     written = batch.sparkSession.read.schema(batch.schema).parquet(f"{root}/articles/batch={batch_id}")
     keys.add(written.select(F.explode(article_keys()).alias("key")), batch_id)
 

@@ -30,3 +30,16 @@ def test_clamp_walk_joins_events_with_no_second_copy(spark):
         wanted.append((i, before, score))
     assert [(r.seq, r.score_before, r.score_after) for r in walked.orderBy("seq").collect()] == wanted
     assert optimized(walked).count("Join Inner") == 1
+
+
+def test_news_batches_stage_no_texts(spark, tmp_path, monkeypatch):
+    staged = []
+    keep = news.stage
+    monkeypatch.setattr(news, "stage", lambda df, *a: staged.append(df.columns) or keep(df, *a))
+    rows = [(1, "s", "u1", "c1", "text one"), (2, "s", "u1", "c2", "text two"), (3, "s", "u3", None, "text three")]
+    kinds = "id long, source string, url_hash string, content_hash string, content string"
+    news.insert_news_batch(spark.createDataFrame(rows, kinds), str(tmp_path), 0)
+    news.insert_news_batch(spark.createDataFrame([(4, "s", "u3", "c4", "text four"), (5, "s", "u5", "c5", "text five")], kinds), str(tmp_path), 1)
+    assert staged and not any("content" in columns for columns in staged)
+    found = spark.read.parquet(f"{tmp_path}/articles")
+    assert sorted((r.id, r.content) for r in found.collect()) == [(1, "text one"), (3, "text three"), (5, "text five")]
