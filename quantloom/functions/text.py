@@ -57,7 +57,10 @@ def absolutize_url(base: Column, href: Column) -> Column:
 
 def casefold(text: Column) -> Column:
     """Lower case plus the common letters whose case folding differs from it."""
-    return F.regexp_replace(F.translate(F.lower(text), "ſς", "sσ"), "ß", "ss")
+    folded = F.lower(text)
+    for letter, other in (("ſ", "s"), ("ς", "σ"), ("ß", "ss")):
+        folded = F.replace(folded, F.lit(letter), F.lit(other))
+    return folded
 
 
 def normalize_text(text: Column) -> Column:
@@ -68,7 +71,7 @@ def normalize_text(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Collapse blanks, keep at most one empty line, strip lines; empty becomes NULL."""
-    blanks = F.regexp_replace(F.translate(text, " ", " "), r"[ \t\r\f\x0B]+", " ")
+    blanks = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"[ \t\r\f\x0B]+", " ")
     lines = F.regexp_replace(blanks, r"\n{3,}", "\n\n")
     stripped = F.regexp_replace(lines, r"(?m)^ +| +$", "")
     return F.nullif(F.regexp_replace(stripped, r"^\s+|\s+$", ""), F.lit(""))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quantloom.functions import text
 from quantloom.operators import news, quality
 
 c = F.col
@@ -32,6 +33,13 @@ def test_clamp_walk_joins_events_with_no_second_copy(spark):
     assert optimized(walked).count("Join Inner") == 1
 
 
+def test_letters_are_replaced_without_a_map_per_character(spark):
+    df = spark.createDataFrame([("A\u00a0 b\u00a0\u00a0\u00a0c  ſtraße Οδος ς",)], "t string")
+    done = df.select(text.clean_text(c("t")).alias("clean"), text.normalize_text(c("t")).alias("norm"))
+    assert done.first() == ("A b c ſtraße Οδος ς", "a b c strasse οδοσ σ")
+    assert "translate(" not in optimized(done.where("clean <> norm"))
+
+
 def test_news_batches_stage_no_texts(spark, tmp_path, monkeypatch):
     staged = []
     keep = news.stage
