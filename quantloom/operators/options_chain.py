@@ -17,9 +17,13 @@ PAYLOAD = (
 
 
 def parse_chain(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row per strike of each JSON payload, next to the payload's own columns."""
-    parsed = payloads.withColumn("_p", F.from_json(column, PAYLOAD))
+    """One row per strike of each JSON payload, next to the payload's own columns.
+
+    A payload is parsed once: as the only entry of an exploded array it is a column of its own, which neither the filter that
+    Spark derives from the second explode nor the fields taken from it repeat.
+    """
     keep = [n for n in payloads.columns if n != column]
+    parsed = payloads.select(*keep, F.explode(F.array(F.from_json(column, PAYLOAD))).alias("_p"))
     return parsed.select(
         *keep, c("_p.records.underlyingValue").alias("underlying_value"), F.explode("_p.records.data").alias("_s")
     ).select(

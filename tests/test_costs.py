@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quantloom.functions import text
-from quantloom.operators import news, quality
+from quantloom.operators import news, options_chain, quality
 
 c = F.col
 
@@ -33,6 +33,16 @@ def test_clamp_walk_joins_events_with_no_second_copy(spark):
     assert optimized(walked).count("Join Inner") == 1
 
 
+def test_option_payloads_are_parsed_once(spark):
+    payloads = spark.createDataFrame([
+        ("A", '{"records": {"data": [{"strikePrice": 1, "CE": {"openInterest": 2}}, null], "underlyingValue": 3}}'),
+        ("B", '{"records": {"data": [], "underlyingValue": 3}}'), ("C", None), ("D", "no json")], "symbol string, payload string")
+    rows = options_chain.parse_chain(payloads)
+    assert sorted((r.symbol, r.underlying_value, r.strike or 0.0, r.call_oi) for r in rows.collect() if r.strike) == [("A", 3.0, 1.0, 2.0)]
+    assert rows.where("symbol = 'A'").count() == 2 and rows.where("symbol <> 'A'").count() == 0
+    assert optimized(rows).count("from_json(") == 1
+
+
 def test_letters_are_replaced_without_a_map_per_character(spark):
     df = spark.createDataFrame([("A\u00a0 b\u00a0\u00a0\u00a0c  ſtraße Οδος ς",)], "t string")
     done = df.select(text.clean_text(c("t")).alias("clean"), text.normalize_text(c("t")).alias("norm"))
