@@ -5,9 +5,11 @@ whole texts. So that examples are near when they agree in what matters, each ter
 clearly its share differs between toxic and clean examples (a damped chi-square, ``FLOOR`` at least): no word is left out, and
 any text that shares a word with an example, toxic or clean, has neighbours.
 
-The index keeps examples in blocks and, per term, the largest weight in each block it occurs in. A search scores the
-``OPENED`` blocks with the highest bounds, then, at once, the postings of all blocks whose bound reaches the k-th score so
-far; blocks below are skipped. Its result equals a full scan's. Votes weigh by 1 / distance
+The index keeps examples in blocks. The ``COMMON`` terms that most examples have are a matrix with, per block, the largest
+weight of each; all other terms are postings. A search adds up the postings, opens the ``OPENED`` blocks with the
+highest bounds, and then multiplies the matrix of every block whose bound (largest score from postings, and the block's
+largest common weights) reaches the k-th score so far, for ``TOGETHER`` texts at once; blocks
+below are skipped. Its result equals a full scan's. Votes weigh by 1 / distance
 and by how many labelled rows an example stands for; isotonic regression over the examples' own leave-one-out votes turns
 them into probabilities. The nearest examples are returned as evidence.
 
@@ -23,7 +25,6 @@ the smaller doc_id. Repeated rows are scored each; further columns pass by.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +40,10 @@ EXAMPLES = 3000
 TERMS = 1 << 20
 CHI_SQUARE = 100.0  # at this value a term has half of the full weight
 FLOOR = 0.02  # share of the full weight that any term has
+COMMON = 256  # terms that are columns of a matrix
 BLOCK = 64
 OPENED = 3
+TOGETHER = 64  # texts searched at once
 NEIGHBOURS = 15
 EVIDENCE = 3
 CACHED_WORDS = 300_000
@@ -50,25 +53,25 @@ WORD = re.compile(r"[^\W\d_]+")
 c = F.col
 
 
+class Numbers(dict):
+    """Term numbers by word; a new word is hashed when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % TERMS
+        return number
+
+
 class Terms:
-    """Term numbers and counts of texts; remembers words up to a bound."""
+    """Rising term numbers and their counts in texts; remembers about ``CACHED_WORDS`` words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found = Counter(WORD.findall((text or "").lower()))
-        known = self.known
-        new = [w for w in found if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(found)
-        for word in new:
-            known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % TERMS
-        terms = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-        counts = np.fromiter(found.values(), np.int64, len(found))
-        single, place = np.unique(terms, return_inverse=True)
-        return (single, np.bincount(place, counts).astype(np.int64)) if len(single) < len(terms) else (terms, counts)
+        words = WORD.findall((text or "").lower())
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        return np.unique(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), return_counts=True)
 
 
 # ---- index ---------------------------------------------------------------------------
@@ -80,54 +83,75 @@ class BlockMaxIndex:
     def __init__(self, ids: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(ids[i])))
         self.ids, self.order = ids[order], np.array(order, np.int64)
-        self.blocks = max(1, -(-len(ids) // BLOCK))
-        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+        blocks = max(1, -(-len(ids) // BLOCK))
+        owner = np.repeat(np.arange(len(ids)), np.array([len(vectors[i][0]) for i in order], np.int64))
         term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
-        by_term = np.argsort(term, kind="stable")  # within a term by example, so by block too
-        term, self.owner, self.posted = term[by_term], np.repeat(np.arange(len(ids)), sizes)[by_term], weight[by_term]
-        edge = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.owner[1:] // BLOCK != self.owner[:-1] // BLOCK)])) if len(term) else np.zeros(0, np.int64)
-        self.cells = np.concatenate([edge, [len(term)]])  # where the postings of each (term, block) begin
-        self.block = self.owner[edge] // BLOCK
-        self.largest = np.maximum.reduceat(self.posted, edge) if len(edge) else np.zeros(0)
-        self.starts = np.searchsorted(term[edge], np.arange(terms + 1)) if len(edge) else np.zeros(terms + 1, np.int64)  # where the cells of each term begin
+        having = np.bincount(term, minlength=terms)
+        common = np.argsort(-having, kind="stable")[:COMMON]
+        common = common[having[common] > 0]
+        self.column = np.full(terms, -1, np.int32)  # of the matrix, by term
+        self.column[common] = np.arange(len(common))
+        column = self.column[term]
+        held = column >= 0
+        matrix = np.zeros((blocks * BLOCK, len(common)))
+        matrix[owner[held], column[held]] = weight[held]
+        self.matrix = matrix.reshape(blocks, BLOCK, len(common))
+        self.largest = self.matrix.max(1)  # by block and column
+        by_term = np.flatnonzero(~held)[np.argsort(term[~held], kind="stable")]
+        self.owner, self.posted = owner[by_term], weight[by_term]
+        self.starts = np.searchsorted(term[by_term], np.arange(terms + 1))  # where the postings of each term begin
 
     @staticmethod
     def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Positions first, first + 1, ... of each span, one after the other."""
         return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    def scored(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Cosine with every example, from the postings of these cells only."""
-        size = self.cells[cells + 1] - self.cells[cells]
-        at = self.spans(self.cells[cells], size)
-        return np.bincount(self.owner[at], np.repeat(weights, size) * self.posted[at], len(self.ids)).round(12)
-
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, position) of the k nearest with a cosine above 0; ``without`` is left out."""
-        size = self.starts[terms + 1] - self.starts[terms]
-        cells, weight = self.spans(self.starts[terms], size), np.repeat(weights, size)
-        if not len(cells):
+        return self.nearest_of_each([(terms, weights)], k, [without])[0]
+
+    def nearest_of_each(self, searched: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several vectors; cosines do not depend on which vectors are searched together."""
+        if not searched:
             return []
-        block = self.block[cells]
-        bounds = np.bincount(block, weight * self.largest[cells], self.blocks)
-        opened = np.zeros(self.blocks, bool)
-        opened[np.argsort(-bounds, kind="stable")[:OPENED]] = True
-        here = opened[block]
-        scores = self.scored(cells[here], weight[here])
-        if without >= 0:
-            scores[without] = 0.0
-        reached = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        others = (bounds > 0) & (bounds + 1e-9 >= reached) & ~opened
-        if others.any():
-            here = others[block]
-            scores = scores + self.scored(cells[here], weight[here])
-            if without >= 0:
-                scores[without] = 0.0
-        least = max(np.partition(scores, -k)[-k], 1e-12) if len(scores) > k else 1e-12
-        places = np.flatnonzero(scores >= least)
-        best = places[np.lexsort((self.ids[places], -scores[places]))[:k]]
-        return list(zip(scores[best].tolist(), best.tolist()))
+        blocks, size, columns = self.matrix.shape
+        common, posted = np.zeros((len(searched), columns)), np.zeros((len(searched), blocks * size))
+        for i, (terms, weights) in enumerate(searched):
+            column = self.column[terms]
+            held = column >= 0
+            common[i, column[held]] = weights[held]
+            first = self.starts[terms[~held]]
+            many = self.starts[terms[~held] + 1] - first
+            at = self.spans(first, many)
+            posted[i] = np.bincount(self.owner[at], np.repeat(weights[~held], many) * self.posted[at], blocks * size)
+            if without is not None and without[i] >= 0:
+                posted[i, without[i]] = -np.inf
+        scores = posted.reshape(len(searched), blocks, size).copy()
+        bounds = scores.max(2) + common @ self.largest.T
+        opened = np.argsort(-bounds, axis=1, kind="stable")[:, :OPENED]
+        for i, best in enumerate(opened):
+            for block in best:
+                scores[i, block] += self.matrix[block] @ common[i]
+        reached = np.maximum(kth(np.take_along_axis(scores, opened[:, :, None], 1).reshape(len(searched), -1), k), kth(scores.max(2), k))
+        others = bounds + 1e-9 >= reached[:, None]
+        np.put_along_axis(others, opened, False, 1)
+        for block in np.flatnonzero(others.any(0)):
+            rows = np.flatnonzero(others[:, block])
+            scores[rows, block] += common[rows] @ self.matrix[block].T
+        examples, least, found = self.matrix.reshape(blocks * size, columns), kth(scores.max(2), k), []
+        for i, score in enumerate(scores.reshape(len(searched), -1)):
+            at = np.flatnonzero(score >= max(least[i] - 1e-11, 1e-13))
+            at = at[score[at] >= kth(score[None, at], k) - 1e-11]
+            cosines = (posted[i, at] + (examples[at] * common[i]).sum(1)).round(12)  # in one order, so that equal examples are equally near
+            best = np.lexsort((self.ids[at], -cosines))[:k]
+            found.append([(s, p) for s, p in zip(cosines[best].tolist(), at[best].tolist()) if s > 0])
+        return found
+
+
+def kth(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row, 0 at least."""
+    return np.maximum(0.0, np.partition(values, -k, axis=1)[:, -k]) if values.shape[1] >= k else np.zeros(len(values))
 
 
 @dataclass
@@ -148,16 +172,15 @@ class Model:
         weight = self.shares[at] / (1.02 - np.array([s for s, _ in near]))
         return (float(weight @ self.labels[at]) + PRIOR * self.base) / (float(weight.sum()) + PRIOR)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(terms, self.vector(terms, counts), NEIGHBOURS) if len(terms) and len(self.labels) else []
-        if not near:
-            return self.base, []
-        return float(self.values[max(0, np.searchsorted(self.steps, self.vote(near), "right") - 1)]), near
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Of texts with these terms and counts: probability and nearest examples."""
+        near = self.index.nearest_of_each([(f[0], self.vector(*f)) for f in found], NEIGHBOURS) if len(self.labels) else [[]] * len(found)
+        return [(float(self.values[max(0, np.searchsorted(self.steps, self.vote(n), "right") - 1)]), n) if n else (self.base, n) for n in near]
 
 
 def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     values = (1.0 + np.log(counts)) * idf[terms]
-    return values / np.sqrt(values @ values)
+    return values / np.sqrt(values @ values) if len(values) else values
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +276,9 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
     shares = np.array([full[i].share for i in index.order])
     model = Model(idf, index, labels, shares, base, np.zeros(1), np.array([base]))
     votes = []
-    for at, i in enumerate(index.order):
-        near = index.nearest(*vectors[i], NEIGHBOURS, without=at)
-        votes.append(model.vote(near) if near else base)
+    for at in range(0, len(index.order), TOGETHER):
+        some = index.order[at : at + TOGETHER]
+        votes += [model.vote(near) if near else base for near in index.nearest_of_each([vectors[i] for i in some], NEIGHBOURS, list(range(at, at + len(some))))]
     if votes:
         model.steps, model.values = isotonic(np.array(votes), labels, shares)
     return model
@@ -269,17 +292,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, of, known = held.value, Terms().of, {}
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column("text"):
-                terms, n = of(text.as_py())
-                key = xxhash.xxh3_128_digest(terms.tobytes() + n.tobytes())
-                if key not in known:
-                    if len(known) >= CACHED_TEXTS:
-                        known.clear()
-                    value, near = m.score(terms, n)
+            scores, evidence, texts = [], [], batch.column("text")
+            for start in range(0, batch.num_rows, TOGETHER):
+                found = [of(text.as_py()) for text in texts.slice(start, TOGETHER)]
+                keys = [xxhash.xxh3_128_digest(terms.tobytes() + n.tobytes()) for terms, n in found]
+                if len(known) >= CACHED_TEXTS:
+                    known.clear()
+                new = {key: f for key, f in zip(keys, found) if key not in known}
+                for key, (value, near) in zip(new, m.scores(list(new.values()))):
                     known[key] = value, [{"doc_id": int(m.index.ids[p]), "cosine": s, "toxic": int(m.labels[p])} for s, p in near[:EVIDENCE]]
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+                scores += [known[key][0] for key in keys]
+                evidence += [known[key][1] for key in keys]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in rest], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],

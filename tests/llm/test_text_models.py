@@ -142,6 +142,30 @@ def test_many_blocks_are_scored_like_a_full_scan(monkeypatch):
         assert [g[0] for g in got] == pytest.approx([-s for s, _ in full]) and len(got) == len(full)
 
 
+def test_common_words_are_not_read_as_postings(monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON", 40, raising=False)
+    draw, vectors = np.random.default_rng(5), []
+    for i in range(600):  # every example has 40 common terms and 3 of 3,000 others; every third is a copy of the one before
+        t = np.concatenate([np.arange(40), np.sort(draw.choice(np.arange(40, 3040), 3, replace=False))])
+        w = draw.random(43)
+        vectors.append(vectors[-1] if i % 3 == 2 else (t, w / np.sqrt(w @ w)))
+    index, read = toxicity.BlockMaxIndex(np.arange(600)[::-1] * 2, vectors, 3040), []
+    spans = index.spans
+    monkeypatch.setattr(index, "spans", lambda first, size: (read.append(int(size.sum())), spans(first, size))[1])
+    got = [index.nearest(*v, 15) for v in vectors[:100]]
+    assert sum(read) / 100 < 20  # 600 postings for each of 40 words before
+    dense = np.zeros((600, 3040))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for (t, w), near in zip(vectors[:100], got):
+        cosines = (dense[:, t] * w).sum(1).round(12)  # equal rows have equal sums
+        full = sorted((-float(s), int(2 * (599 - i))) for i, s in enumerate(cosines) if s > 0)[:15]
+        assert [int(index.ids[p]) for _, p in near] == [i for _, i in full] and [s for s, _ in near] == pytest.approx([-s for s, _ in full])
+    assert index.nearest_of_each(vectors[:100], 15) == got and index.nearest_of_each([], 15) == []
+    none = np.zeros(0, np.int64), np.zeros(0)
+    assert index.nearest_of_each([none, vectors[0]], 15) == [[], got[0]] and toxicity.BlockMaxIndex(np.zeros(0, np.int64), [], 3040).nearest(*vectors[0], 15) == []
+
+
 def test_words_three_times_as_frequent_in_toxic_rows_count(spark):
     # labels don't follow ids: equal texts are equally near, and ties go to small ids
     rows = [(i, int(i % 4 == 0), ("grim " if i // 4 % 10 < (6 if i % 4 == 0 else 2) else "mild ") + f"w{i % 7}") for i in range(800)]
