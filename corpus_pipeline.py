@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm import exact_dedup, mixing, near_dups, pieces, quality
-from quantloom.llm.common import ready, stage, table
+from quantloom.llm.common import ready_for_texts, stage, table
 from quantloom.llm.queries import PIECE_MODEL
 from quantloom.session import only_result_stays, unstage
 
@@ -19,29 +19,31 @@ ORACLE_SQL = None
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised scorer does not reject."""
-    ready(spark)
+    ready_for_texts(spark)
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
+    ready_for_texts(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by five-word similarity of 0.8 the one with the smallest doc_id."""
-    ready(spark)
+    ready_for_texts(spark)
     return near_dups.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the last of a source cut at its budget."""
+    ready_for_texts(spark)
     return mixing.mixed_documents(docs)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the text's piece ids."""
-    ready(spark)
+    ready_for_texts(spark)
     return pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.Vocabulary.load(PIECE_MODEL), keep_text=False)
 
 

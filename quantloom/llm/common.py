@@ -20,6 +20,9 @@ FILTER_BITS, BITS_PER_KEY, MOST_BITS = 1 << 22, 16, 1 << 27
 
 #: Rows of an Arrow batch, where the session has Spark's default: whole texts are large, and a batch is copied several times.
 BATCH_ROWS = 1000
+#: Rows that a reader of Parquet decodes at a time in the pipeline, where the session has Spark's default: 4,096 whole texts fill
+#: byte arrays of 16 MB a task, which are copied as they grow, and the executor's heap grows with them.
+READ_ROWS = 512
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -30,6 +33,13 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ready_for_texts(spark: SparkSession) -> SparkSession:
+    """``ready``, for jobs that read whole texts again and again: readers of Parquet decode few rows at a time."""
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    return ready(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; the session is made ready first."""
     ready(spark)

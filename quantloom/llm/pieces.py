@@ -33,8 +33,11 @@ from pyspark.sql import DataFrame
 from quantloom.llm.common import slices
 
 MARK = "▁"
-#: Marked words (twice: a new and an old cache) and piece pairs that a Python worker remembers.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 1_200_000
+#: Marked words (twice: a new and an old cache) and piece pairs that a Python worker remembers. A word takes about 190 bytes, and
+#: workers keep what they remember for as long as they live.
+CACHED_WORDS, CACHED_PAIRS = 150_000, 400_000
+#: Characters of texts that are split at a time; their new words may come on top of the bound.
+SLICE = 500_000
 #: Numbers of characters that are no piece begin here, as last pieces of a prefix.
 FOREIGN = 1 << 21
 
@@ -291,7 +294,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, round_trip: bool = False, ke
         encoder = encoder_of(key, held.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids, stop, *words = encoder.encode_words(texts[a:b])
                 out = batch.slice(a, b - a)
                 columns_out = [*[out.column(f.name) for f in kept], pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(ids)), pa.array(np.diff(stop))]

@@ -26,6 +26,18 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, awkward, nothing):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_readers_decode_few_texts_at_a_time(spark, nothing):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    for _, step in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        step(spark, nothing, SF)
+        assert int(spark.conf.get(name)) <= 512
+    spark.conf.set(name, "900")  # a chosen value stays
+    corpus_pipeline.mix_sources(spark, nothing, SF)
+    assert spark.conf.get(name) == "900"
+    spark.conf.unset(name)
+
+
 def test_run_equals_brute_force(spark):
     import sentencepiece
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import sys
 
 import numpy as np
 import pytest
@@ -54,6 +55,14 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     assert np.concatenate([small.encode([t])[0] for t in texts]).tolist() == whole.tolist() and len(ends) == 301
 
 
+def test_a_worker_remembers_little():
+    encoder = pieces.Encoder(pieces.Vocabulary.load(PIECE_MODEL))
+    for a in range(0, 450_000, 50_000):  # distinct words, as many as a slice of texts may bring
+        encoder.encode([" ".join(f"w{i:x}" for i in range(a, a + 50_000))])
+    held = sum(sys.getsizeof(cache) + sum(sys.getsizeof(w) + sys.getsizeof(i) for w, i in cache.items()) for cache in (encoder.known, encoder.older))
+    assert held < 60e6
+
+
 def test_language_on_held_out_rows(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op7_language_id"](spark, SF).collect()
