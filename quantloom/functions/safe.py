@@ -56,6 +56,11 @@ def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def on_grid(value: Column) -> Column:
+    """``value`` to 12 places: what is 0.1 by the numbers equals the limit 0.1, in whatever order doubles were added."""
+    return F.round(value, 12)
+
+
 def numeric_or_null(value: Column) -> Column:
     """Finite double or NULL for text, NaN and infinities."""
     number = value.try_cast("double")

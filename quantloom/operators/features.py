@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.safe import clip, div, flag, over_min, zero
+from quantloom.functions.safe import clip, div, flag, on_grid, over_min, zero
 from quantloom.operators.blocks import before, carry_last, ema_columns, series_window, tail
 from quantloom.settings import Blocks
 
@@ -141,7 +141,7 @@ def sentiment(df: DataFrame) -> DataFrame:
     sector_sentiment`` (0 where the day has no news) and ``has_sentiment``.
     """
     df = df.withColumns({
-        "rolling_sentiment_mean": F.avg("sentiment_score").over(tail(5)),
+        "rolling_sentiment_mean": on_grid(F.avg("sentiment_score").over(tail(5))),
         "rolling_sentiment_volatility": zero(over_min(F.stddev_pop, c("sentiment_score"), tail(10), 2)),
         "bullish_headline_count": F.sum("bullish_count").over(tail(5)).cast("int"),
         "bearish_headline_count": F.sum("bearish_count").over(tail(5)).cast("int"),

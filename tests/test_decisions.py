@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quantloom.operators import backtest, ensemble, quality, regimes, risk, strategies, weighting
+from quantloom.operators import backtest, ensemble, news, quality, regimes, risk, strategies, weighting
 from quantloom.plans import frames
 from quantloom.settings import DEFAULT
 
@@ -52,6 +52,18 @@ def test_regimes_of_known_series(spark):
     assert got["TREND"].regime == "TRENDING" and got["FLAT"].regime == "SIDEWAYS" and got["WILD"].regime == "HIGH_VOLATILITY"
 
 
+def test_a_mean_on_a_limit_is_that_limit(spark, trend80):
+    """Sentiment of -0.1 by the numbers counts as -0.1, in whatever order the scores are added."""
+    odd = [-0.65, -0.55, -0.55, -0.55, -0.55, -0.65, 0.0]  # mean -0.5; added as doubles in this order it is less
+    days = [odd], [odd[::-1]], [[-0.55], [0.0], [-0.65], [0.7]]  # the last ones add up to less than -0.5, too
+    for scores in days:
+        rows = [("INFY", datetime(2026, 3, 9 + i), x) for i, day in enumerate(scores) for x in day]
+        events = spark.createDataFrame(rows, "symbol string, ts timestamp, sentiment_score double").withColumns({"sentiment": F.lit("neutral"), "sector": F.lit("it")})
+        frame = frames.adaptive_frame(trend80, news.daily_sentiment(events.coalesce(1))).withColumn("risk_on_score", F.lit(0.0))
+        got = regimes.rule_regime(frame, DEFAULT.adaptive).where("ts = timestamp'2026-03-12'").first()
+        assert (got.rolling_sentiment_mean, got.regime) == (-0.1, "BULLISH_REGIME")
+
+
 def decided(spark, bars, as_of=None, names=None):
     df = regimes.trading_regime(strategies.with_signals(frames.trading_frame(bars), names), DEFAULT.trading)
     return risk.evaluate(ensemble.vote(ensemble.weighted(df, 0.45, 0.05)), DEFAULT.trading, as_of)
